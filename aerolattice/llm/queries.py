@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts, token_files
+from . import bpe, suffix_dedup, token_counts, token_files
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(BYTE_BPE))
     return done.select(
@@ -36,7 +41,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_token_files, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op3_token_files, op7_suffix_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
