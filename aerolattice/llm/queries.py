@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, suffix_dedup, token_counts, token_files
+from . import bpe, simhash, suffix_dedup, token_counts, token_files
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir), words=4, radius=4, seed=42)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path(WORD_BPE), end_id=1)
@@ -41,7 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_token_files, op7_suffix_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op7_suffix_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
