@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, suffix_dedup, token_counts, token_files
+from . import bpe, quality_rules, simhash, suffix_dedup, token_counts, token_files
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,7 +50,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op7_suffix_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op6_quality_rules, op7_suffix_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
