@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .token_counts import CACHE_PIECES, tokenizer
+from .pieces import CACHE_PIECES, tokenizer
 
 #: A unit: ASCII white space and the text up to the next one.
 UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")

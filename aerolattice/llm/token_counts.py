@@ -4,13 +4,12 @@ A text is cut at ASCII white space. No token of the tokenizer reaches across suc
 a text is the sum over its pieces. Tier one is a broadcast table of pieces that are frequent in any text:
 the whole words of the vocabulary, as they stand, capitalised, and with the commonest punctuation; its
 size follows from the vocabulary, not from the data. Tier two encodes what misses tier one with the
-tokenizers library and keeps the result in a cache of the Python worker, which is emptied when full.
-There is no shuffle at all.
+tokenizers library and keeps the result in a cache of the Python worker, which is emptied when full
+(pieces.py). There is no shuffle at all.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,27 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from .common import slices
-
-#: Pieces a worker keeps before it starts anew, and the longest piece worth keeping.
-CACHE_PIECES = 300_000
-CACHE_BYTES = 128
-WORD_END = "</w>"
-
-_loaded: dict[str, Tokenizer] = {}
-
-
-def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer at ``path``, without truncation and padding; loaded once for each process."""
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        found = Tokenizer.from_file(path)
-        found.no_truncation()
-        found.no_padding()
-        _loaded[path] = found
-    return _loaded[path]
+from .pieces import WORD_END, PieceEncoder, tokenizer
 
 
 def frequent_pieces(path: str) -> tuple[bytes, np.ndarray]:
@@ -52,29 +33,6 @@ def frequent_pieces(path: str) -> tuple[bytes, np.ndarray]:
     return b" ".join(f for f, _ in small), np.array([n for _, n in small], np.uint8)
 
 
-class PieceCounts:
-    """Token counts of pieces for one worker: the broadcast table, then the cache, then the library."""
-
-    def __init__(self, path: str, table: tuple[bytes, np.ndarray]):
-        self.tok = tokenizer(path)
-        self.frequent = dict(zip(table[0].split(b" "), table[1].tolist(), strict=True)) if table[0] else {}
-        self.known = dict(self.frequent)
-
-    def count(self, texts: list[str]) -> list[int]:
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        misses = set().union(*pieces).difference(self.known)
-        long = {p for p in misses if len(p) > CACHE_BYTES}
-        if len(self.known) - len(self.frequent) + len(misses) - len(long) > CACHE_PIECES:
-            self.known = dict(self.frequent)
-            misses = set().union(*pieces).difference(self.known)
-        found = self.tok.encode_batch([p.decode("utf-8", "replace") for p in misses], add_special_tokens=False)
-        self.known.update(zip(misses, (len(e.ids) for e in found), strict=True))
-        counts = [sum(map(self.known.__getitem__, ps)) for ps in pieces]
-        for p in long:
-            del self.known[p]
-        return counts
-
-
 def token_count(spark: SparkSession, text: Column, tokenizer_path: str) -> Column:
     """Tokens of ``text`` as the tokenizers library counts them, without added special tokens.
 
@@ -85,9 +43,10 @@ def token_count(spark: SparkSession, text: Column, tokenizer_path: str) -> Colum
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = PieceCounts(tokenizer_path, table.value)
+        pieces, counts = table.value
+        encoder = PieceEncoder(tokenizer_path, counts=True, table=dict(zip(pieces.split(b" "), counts.tolist(), strict=True)) if pieces else {})
         for batch in batches:
-            yield pd.Series([n for part in slices(batch.fillna("").tolist()) for n in counts.count(part)], dtype="int64")
+            yield pd.Series([n for part in slices(batch.fillna("").tolist()) for n in encoder.encode(part)], dtype="int64")
 
     return count(text)
 

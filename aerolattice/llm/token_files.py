@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, slices
-from .token_counts import CACHE_BYTES, CACHE_PIECES, tokenizer
+from .pieces import PieceEncoder
 
 #: Ids and bits of the words with selectors 1 to 14; 0 announces an escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -122,28 +122,6 @@ def unpack_segments(words: bytes, n: int, offsets: list[int], escapes: list[int]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-class PieceIds:
-    """Ids of the pieces between ASCII white space, by the tokenizers library and a cache of the worker."""
-
-    def __init__(self, path: str):
-        self.tok = tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        misses = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(misses) > CACHE_PIECES:
-            self.known = {}
-            misses = set().union(*pieces)
-        found = self.tok.encode_batch([p.decode("utf-8", "replace") for p in misses], add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(misses, found, strict=True))
-        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, ps)), "<u4") for ps in pieces]
-        for p in misses:
-            if len(p) > CACHE_BYTES:
-                del self.known[p]
-        return ids
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes ``text`` and writes the files described above to ``path``, in ascending ``doc_id``.
 
@@ -154,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard, number = PieceIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, shard, number = PieceEncoder(tokenizer_path, counts=False), TaskContext.get().partitionId(), 0
         own_ids: list[int | None] = []
         own: list[np.ndarray] = []
         size = before = 0
@@ -168,8 +146,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         for batch in batches:
             keys = iter(batch["k"].astype("object").tolist())
             for part in slices(batch["t"].tolist()):
-                for ids in encoder.encode(part):
-                    key = next(keys)
+                for coded in encoder.encode(part):
+                    key, ids = next(keys), np.frombuffer(coded, "<u4")
                     own_ids.append(None if pd.isna(key) else int(key))
                     own.append(np.append(ids, np.uint32(end_id)))
                     size += len(own[-1])
