@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .pieces import CACHE_PIECES, tokenizer
+from .pieces import tokenizer
 
 #: A unit: ASCII white space and the text up to the next one.
 UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: White space beyond ASCII. Its runs may reach over units, so texts with it are one unit.
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-UNIT_CHARS = 128
+#: A unit of Latin letters after a blank or nothing, and the ASCII punctuation after them: two words.
+PLAIN_UNIT = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
+#: Units and words that a worker keeps before it starts anew, and the longest unit worth keeping.
+CACHE_UNITS, UNIT_CHARS = 250_000, 128
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -51,23 +55,24 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
-        self.symbol = {c: vocab[c] for c in byte_symbols()}
+        self.of_byte = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.split = tokenizer(path).pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
-        to_byte = {c: b for b, c in enumerate(byte_symbols())}
-        texts = {i: bytes(map(to_byte.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.to_byte = {c: b for b, c in enumerate(byte_symbols())}
+        texts = {i: bytes(map(self.to_byte.__getitem__, t)) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.texts = [texts.get(i, b"") for i in range(max(texts) + 1)]
         self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
 
-    def merge(self, words: list[list[int]]) -> list[np.ndarray]:
-        """The ids of each word, given the symbols of its bytes."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as encode() gives them."""
+        out = [b""] * len(words)
         lens = np.array([len(w) for w in words], np.int64)
         names = np.flatnonzero(lens)
         lens = lens[names]
-        flat = np.array([s for w in words for s in w], np.int64)
+        flat = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         while len(names):
             starts = np.cumsum(lens) - lens
             owner = np.repeat(np.arange(len(names)), lens)
@@ -77,8 +82,10 @@ class ByteBpe:
             rank = np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
             lowest = np.minimum.reduceat(rank, starts)
             done = lowest == NO_RANK
-            for k in np.flatnonzero(done):
-                out[names[k]] = flat[starts[k] : starts[k] + lens[k]]
+            if done.any():
+                coded = flat.astype("<u4").tobytes()
+                for name, b, n in zip(names[done].tolist(), (4 * starts[done]).tolist(), (4 * lens[done]).tolist(), strict=True):
+                    out[name] = coded[b : b + n]
             here = np.flatnonzero((rank == lowest[owner]) & (rank != NO_RANK))
             follows = np.append(False, np.diff(here) == 1)  # such places overlap: of a run, every other one counts
             run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(here))))
@@ -90,30 +97,47 @@ class ByteBpe:
             flat, names = flat[stays], names[~done]
         return out
 
+    def _split(self, unit: str) -> list[bytes | int]:
+        """The words of ``unit`` and the ids of special tokens in it."""
+        found: list[bytes | int] = []
+        for piece in self.special_pattern.split(unit) if self.special_pattern else [unit]:
+            if piece in self.special:
+                found.append(self.special[piece])
+            elif piece:
+                found += [bytes(map(self.to_byte.__getitem__, word)) for word, _ in self.split(piece)]
+        return found
+
     def learn(self, units: set[str]) -> None:
-        """Puts the ids of ``units`` into ``known``."""
-        parts: dict[str, list[str | int]] = {}
+        """Puts the ids of ``units`` into ``known``; a unit of letters and punctuation has two words."""
+        if len(self.known) + len(units) > CACHE_UNITS:
+            self.known = {}
+        if len(self.words) > CACHE_UNITS:
+            self.words = {b"": b""}
+        plain, heads, tails = [], [], []
+        parts: dict[str, list[bytes | int]] = {}
         for unit in units:
-            found: list[str | int] = []
-            for piece in self.special_pattern.split(unit) if self.special_pattern else [unit]:
-                if piece in self.special:
-                    found.append(self.special[piece])
-                elif piece:
-                    found += [word for word, _ in self.split(piece)]
-            parts[unit] = found
-        words = list({w for found in parts.values() for w in found if isinstance(w, str)})
-        ids = dict(zip(words, self.merge([[self.symbol[c] for c in w] for w in words]), strict=True))
+            if m := PLAIN_UNIT.fullmatch(unit):
+                plain.append(unit)
+                heads.append(m[1].encode())
+                tails.append(m[2].encode())
+            else:
+                parts[unit] = self._split(unit)
+        new = set(heads).union(tails, (w for found in parts.values() for w in found if isinstance(w, bytes)))
+        words = list(new.difference(self.words))
+        self.words.update(zip(words, self.merge(words), strict=True))
+        ids = self.words.__getitem__
+        self.known.update(zip(plain, map(add, map(ids, heads), map(ids, tails)), strict=True))
         for unit, found in parts.items():
-            self.known[unit] = np.concatenate([ids[x] if isinstance(x, str) else [x] for x in found]).astype("<u4").tobytes() if found else b""
+            self.known[unit] = b"".join(ids(x) if isinstance(x, bytes) else x.to_bytes(4, "little") for x in found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         units = [[t] if WIDE_SPACE.search(t) else UNIT.findall(t) for t in texts]
-        misses = set().union(*units).difference(self.known)
-        if len(self.known) + len(misses) > CACHE_PIECES:
-            self.known = {}
-            misses = set().union(*units)
+        distinct = set().union(*units)
+        misses = distinct.difference(self.known)
         self.learn(misses)
+        if len(misses) < len(distinct) and not self.known.keys() >= distinct:
+            self.learn(distinct.difference(self.known))  # the cache has been emptied
         out = [b"".join(map(self.known.__getitem__, us)) for us in units]
         for unit in misses:
             if len(unit) > UNIT_CHARS:
@@ -163,5 +187,19 @@ def decode(ids: Column, tokenizer_path: str) -> Column:
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``token_ids`` and ``decoded`` for its ``text``; columns of these names are replaced."""
-    return df.withColumn("token_ids", encode(F.col(text), tokenizer_path)).withColumn("decoded", decode(F.col("token_ids"), tokenizer_path))
+    """``df`` with ``token_ids`` and ``decoded`` for its ``text``; columns of these names are replaced.
+
+    As encode() and decode() after each other, in one pass through one Python worker.
+    """
+
+    @F.pandas_udf("token_ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = byte_bpe(tokenizer_path)
+        for batch in batches:
+            ids = [b for part in slices(batch.fillna("").tolist()) for b in bpe.encode(part)]
+            yield pd.DataFrame({"token_ids": ids, "decoded": [bpe.decode(b) for b in ids]}, dtype="object")
+
+    both = F.col("_round_trip")
+    rest = df.drop("token_ids", "decoded") if text not in ("token_ids", "decoded") else df
+    done = rest.withColumn("_round_trip", run(F.col(text)))
+    return done.withColumn("token_ids", both.token_ids).withColumn("decoded", both.decoded).drop("_round_trip")
