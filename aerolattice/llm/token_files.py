@@ -30,7 +30,7 @@ from .pieces import PieceEncoder
 
 #: Ids and bits of the words with selectors 1 to 14; 0 announces an escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-SEGMENT = 4096
+SEGMENT = 16384
 #: A block closes when it has so many ids; it holds whole documents.
 BLOCK_IDS = 1 << 16
 BLOCK_SCHEMA = "shard long, block long, before long, null_ids int, doc_ids array<bigint>, doc_lens array<bigint>, words binary, offsets array<int>, escapes array<int>"
@@ -42,19 +42,21 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), values, side="right")
-    largest, places = int(bits.max()), np.arange(n)
-    step = np.ones(n, np.int64)
-    kind = np.full(n, len(SELECTORS), np.int8)
+    bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # one too many near powers of two from 2^53 on
+    most = np.append(bits, np.zeros(SELECTORS[0][0], np.uint8))  # of the next `reach` values
+    reach, step, kind = 1, np.ones(n, np.int64), np.full(n, len(SELECTORS), np.int8)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
-        if largest > width:
-            beyond = np.where(bits > width, places, n + count)
-            fits = np.minimum.accumulate(beyond[::-1])[::-1] - places >= count
-        else:
-            fits = np.ones(n, bool)
+        while reach < count:
+            more = min(reach, count - reach)
+            most[:-more] = np.maximum(most[:-more], most[more:])
+            reach += more
+        fits = most[:n] <= width
         step[fits], kind[fits] = count, s + 1
+        if not (most[:n] <= SELECTORS[max(s - 1, 0)][1]).any():
+            break
     kind[bits > 60] = 0
+    step[bits > 60] = 1
     starts, at, jumps = [], 0, step.tolist()
     while at < n:
         starts.append(at)
