@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash, suffix_dedup, token_counts, token_files
+from . import bpe, importance, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -29,6 +29,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    drawn = importance.resample(docs, labels(spark, sf_dir))
+    return drawn.select("doc_id", F.round("log_weight", 4).alias("log_weight"), F.round("resampling_key", 4).alias("resampling_key"), "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -39,6 +49,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = severity.train(docs, labels(spark, sf_dir))
+    return severity.with_severity(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(BYTE_BPE))
     return done.select(
@@ -50,7 +66,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op6_quality_rules, op7_suffix_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
