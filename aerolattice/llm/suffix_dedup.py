@@ -6,7 +6,7 @@ sorted by itself, whatever the size of the corpus:
 1. Every window of LENGTH bytes belongs to the least hash of the GRAM-byte strings in it. Consecutive
    windows with the same least hash make a piece. Equal windows have equal hashes, in any document, so a
    piece can only match pieces of the same hash. Pieces are dealt out by that hash, as numbers alone.
-2. Of pieces that are equal throughout (same hash, same 64-bit name of their bytes), all but those of the
+2. Of pieces that are equal throughout (same hash, same 48-bit name of their bytes), all but those of the
    smallest document are repeats in full. Pieces whose hash is met once are no repeats.
 3. For what remains, hashes that are shared by different pieces, the bytes of one piece of each kind are
    fetched and their suffixes sorted by the difference-cover algorithm (difference_cover.py): sampled
@@ -42,6 +42,8 @@ HOT_PIECES = 4096
 _MIX, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _U = np.uint64
 RUN_BITS = 24
+#: Of a piece's name so many bytes are dealt out; of its hash, the upper four and the bucket.
+NAME_BYTES = 6
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -143,7 +145,7 @@ def _deal(buckets: int):
             counts = np.diff(np.append(np.flatnonzero(new), len(at)))
             empty = bool(whole[at[0]])
             out.append((
-                int(bucket[at[0]]), empty, b"" if empty else _planes(h[at]), b"" if empty else _planes(name[at]),
+                int(bucket[at[0]]), empty, b"" if empty else _planes((h[at] >> _U(32)).astype("<u4")), b"" if empty else _planes(name[at])[: NAME_BYTES * len(at)],
                 _planes(np.diff(ids, prepend=0)), _planes(counts.astype(np.uint32)), _planes(steps), _planes(run[at].astype(np.uint32)),
             ))
         yield pd.DataFrame(out, columns=["bucket", "whole", "hashes", "names", "docs", "counts", "starts", "runs"])
@@ -208,7 +210,8 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
         if b.whole:
             parts.append(pd.DataFrame({"doc_id": doc, "place": _places(start, run), "hash": pd.array([None] * len(doc), dtype="Int64"), "sorted": False}))
         else:
-            parts.append((_unplanes(b.hashes, "<u8"), _unplanes(b.names, "<u8"), doc, start, run))
+            names = _unplanes(b.names + bytes((8 - NAME_BYTES) * len(doc)), "<u8")
+            parts.append((_unplanes(b.hashes, "<u4").astype(np.int64), names, doc, start, run))
     out = [p for p in parts if isinstance(p, pd.DataFrame)]
     dealt = [p for p in parts if not isinstance(p, pd.DataFrame)]
     if dealt:
@@ -222,7 +225,8 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
         whole = doc > doc[lead]
         kinds = np.bincount(np.cumsum(new_hash) - 1, new_name)[np.cumsum(new_hash) - 1]
         several = ~whole & (kinds > 1)
-        hashes = np.where(kinds > HOT_PIECES, 0, (h >> _U(1)).astype(np.int64))  # 0: dealt out by window
+        bucket = int(group["bucket"].iloc[0])
+        hashes = np.where(kinds > HOT_PIECES, 0, (h << 24) + bucket + 1)  # 0: dealt out by window
         for own, sort in ((whole, False), (several, True)):
             out.append(pd.DataFrame({
                 "doc_id": doc[own], "place": _places(start[own], run[own]),
@@ -239,6 +243,8 @@ def _fetch(buckets: int):
         for batch in batches:
             out: list[tuple[int, int, int, int, bytes | None]] = []
             for doc, base, text, places, hashes in zip(batch["doc_id"], batch["base"], batch["text"], batch["places"], batch["hashes"], strict=True):
+                if places is None:
+                    continue
                 raw = text.encode()
                 places, hashes = np.asarray(places, np.int64), np.asarray(hashes, np.int64)
                 starts, runs = (places >> RUN_BITS) - base, places & ((1 << RUN_BITS) - 1)
@@ -359,21 +365,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     others = [c for c in docs.columns if c not in (doc_id, text)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("columns"))
     before = Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
-    named, unnamed = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
-    placed = named.repartition(n, "doc_id").withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
+    placed = rows.repartition(n, "doc_id").withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
     dealt = placed.mapInPandas(_deal(n), DEALT)
     found = dealt.groupBy("bucket").applyInPandas(_match, FOUND)
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", F.coalesce("hash", F.lit(-1)).alias("hash"))).alias("found"))
     to_sort = by_doc.select("doc_id", F.filter("found", lambda x: x.hash >= 0).alias("found")).where(F.size("found") > 0)
     fetched = (
-        placed.join(to_sort, "doc_id")
+        placed.join(to_sort, "doc_id", "left")  # as below, so that one shuffle of the texts serves all three
         .select("doc_id", "base", "text", "columns", F.col("found.place").alias("places"), F.col("found.hash").alias("hashes"))
         .mapInPandas(_fetch(n), FETCHED)
     )
     parts = fetched.groupBy("bucket").applyInPandas(_sort, "doc_id long, place long").groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
     whole = by_doc.select("doc_id", F.transform(F.filter("found", lambda x: x.hash < 0), lambda x: x.place).alias("whole"))
-    none = F.lit(None).cast("array<bigint>")
-    untouched = unnamed.select("*", F.lit(0).cast("long").alias("base"), none.alias("whole"), none.alias("parts"))
-    joined = placed.join(whole, "doc_id", "left").join(parts, "doc_id", "left").unionByName(untouched)
+    joined = placed.join(whole, "doc_id", "left").join(parts, "doc_id", "left")
     out = joined.withColumn("columns", F.to_json("columns")).mapInPandas(_cut_out(["doc_id", "text", "columns"]), f"doc_id long, text string, columns string, {KEPT}")
     return out.withColumn("columns", F.from_json("columns", rows.schema["columns"].dataType))
