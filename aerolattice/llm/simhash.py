@@ -29,13 +29,18 @@ RADIUS = 4
 #: Bits of the six blocks, as (lowest bit, bits).
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 FANOUT = 8
+#: Fingerprints of a sketch, and the Jaccard similarity of shingles, where near copies are to be found.
+SEVERAL, SIMILARITY = 4, 0.8
 #: Members that are searched together: full buckets up to so many.
 HELD = 1 << 16
 _U = np.uint64
 
 
-def fingerprints(texts: list[str], words: int, seed: int) -> np.ndarray:
-    """64-bit SimHash of each text, from XXH64 of its shingles of so many words."""
+def fingerprints(texts: list[str], words: int, seed: int, several: int = 1) -> np.ndarray:
+    """64-bit SimHash of each text, from XXH64 of its shingles of so many words: a column, or ``several``.
+
+    All but the first column take the hashes mixed anew.
+    """
     hashes: list[int] = []
     counts = []
     for text in texts:
@@ -51,13 +56,17 @@ def fingerprints(texts: list[str], words: int, seed: int) -> np.ndarray:
         hashes += [xxh64_intdigest(joined[b:e], seed) for b, e in zip(begins, ends, strict=True)]
         counts.append(len(begins))
     n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), _U)
+    out = np.zeros((len(texts), several), _U)
     full = np.flatnonzero(n)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    first = np.array(hashes, "<u8")
+    for k in range(several if len(full) else 0):
+        h = first if k == 0 else (first ^ _U(k * 0x9E3779B97F4A7C15 % (1 << 64))) * _U(0xD6E8FEB86659FD93)
+        h = h if k == 0 else (h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)
+        h = h if k == 0 else h ^ (h >> _U(29))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = n[full]
         ones = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+        out[full, k] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
@@ -71,12 +80,24 @@ def fingerprint(text: Column, words: int = 4, seed: int = 42) -> Column:
     @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            parts = [fingerprints(p, words, seed) for p in slices(batch.fillna("").tolist())]
+            parts = [fingerprints(p, words, seed)[:, 0] for p in slices(batch.fillna("").tolist())]
             yield pd.Series(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
     return run(text)
 
 
+def sketch(text: Column, words: int, seed: int, several: int) -> Column:
+    """``several`` independent fingerprints of ``text``, the first as fingerprint() gives it, in an array."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            parts = [fingerprints(p, words, seed, several).view(np.int64) for p in slices(batch.fillna("").tolist())]
+            yield pd.Series([row for p in parts for row in p], dtype="object")
+
+    return run(text)
+
+
 def gray_rank(value: Column) -> Column:
     """The place of ``value`` in the Gray order of 64-bit numbers: each bit is the parity of those above."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -87,9 +108,11 @@ def gray_rank(value: Column) -> Column:
 class GrayIndex:
     """The members of some buckets, sorted by bucket and Gray rank, with their nodes and groups."""
 
-    def __init__(self, members: np.ndarray, buckets: np.ndarray, radius: int):
-        """``buckets`` numbers each member's bucket, ascending."""
-        self.members, self.radius = members, radius
+    def __init__(self, members: np.ndarray, buckets: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0):
+        """``buckets`` numbers each member's bucket, ascending. With ``sketches``, a row of fingerprints for
+        each member, a pair must also differ in at most ``most`` bits of these.
+        """
+        self.members, self.radius, self.sketches, self.most = members, radius, sketches, most
         self.label = np.arange(len(members))
         first = np.flatnonzero(np.diff(buckets, prepend=-1))
         place = np.arange(len(members)) - first[np.cumsum(np.diff(buckets, prepend=-1) != 0) - 1]
@@ -140,7 +163,7 @@ class GrayIndex:
             stays = (far <= self.radius) & (end[node] - 1 > query) & ~(alike[node] & (low[node] == self.label[query]))
             query, node, far = query[stays], node[stays], far[stays]
             whole = far + 64 - np.bitwise_count(self.masks[level][node]) <= self.radius
-            if whole.any():
+            if self.sketches is None and whole.any():
                 taken, which = np.unique(node[whole], return_index=True)
                 links.append(np.stack([query[whole], begin[node[whole]]]))
                 for k, _ in zip(taken.tolist(), which, strict=True):
@@ -153,6 +176,9 @@ class GrayIndex:
                 free = ~self.masks[0][self.parent[0][node]]
                 far = far + np.bitwise_count((self.members[query] ^ self.members[node]) & free)
                 near = (far <= self.radius) & (node > query)
+                if self.sketches is not None:
+                    query, node = query[near], node[near]
+                    near = np.bitwise_count(self.sketches[query] ^ self.sketches[node]).sum(axis=1) <= self.most
                 links.append(np.stack([query[near], node[near]]))
         found = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
         return found[0], found[1]
@@ -181,20 +207,22 @@ class GrayIndex:
         return self.label
 
 
-def _link(radius: int):
+def _link(radius: int, most: int):
     """Links of the members of each bucket to the first of their group; rows come sorted by bucket and Gray rank."""
 
     def of(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
         bucket = rows.groupby(["part", "bits"], sort=False).ngroup().to_numpy()
         alone = (np.diff(bucket, prepend=-1) != 0) & (np.diff(bucket, append=-1) != 0)
-        members, bucket = rows["fp"].to_numpy(np.int64)[~alone].view(_U), bucket[~alone]
-        if not len(members):
+        rows, bucket = rows[~alone], bucket[~alone]
+        if not len(rows):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        label = GrayIndex(members, bucket, radius).groups()
-        least = np.full(len(members), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, members.view(np.int64))
-        u, v = members.view(np.int64), least[label]
+        sketches = np.stack(rows["sketch"].tolist()).view(_U) if "sketch" in rows else None
+        label = GrayIndex(rows["fp"].to_numpy(np.int64).view(_U), bucket, radius, sketches, most).groups()
+        u = rows["id"].to_numpy(np.int64)
+        least = np.full(len(u), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, u)
+        v = least[label]
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,16 +249,23 @@ def _link(radius: int):
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between the distinct values of ``prints.fp``; their components are those of all near pairs."""
-    n = shuffle_partitions(prints.sparkSession)
-    value = F.col("fp")
+    return _links(prints.select(F.col("fp").alias("id"), F.array("fp").alias("sketch")).distinct(), 1, radius, 0)
+
+
+def _links(prints: DataFrame, several: int, radius: int, most: int) -> DataFrame:
+    """Links between the ids of ``prints`` (id, sketch), found by any of the sketch's fingerprints."""
     keys = []
-    for k, pair in enumerate(combinations(BLOCKS, 2)):
-        (a, a_bits), (b, b_bits) = pair
-        bits = [F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in pair]
-        keys.append(F.struct(F.lit(k).alias("part"), (F.shiftleft(bits[0], b_bits) + bits[1]).alias("bits")))
-    dealt = prints.select("fp").distinct().select("fp", F.inline(F.array(*keys)))
-    ordered = dealt.repartition(n, "part", "bits").withColumn("rank", gray_rank(value)).sortWithinPartitions("part", "bits", "rank")
-    return ordered.mapInPandas(_link(radius), "u long, v long").distinct()
+    for k in range(several):
+        value = F.col("sketch")[k]
+        for part, pair in enumerate(combinations(BLOCKS, 2)):
+            high, low = (F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in pair)
+            bits = (F.shiftleft(high, pair[1][1]) + low).alias("bits")
+            keys.append(F.struct(F.lit(k * 15 + part).alias("part"), bits, value.alias("fp")))
+    carried = ["id", "sketch"] if several > 1 else ["id"]
+    dealt = prints.select(*carried, F.inline(F.array(*keys)))
+    n = shuffle_partitions(prints.sparkSession)
+    ordered = dealt.repartition(n, "part", "bits").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
+    return ordered.mapInPandas(_link(radius, most), "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,3 +285,25 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, seed:
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(of_root, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, several: int = SEVERAL, similarity: float = SIMILARITY, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that of the smallest doc_id, then of the least text hash.
+
+    Two rows link if one of ``several`` fingerprints differs in at most ``radius`` bits and all of them
+    together in no more than shingles of the given Jaccard ``similarity`` differ by, with two standard
+    errors to spare. Texts without words are near each other alone, null and empty ones too. Rows of null
+    doc_id come last in their group; of equal rows one stays. Other columns pass through.
+    """
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(64 * several * angle + 2 * np.sqrt(64 * several * angle * (1 - angle)))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    prints = written(hashed.select(F.col(doc_id).cast("long").alias("doc_id"), "_hash", sketch(F.col(text), words, seed, several).alias("sketch")), "sketches")
+    prints = prints.withColumn("id", F.xxhash64("sketch"))
+    root = components(_links(prints.select("id", "sketch").distinct(), several, radius, most)).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
+    of_print = prints.groupBy("id").agg(F.min(order).alias("first"))
+    of_group = of_print.join(root, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    kept = of_group.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
+    own = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    return own.dropDuplicates([doc_id, "_hash"]).drop("_hash")
