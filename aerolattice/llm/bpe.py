@@ -109,8 +109,6 @@ class ByteBpe:
 
     def learn(self, units: set[str]) -> None:
         """Puts the ids of ``units`` into ``known``; a unit of letters and punctuation has two words."""
-        if len(self.known) + len(units) > CACHE_UNITS:
-            self.known = {}
         if len(self.words) > CACHE_UNITS:
             self.words = {b"": b""}
         plain, heads, tails = [], [], []
@@ -135,9 +133,9 @@ class ByteBpe:
         units = [[t] if WIDE_SPACE.search(t) else UNIT.findall(t) for t in texts]
         distinct = set().union(*units)
         misses = distinct.difference(self.known)
+        if len(self.known) + len(misses) > CACHE_UNITS:
+            self.known, misses = {}, distinct
         self.learn(misses)
-        if len(misses) < len(distinct) and not self.known.keys() >= distinct:
-            self.learn(distinct.difference(self.known))  # the cache has been emptied
         out = [b"".join(map(self.known.__getitem__, us)) for us in units]
         for unit in misses:
             if len(unit) > UNIT_CHARS:

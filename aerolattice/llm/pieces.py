@@ -68,8 +68,6 @@ class PieceEncoder:
                 self.parts.update(zip(some, map(coded.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) - len(self.table) + len(pieces) > CACHE_PIECES:
-            self.known = dict(self.table)
         if len(self.parts) > CACHE_PIECES:
             self.parts = {"": self.parts[""]}
         plain, words, tails, odd = [], [], [], []
@@ -92,9 +90,10 @@ class PieceEncoder:
         pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         distinct = set().union(*pieces)
         misses = distinct.difference(self.known)
+        if len(self.known) - len(self.table) + len(misses) > CACHE_PIECES:
+            self.known = dict(self.table)
+            misses = distinct.difference(self.known)
         self.learn(misses)
-        if len(misses) < len(distinct) and not self.known.keys() >= distinct:
-            self.learn(distinct.difference(self.known))  # the cache has been emptied
         join = sum if self.counts else b"".join
         out = [join(map(self.known.__getitem__, ps)) for ps in pieces]
         for p in misses:
