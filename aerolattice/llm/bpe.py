@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .pieces import tokenizer
+from .pieces import byte_symbols, tokenizer
 
 #: A unit: ASCII white space and the text up to the next one.
 UNIT = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
@@ -34,13 +34,6 @@ CACHE_UNITS, UNIT_CHARS = 250_000, 128
 NO_RANK = np.iinfo(np.int64).max
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself where printable, else the next from 256."""
-    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class ByteBpe:
     """The tokenizer of a byte-level BPE file, with its own merges and decoder."""
 

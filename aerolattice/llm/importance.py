@@ -5,7 +5,7 @@ labelled good documents, the raw one over all documents. A text's weight is the
 n-grams times EFFECTIVE, a length that is the same for all, as the plain sum would rank by length. Gumbel
 noise that depends on the row alone is added, and the k largest keys are drawn: a sample without
 replacement in proportion to the weights. k is the number of documents whose weight reaches the level
-that all but SLACK of the labelled good documents reach.
+that all but SLACK of the labelled good documents reach which the target model hasn't seen: one in four.
 """
 
 from __future__ import annotations
@@ -124,9 +124,10 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("log_weight", "resampling_key", "kept")]
     good_ids = labels.where("quality = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    good_ids = F.broadcast(good_ids.orderBy(F.xxhash64("_good_id", F.lit(seed)), "_good_id").limit(max_labelled))  # bounded
+    good_ids = good_ids.orderBy(F.xxhash64("_good_id", F.lit(seed)), "_good_id").limit(max_labelled)  # bounded
+    good_ids = F.broadcast(good_ids.withColumn("_held_out", F.pmod(F.xxhash64("_good_id", F.lit(seed + 1)), F.lit(4)) == 0))
     plain = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = plain.join(good_ids, F.col("_id") == F.col("_good_id"), "left").select("text", F.col("_good_id").isNotNull().alias("good"))
+    marked = plain.join(good_ids, F.col("_id") == F.col("_good_id"), "left").select("text", F.coalesce(~F.col("_held_out"), F.lit(False)).alias("good"))
     counted = marked.mapInPandas(_count, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     target, raw = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     for b, t, r in counted.collect():  # 2 * BUCKETS rows at most
@@ -143,7 +144,8 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     drawn = docs.select(*own, log_weight(F.col(text)).alias("log_weight"))
     keyed = written(drawn.withColumn("resampling_key", F.col("log_weight") - F.log(-F.log(uniform))), "resampled")
     keys = keyed.select(F.col("resampling_key").alias("key"))
-    levels = keyed.join(good_ids, F.col(key) == F.col("_good_id")).agg(F.percentile("log_weight", SLACK)).first()
-    level = float("-inf") if levels[0] is None else levels[0]
+    good = keyed.join(good_ids, F.col(key) == F.col("_good_id"))
+    held_out, any_good = good.agg(F.percentile(F.when(F.col("_held_out"), F.col("log_weight")), SLACK), F.percentile("log_weight", SLACK)).first()
+    level = held_out if held_out is not None else any_good if any_good is not None else float("-inf")
     k = keyed.where(F.col("log_weight") >= level).count()
     return keyed.withColumn("kept", F.col("resampling_key") >= threshold(keys, k))

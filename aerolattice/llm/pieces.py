@@ -12,15 +12,21 @@ from tokenizers import Tokenizer
 
 WORD_END = "</w>"
 #: Pieces and words that a worker keeps before it starts anew, and the longest piece worth keeping.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 CACHE_BYTES = 128
 #: A run of Latin letters and the ASCII punctuation after it: two pre-tokens, or one if nothing follows.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
-JOINED = 2000
 
 _loaded: dict[str, Tokenizer] = {}
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself where printable, else the next from 256."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer at ``path``, without truncation and padding; loaded once for each process."""
     if path not in _loaded:
@@ -36,17 +42,14 @@ class PieceEncoder:
     """Ids, or their number, of pieces under a tokenizer that drops white space and marks word ends.
 
     No token reaches across white space, nor from a letter to the punctuation after it. So a piece of
-    letters and punctuation is encoded as its two parts, which many pieces share, and unknown parts are
-    given to the library many at a time, as one text: each gives ids up to one that ends a word. All
-    other pieces are given to the library as they stand.
+    letters and punctuation is encoded as its two parts, which many pieces share; each of these is one
+    pre-token, so the library's model is given it as it stands, in the byte alphabet. All other pieces go
+    through the whole of the library.
     """
 
     def __init__(self, path: str, counts: bool, table: dict[bytes, Any] | None = None):
         self.tok, self.counts, self.table = tokenizer(path), counts, table or {}
-        size = self.tok.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, k in self.tok.get_vocab().items():
-            self.ends[k] = token.endswith(WORD_END)
+        self.spelling = byte_symbols()
         self.known = dict(self.table)
         self.parts: dict[str, Any] = {"": self._value([])}
 
@@ -54,18 +57,11 @@ class PieceEncoder:
         return len(ids) if self.counts else np.array(ids, "<u4").tobytes()
 
     def _words(self, words: list[str]) -> None:
-        for k in range(0, len(words), JOINED):
-            some = words[k : k + JOINED]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                found = self.tok.encode_batch_fast(some, add_special_tokens=False)
-                self.parts.update((w, self._value(e.ids)) for w, e in zip(some, found, strict=True))
-            elif self.counts:
-                self.parts.update(zip(some, np.diff(cuts, prepend=0).tolist(), strict=True))
-            else:
-                coded, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.parts.update(zip(some, map(coded.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        """Puts words of one pre-token each, already lower-cased, into ``parts``: the library's model alone is asked."""
+        split, spell = self.tok.model.tokenize, self.spelling
+        for word in words:
+            found = split(word if word.isascii() else "".join(map(spell.__getitem__, word.encode())))
+            self.parts[word] = len(found) if self.counts else b"".join([x.id.to_bytes(4, "little") for x in found])
 
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.parts) > CACHE_PIECES:

@@ -44,7 +44,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     bits = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # one too many near powers of two from 2^53 on
     most = np.append(bits, np.zeros(SELECTORS[0][0], np.uint8))  # of the next `reach` values
-    reach, step, kind = 1, np.ones(n, np.int64), np.full(n, len(SELECTORS), np.int8)
+    reach, step, kind = 1, np.ones(n, np.uint8), np.full(n, len(SELECTORS), np.int8)
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
         while reach < count:
@@ -57,7 +57,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
     kind[bits > 60] = 0
     step[bits > 60] = 1
-    starts, at, jumps = [], 0, step.tolist()
+    starts, at, jumps = [], 0, step.tobytes()
     while at < n:
         starts.append(at)
         at += jumps[at]

@@ -61,7 +61,7 @@ def test_resampling(spark, docs, none, prose):
 
 
 def test_resampling_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     labels, all_docs = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet")
     got = importance.resample(all_docs, labels.where("doc_id % 2 = 0"))
     held = labels.where("doc_id % 2 = 1").join(got, "doc_id")
@@ -79,7 +79,7 @@ def test_threshold(spark):
 
 
 def test_severity_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     labels, all_docs = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet")
     model = severity.train(all_docs, labels.where("doc_id % 2 = 0"))
     assert list(model.bounds) == sorted(model.bounds)
