@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def chained_poses(df: DataFrame) -> DataFrame:
@@ -95,6 +96,32 @@ def perturbed(df: DataFrame, channels: dict[str, float], seed: int = 42, slow: f
     return df.select("seq", "ord", *names).groupBy("seq").applyInPandas(disturb, "seq long, ord long, " + ", ".join(f"{c} double" for c in names))
 
 
+#: A sudden jitter over four frames, as shares of its strength.
+JITTER = (0.6, -0.35, 0.15, -0.05)
+
+
+def jittered(df: DataFrame, channel: str, strength: float, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """``df`` (seq, ord, channel) with one damped spike in about ``share`` of the sequences.
+
+    Whether and where follows from a hash of the sequence, so no state is drawn in order.
+    """
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(10_000)) < share * 10_000
+    n = df.groupBy("seq").agg(F.count("*").alias("_n")).where(chosen)
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "seq"), F.greatest(F.col("_n") - len(JITTER), F.lit(1)))
+    spikes = n.select("seq", start.alias("_start")).select("seq", F.posexplode(F.array(*[F.lit(strength * s) for s in JITTER])).alias("_k", "_add"), "_start")
+    spikes = spikes.select("seq", (F.col("_start") + F.col("_k")).alias("ord"), "_add")
+    return df.join(spikes, ["seq", "ord"], "left").withColumn(channel, F.col(channel) + F.coalesce("_add", F.lit(0.0))).drop("_add")
+
+
+def gusts(df: DataFrame, channel: str, strength: float, frames: int = 120, share: float = 0.4, seed: int = 42) -> DataFrame:
+    """``df`` (seq, ord, channel) with a gust in about ``share`` of the blocks of ``frames`` frames, swelling and fading as a Hann window."""
+    block = F.floor(F.col("ord") / frames)
+    blows = F.pmod(F.xxhash64(F.lit(seed), "seq", block), F.lit(10_000)) < share * 10_000
+    sign = F.when(F.pmod(F.xxhash64(F.lit(seed + 1), "seq", block), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    envelope = 0.5 - 0.5 * F.cos(2 * np.pi * F.pmod(F.col("ord"), F.lit(frames)) / frames)
+    return df.withColumn(channel, F.col(channel) + F.when(blows, sign * strength * envelope).otherwise(0.0))
+
+
 def located(df: DataFrame, iterations: int = 200, threshold: float = 4.0, least: int = 30, seed: int = 42) -> DataFrame:
     """Camera poses from correspondences (frame, u, v, X, Y, Z) in normalised image coordinates times 1000.
 
