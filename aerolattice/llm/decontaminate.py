@@ -30,6 +30,8 @@ K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 #: Bytes of items that one index holds; more items are dealt out to several indexes, each broadcast in turn.
 MAX_INDEX_BYTES = 16_000_000
+#: Cells up to which a table of scores is kept in full.
+FULL_CELLS = 2_000_000
 FOUND = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 
 
@@ -50,6 +52,34 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text, "") if len(lines) < 2 else ("\n".join(lines[:-1]), lines[-1])
 
 
+class ScoreTable:
+    """Scores by term and place (an item or a block): in full where it has few cells, else sorted keys to search."""
+
+    def __init__(self, scores: dict[tuple[int, int], float], width: int, terms: int):
+        self.width = width
+        keys = np.array([k * width + at for k, at in scores], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], np.array(list(scores.values()))[order]
+        self.full = None
+        if terms * width <= FULL_CELLS:
+            self.full = np.zeros(terms * width)
+            self.full[self.keys] = self.scores
+
+    def of(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        wanted = term * self.width + place
+        if self.full is not None:
+            return self.full[wanted]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.scores[at], 0.0)
+
+    def places(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places that have each of ``term``, and for each the place of its term in ``term``."""
+        low, high = np.searchsorted(self.keys, term * self.width), np.searchsorted(self.keys, (term + 1) * self.width)
+        n = high - low
+        number = np.repeat(np.arange(len(term)), n)
+        return self.keys[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[number]] % self.width, number
+
+
 class ItemIndex:
     """BM25 postings of some items, by term and by block, with the items' shingles for verification."""
 
@@ -87,24 +117,12 @@ class ItemIndex:
             at = (k, item // BLOCK_ITEMS)
             maxima[at] = max(maxima.get(at, 0.0), s)
         self.items = n
-        self.posting_keys, self.posting_scores = self._table(postings, n)
-        self.block_keys, self.block_scores = self._table(maxima, self.blocks)
+        self.postings = ScoreTable(postings, n, len(names))
+        self.maxima = ScoreTable(maxima, self.blocks, len(names))
         self.bounds = np.zeros(len(names))
         for (k, _), s in maxima.items():
             self.bounds[k] = max(self.bounds[k], s)
 
-    @staticmethod
-    def _table(scores: dict[tuple[int, int], float], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys term * width + place in order, and their scores."""
-        keys = np.array([k * width + at for k, at in scores], np.int64)
-        order = np.argsort(keys)
-        return keys[order], np.array(list(scores.values()))[order]
-
-    @staticmethod
-    def _look_up(keys: np.ndarray, scores: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, scores[at], 0.0)
-
     def search(self, terms: list[np.ndarray], step: int) -> list[tuple[int, int, int, float]]:
         """(text, first word, item, score) of all windows of 2 * step words and items with score >= 1.
 
@@ -137,18 +155,18 @@ class ItemIndex:
         sums = np.cumsum(bound)
         within = sums - np.repeat(sums[begin] - bound[begin], counts)
         essential = within >= 1 - 1e-9
-        candidate = self._expand(self.block_keys, self.blocks, window[essential], term[essential])
-        candidate = np.unique(candidate)
+        block, number = self.maxima.places(term[essential])
+        candidate = np.unique(window[essential][number] * self.blocks + block)
         rows = np.searchsorted(window[begin], candidate // self.blocks)
         at, number = self._all_terms(begin, counts, rows)
-        score = self._look_up(self.block_keys, self.block_scores, term[at] * self.blocks + (candidate % self.blocks)[number])
+        score = self.maxima.of(term[at], (candidate % self.blocks)[number])
         alive = np.bincount(number, weights=score, minlength=len(candidate)) >= 1 - 1e-9
         candidate, rows = candidate[alive], rows[alive]
         items = (candidate % self.blocks)[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)
         real = (items < self.items).reshape(-1)
         items, rows = items.reshape(-1)[real], np.repeat(rows, BLOCK_ITEMS)[real]
         at, number = self._all_terms(begin, counts, rows)
-        score = self._look_up(self.posting_keys, self.posting_scores, term[at] * self.items + items[number])
+        score = self.postings.of(term[at], items[number])
         score = np.bincount(number, weights=score, minlength=len(items))
         hit = score >= 1 - 1e-9
         chunk = window[begin][rows[hit]]
@@ -162,15 +180,6 @@ class ItemIndex:
         number = np.repeat(np.arange(len(rows)), n)
         return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[rows][number], number
 
-    @staticmethod
-    def _expand(keys: np.ndarray, width: int, window: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """window * width + block for each block that has ``term``."""
-        low, high = np.searchsorted(keys, term * width), np.searchsorted(keys, (term + 1) * width)
-        n = high - low
-        number = np.repeat(np.arange(len(term)), n)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[number]
-        return window[number] * width + keys[at] % width
-
     def matches(self, texts: list[str]) -> list[list[dict]]:
         """Of each text the items that it holds, each with its best score, verified by shingles."""
         out: list[dict[int, dict]] = [{} for _ in texts]
@@ -215,7 +224,7 @@ def leaks(text: Column, index: ItemIndex, spark) -> Column:
         for batch in batches:
             yield pd.Series([m for part in slices(batch.fillna("").tolist()) for m in shared.value.matches(part)], dtype="object")
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else the optimizer asks it twice, for a filter and for the rows
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
