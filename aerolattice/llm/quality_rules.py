@@ -126,11 +126,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     of_lang = rows.groupBy("lang").agg(F.count("*").alias("n"), *sums)
     of_all = of_lang.agg(F.sum("n").alias("n"), *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c, n in sizes.items() for k in range(n)])
     arrays = [F.array(*[F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in range(n)]).alias(f"ref_{c}") for c, n in sizes.items()]
-    total = of_all.select(F.col("n").alias("all_n"), *[a.alias(f"all_{c}") for c, a in zip(sizes, arrays, strict=True)])
-    large = of_lang.join(F.broadcast(of_all.select(F.col("n").alias("all_n"))), F.col("n") >= MIN_SHARE * F.col("all_n")).select("lang", *arrays)
-
-    judged = rows.join(F.broadcast(large), "lang", "left").join(F.broadcast(total), F.lit(True), "left")
-    judged = reduce(lambda d, c: d.withColumn(f"ref_{c}", F.coalesce(f"ref_{c}", f"all_{c}")), sizes, judged)
+    total = of_all.first()
+    everything = {c: F.array(*[F.lit(total[f"{c}{k}"] or 0) for k in range(n)]) for c, n in sizes.items()}
+    large = of_lang.where(F.col("n") >= MIN_SHARE * (total["n"] or 0)).select("lang", *arrays)
+    judged = rows.join(F.broadcast(large), "lang", "left")
+    judged = reduce(lambda d, c: d.withColumn(f"ref_{c}", F.coalesce(f"ref_{c}", everything[c])), sizes, judged)
     judged = judged.withColumn("class_distance", jensen_shannon(_shares("classes"), _shares("ref_classes")))
     judged = judged.withColumn("word_distance", jensen_shannon(_shares("common"), _shares("ref_common")))
     chars = F.aggregate("classes", F.lit(0), lambda a, n: a + n)
