@@ -141,11 +141,11 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = docs.select(*own, log_weight(F.col(text)).alias("log_weight"))
-    keyed = written(drawn.withColumn("resampling_key", F.col("log_weight") - F.log(-F.log(uniform))), "resampled")
-    keys = keyed.select(F.col("resampling_key").alias("key"))
-    good = keyed.join(good_ids, F.col(key) == F.col("_good_id"))
+    noise = -F.log(-F.log(uniform))
+    drawn = docs.select(*own, log_weight(F.col(text)).alias("log_weight")).withColumn("resampling_key", F.col("log_weight") + noise)
+    keyed = written(drawn.select(F.col(key).alias("_id"), "log_weight", F.col("resampling_key").alias("key")), "resampling-keys")  # no texts
+    good = keyed.join(good_ids, F.col("_id") == F.col("_good_id"))
     held_out, any_good = good.agg(F.percentile(F.when(F.col("_held_out"), F.col("log_weight")), SLACK), F.percentile("log_weight", SLACK)).first()
     level = held_out if held_out is not None else any_good if any_good is not None else float("-inf")
     k = keyed.where(F.col("log_weight") >= level).count()
-    return keyed.withColumn("kept", F.col("resampling_key") >= threshold(keys, k))
+    return drawn.withColumn("kept", F.col("resampling_key") >= threshold(keyed.select("key"), k))

@@ -260,11 +260,12 @@ def _links(prints: DataFrame, several: int, radius: int, most: int) -> DataFrame
         for part, pair in enumerate(combinations(BLOCKS, 2)):
             high, low = (F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in pair)
             bits = (F.shiftleft(high, pair[1][1]) + low).alias("bits")
-            keys.append(F.struct(F.lit(k * 15 + part).alias("part"), bits, value.alias("fp")))
+            keys.append(F.struct(F.lit(k * 15 + part).alias("part"), bits))
     carried = ["id", "sketch"] if several > 1 else ["id"]
     dealt = prints.select(*carried, F.inline(F.array(*keys)))
     n = shuffle_partitions(prints.sparkSession)
-    ordered = dealt.repartition(n, "part", "bits").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
+    own = F.get("sketch", F.floor(F.col("part") / 15).cast("int")) if several > 1 else F.col("id")  # the fingerprint that the bits are of
+    ordered = dealt.repartition(n, "part", "bits").withColumn("fp", own).withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
     return ordered.mapInPandas(_link(radius, most), "u long, v long").distinct()
 
 
@@ -302,8 +303,11 @@ def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, sever
     prints = prints.withColumn("id", F.xxhash64("sketch"))
     root = components(_links(prints.select("id", "sketch").distinct(), several, radius, most)).select(F.col("u").alias("id"), F.col("v").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
-    of_print = prints.groupBy("id").agg(F.min(order).alias("first"))
-    of_group = of_print.join(root, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
-    kept = of_group.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"))
-    own = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    return own.dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    counted = prints.groupBy("id", "doc_id", "_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("first")
+    of_group = counted.join(root, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(first)
+    kept = written(of_group.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._hash").alias("_kept_hash"), F.col("first.n").alias("_n")), "kept")
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
+    single = hashed.join(kept.where("_n = 1"), same, "left_semi")
+    repeated = hashed.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates([doc_id, "_hash"])
+    return single.unionByName(repeated).drop("_hash")
