@@ -8,6 +8,10 @@ a query adds up its differences on the way down, drops a node when they exceed t
 whole node when even its free bits can't. Nodes whose members are already in the query's group
 are passed over, so that a bucket full of near copies takes no quadratic time and gives one link for
 each member instead of all pairs.
+
+Near copies by Jaccard similarity are found by several fingerprints: a pair at 0.8 shares a whole block of
+16 bits in one of 40 tables 95 times of 100. There the index searches a wide radius, and a pair that is found
+counts only if the shingles of both texts are as similar.
 """
 
 from __future__ import annotations
@@ -30,31 +34,43 @@ RADIUS = 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 FANOUT = 8
 #: Fingerprints of a sketch, and the Jaccard similarity of shingles, where near copies are to be found.
-SEVERAL, SIMILARITY = 4, 0.8
+SEVERAL, SIMILARITY = 10, 0.8
+#: Blocks of bits of which a sketch's fingerprints share one, and the bits that they differ in at most.
+QUARTERS, REACH = ((0, 16), (16, 16), (32, 16), (48, 16)), 14
+#: Rounds that test one link of each group, before all that are left are tested.
+HOOKS = 3
+#: Pairs of a query and a node that are looked at together, about.
+FRONTIER = 1 << 21
 #: Members that are searched together: full buckets up to so many.
 HELD = 1 << 16
 _U = np.uint64
 
 
-def fingerprints(texts: list[str], words: int, seed: int, several: int = 1) -> np.ndarray:
+def shingles(text: str, words: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of so many words, repeats too; fewer words are one shingle."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return []
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found])
+    begins, ends = np.append(0, ends[:-1]), ends - 1
+    k = min(words, len(found))
+    begins, ends = begins[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
+    return [xxh64_intdigest(joined[b:e], seed) for b, e in zip(begins, ends, strict=True)]
+
+
+def fingerprints(texts: list[str], words: int, seed: int, several: int = 1, distinct: bool = False) -> np.ndarray:
     """64-bit SimHash of each text, from XXH64 of its shingles of so many words: a column, or ``several``.
 
-    All but the first column take the hashes mixed anew.
+    All but the first column take the hashes mixed anew. ``distinct`` counts each shingle of a text once.
     """
     hashes: list[int] = []
     counts = []
     for text in texts:
-        found = text.encode("utf-8", "surrogatepass").lower().split()
-        if not found:
-            counts.append(0)
-            continue
-        joined = b" ".join(found)
-        ends = np.cumsum([len(w) + 1 for w in found])
-        begins, ends = np.append(0, ends[:-1]), ends - 1
-        k = min(words, len(found))
-        begins, ends = begins[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist()
-        hashes += [xxh64_intdigest(joined[b:e], seed) for b, e in zip(begins, ends, strict=True)]
-        counts.append(len(begins))
+        found = shingles(text, words, seed)
+        found = list(set(found)) if distinct else found
+        hashes += found
+        counts.append(len(found))
     n = np.array(counts, np.int64)
     out = np.zeros((len(texts), several), _U)
     full = np.flatnonzero(n)
@@ -87,17 +103,28 @@ def fingerprint(text: Column, words: int = 4, seed: int = 42) -> Column:
 
 
 def sketch(text: Column, words: int, seed: int, several: int) -> Column:
-    """``several`` independent fingerprints of ``text``, the first as fingerprint() gives it, in an array."""
+    """``several`` independent fingerprints of the set of shingles of ``text``, in an array."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            parts = [fingerprints(p, words, seed, several).view(np.int64) for p in slices(batch.fillna("").tolist())]
+            parts = [fingerprints(p, words, seed, several, distinct=True).view(np.int64) for p in slices(batch.fillna("").tolist())]
             yield pd.Series([row for p in parts for row in p], dtype="object")
 
     return run(text)
 
 
+def shingle_set(text: Column, words: int, seed: int) -> Column:
+    """The hashes of the distinct shingles of ``text``, in an array."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.array(list(set(shingles(t, words, seed))), _U).view(np.int64) for t in batch.fillna("")], dtype="object")
+
+    return run(text)
+
+
 def gray_rank(value: Column) -> Column:
     """The place of ``value`` in the Gray order of 64-bit numbers: each bit is the parity of those above."""
     for shift in (1, 2, 4, 8, 16, 32):
@@ -183,15 +210,19 @@ class GrayIndex:
         found = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
         return found[0], found[1]
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Merges the groups of linked members; a group's label is its first member."""
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merges the groups of linked members; a group's label is its first member. Gives the links that merged two."""
+        used = [np.zeros((2, 0), np.int64)]
         while True:
             low, high = np.minimum(self.label[a], self.label[b]), np.maximum(self.label[a], self.label[b])
             apart = low != high
             if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.label, high[apart], low[apart])
+                return np.concatenate(used, axis=1)
+            a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+            order = np.lexsort((low, high))
+            hooks = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+            used.append(np.stack([a[hooks], b[hooks]]))
+            self.label[high[hooks]] = low[hooks]
             while True:
                 further = self.label[self.label]
                 if (further == self.label).all():
@@ -207,8 +238,32 @@ class GrayIndex:
         return self.label
 
 
-def _link(radius: int, most: int):
-    """Links of the members of each bucket to the first of their group; rows come sorted by bucket and Gray rank."""
+    def pairs(self, sure: int) -> np.ndarray:
+        """Members a and b of the near pairs, and whether their sketches differ in at most ``sure`` bits.
+
+        Sure pairs join groups, and only those that merge two are given; of the others, all that join two groups.
+        """
+        largest = int(np.bincount(self.root).max())
+        most = max(1, min(4096, FRONTIER // largest))
+        at, block = 0, min(64, most)
+        joined, loose = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        while at < len(self.members):
+            a, b = self.search(np.arange(at, min(at + block, len(self.members))))
+            near = np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1) <= sure
+            joined.append(self.join(a[near], b[near]))
+            apart = ~near & (self.label[a] != self.label[b])
+            loose.append(np.stack([a[apart], b[apart]]))
+            at, block = at + block, min(block * 2, most)
+        first, rest = np.concatenate(joined, axis=1), np.concatenate(loose, axis=1)
+        rest = rest[:, self.label[rest[0]] != self.label[rest[1]]]
+        return np.concatenate([np.vstack([first, np.ones_like(first[:1])]), np.vstack([rest, np.zeros_like(rest[:1])])], axis=1)
+
+
+def _link(radius: int, most: int, sure: int | None = None):
+    """Links of the members of each bucket to the first of their group; rows come sorted by bucket and Gray rank.
+
+    With ``sure``, the pairs that GrayIndex.pairs() gives instead.
+    """
 
     def of(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
@@ -216,10 +271,15 @@ def _link(radius: int, most: int):
         alone = (np.diff(bucket, prepend=-1) != 0) & (np.diff(bucket, append=-1) != 0)
         rows, bucket = rows[~alone], bucket[~alone]
         if not len(rows):
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+            return pd.DataFrame({"u": [], "v": []} | ({} if sure is None else {"sure": []})).astype("int64")
         sketches = np.stack(rows["sketch"].tolist()).view(_U) if "sketch" in rows else None
-        label = GrayIndex(rows["fp"].to_numpy(np.int64).view(_U), bucket, radius, sketches, most).groups()
+        bucket = np.cumsum(np.diff(bucket, prepend=-1) != 0) - 1
+        index = GrayIndex(rows["fp"].to_numpy(np.int64).view(_U), bucket, radius, sketches, most)
         u = rows["id"].to_numpy(np.int64)
+        if sure is not None:
+            a, b, near = index.pairs(sure)
+            return pd.DataFrame({"u": np.maximum(u[a], u[b]), "v": np.minimum(u[a], u[b]), "sure": near})
+        label = index.groups()
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, label, u)
         v = least[label]
@@ -249,24 +309,63 @@ def _link(radius: int, most: int):
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between the distinct values of ``prints.fp``; their components are those of all near pairs."""
-    return _links(prints.select(F.col("fp").alias("id"), F.array("fp").alias("sketch")).distinct(), 1, radius, 0)
+    keyed = prints.select(F.col("fp").alias("id")).distinct().select("id", F.inline(F.array(*_keys(F.col("id"), list(combinations(BLOCKS, 2))))))
+    return _sorted(keyed, F.col("id")).mapInPandas(_link(radius, 0), "u long, v long").distinct()
 
 
-def _links(prints: DataFrame, several: int, radius: int, most: int) -> DataFrame:
-    """Links between the ids of ``prints`` (id, sketch), found by any of the sketch's fingerprints."""
+def _keys(value: Column, tables: list[tuple], first: int = 0) -> list[Column]:
+    """The place of ``value`` in each of ``tables``, which take some blocks of bits each and are numbered from ``first``."""
     keys = []
-    for k in range(several):
-        value = F.col("sketch")[k]
-        for part, pair in enumerate(combinations(BLOCKS, 2)):
-            high, low = (F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in pair)
-            bits = (F.shiftleft(high, pair[1][1]) + low).alias("bits")
-            keys.append(F.struct(F.lit(k * 15 + part).alias("part"), bits))
-    carried = ["id", "sketch"] if several > 1 else ["id"]
-    dealt = prints.select(*carried, F.inline(F.array(*keys)))
-    n = shuffle_partitions(prints.sparkSession)
-    own = F.get("sketch", F.floor(F.col("part") / 15).cast("int")) if several > 1 else F.col("id")  # the fingerprint that the bits are of
-    ordered = dealt.repartition(n, "part", "bits").withColumn("fp", own).withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
-    return ordered.mapInPandas(_link(radius, most), "u long, v long").distinct()
+    for part, blocks in enumerate(tables, first):
+        bits = F.lit(0).cast("long")
+        for at, width in blocks:
+            bits = F.shiftleft(bits, width) + F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << width) - 1))
+        keys.append(F.struct(F.lit(part).alias("part"), bits.alias("bits")))
+    return keys
+
+
+def _sorted(dealt: DataFrame, fp: Column) -> DataFrame:
+    """``dealt`` (id, part, bits) with each bucket in one task, in Gray order of ``fp``."""
+    n = shuffle_partitions(dealt.sparkSession)
+    return dealt.repartition(n, "part", "bits").withColumn("fp", fp).withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
+
+
+def candidates(prints: DataFrame, several: int, most: int, sure: int) -> DataFrame:
+    """Pairs (u, v, sure) of the ids of ``prints`` (id, sketch) whose sketches differ in at most ``most`` bits."""
+    tables = [(block,) for block in QUARTERS]
+    keys = [key for k in range(several) for key in _keys(F.col("sketch")[k], tables, k * len(tables))]
+    dealt = prints.select("id", "sketch", F.inline(F.array(*keys)))
+    own = F.get("sketch", F.floor(F.col("part") / len(tables)).cast("int"))  # the fingerprint that the bits are of
+    return _sorted(dealt, own).mapInPandas(_link(REACH, most, sure), "u long, v long, sure long").groupBy("u", "v").agg(F.max("sure").alias("sure"))
+
+
+def similar_groups(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, root) of the components of those ``pairs`` (u, v, sure) whose ``sets`` (id, set) have the Jaccard similarity.
+
+    A pair is tested unless tested ones already join its ends, so that a large group takes few tests: first
+    one pair of each group in some rounds, then all that are left.
+    """
+    left = written(pairs.select("u", "v", "sure", F.col("u").alias("ru"), F.col("v").alias("rv")), "pairs")
+    roots = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("root"))
+    for k in range(HOOKS + 1):
+        chosen = left
+        if k < HOOKS:
+            pick = F.min(F.struct((1 - F.col("sure")).alias("loose"), F.least("ru", "rv").alias("to"), "u", "v", "ru", "rv")).alias("p")
+            chosen = left.groupBy(F.greatest("ru", "rv").alias("of")).agg(pick).select("p.u", "p.v", "p.ru", "p.rv")
+        a, b = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
+        shared = F.size(F.array_intersect("a", "b"))
+        alike = shared >= similarity * (F.size("a") + F.size("b") - shared)
+        tested = written(chosen.join(a, "u").join(b, "v").select("u", "v", "ru", "rv", (alike & (shared > 0)).alias("alike")), "tested")
+        to = components(tested.where("alike").select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("u").alias("root"), F.col("v").alias("to"))
+        roots = roots.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        if k < HOOKS:
+            left = left.join(tested.select("u", "v"), ["u", "v"], "left_anti")
+            for end in ("ru", "rv"):
+                left = left.join(to.withColumnRenamed("root", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            left = written(left.where("ru <> rv"), "pairs")
+            if left.isEmpty():
+                break
+    return roots
 
 
 def near_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,20 +387,27 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, seed:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 5, radius: int = RADIUS, several: int = SEVERAL, similarity: float = SIMILARITY, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, several: int = SEVERAL, similarity: float = SIMILARITY, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of near copies: that of the smallest doc_id, then of the least text hash.
 
-    Two rows link if one of ``several`` fingerprints differs in at most ``radius`` bits and all of them
-    together in no more than shingles of the given Jaccard ``similarity`` differ by, with two standard
-    errors to spare. Texts without words are near each other alone, null and empty ones too. Rows of null
+    Two rows link if their sets of shingles have the Jaccard ``similarity``, as far as they meet: they share a
+    quarter of one of ``several`` fingerprints, which differs in at most REACH bits, and all of these together
+    differ in no more bits than such shingles do, with three standard errors to spare. Texts without words are near each other alone, null and empty ones too. Rows of null
     doc_id come last in their group; of equal rows one stays. Other columns pass through.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(64 * several * angle + 2 * np.sqrt(64 * several * angle * (1 - angle)))
+    bits, error = 64 * several * angle, np.sqrt(64 * several * angle * (1 - angle))
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     prints = written(hashed.select(F.col(doc_id).cast("long").alias("doc_id"), "_hash", sketch(F.col(text), words, seed, several).alias("sketch")), "sketches")
     prints = prints.withColumn("id", F.xxhash64("sketch"))
-    root = components(_links(prints.select("id", "sketch").distinct(), several, radius, most)).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    pairs = written(candidates(prints.select("id", "sketch").distinct(), several, int(bits + 3 * error), int(bits - 4 * error)), "candidates")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    one = F.min(F.struct("doc_id", "_hash")).alias("one")
+    wanted = prints.join(ids, "id", "left_semi").groupBy("id").agg(one).select("id", F.col("one.doc_id").alias("_id"), F.col("one._hash").alias("_of"))
+    texts = hashed.select(F.col(doc_id).cast("long").alias("_doc"), "_hash", F.col(text).alias("_text"))
+    found = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
+    sets = written(found.select("id", shingle_set(F.col("_text"), words, seed).alias("set")).dropDuplicates(["id"]), "shingles")
+    root = similar_groups(pairs, sets, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
     counted = prints.groupBy("id", "doc_id", "_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("first")

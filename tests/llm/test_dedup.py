@@ -92,6 +92,28 @@ def test_representatives_of_odd_rows(docs, none):
     assert simhash.representatives(none).count() == 0
 
 
+def test_recall_of_near_copies_against_brute_force(spark):
+    rnd = random.Random(11)
+    texts, near, apart = [], [], []
+    for k in range(400):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 160))]
+        other, n = list(words), len(words) // rnd.choice([35, 45, 55, 100])
+        for at in rnd.sample(range(len(words)), max(1, n)):
+            other[at] = f"x{rnd.randrange(5000)}"
+        texts += [" ".join(words), " ".join(other)]
+        a, b = (set(zip(*(w[i:] for i in range(5)), strict=False)) for w in (words, other))
+        (near if 5 * len(a & b) >= 4 * len(a | b) else apart).append(k)
+    assert len(near) > 200 and len(apart) > 50
+    # a shingle that most of two texts repeats doesn't make them alike
+    texts += [" ".join(["same"] * 300 + [f"{c}{i}" for i in range(60)]) for c in "yz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.representatives(df).select("doc_id").collect()}
+    found = [k for k in range(400) if 2 * k + 1 not in kept]
+    assert set(range(0, 800, 2)) <= kept and {800, 801} <= kept
+    assert not set(found) & set(apart)
+    assert len(set(found) & set(near)) >= 0.9 * len(near)
+
+
 def test_components_of_links(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(7, 7)]
