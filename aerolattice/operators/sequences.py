@@ -122,11 +122,11 @@ def gusts(df: DataFrame, channel: str, strength: float, frames: int = 120, share
     return df.withColumn(channel, F.col(channel) + F.when(blows, sign * strength * envelope).otherwise(0.0))
 
 
-def located(df: DataFrame, iterations: int = 200, threshold: float = 4.0, least: int = 30, seed: int = 42) -> DataFrame:
+def located(df: DataFrame, iterations: int = 5000, threshold: float = 4.0, least: int = 30, seed: int = 42, confidence: float = 0.9999) -> DataFrame:
     """Camera poses from correspondences (frame, u, v, X, Y, Z) in normalised image coordinates times 1000.
 
-    The direct linear transform on random sixes, the pose with most inliers, fitted again to these. Frames of
-    fewer than ``least`` inliers fail. A frame's correspondences are one task's; matchers give thousands.
+    The direct linear transform on random sixes, the pose with most inliers, fitted again to these. Rounds end
+    when one of them took inliers alone with ``confidence``, or after ``iterations``. Frames of fewer than ``least`` inliers fail. A frame's correspondences are one task's; matchers give thousands.
     """
 
     def direct(p: np.ndarray, w: np.ndarray) -> np.ndarray | None:
@@ -155,7 +155,10 @@ def located(df: DataFrame, iterations: int = 200, threshold: float = 4.0, least:
         points = points.sort_values(["u", "v", "X", "Y", "Z"])
         p, w = points[["u", "v"]].to_numpy(float) / 1000, points[["X", "Y", "Z"]].to_numpy(float)
         rng, best, most = np.random.RandomState(seed), None, np.zeros(len(p), bool)
-        for _ in range(iterations if len(p) >= max(6, least) else 0):
+        needed = iterations if len(p) >= max(6, least) else 0
+        for done in range(needed):
+            if done >= needed:
+                break
             some = rng.choice(len(p), 6, replace=False)
             pose = direct(p[some], w[some])
             if pose is None:
@@ -163,6 +166,8 @@ def located(df: DataFrame, iterations: int = 200, threshold: float = 4.0, least:
             near = errors(pose, p, w) < threshold / 1000
             if near.sum() > most.sum():
                 best, most = pose, near
+                clean = (near.sum() / len(p)) ** 6
+                needed = min(needed, np.log(1 - confidence) / np.log1p(-clean) if clean < 1 else 0)
         if best is not None and most.sum() >= 6:
             again = direct(p[most], w[most])
             if again is not None and (errors(again, p, w) < threshold / 1000).sum() >= most.sum():
