@@ -243,7 +243,7 @@ def _fetch(buckets: int):
         for batch in batches:
             out: list[tuple[int, int, int, int, bytes | None]] = []
             for doc, base, text, places, hashes in zip(batch["doc_id"], batch["base"], batch["text"], batch["places"], batch["hashes"], strict=True):
-                if places is None:
+                if places is None or text is None:
                     continue
                 raw = text.encode()
                 places, hashes = np.asarray(places, np.int64), np.asarray(hashes, np.int64)

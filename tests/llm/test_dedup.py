@@ -172,6 +172,15 @@ def test_removal_against_brute_force(spark, hot, monkeypatch):
     assert removal(spark.createDataFrame(docs, "doc_id long, text string")) == brute_removal(docs)
 
 
+def test_removal_with_a_null_text_beside_one_to_sort(spark):
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
+    # the same passage between other letters, so that its pieces differ and are sorted
+    docs = [(i, "".join(rnd.choice("klmnop ") for _ in range(40)) + passage + "".join(rnd.choice("qrstuv ") for _ in range(40))) for i in range(8)]
+    docs += [(i, None) for i in range(8)]
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string")) == brute_removal(docs)
+
+
 def test_removal_of_odd_rows(docs, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert removal(docs) == brute_removal(rows)
