@@ -1,45 +1,62 @@
 """Token counts by a map-side lookup in two tiers.
 
 A text is cut at ASCII white space. No token of the tokenizer reaches across such a cut, so the count of
-a text is the sum over its pieces. Tier one is a broadcast table of pieces that are frequent in any text:
-the whole words of the vocabulary, as they stand, capitalised, and with the commonest punctuation; its
-size follows from the vocabulary, not from the data. Tier two encodes what misses tier one with the
-tokenizers library and keeps the result in a cache of the Python worker, which is emptied when full
-(pieces.py). There is no shuffle at all.
+a text is the sum over its pieces. Tier one is a broadcast table of the most frequent pieces, with their
+counts of tokens. Frequencies come from a sample of bounded size: SAMPLE texts as they come, counted by one
+task, of which the FREQUENT commonest pieces of at most TABLE_BYTES are kept. The sample decides what is
+looked up and what is encoded, never a count. Tier two encodes what misses tier one with the tokenizers
+library and keeps the result in a cache of the Python worker, which is emptied when full (pieces.py). No
+piece is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .pieces import WORD_END, PieceEncoder, tokenizer
+from .pieces import CACHE_BYTES, PieceEncoder
 
+#: Texts that frequencies are taken from, characters of each batch of them, and pieces and bytes of the table at most.
+SAMPLE, FREQUENT, TABLE_BYTES = 4096, 1 << 17, 4_000_000
 
-def frequent_pieces(path: str) -> tuple[bytes, np.ndarray]:
-    """Tier one: pieces joined by blanks, and each one's token count as the library gives it."""
-    tok = tokenizer(path)
-    words = [w.removesuffix(WORD_END) for w in tok.get_vocab() if w.endswith(WORD_END)]
-    words = [w for w in words if w.isascii() and w.isalnum()]
-    forms = dict.fromkeys(f for w in words for f in (w, w.capitalize(), f"{w},", f"{w}."))
-    counts = [len(e.ids) for e in tok.encode_batch(list(forms), add_special_tokens=False)]
-    small = [(f.encode(), n) for f, n in zip(forms, counts, strict=True) if n < 256]
-    return b" ".join(f for f, _ in small), np.array([n for _, n in small], np.uint8)
 
+def frequent_pieces(df: DataFrame, path: str, text: str = "text", sample: int = SAMPLE, most: int = FREQUENT) -> tuple[bytes, np.ndarray]:
+    """Tier one: the commonest pieces of ``sample`` rows of ``df``, joined by blanks, and each one's token count."""
 
-def token_count(spark: SparkSession, text: Column, tokenizer_path: str) -> Column:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for t in batch["t"]:
+                found.update(p for p in t.encode("utf-8", "surrogatepass").split() if len(p) <= CACHE_BYTES)
+                if len(found) > 4 * most:  # rare ones go first; only speed depends on it
+                    found = Counter(dict(found.most_common(2 * most)))
+        top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]
+        encoder = PieceEncoder(path, counts=True)
+        counts = [encoder.known[p] for p, _ in top]
+        small = [(p, n) for (p, _), n in zip(top, counts, strict=True) if n < 256]
+        size = np.cumsum([len(p) + 1 for p, _ in small]) if small else np.zeros(0)
+        small = small[: int((size <= TABLE_BYTES).sum())]
+        yield pd.DataFrame({"pieces": [b" ".join(p for p, _ in small)], "counts": [bytes(n for _, n in small)]})
+
+    sampled = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample).coalesce(1)
+    row = sampled.mapInPandas(count, "pieces binary, counts binary").first()  # one row of TABLE_BYTES and FREQUENT bytes
+    return (bytes(row.pieces), np.frombuffer(row.counts, np.uint8)) if row else (b"", np.zeros(0, np.uint8))
+
+
+def token_count(text: Column, tokenizer_path: str, table: Broadcast) -> Column:
     """Tokens of ``text`` as the tokenizers library counts them, without added special tokens.
 
-    Null and empty texts have none. The result depends on the text alone, so ties, repeated rows and
-    other columns don't matter.
+    ``table`` is what frequent_pieces() gives, broadcast. Null and empty texts have no tokens. The result
+    depends on the text alone, so ties, repeated rows and other columns don't matter.
     """
-    table = spark.sparkContext.broadcast(frequent_pieces(tokenizer_path))
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -53,7 +70,8 @@ def token_count(spark: SparkSession, text: Column, tokenizer_path: str) -> Colum
 
 def with_token_counts(df: DataFrame, tokenizer_path: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit to ``df``; columns of these names are replaced."""
-    n = token_count(df.sparkSession, F.col(text), tokenizer_path)
+    table = df.sparkSession.sparkContext.broadcast(frequent_pieces(df, tokenizer_path, text))
+    n = token_count(F.col(text), tokenizer_path, table)
     return (
         df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
         .withColumn("n_tokens", n)
