@@ -3,12 +3,14 @@
 The symbols of all words that a worker hasn't met yet stand in one flat array. In each round the keys of
 neighbouring symbols are looked up by binary search in the sorted keys of the tokenizer's merges; every
 word merges all places of its own lowest-ranked pair, from the left; words without a pair are done and
-leave the array. Words come from units of white space and what follows it up to the next white space;
+leave the array. A word of very many symbols would take as many rounds, so its pairs wait in a heap instead,
+by rank and place. Words come from units of white space and what follows it up to the next white space;
 a worker keeps the ids of the units it has met, within a bound.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 PLAIN_UNIT = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|()\"-]*)")
 #: Units and words that a worker keeps before it starts anew, and the longest unit worth keeping.
 CACHE_UNITS, UNIT_CHARS = 250_000, 128
+#: Symbols beyond which a word is merged by a heap.
+LONG_WORD = 1024
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -48,6 +52,7 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
         self.of_byte = np.array([vocab[c] for c in byte_symbols()], np.int64)
         self.split = tokenizer(path).pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -61,7 +66,8 @@ class ByteBpe:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as encode() gives them."""
-        out = [b""] * len(words)
+        out = [self._merge_long(w) if len(w) > LONG_WORD else b"" for w in words]
+        words = [b"" if len(w) > LONG_WORD else w for w in words]
         lens = np.array([len(w) for w in words], np.int64)
         names = np.flatnonzero(lens)
         lens = lens[names]
@@ -90,6 +96,27 @@ class ByteBpe:
             flat, names = flat[stays], names[~done]
         return out
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """The ids of one word: always the leftmost pair of the lowest rank merges."""
+        ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        keys = [a * self.base + b for a, b in zip(ids, ids[1:], strict=False)]
+        heap = [(self.pairs[key][0], at, key) for at, key in enumerate(keys) if key in self.pairs]
+        heapq.heapify(heap)
+        while heap:
+            _, at, key = heapq.heappop(heap)
+            right = after[at]
+            if ids[at] < 0 or right >= len(ids) or ids[at] * self.base + ids[right] != key:
+                continue  # one of the two has merged since
+            ids[at], ids[right], after[at] = self.pairs[key][1], -1, after[right]
+            if after[at] < len(ids):
+                before[after[at]] = at
+                if found := self.pairs.get(new := ids[at] * self.base + ids[after[at]]):
+                    heapq.heappush(heap, (found[0], at, new))
+            if (left := before[at]) >= 0 and (found := self.pairs.get(new := ids[left] * self.base + ids[at])):
+                heapq.heappush(heap, (found[0], left, new))
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def _split(self, unit: str) -> list[bytes | int]:
         """The words of ``unit`` and the ids of special tokens in it."""
         found: list[bytes | int] = []

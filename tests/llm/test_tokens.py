@@ -37,6 +37,25 @@ def test_own_bpe_is_the_librarys():
         assert own.decode(got) == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_are_merged_as_the_library_does():
+    rnd, tok, own = random.Random(6), Tokenizer.from_file(BYTE), ByteBpe(BYTE)
+    some = ["".join(rnd.choice(letters) for _ in range(n)) for n in (1025, 20_000, 100_000) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé")]
+    for got, t in zip(own.encode([*some, "a" * 3000]), [*some, "a" * 3000], strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_the_table_of_frequent_pieces(spark, prose):
+    """Most pieces of the sampled texts are in a table of a quarter of the distinct ones, accented ones too."""
+    docs, tok = prose["documents"], Tokenizer.from_file(WORD)
+    every = [p for r in docs.collect() for p in (r.text or "").encode().split()]
+    pieces, counts = token_counts.frequent_pieces(docs, WORD, most=len(set(every)) // 4)
+    table = dict(zip(pieces.split(b" "), counts.tolist(), strict=True))
+    assert len(table) == len(set(every)) // 4 and any(not p.isascii() for p in table)
+    assert sum(p in table for p in every) > 0.5 * len(every)
+    assert all(n == len(tok.encode(p.decode(), add_special_tokens=False).ids) for p, n in table.items())
+    assert token_counts.frequent_pieces(docs.where("false"), WORD)[0] == b""
+
+
 def test_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr("aerolattice.llm.pieces.CACHE_PIECES", 20)
     monkeypatch.setattr("aerolattice.llm.bpe.CACHE_UNITS", 20)
