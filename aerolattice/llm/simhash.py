@@ -1,8 +1,9 @@
 """SimHash fingerprints and the groups of documents whose fingerprints are near.
 
-Two fingerprints that differ in at most RADIUS = 4 bits agree on two of six blocks of bits at least, so
-each pair meets in one of 15 tables, in the bucket of the two blocks. Within a bucket a hierarchical index
-in Gray order finds the pairs: fingerprints are sorted by Gray rank, so that neighbours share many bits;
+The fingerprints are dealt out so that no task needs them all: two that differ in at most RADIUS = 4 bits agree
+on one of five blocks of bits at least, so each pair meets in one of five tables, in the bucket of the block.
+A bucket holds one of 4096 or more fingerprints of all; within it a hierarchical index in Gray order finds the
+pairs: fingerprints are sorted by Gray rank, so that neighbours share many bits;
 each node has the bits that all below it share, as a mask and a pattern, without those its parent has;
 a query adds up its differences on the way down, drops a node when they exceed the radius, and takes the
 whole node when even its free bits can't. Nodes whose members are already in the query's group
@@ -17,7 +18,6 @@ counts only if the shingles of both texts are as similar.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,8 @@ from .common import shuffle_partitions, slices, written
 from .components import components
 
 RADIUS = 4
-#: Bits of the six blocks, as (lowest bit, bits).
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Bits of the five blocks, as (lowest bit, bits).
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FANOUT = 8
 #: Fingerprints of a sketch, and the Jaccard similarity of shingles, where near copies are to be found.
 SEVERAL, SIMILARITY = 10, 0.8
@@ -141,6 +141,8 @@ class GrayIndex:
         """
         self.members, self.radius, self.sketches, self.most = members, radius, sketches, most
         self.label = np.arange(len(members))
+        #: Of each level from the leaves up: pairs of a query and a node that were looked at, and that went further.
+        self.seen: dict[int, list[int]] = {}
         first = np.flatnonzero(np.diff(buckets, prepend=-1))
         place = np.arange(len(members)) - first[np.cumsum(np.diff(buckets, prepend=-1) != 0) - 1]
         #: Of each level from the leaves up: first member and end of each node, first child, shared bits, pattern, and bits that the parent hasn't.
@@ -188,6 +190,8 @@ class GrayIndex:
             value = self.members[query]
             far = far + np.bitwise_count((value ^ self.patterns[level][node]) & self.own[level][node])
             stays = (far <= self.radius) & (end[node] - 1 > query) & ~(alike[node] & (low[node] == self.label[query]))
+            seen = self.seen.setdefault(level, [0, 0])
+            seen[0], seen[1] = seen[0] + len(stays), seen[1] + int(stays.sum())
             query, node, far = query[stays], node[stays], far[stays]
             whole = far + 64 - np.bitwise_count(self.masks[level][node]) <= self.radius
             if self.sketches is None and whole.any():
@@ -231,20 +235,23 @@ class GrayIndex:
 
     def groups(self) -> np.ndarray:
         """The label of each member after all have been searched, in blocks that grow."""
-        at, block = 0, 64
+        most = self._block()
+        at, block = 0, min(64, most)
         while at < len(self.members):
             self.join(*self.search(np.arange(at, min(at + block, len(self.members)))))
-            at, block = at + block, min(block * 2, 4096)
+            at, block = at + block, min(block * 2, most)
         return self.label
 
+    def _block(self) -> int:
+        """Queries that are searched at once, so that FRONTIER holds even if all of a bucket are near."""
+        return max(1, min(4096, FRONTIER // int(np.bincount(self.root).max())))
 
     def pairs(self, sure: int) -> np.ndarray:
         """Members a and b of the near pairs, and whether their sketches differ in at most ``sure`` bits.
 
         Sure pairs join groups, and only those that merge two are given; of the others, all that join two groups.
         """
-        largest = int(np.bincount(self.root).max())
-        most = max(1, min(4096, FRONTIER // largest))
+        most = self._block()
         at, block = 0, min(64, most)
         joined, loose = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
         while at < len(self.members):
@@ -286,30 +293,32 @@ def _link(radius: int, most: int, sure: int | None = None):
         return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
+        full: list[pd.DataFrame] = []  # buckets that are there as a whole
+        held: list[pd.DataFrame] = []  # the last bucket so far
+        size, key = 0, None
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(batch)
-            size += len(batch)
+            part, bits = batch["part"].to_numpy(), batch["bits"].to_numpy()
+            other = np.flatnonzero((part != part[-1]) | (bits != bits[-1]))
+            begin = int(other[-1]) + 1 if len(other) else 0
+            if begin or key != (part[-1], bits[-1]):
+                full += [*held, batch.iloc[:begin]]
+                size = sum(map(len, full))
+                held, key = [], (part[-1], bits[-1])
+            held.append(batch.iloc[begin:])
             if size > HELD:
-                rows = pd.concat(held, ignore_index=True)
-                last = (rows["part"] == rows["part"].iloc[-1]) & (rows["bits"] == rows["bits"].iloc[-1])
-                if not last.all():
-                    yield of([rows[~last]])
-                    held, size = [rows[last]], int(last.sum())
-                else:
-                    held = [rows]
-        if held:
-            yield of(held)
+                yield of(full)
+                full, size = [], 0
+        if full or held:
+            yield of(full + held)
 
     return link
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between the distinct values of ``prints.fp``; their components are those of all near pairs."""
-    keyed = prints.select(F.col("fp").alias("id")).distinct().select("id", F.inline(F.array(*_keys(F.col("id"), list(combinations(BLOCKS, 2))))))
+    keyed = prints.select(F.col("fp").alias("id")).distinct().select("id", F.inline(F.array(*_keys(F.col("id"), [(b,) for b in BLOCKS]))))
     return _sorted(keyed, F.col("id")).mapInPandas(_link(radius, 0), "u long, v long").distinct()
 
 

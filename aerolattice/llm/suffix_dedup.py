@@ -12,8 +12,9 @@ sorted by itself, whatever the size of the corpus:
    fetched and their suffixes sorted by the difference-cover algorithm (difference_cover.py): sampled
    triples, names, the rest merged in; neighbours are compared over LENGTH bytes.
 
-A hash that very many different pieces share is split: its windows are dealt out one by one, by their own
-bytes, after each task has kept only the smallest document of equal ones.
+A hash whose pieces hold too many bytes to be sorted at once is split: its windows are dealt out one by one,
+by their own bytes, after each task has kept only the smallest document of equal ones. Pieces that a task has
+already settled don't go to the bucket of their hash, so a passage that all documents hold fills no bucket.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from .difference_cover import equal_prefix_blocks
 LENGTH = 50
 GRAM = 24
 #: Bytes hashed at once; longer documents are taken in overlapping steps.
-STEP = 1 << 20
-#: Pieces a task gathers before it deals them out, and bytes sorted at once.
-HELD_PIECES = 1_200_000
-SORT_BYTES = 3_000_000
-#: Different pieces of one hash beyond which its windows are dealt out one by one.
-HOT_PIECES = 4096
+STEP = 1 << 19
+#: Pieces a task gathers before it deals them out, at least, and for each bucket.
+HELD_PIECES, HELD_FOR_BUCKET = 400_000, 64
+#: Bytes sorted at once, and bytes of the pieces of one hash beyond which its windows are dealt out one by one.
+SORT_BYTES = HOT_BYTES = 1_000_000
+#: Buckets of pieces for each shuffle partition, as long as there are no more than MANY_BUCKETS.
+FINER, MANY_BUCKETS = 8, 4096
+#: Rows that a task hands on at once, and bytes of texts.
+ROWS_OUT, BYTES_OUT = 20_000, 2_000_000
 
 _MIX, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _U = np.uint64
@@ -116,8 +120,8 @@ def _unplanes(b: bytes, kind: str) -> np.ndarray:
 
 
 DEALT = "bucket int, whole boolean, hashes binary, names binary, docs binary, counts binary, starts binary, runs binary"
-FOUND = "doc_id long, place long, hash long, sorted boolean"
-FETCHED = "bucket int, hash long, doc_id long, place long, piece binary"
+FOUND = "doc_id long, place long, hash long"
+FETCHED = "hash long, doc_id long, place long, piece binary"
 
 
 def _deal(buckets: int):
@@ -131,7 +135,7 @@ def _deal(buckets: int):
         lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         whole = np.zeros(len(h), bool)
         whole[order] = doc[order] > doc[order][lead]
-        bucket = (h % _U(buckets)).astype(np.int64)
+        bucket = (np.where(whole, start.astype(_U) + doc.astype(_U), h) % _U(buckets)).astype(np.int64)  # settled ones go anywhere
         order = np.lexsort((start, doc, whole, bucket))
         group = bucket[order] * 2 + whole[order]
         cuts = np.flatnonzero(np.diff(group)) + 1
@@ -181,7 +185,7 @@ def _deal(buckets: int):
                     continue
                 if part and part_bytes + len(raw) > STEP:
                     cut()
-                    if size > HELD_PIECES:
+                    if size > max(HELD_PIECES, HELD_FOR_BUCKET * buckets):
                         yield from rows(held)
                         held, size = [], 0
                 part.append((int(d), int(base), raw))
@@ -198,104 +202,156 @@ def _places(start: np.ndarray, run: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << RUN_BITS) | run.astype(np.int64)
 
 
-def _match(group: pd.DataFrame) -> pd.DataFrame:
-    """Of the pieces of a bucket: repeats in full (hash is null), and those to be sorted with others of their hash."""
-    parts = []
-    for b in group.itertuples(index=False):
-        ids, counts = np.cumsum(_unplanes(b.docs, "<i8")), _unplanes(b.counts, "<u4").astype(np.int64)
-        doc, steps, run = np.repeat(ids, counts), _unplanes(b.starts, "<i8"), _unplanes(b.runs, "<u4")
-        total = np.cumsum(steps)
-        first = np.cumsum(counts) - counts
-        start = total - np.repeat(total[first] - steps[first], counts)
-        if b.whole:
-            parts.append(pd.DataFrame({"doc_id": doc, "place": _places(start, run), "hash": pd.array([None] * len(doc), dtype="Int64"), "sorted": False}))
-        else:
-            names = _unplanes(b.names + bytes((8 - NAME_BYTES) * len(doc)), "<u8")
-            parts.append((_unplanes(b.hashes, "<u4").astype(np.int64), names, doc, start, run))
-    out = [p for p in parts if isinstance(p, pd.DataFrame)]
-    dealt = [p for p in parts if not isinstance(p, pd.DataFrame)]
-    if dealt:
-        h, name, doc, start, run = (np.concatenate(x) for x in zip(*dealt, strict=True))
-        order = np.lexsort((doc, name, h))
-        h, name, doc, start, run = (x[order] for x in (h, name, doc, start, run))
-        new_hash, new_name = np.ones(len(h), bool), np.ones(len(h), bool)
-        new_hash[1:] = h[1:] != h[:-1]
-        new_name[1:] = new_hash[1:] | (name[1:] != name[:-1])
-        lead = np.maximum.accumulate(np.where(new_name, np.arange(len(h)), 0))
-        whole = doc > doc[lead]
-        kinds = np.bincount(np.cumsum(new_hash) - 1, new_name)[np.cumsum(new_hash) - 1]
-        several = ~whole & (kinds > 1)
-        bucket = int(group["bucket"].iloc[0])
-        hashes = np.where(kinds > HOT_PIECES, 0, (h << 24) + bucket + 1)  # 0: dealt out by window
-        for own, sort in ((whole, False), (several, True)):
-            out.append(pd.DataFrame({
-                "doc_id": doc[own], "place": _places(start[own], run[own]),
-                "hash": pd.array(hashes[own], dtype="Int64") if sort else pd.array([None] * int(own.sum()), dtype="Int64"), "sorted": sort,
-            }))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "place": [], "hash": [], "sorted": []})
-
-
-def _fetch(buckets: int):
-    """The bytes of the pieces that are to be sorted, dealt out by hash, or by window where the hash is 0."""
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows: dict[bytes, tuple[int, int]] = {}
+def _match(hot_bytes: int):
+    """Of the pieces of each bucket: repeats in full (hash -1), and those to be sorted with others of their hash.
+
+    Rows come sorted by bucket; one bucket is held at a time, as packed bytes until its last row is there.
+    """
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for batch in batches:
-            out: list[tuple[int, int, int, int, bytes | None]] = []
-            for doc, base, text, places, hashes in zip(batch["doc_id"], batch["base"], batch["text"], batch["places"], batch["hashes"], strict=True):
-                if places is None or text is None:
+            for b in batch.itertuples(index=False):
+                if b.whole:
+                    doc, start, run = _unpacked(b)
+                    yield pd.DataFrame({"doc_id": doc, "place": _places(start, run), "hash": -1})
                     continue
-                raw = text.encode()
-                places, hashes = np.asarray(places, np.int64), np.asarray(hashes, np.int64)
-                starts, runs = (places >> RUN_BITS) - base, places & ((1 << RUN_BITS) - 1)
-                own = (starts >= 0) & (starts < len(raw))
-                for place, h, s, r in zip(places[own].tolist(), hashes[own].tolist(), starts[own].tolist(), runs[own].tolist(), strict=True):
-                    if h:
-                        out.append((h % buckets, h, doc, place, raw[s : s + r + LENGTH - 1]))
-                        continue
-                    for k in range(s, s + r):
-                        window, one = raw[k : k + LENGTH], ((base + k) << RUN_BITS) | 1
-                        known = windows.setdefault(window, (doc, one))
-                        if known[0] < doc:
-                            out.append((one % buckets, 0, doc, one, None))
-                        elif known[0] > doc:
-                            windows[window] = (doc, one)
-                            out.append((known[1] % buckets, 0, known[0], known[1], None))
-                        elif known[1] != one:  # another place of the same document shares its fate
-                            key = xxh64_intdigest(window) >> 1
-                            out.append((key % buckets, key, doc, one, window))
-                    if len(windows) > 500_000:
-                        out += _windows_out(windows, buckets)
-                        windows = {}
-            yield pd.DataFrame(out, columns=["bucket", "hash", "doc_id", "place", "piece"])
-        yield pd.DataFrame(_windows_out(windows, buckets), columns=["bucket", "hash", "doc_id", "place", "piece"])
-
-    return fetch
-
-
-def _windows_out(windows: dict[bytes, tuple[int, int]], buckets: int) -> list[tuple]:
-    keys = ((xxh64_intdigest(w) >> 1, w, found) for w, found in windows.items())
-    return [(key % buckets, key, doc, place, w) for key, w, (doc, place) in keys]
-
-
-def _sort(group: pd.DataFrame) -> pd.DataFrame:
-    """Repeats among the pieces of a bucket, by their sorted suffixes; rows without a piece pass through."""
-    known = group[group["piece"].isna()]
-    out = [known[["doc_id", "place"]]]
-    group = group[group["piece"].notna()].sort_values("hash", kind="stable")
+                if held and held[0].bucket != b.bucket:
+                    yield from _matched(held, hot_bytes)
+                    held = []
+                held.append(b)
+        if held:
+            yield from _matched(held, hot_bytes)
+
+    return match
+
+
+def _unpacked(b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first window and number of windows of each piece of a row."""
+    ids, counts = np.cumsum(_unplanes(b.docs, "<i8")), _unplanes(b.counts, "<u4").astype(np.int64)
+    total = np.cumsum(steps := _unplanes(b.starts, "<i8"))
+    first = np.cumsum(counts) - counts
+    return np.repeat(ids, counts), total - np.repeat(total[first] - steps[first], counts), _unplanes(b.runs, "<u4").astype(np.int64)
+
+
+def _matched(held: list[tuple], hot_bytes: int) -> Iterator[pd.DataFrame]:
+    dealt = []
+    for b in held:
+        doc, start, run = _unpacked(b)
+        names = _unplanes(b.names + bytes((8 - NAME_BYTES) * len(doc)), "<u8")
+        dealt.append((_unplanes(b.hashes, "<u4").astype(np.int64), names, doc, start, run))
+    h, name, doc, start, run = (np.concatenate(x) for x in zip(*dealt, strict=True))
+    order = np.lexsort((doc, name, h))
+    h, name, doc, start, run = (x[order] for x in (h, name, doc, start, run))
+    new_hash, new_name = np.ones(len(h), bool), np.ones(len(h), bool)
+    new_hash[1:] = h[1:] != h[:-1]
+    new_name[1:] = new_hash[1:] | (name[1:] != name[:-1])
+    lead = np.maximum.accumulate(np.where(new_name, np.arange(len(h)), 0))
+    whole = doc > doc[lead]
+    of_hash = np.cumsum(new_hash) - 1
+    several = ~whole & (np.bincount(of_hash, new_name)[of_hash] > 1)
+    size = np.bincount(of_hash, np.where(whole, 0, run + LENGTH - 1))[of_hash]
+    keys = np.where(size > hot_bytes, 0, (h << 24) + held[0].bucket + 1)  # 0: dealt out by window
+    for own, sort in ((whole, False), (several, True)):
+        at = np.flatnonzero(own)
+        for k in range(0, len(at), ROWS_OUT):
+            one = at[k : k + ROWS_OUT]
+            yield pd.DataFrame({"doc_id": doc[one], "place": _places(start[one], run[one]), "hash": keys[one] if sort else np.int64(-1)})
+
+
+def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of the pieces that are to be sorted, or of their windows where the hash is 0.
+
+    Places that are known to be repeats come without bytes.
+    """
+    windows: dict[bytes, tuple[int, int]] = {}
+    out: list[tuple[int, int, int, bytes | None]] = []
+
+    def rows() -> pd.DataFrame:
+        nonlocal out
+        done, out = pd.DataFrame(out, columns=["hash", "doc_id", "place", "piece"]), []
+        return done
+
+    for batch in batches:
+        for doc, base, text, places, hashes in zip(batch["doc_id"], batch["base"], batch["text"], batch["places"], batch["hashes"], strict=True):
+            if places is None or text is None:
+                continue
+            raw = text.encode()
+            places, hashes = np.asarray(places, np.int64), np.asarray(hashes, np.int64)
+            starts, runs = (places >> RUN_BITS) - base, places & ((1 << RUN_BITS) - 1)
+            own = (starts >= 0) & (starts < len(raw))
+            for place, h, s, r in zip(places[own].tolist(), hashes[own].tolist(), starts[own].tolist(), runs[own].tolist(), strict=True):
+                if h:
+                    out.append((h, doc, place, raw[s : s + r + LENGTH - 1]))
+                    continue
+                for k in range(s, s + r):
+                    window, one = raw[k : k + LENGTH], ((base + k) << RUN_BITS) | 1
+                    known = windows.setdefault(window, (doc, one))
+                    if known[0] < doc:
+                        out.append((one, doc, one, None))
+                    elif known[0] > doc:
+                        windows[window] = (doc, one)
+                        out.append((known[1], known[0], known[1], None))
+                    elif known[1] != one:  # another place of the same document shares its fate
+                        out.append((xxh64_intdigest(window) >> 1, doc, one, window))
+                if len(windows) > HELD_PIECES:
+                    out += _windows_out(windows)
+                    windows = {}
+                if len(out) > ROWS_OUT:
+                    yield rows()
+            if len(out) > ROWS_OUT:
+                yield rows()
+    out += _windows_out(windows)
+    yield rows()
+
+
+def _windows_out(windows: dict[bytes, tuple[int, int]]) -> list[tuple]:
+    return [(xxh64_intdigest(w) >> 1, doc, place, w) for w, (doc, place) in windows.items()]
+
+
+def _sort(sort_bytes: int):
+    """Repeats among the pieces of each hash, by their sorted suffixes; rows without a piece pass through.
+
+    Rows come sorted by hash; as many hashes as ``sort_bytes`` hold are sorted at once.
+    """
+
+    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:
+            for k in range(0, len(batch), ROWS_OUT):
+                part = batch.iloc[k : k + ROWS_OUT]
+                if (known := part["piece"].isna()).any():
+                    yield part.loc[known, ["doc_id", "place"]]
+                    part = part[~known]
+                held.append(part)
+                size += int(part["piece"].str.len().sum())
+                if size > sort_bytes:
+                    rows = pd.concat(held, ignore_index=True)
+                    last = rows["hash"].searchsorted(rows["hash"].iloc[-1])
+                    yield from _sorted(rows.iloc[:last], sort_bytes)
+                    held = [rows.iloc[last:]]
+                    size = int(held[0]["piece"].str.len().sum())
+        if held:
+            yield from _sorted(pd.concat(held, ignore_index=True), sort_bytes)
+
+    return sort
+
+
+def _sorted(group: pd.DataFrame, sort_bytes: int) -> Iterator[pd.DataFrame]:
     sizes = group["piece"].str.len().to_numpy(np.int64)
     hashes = group["hash"].to_numpy(np.int64)
-    new = np.ones(len(group), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    edges = np.append(np.flatnonzero(new), len(group))
+    edges = np.append(np.flatnonzero(np.diff(hashes, prepend=-1)), len(group))
     filled = np.append(0, np.cumsum(sizes))
     docs, places, pieces = group["doc_id"].to_numpy(np.int64), group["place"].to_numpy(np.int64), group["piece"].tolist()
     k = 0
     while k < len(edges) - 1:
         low, e = edges[k], k + 1
-        while e < len(edges) - 1 and filled[edges[e + 1]] - filled[low] <= SORT_BYTES:
+        while e < len(edges) - 1 and filled[edges[e + 1]] - filled[low] <= sort_bytes:
             e += 1
         high, k = edges[e], e
+        if high - low < 2:
+            continue
         text = np.frombuffer(b"".join(pieces[low:high]), np.uint8)
         runs = sizes[low:high] - LENGTH + 1
         begin = np.cumsum(sizes[low:high]) - sizes[low:high]
@@ -314,8 +370,7 @@ def _sort(group: pd.DataFrame) -> pd.DataFrame:
             run = np.diff(np.append(at, len(repeats)))
             own = owner[at]
             start = (places[low:high][own] >> RUN_BITS) + repeats[at] - begin[own]
-            out.append(pd.DataFrame({"doc_id": docs[low:high][own], "place": _places(start, run)}))
-    return pd.concat(out)
+            yield pd.DataFrame({"doc_id": docs[low:high][own], "place": _places(start, run)})
 
 
 def spans_of(places: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,27 +392,31 @@ KEPT = "n_bytes long, n_removed long, n_spans long, spans array<array<bigint>>,
 def _cut_out(names: list[str]):
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for base, text, whole, parts in zip(batch["base"], batch["text"], batch["whole"], batch["parts"], strict=True):
-                raw = (text or "").encode()
-                places = np.concatenate([np.asarray([] if x is None else x, np.int64) for x in (whole, parts)])
-                begins, ends = spans_of(places, 0 if pd.isna(base) else int(base), len(raw))
-                edges = [0, *np.stack([begins, ends], 1).reshape(-1).tolist(), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(raw), len(raw) - len(kept), len(begins), np.stack([begins, ends], 1).tolist(), kept))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
-            yield pd.concat([batch[names].reset_index(drop=True), out], axis=1)
+            filled = batch["text"].str.len().fillna(0).cumsum().to_numpy()
+            step = np.append(0, np.cumsum(np.diff(filled // BYTES_OUT) > 0)) if len(batch) else np.zeros(0)
+            for _, part in batch.groupby(step, sort=False):
+                rows = []
+                for base, text, whole, parts in zip(part["base"], part["text"], part["whole"], part["parts"], strict=True):
+                    raw = (text or "").encode()
+                    places = np.concatenate([np.asarray([] if x is None else x, np.int64) for x in (whole, parts)])
+                    begins, ends = spans_of(places, 0 if pd.isna(base) else int(base), len(raw))
+                    edges = [0, *np.stack([begins, ends], 1).reshape(-1).tolist(), len(raw)]
+                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    rows.append((len(raw), len(raw) - len(kept), len(begins), np.stack([begins, ends], 1).tolist(), kept))
+                out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pd.concat([part[names].reset_index(drop=True), out], axis=1)
 
     return cut_out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, spans (begin and end of each removed run) and kept (bytes).
 
     Removed is each byte of ``text`` (UTF-8) within a 50-byte string that also starts in a row with a
     smaller ``doc_id``. Null texts are as empty. Rows with a null ``doc_id`` stay whole and remove nothing;
     rows with the same ``doc_id`` don't touch each other, so equal rows are treated alike. Texts of fewer
-    than 50 bytes stay whole. Other columns pass through as ``columns``, a struct, so no names clash. An
+    than 50 bytes stay whole. ``sort_bytes`` are sorted at once, and a hash of more than ``hot_bytes`` is split
+    by window; neither changes the result. Other columns pass through as ``columns``, a struct, so no names clash. An
     empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -366,16 +425,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("columns"))
     before = Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.repartition(n, "doc_id").withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
-    dealt = placed.mapInPandas(_deal(n), DEALT)
-    found = dealt.groupBy("bucket").applyInPandas(_match, FOUND)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", F.coalesce("hash", F.lit(-1)).alias("hash"))).alias("found"))
+    dealt = placed.mapInPandas(_deal(max(n, min(FINER * n, MANY_BUCKETS))), DEALT)
+    found = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_match(hot_bytes), FOUND)
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("found"))
     to_sort = by_doc.select("doc_id", F.filter("found", lambda x: x.hash >= 0).alias("found")).where(F.size("found") > 0)
     fetched = (
         placed.join(to_sort, "doc_id", "left")  # as below, so that one shuffle of the texts serves all three
         .select("doc_id", "base", "text", "columns", F.col("found.place").alias("places"), F.col("found.hash").alias("hashes"))
-        .mapInPandas(_fetch(n), FETCHED)
+        .mapInPandas(_fetch, FETCHED)
     )
-    parts = fetched.groupBy("bucket").applyInPandas(_sort, "doc_id long, place long").groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
+    repeats = fetched.repartition(n, "hash").sortWithinPartitions("hash").mapInPandas(_sort(sort_bytes), "doc_id long, place long")
+    parts = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
     whole = by_doc.select("doc_id", F.transform(F.filter("found", lambda x: x.hash < 0), lambda x: x.place).alias("whole"))
     joined = placed.join(whole, "doc_id", "left").join(parts, "doc_id", "left")
     out = joined.withColumn("columns", F.to_json("columns")).mapInPandas(_cut_out(["doc_id", "text", "columns"]), f"doc_id long, text string, columns string, {KEPT}")

@@ -57,6 +57,28 @@ def test_index_finds_all_near_pairs(sketched):
         assert roots(len(rows), near) == label.tolist()
 
 
+def test_the_index_drops_nodes_of_real_fingerprints(spark):
+    """Fingerprints of the documents, among ever more random ones: nodes drop out, the more the larger the index."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    real = [r.fp % 2**64 for r in docs.select(simhash.fingerprint(F.col("text")).alias("fp")).distinct().collect()]
+    rnd = np.random.default_rng(5)
+    went = []
+    for more in (0, 20_000, 150_000):
+        fp = np.unique(np.concatenate([np.array(real, np.uint64), rnd.integers(0, 2**64, more, np.uint64)]))
+        rank = fp.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(shift)
+        members = fp[np.argsort(rank)]
+        index = simhash.GrayIndex(members, np.zeros(len(members), int), 4)
+        queries = np.flatnonzero(np.isin(members, np.array(real, np.uint64)))[:300]
+        found = set(zip(*(x.tolist() for x in index.search(queries)), strict=True))
+        near = {(int(i), int(j)) for i in queries for j in np.flatnonzero(np.bitwise_count(members ^ members[i]) <= 4) if j > i}
+        assert near == {(i, j) for i, j in found if i != j}
+        went.append(index.seen[0][1] * simhash.FANOUT / sum(len(members) - int(i) for i in queries))
+    print(f"share of members that is compared bit by bit: {went}")
+    assert went[0] > went[1] > went[2] and went[2] < 0.15
+
+
 def check_components(docs, got):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     prints = np.array([brute_fingerprint(t) for _, t in rows], np.uint64)
@@ -142,8 +164,8 @@ def brute_removal(docs):
     return sorted(out)
 
 
-def removal(df):
-    got = suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+def removal(df, **sizes):
+    got = suffix_dedup.remove_repeats(df, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
     return sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got.collect())
 
 
@@ -156,9 +178,8 @@ def test_suffix_ranks_are_in_order():
         assert got == sorted(s[i:].tolist()[:60] for i in range(n))
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_removal_against_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+@pytest.mark.parametrize(("at_once", "hot"), [(1_000_000, 1_000_000), (500, 1_000_000), (2000, 300), (2000, 1)])
+def test_removal_against_brute_force(spark, at_once, hot):
     rnd = random.Random(7)
     base = ["".join(rnd.choice("abcé ") for _ in range(400)) for _ in range(6)]
     docs = []
@@ -169,7 +190,15 @@ def test_removal_against_brute_force(spark, hot, monkeypatch):
             text += b[x : x + rnd.randrange(1, 120)] + rnd.choice(["", "x", "ab" * 40, "q" * 70])
         docs.append((i, text))
     docs += [(7, docs[3][1]), (7, docs[7][1]), (None, docs[3][1]), (200, None)]
-    assert removal(spark.createDataFrame(docs, "doc_id long, text string")) == brute_removal(docs)
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string"), sort_bytes=at_once, hot_bytes=hot) == brute_removal(docs)
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 2000])
+def test_a_passage_that_all_documents_hold(spark, hot):
+    rnd = random.Random(9)
+    passage = " ".join(f"word{rnd.randrange(1000)}" for _ in range(60))
+    docs = [(i, f"{rnd.randrange(10**9)} {passage} {rnd.randrange(10**9)} " + "z" * (i % 90)) for i in range(600)]
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), hot_bytes=hot) == brute_removal(docs)
 
 
 def test_removal_with_a_null_text_beside_one_to_sort(spark):
