@@ -6,8 +6,9 @@ taken to be its weightiest. So nothing above the overlap is lost by the search.
 if its terms' largest scores don't add up to 1; terms that can't reach 1 together without others name no
 candidates (the WAND bound); blocks of items whose per-term maxima don't add up to 1 are skipped (block
 maxima); what is left is scored exactly. Passages are windows that overlap by half and are longer than
-twice any item, so that each occurrence lies within one; whole texts are read. Found pairs are verified by
-the shared five-word shingles of question and answer.
+twice any item, so that each occurrence lies within one; whole texts are read. The question of an item is indexed
+as well, as an entry of its own. What is found is verified by shared five-word shingles: the whole item's within
+the passage, or the question's and the answer's each, wherever they stand in the text.
 """
 
 from __future__ import annotations
@@ -87,13 +88,17 @@ class ItemIndex:
         texts = [(i, t, words_of(t)) for i, t in items]
         texts = [(i, t, w) for i, t, w in sorted(texts, key=lambda x: (x[0] is None, x[0], x[1])) if w]
         self.ids = [i for i, _, _ in texts]
-        self.parts = [(shingles(w), *(shingles(words_of(x)) for x in question_and_answer(t))) for _, t, w in texts]
+        split = [tuple(map(words_of, question_and_answer(t))) for _, t, _ in texts]
+        self.parts = [tuple(map(shingles, (w, *split[k]))) for k, (_, _, w) in enumerate(texts)]
         self.longest = max((len(w) for _, _, w in texts), default=0)
+        #: Of each entry the item, and which of its parts: the whole, or the question if both it and the answer are long enough to tell.
+        self.entries = [(k, 0) for k in range(len(texts))] + [(k, 1) for k, (q, a) in enumerate(split) if len(q) >= SHINGLE and a]
+        texts = [texts[k][2] if part == 0 else split[k][0] for k, part in self.entries]
         n = len(texts)
-        usual = sum(len(w) for _, _, w in texts) / max(n, 1)
+        usual = sum(map(len, texts)) / max(n, 1)
         names: dict[str, int] = {}
         counts: list[dict[int, int]] = []
-        for _, _, words in texts:
+        for words in texts:
             own: dict[int, int] = {}
             for w in words:
                 k = names.setdefault(w, len(names))
@@ -103,10 +108,10 @@ class ItemIndex:
         found = np.bincount([k for own in counts for k in own], minlength=len(names)) if counts else np.zeros(0)
         idf = np.log1p((n - found + 0.5) / (found + 0.5))
         postings: dict[tuple[int, int], float] = {}
-        for item, (own, (_, _, words)) in enumerate(zip(counts, texts, strict=True)):
+        for item, (own, words) in enumerate(zip(counts, texts, strict=True)):
             length = K1 * (1 - B + B * len(words) / usual)
             scores = {k: float(idf[k]) * c * (K1 + 1) / (c + length) for k, c in own.items()}
-            missing = math.ceil((1 - OVERLAP) * len(self.parts[item][0]))
+            missing = math.ceil((1 - OVERLAP) * len(shingles(words)))
             least = sum(scores.values()) - sum(sorted(scores.values(), reverse=True)[:missing])
             least = max(least, 0.2 * min(scores.values()))
             for k, s in scores.items():
@@ -124,7 +129,7 @@ class ItemIndex:
             self.bounds[k] = max(self.bounds[k], s)
 
     def search(self, terms: list[np.ndarray], step: int) -> list[tuple[int, int, int, float]]:
-        """(text, first word, item, score) of all windows of 2 * step words and items with score >= 1.
+        """(text, first word, entry, score) of all windows of 2 * step words and entries with score >= 1.
 
         ``terms`` has the index's number of each word of each text, or -1.
         """
@@ -188,31 +193,43 @@ class ItemIndex:
         words = [words_of(t) for t in texts]
         get = self.terms.get
         step = max(64, math.ceil(self.longest / OVERLAP))
-        for text, first, item, score in self.search([np.array([get(w, -1) for w in ws], np.int64) for ws in words], step):
-            there = shingles(words[text][first : first + 2 * step])
-            whole, question, answer = self.parts[item]
-            overlap = len(whole & there) / len(whole)
-            if len(next(iter(whole))) < SHINGLE:
-                k = len(next(iter(whole)))
-                ws = words[text][first : first + 2 * step]
-                overlap = float(any(tuple(ws[j : j + k]) in whole for j in range(len(ws) - k + 1)))
+        everything: dict[int, set[tuple[str, ...]]] = {}
+        for text, first, entry, score in self.search([np.array([get(w, -1) for w in ws], np.int64) for ws in words], step):
+            item, part = self.entries[entry]
             known = out[text].get(item)
-            if overlap < OVERLAP or known and known["score"] >= score:
+            if known and known["score"] >= score:
                 continue
-            out[text][item] = {
-                "item_id": self.ids[item], "score": round(score, 6), "overlap": round(overlap, 6),
-                "question_overlap": round(len(question & there) / max(len(question), 1), 6), "answer_overlap": round(len(answer & there) / max(len(answer), 1), 6),
-            }
+            ws = words[text]
+            if part == 0:
+                ws = ws[first : first + 2 * step]
+                there = shingles(ws)
+            else:
+                there = everything[text] if text in everything else everything.setdefault(text, shingles(ws))
+            whole, question, answer = (_share(p, ws, there) for p in self.parts[item])
+            if (whole if part == 0 else min(question, answer)) < OVERLAP:
+                continue
+            out[text][item] = {"item_id": self.ids[item], "score": round(score, 6), "overlap": round(whole, 6), "question_overlap": round(question, 6), "answer_overlap": round(answer, 6)}
         return [[found[k] for k in sorted(found)] for found in out]
 
 
-def indexes(items: DataFrame, key: str = "item_id", text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> list[ItemIndex]:
-    """Indexes of all ``items``, each of about ``max_bytes`` of text at most."""
+def _share(part: set[tuple[str, ...]], words: list[str], there: set[tuple[str, ...]]) -> float:
+    """The share of the shingles of ``part`` among ``there``, those of ``words``; a shorter part is there as a whole or not."""
+    if not part:
+        return 0.0
+    k = len(next(iter(part)))
+    if k < SHINGLE:
+        return float(any(tuple(words[j : j + k]) in part for j in range(len(words) - k + 1)))
+    return len(part & there) / len(part)
+
+
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", max_bytes: int = MAX_INDEX_BYTES) -> Iterator[ItemIndex]:
+    """Indexes of all ``items``, each of about ``max_bytes`` of text at most; one at a time is in the driver's memory."""
     rows = items.select(F.col(key).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // max_bytes)
     part = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1)))
-    return [ItemIndex([tuple(r) for r in rows.where(part == k).collect()]) for k in range(n)]
+    for k in range(n):
+        yield ItemIndex([tuple(r) for r in rows.where(part == k).collect()])
 
 
 def leaks(text: Column, index: ItemIndex, spark) -> Column:
@@ -231,7 +248,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", max_bytes:
     """``docs`` with ``leaks``: the benchmark items that each text holds, with scores and overlaps.
 
     An item is held if a passage has at least 0.8 of its five-word shingles (an item of fewer words: all
-    of it, in a row). Case and punctuation don't count. Null and empty texts hold none, nor do items
+    of it, in a row), or if the text has 0.8 of those of the question and of those of the answer, wherever they
+    stand; a question of fewer than five words doesn't count by itself. Case and punctuation don't count. Null and empty texts hold none, nor do items
     without words occur. Equal rows have equal results; a column named ``leaks`` is replaced. Without items
     ``leaks`` is empty.
     """
