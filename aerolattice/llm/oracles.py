@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_SHARE, MIN_WORDS, SPACE, SYMBOLS
+from .quality_rules import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE_WORDS, MIN_WORDS, SPACE, SYMBOLS
 
 
 def _quoted(text: str) -> str:
@@ -36,9 +36,9 @@ def quality_rules() -> str:
     f AS (SELECT low.doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(s0) - length(regexp_replace(s0, {_quoted(SYMBOLS)}, '', 'g')) AS n_symbols,
       len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words, [{classes}, length(s{n})] AS classes, [{words}] AS named FROM low LEFT JOIN hit ON low.doc_id = hit.doc_id),
     g AS (SELECT *, list_append(named, n_words - list_sum(named)) AS common, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-    total AS (SELECT count(*) AS n, {of_lang} FROM g),
-    langs AS (SELECT lang, count(*) AS n, {of_lang} FROM g GROUP BY lang),
-    refs AS (SELECT l.lang, l.ref_classes, l.ref_common FROM langs l, total t WHERE l.n >= {MIN_SHARE} * t.n),
+    total AS (SELECT {of_lang} FROM g),
+    langs AS (SELECT lang, sum(n_words) FILTER (WHERE NOT base_failed) AS words, {of_lang} FROM g GROUP BY lang),
+    refs AS (SELECT lang, ref_classes, ref_common FROM langs WHERE words >= {MIN_REFERENCE_WORDS}),
     j AS (SELECT g.*, coalesce(refs.ref_classes, total.ref_classes) AS ref_classes, coalesce(refs.ref_common, total.ref_common) AS ref_common FROM g LEFT JOIN refs ON g.lang = refs.lang, total),
     d AS (SELECT *, {distance('classes')} AS class_distance, {distance('common')} AS word_distance FROM j)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,

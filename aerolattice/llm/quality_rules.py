@@ -2,7 +2,8 @@
 
 A text's histogram of character classes and its histogram of common words are compared to those of its
 language by the Jensen-Shannon distance (base 2, 0 to 1). The references are sums over all documents of
-the language that pass the base rules. Texts that are too short for a histogram are not judged by it.
+the language that pass the base rules. Texts that are too short for a histogram are not judged by it, and a
+language of too few words in all is no reference.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ CLASSES = (r"\p{Ll}+", SPACE, r"\p{Lu}+", r"\p{N}+", r"[.,;:'\"!?()\-]+", SYMBOL
 #: Characters and words below which a histogram is not judged, and the largest distances that pass.
 MIN_CHARS, MIN_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.315
-#: A language needs this share of all documents for a reference of its own, so there are 1000 at most.
-MIN_SHARE = 0.001
+#: Words below which a language is no reference of its own, and references up to which they are broadcast.
+MIN_REFERENCE_WORDS = 2000
+MAX_BROADCAST = 1000
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -113,8 +115,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """doc_id, the base counts, base_failed, class_distance, word_distance and kept for each row of ``docs``.
 
     Null and empty texts have no words and fail the base rules. A text is kept if it passes these and
-    both distances, each judged only from MIN_CHARS characters or MIN_WORDS words on. Null and rare
-    languages are compared to the sum over all languages. Equal rows have equal results; other columns,
+    both distances, each judged only from MIN_CHARS characters or MIN_WORDS words on. A language whose
+    texts that pass the base rules have fewer than MIN_REFERENCE_WORDS words in all is compared to the sum over
+    all languages; a null one is a language of its own. Equal rows have equal results; other columns,
     whatever their names, are left out. An empty table gives an empty one.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.col(text).alias("text"))
@@ -123,13 +126,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     sizes = {"classes": len(CLASSES) + 1, "common": len(COMMON_WORDS) + 1}
     sums = [F.sum(F.when(~F.col("base_failed"), F.col(c)[k])).alias(f"{c}{k}") for c, n in sizes.items() for k in range(n)]
-    of_lang = rows.groupBy("lang").agg(F.count("*").alias("n"), *sums)
-    of_all = of_lang.agg(F.sum("n").alias("n"), *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c, n in sizes.items() for k in range(n)])
+    words = F.sum(F.when(~F.col("base_failed"), F.col("n_words"))).alias("words")
+    of_lang = rows.groupBy("lang").agg(words, *sums)
+    of_all = of_lang.agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for c, n in sizes.items() for k in range(n)])
     arrays = [F.array(*[F.coalesce(F.col(f"{c}{k}"), F.lit(0)) for k in range(n)]).alias(f"ref_{c}") for c, n in sizes.items()]
     total = of_all.first()
     everything = {c: F.array(*[F.lit(total[f"{c}{k}"] or 0) for k in range(n)]) for c, n in sizes.items()}
-    large = of_lang.where(F.col("n") >= MIN_SHARE * (total["n"] or 0)).select("lang", *arrays)
-    judged = rows.join(F.broadcast(large), "lang", "left")
+    large = written(of_lang.where(F.col("words") >= MIN_REFERENCE_WORDS).select("lang", *arrays), "references")
+    judged = rows.join(F.broadcast(large) if large.count() <= MAX_BROADCAST else large, "lang", "left")
     judged = reduce(lambda d, c: d.withColumn(f"ref_{c}", F.coalesce(f"ref_{c}", everything[c])), sizes, judged)
     judged = judged.withColumn("class_distance", jensen_shannon(_shares("classes"), _shares("ref_classes")))
     judged = judged.withColumn("word_distance", jensen_shannon(_shares("common"), _shares("ref_common")))
