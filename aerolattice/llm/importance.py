@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -113,16 +113,9 @@ def threshold(keys: DataFrame, k: int) -> float:
             return low if exact is None else exact
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 7, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with log_weight, resampling_key and kept; columns of these names are replaced.
-
-    ``labels`` has doc_id and quality (1 good, 0 bad); null labels and documents without one count for
-    the raw model alone. Null and empty texts have weight 0, which is what any text has on average. Equal
-    rows have equal keys and are kept or not together. Without good labels all rows are kept, and an
-    empty table gives an empty one.
-    """
+def _drawn(docs: DataFrame, labels: DataFrame, text: str, key: str, seed: int, max_labelled: int) -> tuple[Column, Column, DataFrame, float]:
+    """The weight and the key of a row of ``docs`` as columns, both as a written table, and the least key that is kept."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("log_weight", "resampling_key", "kept")]
     good_ids = labels.where("quality = 1").select(F.col("doc_id").alias("_good_id")).distinct()
     good_ids = good_ids.orderBy(F.xxhash64("_good_id", F.lit(seed)), "_good_id").limit(max_labelled)  # bounded
     good_ids = F.broadcast(good_ids.withColumn("_held_out", F.pmod(F.xxhash64("_good_id", F.lit(seed + 1)), F.lit(4)) == 0))
@@ -142,10 +135,32 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noise = -F.log(-F.log(uniform))
-    drawn = docs.select(*own, log_weight(F.col(text)).alias("log_weight")).withColumn("resampling_key", F.col("log_weight") + noise)
-    keyed = written(drawn.select(F.col(key).alias("_id"), "log_weight", F.col("resampling_key").alias("key")), "resampling-keys")  # no texts
+    weight = log_weight(F.col(text))
+    keyed = docs.select(F.col(key).alias("_id"), weight.alias("log_weight"), noise.alias("noise")).select("_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
+    keyed = written(keyed, "resampling-keys")  # no texts
     good = keyed.join(good_ids, F.col("_id") == F.col("_good_id"))
     held_out, any_good = good.agg(F.percentile(F.when(F.col("_held_out"), F.col("log_weight")), SLACK), F.percentile("log_weight", SLACK)).first()
     level = held_out if held_out is not None else any_good if any_good is not None else float("-inf")
     k = keyed.where(F.col("log_weight") >= level).count()
-    return drawn.withColumn("kept", F.col("resampling_key") >= threshold(keyed.select("key"), k))
+    return weight, noise, keyed, threshold(keyed.select("key"), k)
+
+
+def scores(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 7, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The key column, log_weight, resampling_key and kept of each row of ``docs``, without its texts: as resample(), each text scored once."""
+    _, _, keyed, least = _drawn(docs, labels, text, key, seed, max_labelled)
+    return keyed.select(F.col("_id").alias(key), "log_weight", F.col("key").alias("resampling_key"), (F.col("key") >= least).alias("kept"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 7, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """``docs`` with log_weight, resampling_key and kept; columns of these names are replaced.
+
+    ``labels`` has doc_id and quality (1 good, 0 bad); null labels and documents without one count for
+    the raw model alone. Null and empty texts have weight 0, which is what any text has on average. Equal
+    rows have equal keys and are kept or not together. Without good labels all rows are kept, and an
+    empty table gives an empty one. The draw needs the keys of all rows, so texts are scored once for it and once
+    more for the rows: that takes less than a shuffle of the texts to join them with their keys.
+    """
+    weight, noise, _, least = _drawn(docs, labels, text, key, seed, max_labelled)
+    own = [c for c in docs.columns if c not in ("log_weight", "resampling_key", "kept")]
+    drawn = docs.select(*own, weight.alias("log_weight"), noise.alias("resampling_key"))
+    return drawn.withColumn("resampling_key", F.col("log_weight") + F.col("resampling_key")).withColumn("kept", F.col("resampling_key") >= least)

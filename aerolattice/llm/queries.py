@@ -42,7 +42,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    drawn = importance.resample(docs, labels(spark, sf_dir))
+    drawn = importance.scores(docs, labels(spark, sf_dir))
     return drawn.select("doc_id", F.round("log_weight", 4).alias("log_weight"), F.round("resampling_key", 4).alias("resampling_key"), "kept")
 
 
