@@ -2,9 +2,10 @@
 
 Severity grades are ordered: 0 clean, 1 mild, 2 severe. One weight for each word is shared by all
 thresholds: P(grade <= k) = 1 / (1 + exp(w.x - b_k)), b_1 < b_2. The words are those whose share among
-labelled toxic documents is beyond chance. Labels only say toxic or not; a toxic document is severe if it
-has more than the usual number of such words. Vocabulary, grades and weights are learned from a bounded
-sample of labelled documents; scoring reads whole texts.
+labelled toxic documents is beyond chance. Grades come from the labels where these have more than 0 and 1.
+Where labels only say toxic or not, grades are made: a toxic document is severe if it has more than the usual
+number of such words, so the upper threshold then says how many there are, not how bad they are. Vocabulary,
+grades and weights are learned from a bounded sample of labelled documents; scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import slices
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that are learned from at most, words of the vocabulary at most, and the standard score beyond chance.
+#: Labelled documents that are learned from at most; the standard score beyond chance and the documents that a word needs.
+#: All words that have both are features: so many documents bound their number.
 MAX_LABELLED = 20_000
-MAX_WORDS = 2000
 MIN_SCORE, MIN_DOCS = 4.0, 3
 #: Occurrences of a word count up to this.
 MAX_COUNT = 3
@@ -94,32 +95,35 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 11, max_labelled: int = MAX_LABELLED) -> CumulativeLink:
-    """Learns from at most ``max_labelled`` rows of ``labels`` (doc_id, toxic 0 or 1) with their documents.
+    """Learns from at most ``max_labelled`` rows of ``labels`` (doc_id, toxic) with their documents.
 
-    Null labels are left out; of a document with several, or several rows of it, the most toxic counts.
-    Without toxic or without clean rows the model gives grade 0 to all.
+    ``toxic`` is 0 for clean; if it is at most 1, the toxic documents are parted into two grades as stated
+    above, else its values are the grades. Null and negative labels are left out; of a document with several, or
+    several rows of it, the most toxic counts. Without toxic or without clean rows the model gives grade 0 to all.
     """
-    known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    spark = docs.sparkSession
+    known = labels.where("toxic >= 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     known = F.broadcast(known.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_labelled))  # bounded
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, "_id")
     words = rows.select("_id", "toxic", "text").mapInPandas(_words, "_id long, toxic int, word string, n int").cache()
     try:
         found = rows.groupBy("toxic").agg(F.count_distinct("_id")).collect()
         sizes = dict(tuple(r) for r in found)
-        toxic_n, clean_n = sizes.get(1, 0), sizes.get(0, 0)
+        toxic_n, clean_n = sum(n for k, n in sizes.items() if k), sizes.get(0, 0)
         if not toxic_n or not clean_n:
             return CumulativeLink([], np.zeros(0), np.array([50.0, 51.0]))
-        t = F.count_distinct(F.when(F.col("toxic") == 1, F.col("_id")))
+        t = F.count_distinct(F.when(F.col("toxic") > 0, F.col("_id")))
         c = F.count_distinct(F.when(F.col("toxic") == 0, F.col("_id")))
-        shares = words.groupBy("word").agg(t.alias("t"), c.alias("c")).where(f"t + c >= {MIN_DOCS}")
+        shares = words.groupBy("word").agg(t.alias("t"), c.alias("c")).where(f"t + c >= {MIN_DOCS} AND t + c < {toxic_n + clean_n}")  # a word of all documents tells nothing
         pooled = (F.col("t") + F.col("c")) / (toxic_n + clean_n)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / toxic_n + 1 / clean_n))
         ranked = shares.withColumn("z", (F.col("t") / toxic_n - F.col("c") / clean_n) / spread).where(F.col("z") >= MIN_SCORE)
-        chosen = [r.word for r in ranked.orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()]
+        features = spark.createDataFrame(ranked.select("word").orderBy("word").collect(), "word string")
+        chosen = [r.word for r in features.collect()]
         if not chosen:
             return CumulativeLink([], np.zeros(0), np.array([50.0, 51.0]))
         place = {w: k for k, w in enumerate(chosen)}
-        table = words.where(F.col("word").isin(chosen)).groupBy("_id", "word").agg(F.max("n").alias("n")).orderBy("_id", "word").collect()
+        table = words.join(F.broadcast(features), "word").groupBy("_id", "word").agg(F.max("n").alias("n")).orderBy("_id", "word").collect()
         ids = [tuple(r) for r in rows.select("_id", "toxic").distinct().orderBy("_id").collect()]  # max_labelled rows at most
     finally:
         words.unpersist()
@@ -128,13 +132,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     col = np.array([place[r.word] for r in table], np.int64)
     value = np.array([r.n for r in table], float)
     toxic = np.array([t for _, t in ids])
+    if (grades := int(toxic.max())) > 1:
+        return CumulativeLink.fit(chosen, row, col, value, toxic, grades + 1)
     many = np.bincount(row, weights=value, minlength=len(ids))
     usual = np.median(many[(toxic == 1) & (many > 0)]) if ((toxic == 1) & (many > 0)).any() else 1
     return CumulativeLink.fit(chosen, row, col, value, np.where(toxic == 1, 1 + (many > usual), 0), 3)
 
 
 def with_severity(df: DataFrame, model: CumulativeLink, text: str = "text") -> DataFrame:
-    """``df`` with expected_severity (0 to 2), grade (the likeliest) and toxic; columns of these names are replaced.
+    """``df`` with expected_severity (0 to the highest grade), grade (the likeliest) and toxic; columns of these names are replaced.
 
     Null and empty texts have no words and get what the thresholds alone say. Each row depends on its own
     text.
@@ -145,7 +151,7 @@ def with_severity(df: DataFrame, model: CumulativeLink, text: str = "text") -> D
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [shared.value.beyond(p) for p in slices(batch.fillna("").tolist())]
-            beyond = np.concatenate(parts) if parts else np.zeros((0, 2))
+            beyond = np.concatenate(parts) if parts else np.zeros((0, len(shared.value.bounds)))
             each = -np.diff(np.concatenate([np.ones((len(beyond), 1)), beyond, np.zeros((len(beyond), 1))], axis=1), axis=1)
             yield pd.DataFrame({"expected_severity": beyond.sum(axis=1).round(6), "grade": each.argmax(axis=1)})
 
