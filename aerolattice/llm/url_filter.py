@@ -1,12 +1,16 @@
 """URL filter in DataFrame functions and MLlib: rules by host and path, else gradient-boosted trees.
 
 The trees see lexical features alone: lengths, depth, digits, entropy, parameters, hyphens and statistics
-of the host's suffix. They are trained from labelled URLs; where no labels are given, hosts with a word of
-SEED_WORDS between dots and hyphens are labelled block and all others allow, and no feature names the words.
+of the host's suffix. They are trained from labelled URLs, of each verdict a sample of bounded size by a hash of
+the URL; the statistics of a suffix that a URL is trained with come from the hosts of other folds. Where no
+labels are given, hosts with a word of SEED_WORDS between dots and hyphens are labelled block and all others
+allow, and no feature names the words.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words that mark a host as unwanted.
 SEED_WORDS = ("spam", "farm", "pills", "cheap", "bets", "free", "adult", "casino", "porn", "xxx", "viagra", "poker", "lottery", "escort", "torrent", "warez")
-#: Labelled URLs of each verdict that are trained from at most.
-MAX_LABELLED = 5_000
+#: Labelled URLs of each verdict that are trained from, about and at most by a hair, and folds of hosts for the statistics of suffixes.
+MAX_LABELLED, FOLDS = 5_000, 5
 TREES, DEPTH, SEED = 20, 3, 5
 FEATURES = ("url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "params", "query_chars", "suffix_chars", "suffix_share", "suffix_blocked")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,6 +80,10 @@ def seed_labels(urls: DataFrame) -> Column:
     return F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, SEED_WORDS))).cast("int")
 
 
+def _blocked(n: Column, blocked: Column) -> Column:
+    return ((blocked + 1) / (n + 2)).alias("suffix_blocked")
+
+
 class UrlModel:
     """The trees, and the statistics of suffixes in what they were trained from (2 * MAX_LABELLED rows at most)."""
 
@@ -83,25 +91,31 @@ class UrlModel:
         self.trees, self.suffixes = trees, suffixes
 
     @staticmethod
-    def _vectors(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
-        joined = rows.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5})
+    def _vectors(rows: DataFrame, suffixes: DataFrame, *more: str) -> DataFrame:
+        joined = rows.join(F.broadcast(suffixes), ["suffix", *more], "left").fillna({"suffix_share": 0.0, "suffix_blocked": 0.5})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
     @classmethod
     def train(cls, labelled: DataFrame) -> UrlModel:
         """From rows (url, host, path, label 0 or 1); both labels are needed, else no trees are grown."""
-        parts = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED) for k in (0, 1)]
-        rows = features(parts[0].unionByName(parts[1])).cache()
+        found = dict(tuple(r) for r in labelled.where("label in (0, 1)").groupBy("label").count().collect())
+        share = F.pmod(F.xxhash64("url"), F.lit(1 << 40)) / (1 << 40)  # a sample by hash takes no sort
+        drawn = reduce(lambda c, k: c | ((F.col("label") == k) & (share < MAX_LABELLED / found[k])), found, F.lit(False))
+        rows = features(labelled.where(drawn)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))).cache()
         try:
             sizes = dict(tuple(r) for r in rows.groupBy("label").count().collect())
             if len(sizes) < 2:
                 return cls(None, None)
             total = sum(sizes.values())
-            of_suffix = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-            suffixes = of_suffix.select("suffix", (F.col("n") / total).alias("suffix_share"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("suffix_blocked"))
-            suffixes = labelled.sparkSession.createDataFrame(suffixes.collect(), suffixes.schema)  # a row for each suffix of the sample
+            spark = labelled.sparkSession
+            of_fold = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).collect()  # of the sample
+            of_fold = spark.createDataFrame(of_fold, "suffix string, fold long, n long, blocked long")
+            of_suffix = of_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+            suffixes = of_suffix.select("suffix", (F.col("n") / total).alias("suffix_share"), _blocked(F.col("n"), F.col("blocked")))
+            others = of_suffix.join(of_fold.select("suffix", "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own")), "suffix")
+            others = others.select("suffix", "fold", (F.col("n") / total).alias("suffix_share"), _blocked(F.col("n") - F.col("own_n"), F.col("blocked") - F.col("own")))
             weights = F.when(F.col("label") == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
-            vectors = cls._vectors(rows, suffixes).select("features", F.col("label").cast("double").alias("label"), weights.alias("weight"))
+            vectors = cls._vectors(rows, others, "fold").select("features", F.col("label").cast("double").alias("label"), weights.alias("weight"))
             trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", stepSize=0.3).fit(vectors.coalesce(1))
         finally:
             rows.unpersist()
