@@ -1,6 +1,9 @@
+import math
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from aerolattice.llm import decontaminate, importance, quality_rules, queries, severity, url_filter
@@ -60,6 +63,55 @@ def test_resampling(spark, docs, none, prose):
     assert importance.resample(docs, prose["labels"].where("false")).where("not kept").count() == 0
 
 
+def plain_buckets(text):
+    """Trigrams and word pairs of one text by whole numbers of Python."""
+    mask = 2**64 - 1
+    raw = bytes(32 if 9 <= c <= 13 else 48 if 48 <= c <= 57 else c for c in text.encode() + b" ")
+    first = [(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1 % 2**32 >> 16 for i in range(len(raw) - 2) if raw[i : i + 2] != b"  "]
+    words = []
+    for w in raw.split(b" "):
+        if w:
+            h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(w)) & mask
+            words.append(h ^ h >> 29)
+    second = []
+    for a, b in zip(words, words[1:], strict=False):
+        h = (a * 0xD6E8FEB86659FD93 + b) & mask
+        second.append((((h ^ h >> 32) * 0x9E3779B97F4A7C15) & mask) >> 48)
+    return [*first, *(x + importance.BUCKETS for x in second)]
+
+
+def test_resampling_against_plain_python(spark, prose):
+    """Weights, Gumbel keys and the draw, each counted anew row by row."""
+    rows = [(r.doc_id, r.text or "") for r in prose["documents"].collect()] + [(900, ""), (901, "one"), (902, "a  1\t\n2 b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = {r.doc_id for r in prose["labels"].where("quality = 1").collect()}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    of_long = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), seed)
+    of_int = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(4, "little", signed=True), seed)
+    held = {i for i in good if signed(of_int(8, of_long(i, 42))) % 4 == 0}
+    counts = [Counter(), Counter()]
+    for i, t in rows:
+        found = Counter(plain_buckets(t))
+        counts[1] += found
+        if i in good - held:
+            counts[0] += found
+    size = [[importance.BUCKETS + sum(n for b, n in c.items() if b // importance.BUCKETS == kind) for kind in (0, 1)] for c in counts]
+    ratio = lambda b: math.log((counts[0][b] + 1) / size[0][b // importance.BUCKETS]) - math.log((counts[1][b] + 1) / size[1][b // importance.BUCKETS])
+    weights, keys = {}, {}
+    for i, t in rows:
+        found = plain_buckets(t)
+        weights[i] = 100 * sum(map(ratio, found)) / max(len(found), 1)
+        h = signed(xxhash.xxh64_intdigest(t.encode(), of_long(i, of_int(7, 42))))
+        keys[i] = weights[i] - math.log(-math.log((h % 2**52 + 0.5) / 2**52))
+    level = np.percentile([weights[i] for i, _ in rows if i in held], 100 * importance.SLACK)
+    kept = sorted(keys.values(), reverse=True)[sum(w >= level - 1e-9 for w in weights.values()) - 1]
+    for got in (importance.scores(docs, prose["labels"]), importance.resample(docs, prose["labels"])):
+        assert got.count() == len(rows)
+        for r in got.collect():
+            assert abs(r.log_weight - weights[r.doc_id]) < 1e-6 and abs(r.resampling_key - keys[r.doc_id]) < 1e-6
+            assert r.kept == (keys[r.doc_id] >= kept - 1e-9)
+
+
 def test_resampling_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels, all_docs = spark.read.parquet(f"{d}/labels.parquet"), spark.read.parquet(f"{d}/documents.parquet")
@@ -85,7 +137,50 @@ def test_severity_on_held_out_labels(spark):
     assert list(model.bounds) == sorted(model.bounds)
     held = severity.with_severity(all_docs, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id")
     shares = dict(held.groupBy("truth").agg(F.avg(F.col("toxic").cast("int"))).collect())
-    assert shares[0] < 0.02 and shares[1] > 0.7
+    assert shares[0] < 0.02 and shares[1] > 0.9
+
+
+def test_cumulative_link_is_the_likeliest():
+    """fit() against Newton's method on the same likelihood, with gradients by differences."""
+    rnd = np.random.default_rng(2)
+    n, v = 400, 3
+    x = rnd.integers(0, 3, (n, v)).astype(float)
+    score = x @ np.array([1.5, -0.7, 0.4])
+    grade = (score[:, None] + rnd.logistic(size=(n, 1)) > np.array([[0.5, 2.5, 4.0]])).sum(axis=1)
+
+    def loss(theta):
+        bounds = np.concatenate([[-np.inf], theta[v] + np.concatenate([[0], np.cumsum(np.exp(theta[v + 1 :]))]), [np.inf]])
+        below = lambda b, s: 1 / (1 + np.exp(np.clip(s - b, -700, 700)))
+        p = [below(bounds[g + 1], s) - below(bounds[g], s) for g, s in zip(grade, x @ theta[:v], strict=True)]
+        return -np.mean(np.log(p)) + severity.L2 / 2 * (theta[:v] ** 2).sum() / v
+
+    theta, e = np.zeros(v + 3), 1e-4
+    step = np.eye(len(theta)) * e
+    for _ in range(12):
+        slope = np.array([(loss(theta + d) - loss(theta - d)) / (2 * e) for d in step])
+        curve = np.array([[(loss(theta + a + b) - loss(theta + a - b) - loss(theta - a + b) + loss(theta - a - b)) / (4 * e * e) for b in step] for a in step])
+        theta = theta - np.linalg.solve(curve + 1e-6 * np.eye(len(theta)), slope)
+    row, col = np.nonzero(x)
+    model = severity.CumulativeLink.fit(list("abc"), row, col, x[row, col], grade, 4)
+    bounds = theta[v] + np.concatenate([[0], np.cumsum(np.exp(theta[v + 1 :]))])
+    assert np.abs(model.weights - theta[:v]).max() < 0.02 and np.abs(model.bounds - bounds).max() < 0.02
+    texts = ["", "a", "b b", "a a a a c"]
+    counts = np.array([[0, 0, 0], [1, 0, 0], [0, 2, 0], [severity.MAX_COUNT, 0, 1]])
+    wanted = [[1 / (1 + math.exp(b - s)) for b in model.bounds] for s in counts @ model.weights]
+    assert np.allclose(model.beyond(texts), wanted)
+
+
+def test_grades_of_the_labels_are_kept(spark):
+    rnd = np.random.default_rng(4)
+    rows, marks = [], []
+    for k in range(300):
+        grade = k % 4
+        words = [f"w{x}" for x in rnd.integers(0, 200, 40)] + ["bad"] * (grade > 0) + ["worse"] * (grade > 1) + ["worst"] * (grade > 2)
+        rows.append((k, " ".join(words)))
+        marks.append((k, grade))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = severity.with_severity(docs, severity.train(docs, labels))
+    assert got.join(labels.withColumnRenamed("toxic", "truth"), "doc_id").where("grade = truth").count() == 300
 
 
 def test_severity_of_odd_rows(spark, docs, none, prose):
@@ -109,6 +204,16 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, d).collect()} == wanted
 
 
+def test_question_and_answer_apart(spark):
+    question, answer = "What does the patient say about the long winter nights in town?", "Nothing at all, it seems, but then again who knows such things."
+    far, other = " ".join(f"filler{k}" for k in range(400)), "A quite different answer that no item of the benchmark has."
+    rows = [(1, f"{question} {far} {answer}"), (2, f"{answer} {far} {question}"), (3, f"{question} {far} {other}"), (4, f"{question} {other}"), (5, f"{far} {answer}"), (6, f"{far} {question} {answer}")]
+    items = spark.createDataFrame([(7, f"{question}\n{answer}"), (8, f"Is it?\n{answer}")], "item_id long, text string")
+    found = decontaminate.with_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: sorted(x.item_id for x in r.leaks) for r in found} == {1: [7, 8], 2: [7, 8], 3: [], 4: [], 5: [8], 6: [7, 8]}
+    assert all(x.question_overlap == x.answer_overlap == 1.0 for r in found for x in r.leaks if x.item_id == 7)
+
+
 def test_leaks_of_odd_rows(spark, docs, none, prose):
     question = "What does the patient say about the long winter nights in town?\nNothing at all, it seems."
     other = " ".join(f"filler{k}" for k in range(500))
@@ -145,6 +250,30 @@ def test_urls(spark, prose):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_trees_judge_hosts_that_they_have_not_met(spark):
+    """Labelled hosts whose blocked ones have long names of digits and hyphens; tested on other hosts."""
+    rnd = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(rnd.choice(letters, n))
+    rows = []
+    for k in range(600):
+        bad = k % 3 == 0
+        name = f"{word(5)}-{rnd.integers(1000, 99999)}-{word(7)}" if bad else word(rnd.integers(4, 12))
+        for _ in range(3):
+            path = f"/{word(4)}/{word(8)}" + (f"?{word(2)}={rnd.integers(10**6)}&{word(2)}={word(9)}&r={word(3)}" if bad and rnd.random() < 0.7 else "")
+            rows.append((len(rows), f"http://{name}.{rnd.choice(['info', 'biz'] if bad and rnd.random() < 0.5 else ['info', 'eu', 'edu'])}{path}", int(bad), k % 2))
+    df = spark.createDataFrame(rows, "page_id long, url string, label int, part int")
+    got = url_filter.judge(df.where("part = 1"), df.where("part = 0").select("url", "label")).join(df.select("page_id", "label"), "page_id")
+    shares = dict(got.groupBy("label").agg(F.avg((F.col("verdict") == "block").cast("int"))).collect())
+    assert shares[1] > 0.9 and shares[0] < 0.05
+
+
+def test_repeated_and_null_urls(spark):
+    df = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (2, None), (None, "http://a.com/x")], "page_id long, url string")
+    got = url_filter.judge(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert len(got) == 4 and len({tuple(r)[1:] for r in got if r.host}) == 1
+
+
 def test_trees_learn_from_labels(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = url_filter.judge(pages)
