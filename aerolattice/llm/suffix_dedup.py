@@ -38,8 +38,8 @@ STEP = 1 << 19
 HELD_PIECES, HELD_FOR_BUCKET = 400_000, 64
 #: Bytes sorted at once, and bytes of the pieces of one hash beyond which its windows are dealt out one by one.
 SORT_BYTES = HOT_BYTES = 1_000_000
-#: Buckets of pieces for each shuffle partition, as long as there are no more than MANY_BUCKETS.
-FINER, MANY_BUCKETS = 8, 4096
+#: Buckets of pieces where there are fewer shuffle partitions; else one for each.
+BUCKETS = 400
 #: Rows that a task hands on at once, and bytes of texts.
 ROWS_OUT, BYTES_OUT = 20_000, 2_000_000
 
@@ -386,10 +386,23 @@ def spans_of(places: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.n
     return starts[new], np.append(ends[:-1][new[1:]], ends[-1])
 
 
-KEPT = "n_bytes long, n_removed long, n_spans long, spans array<array<bigint>>, kept binary"
+KEPT = "n_bytes long, n_removed long, n_spans long, spans array<array<bigint>>"
 
 
-def _cut_out(names: list[str]):
+def whole_run(run: bytes) -> str:
+    """A run of the bytes of a text, without those of characters that are parted at its ends."""
+    begin, end = 0, len(run)
+    while begin < end and run[begin] & 0xC0 == 0x80:
+        begin += 1
+    last = end - 1
+    while last > begin and run[last] & 0xC0 == 0x80:
+        last -= 1
+    if last >= begin and last + 1 + sum(run[last] >= lead for lead in (0xC0, 0xE0, 0xF0)) > end:
+        end = last
+    return run[begin:end].decode()
+
+
+def _cut_out(names: list[str], characters: bool):
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             filled = batch["text"].str.len().fillna(0).cumsum().to_numpy()
@@ -401,16 +414,20 @@ def _cut_out(names: list[str]):
                     places = np.concatenate([np.asarray([] if x is None else x, np.int64) for x in (whole, parts)])
                     begins, ends = spans_of(places, 0 if pd.isna(base) else int(base), len(raw))
                     edges = [0, *np.stack([begins, ends], 1).reshape(-1).tolist(), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(raw), len(raw) - len(kept), len(begins), np.stack([begins, ends], 1).tolist(), kept))
+                    runs = [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                    kept = text if characters and not len(begins) else "".join(map(whole_run, runs)) if characters else b"".join(runs)
+                    rows.append((len(raw), len(raw) - sum(map(len, runs)), len(begins), np.stack([begins, ends], 1).tolist(), kept))
                 out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "spans", "kept"])
                 yield pd.concat([part[names].reset_index(drop=True), out], axis=1)
 
     return cut_out
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans, spans (begin and end of each removed run) and kept (bytes).
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES, hot_bytes: int = HOT_BYTES, characters: bool = False) -> DataFrame:
+    """doc_id, columns, n_bytes, n_removed, n_spans, spans (begin and end of each removed run) and kept (bytes) of each row.
+
+    With ``characters``, kept is a string: of a character that a cut parts, the other bytes go too; texts of which
+    nothing is removed stay as they are, null ones too.
 
     Removed is each byte of ``text`` (UTF-8) within a 50-byte string that also starts in a row with a
     smaller ``doc_id``. Null texts are as empty. Rows with a null ``doc_id`` stay whole and remove nothing;
@@ -425,7 +442,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("columns"))
     before = Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.repartition(n, "doc_id").withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long"))
-    dealt = placed.mapInPandas(_deal(max(n, min(FINER * n, MANY_BUCKETS))), DEALT)
+    dealt = placed.mapInPandas(_deal(max(n, BUCKETS)), DEALT)
     found = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_match(hot_bytes), FOUND)
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("found"))
     to_sort = by_doc.select("doc_id", F.filter("found", lambda x: x.hash >= 0).alias("found")).where(F.size("found") > 0)
@@ -438,5 +455,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
     whole = by_doc.select("doc_id", F.transform(F.filter("found", lambda x: x.hash < 0), lambda x: x.place).alias("whole"))
     joined = placed.join(whole, "doc_id", "left").join(parts, "doc_id", "left")
-    out = joined.withColumn("columns", F.to_json("columns")).mapInPandas(_cut_out(["doc_id", "text", "columns"]), f"doc_id long, text string, columns string, {KEPT}")
+    out = joined.withColumn("columns", F.to_json("columns")).mapInPandas(
+        _cut_out(["doc_id", "columns"], characters), f"doc_id long, columns string, {KEPT}, kept {'string' if characters else 'binary'}"
+    )
     return out.withColumn("columns", F.from_json("columns", rows.schema["columns"].dataType))

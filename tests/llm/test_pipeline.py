@@ -1,9 +1,8 @@
 import public_tokenizers
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from aerolattice.llm import decontaminate
+from aerolattice.llm import decontaminate, suffix_dedup
 from aerolattice.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -37,16 +36,10 @@ def test_stages_take_odd_and_empty_tables(spark, docs):
 
 
 def test_only_parted_characters_go_at_cuts(spark):
-    text = "a\ufffdb é😀漢" * 3
-    raw, rows = text.encode(), []
-    for begin in range(len(raw)):
-        for end in range(begin + 1, len(raw) + 1):
-            rest = raw[:begin].decode(errors="ignore") + raw[end:].decode(errors="ignore")
-            rows.append((raw[:begin] + raw[end:], [[begin, end]], rest))
-    rows += [(raw[:4] + raw[9:12] + raw[20:], [[4, 9], [12, 20]], "".join(x.decode(errors="ignore") for x in (raw[:4], raw[9:12], raw[20:])))]
-    df = spark.createDataFrame(rows, "kept binary, spans array<array<long>>, rest string")
-    got = df.select(cp.whole_characters(F.col("kept"), F.col("spans")).alias("text"), "rest").collect()
-    assert [r.text for r in got] == [r.rest for r in got]
+    raw = ("a\ufffdb é😀漢" * 3).encode()
+    for begin in range(len(raw) + 1):
+        for end in range(begin, len(raw) + 1):
+            assert suffix_dedup.whole_run(raw[begin:end]) == raw[begin:end].decode(errors="ignore")
     docs = [(1, "p" * 10 + "é" * 30, "en", "s", 40), (2, "q\ufffd" + "é" * 30 + "\ufffdz", "en", "s", 34)]
     left = cp.repeated_passages(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF)
     assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()}[2] == ("q\ufffd\ufffdz", 4)
