@@ -6,11 +6,8 @@ documents are written to the shared folder and read again, so a lost executor co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolattice.llm import bpe, decontaminate, importance, simhash, suffix_dedup
@@ -36,45 +33,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A cut may part a character; its other bytes go with it.
     """
-    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(whole_characters(F.when(F.col("n_removed") > 0, F.col("kept")), F.col("spans")))
-    left = cut.select("doc_id", text.alias("text"), "columns.lang", "columns.source", "columns.n_chars", "n_removed")
-    kept = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
-
-
-def whole_run(run: bytes) -> str:
-    """A run of the bytes of a text, without those of characters that are parted at its ends."""
-    begin, end = 0, len(run)
-    while begin < end and run[begin] & 0xC0 == 0x80:
-        begin += 1
-    last = end - 1
-    while last > begin and run[last] & 0xC0 == 0x80:
-        last -= 1
-    if last >= begin and last + 1 + sum(run[last] >= lead for lead in (0xC0, 0xE0, 0xF0)) > end:
-        end = last
-    return run[begin:end].decode()
-
-
-def whole_characters(kept: Column, spans: Column) -> Column:
-    """``kept`` as text, without the characters that the removal of ``spans`` has parted; null stays null."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts = []
-            for raw, removed in zip(*batch, strict=True):
-                if raw is None:
-                    texts.append(None)
-                    continue
-                runs, begin, gone = [], 0, 0
-                for first, end in removed:
-                    runs.append(raw[begin : first - gone])
-                    begin, gone = first - gone, gone + end - first
-                texts.append("".join(map(whole_run, [*runs, raw[begin:]])))
-            yield pd.Series(texts, dtype="object")
-
-    return run(kept, spans)
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), characters=True)
+    left = cut.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_removed") == 0, F.col("columns.n_chars")).otherwise(F.length("kept")).alias("n_chars")
+    return left.select("doc_id", F.col("kept").alias("text"), "columns.lang", "columns.source", n_chars)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
