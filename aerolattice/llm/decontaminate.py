@@ -5,7 +5,8 @@ OVERLAP of an item's five-word shingles: at most that share of its words can be
 taken to be its weightiest. So nothing above the overlap is lost by the search. A passage first drops out
 if its terms' largest scores don't add up to 1; terms that can't reach 1 together without others name no
 candidates (the WAND bound); blocks of items whose per-term maxima don't add up to 1 are skipped (block
-maxima); what is left is scored exactly. Passages are windows that overlap by half and are longer than
+maxima); what is left is scored exactly. Where the table of block maxima is small, all blocks of a passage are
+bounded at one go, else only those that such terms name. Passages are windows that overlap by half and are longer than
 twice any item, so that each occurrence lies within one; whole texts are read. The question of an item is indexed
 as well, as an entry of its own. What is found is verified by shared five-word shingles: the whole item's within
 the passage, or the question's and the answer's each, wherever they stand in the text.
@@ -31,6 +32,8 @@ K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 #: Bytes of items that one index holds; more items are dealt out to several indexes, each broadcast in turn.
 MAX_INDEX_BYTES = 16_000_000
+#: Terms of windows that are scored at once.
+AT_ONCE = 1 << 20
 #: Cells up to which a table of scores is kept in full.
 FULL_CELLS = 2_000_000
 FOUND = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
@@ -81,6 +84,12 @@ class ScoreTable:
         return self.keys[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[number]] % self.width, number
 
 
+def _parts(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of ``counts`` that each add up to about ``limit``."""
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(counts) // max(limit, 1))) + 1).tolist(), len(counts)]
+    return ((low, high) for low, high in zip(edges, edges[1:], strict=False) if high > low)
+
+
 class ItemIndex:
     """BM25 postings of some items, by term and by block, with the items' shingles for verification."""
 
@@ -111,7 +120,9 @@ class ItemIndex:
         for item, (own, words) in enumerate(zip(counts, texts, strict=True)):
             length = K1 * (1 - B + B * len(words) / usual)
             scores = {k: float(idf[k]) * c * (K1 + 1) / (c + length) for k, c in own.items()}
-            missing = math.ceil((1 - OVERLAP) * len(shingles(words)))
+            found, places = len(shingles(words)), max(1, len(words) - SHINGLE + 1)
+            # each word that is missing takes a shingle with it, if no shingle is there twice
+            missing = math.floor((1 - OVERLAP) * found + 1e-9) if found == places else math.ceil((1 - OVERLAP) * places)
             least = sum(scores.values()) - sum(sorted(scores.values(), reverse=True)[:missing])
             least = max(least, 0.2 * min(scores.values()))
             for k, s in scores.items():
@@ -122,7 +133,7 @@ class ItemIndex:
             at = (k, item // BLOCK_ITEMS)
             maxima[at] = max(maxima.get(at, 0.0), s)
         self.items = n
-        self.postings = ScoreTable(postings, n, len(names))
+        self.postings = ScoreTable(postings, self.blocks * BLOCK_ITEMS, len(names))
         self.maxima = ScoreTable(maxima, self.blocks, len(names))
         self.bounds = np.zeros(len(names))
         for (k, _), s in maxima.items():
@@ -157,33 +168,62 @@ class ItemIndex:
         window, term, bound = window[order], term[order], bound[order]
         begin = np.flatnonzero(np.diff(window, prepend=-1))
         counts = np.diff(np.append(begin, len(window)))
-        sums = np.cumsum(bound)
-        within = sums - np.repeat(sums[begin] - bound[begin], counts)
-        essential = within >= 1 - 1e-9
-        block, number = self.maxima.places(term[essential])
-        candidate = np.unique(window[essential][number] * self.blocks + block)
-        rows = np.searchsorted(window[begin], candidate // self.blocks)
-        at, number = self._all_terms(begin, counts, rows)
-        score = self.maxima.of(term[at], (candidate % self.blocks)[number])
-        alive = np.bincount(number, weights=score, minlength=len(candidate)) >= 1 - 1e-9
-        candidate, rows = candidate[alive], rows[alive]
-        items = (candidate % self.blocks)[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)
-        real = (items < self.items).reshape(-1)
-        items, rows = items.reshape(-1)[real], np.repeat(rows, BLOCK_ITEMS)[real]
-        at, number = self._all_terms(begin, counts, rows)
-        score = self.postings.of(term[at], items[number])
-        score = np.bincount(number, weights=score, minlength=len(items))
+        if self.maxima.full is not None:
+            rows, block = self._bounded(term, begin, counts)
+        else:
+            sums = np.cumsum(bound)
+            within = sums - np.repeat(sums[begin] - bound[begin], counts)
+            essential = within >= 1 - 1e-9
+            block, number = self.maxima.places(term[essential])
+            candidate = np.unique(window[essential][number] * self.blocks + block)
+            rows, block = np.searchsorted(window[begin], candidate // self.blocks), candidate % self.blocks
+            alive = self._scores(self.maxima, term, begin, counts, rows, block) >= 1 - 1e-9
+            rows, block = rows[alive], block[alive]
+        if self.postings.full is not None:
+            rows, items, score = self._block_items(term, begin, counts, rows, block)
+        else:
+            items = (block[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)).reshape(-1)
+            rows = np.repeat(rows, BLOCK_ITEMS)
+            score = self._scores(self.postings, term, begin, counts, rows, items)
         hit = score >= 1 - 1e-9
         chunk = window[begin][rows[hit]]
         text = np.searchsorted(base, chunk, side="right") - 1
         return list(zip(text.tolist(), ((chunk - base[text]) * step).tolist(), items[hit].tolist(), score[hit].tolist(), strict=True))
 
+    def _bounded(self, term: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and blocks whose maxima add up to 1, of all windows and all blocks."""
+        maxima = self.maxima.full.reshape(-1, self.blocks)
+        rows, blocks = [], []
+        for low, high in _parts(counts, AT_ONCE // self.blocks):
+            sums = np.add.reduceat(maxima[term[begin[low] : begin[high - 1] + counts[high - 1]]], begin[low:high] - begin[low], axis=0)
+            row, block = np.nonzero(sums >= 1 - 1e-9)
+            rows.append(row + low)
+            blocks.append(block)
+        return np.concatenate(rows), np.concatenate(blocks)
+
+    def _block_items(self, term: np.ndarray, begin: np.ndarray, counts: np.ndarray, rows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, entries and scores of 1 and more, of the windows ``rows`` and the entries of their ``block``."""
+        scores = self.postings.full.reshape(-1, self.blocks, BLOCK_ITEMS)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for low, high in _parts(counts[rows], AT_ONCE // BLOCK_ITEMS):
+            n = counts[rows[low:high]]
+            number, first = np.repeat(np.arange(high - low), n), np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(first, n) + begin[rows[low:high]][number]
+            sums = np.add.reduceat(scores[term[at], block[low:high][number]], first, axis=0)
+            row, place = np.nonzero(sums >= 1 - 1e-9)
+            found.append((rows[low:high][row], block[low:high][row] * BLOCK_ITEMS + place, sums[row, place]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     @staticmethod
-    def _all_terms(begin: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all terms of the windows ``rows``, and for each the place of its window in ``rows``."""
-        n = counts[rows]
-        number = np.repeat(np.arange(len(rows)), n)
-        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[rows][number], number
+    def _scores(table: ScoreTable, term: np.ndarray, begin: np.ndarray, counts: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The sum over all terms of each of the windows ``rows`` of their scores at its place, about AT_ONCE terms at a time."""
+        out = np.zeros(len(rows))
+        for low, high in _parts(counts[rows], AT_ONCE):
+            n = counts[rows[low:high]]
+            number = np.repeat(np.arange(high - low), n)
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[rows[low:high]][number]
+            out[low:high] = np.bincount(number, weights=table.of(term[at], places[low:high][number]), minlength=high - low)
+        return out
 
     def matches(self, texts: list[str]) -> list[list[dict]]:
         """Of each text the items that it holds, each with its best score, verified by shingles."""

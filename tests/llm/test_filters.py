@@ -214,6 +214,15 @@ def test_question_and_answer_apart(spark):
     assert all(x.question_overlap == x.answer_overlap == 1.0 for r in found for x in r.leaks if x.item_id == 7)
 
 
+def test_small_tables_and_searched_ones_find_the_same(spark, prose, monkeypatch):
+    items = [(r.item_id, r.text) for r in prose["benchmark"].collect()]
+    texts = [r.text or "" for r in prose["documents"].collect()] + [f"{items[0][1]} x {items[1][1]}"]
+    full = decontaminate.ItemIndex(items).matches(texts)
+    monkeypatch.setattr(decontaminate, "FULL_CELLS", 0)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 500)
+    assert decontaminate.ItemIndex(items).matches(texts) == full and len(full[-1]) >= 2
+
+
 def test_leaks_of_odd_rows(spark, docs, none, prose):
     question = "What does the patient say about the long winter nights in town?\nNothing at all, it seems."
     other = " ".join(f"filler{k}" for k in range(500))
