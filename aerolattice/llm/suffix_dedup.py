@@ -37,7 +37,7 @@ STEP = 1 << 19
 #: Pieces a task gathers before it deals them out, at least, and for each bucket.
 HELD_PIECES, HELD_FOR_BUCKET = 400_000, 64
 #: Bytes sorted at once, and bytes of the pieces of one hash beyond which its windows are dealt out one by one.
-SORT_BYTES = HOT_BYTES = 1_000_000
+SORT_BYTES, HOT_BYTES = 1_000_000, 2_000_000
 #: Buckets of pieces where there are fewer shuffle partitions; else one for each.
 BUCKETS = 400
 #: Rows that a task hands on at once, and bytes of texts.
@@ -284,16 +284,22 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if h:
                     out.append((h, doc, place, raw[s : s + r + LENGTH - 1]))
                     continue
+                begin = s  # of the windows that have just been met in a smaller document
                 for k in range(s, s + r):
                     window, one = raw[k : k + LENGTH], ((base + k) << RUN_BITS) | 1
                     known = windows.setdefault(window, (doc, one))
                     if known[0] < doc:
-                        out.append((one, doc, one, None))
-                    elif known[0] > doc:
+                        continue
+                    if k > begin:
+                        out.append((one, doc, ((base + begin) << RUN_BITS) | (k - begin), None))
+                    begin = k + 1
+                    if known[0] > doc:
                         windows[window] = (doc, one)
                         out.append((known[1], known[0], known[1], None))
                     elif known[1] != one:  # another place of the same document shares its fate
                         out.append((xxh64_intdigest(window) >> 1, doc, one, window))
+                if s + r > begin:
+                    out.append((place, doc, ((base + begin) << RUN_BITS) | (s + r - begin), None))
                 if len(windows) > HELD_PIECES:
                     out += _windows_out(windows)
                     windows = {}
