@@ -26,6 +26,8 @@ EFFECTIVE = 100.0
 #: Labelled documents at most for the target model and for the level; the rest of the labels isn't needed.
 MAX_LABELLED = 20_000
 SLACK = 0.002
+#: Bytes of text whose n-grams are hashed at once.
+AT_ONCE = 1 << 18
 BINS = 2048
 
 _U = np.uint64
@@ -69,7 +71,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros((2, 2 * BUCKETS), np.int64)
     for batch in batches:
         for good in (True, False):
-            for part in slices(batch["text"][batch["good"] == good].tolist()):
+            for part in slices(batch["text"][batch["good"] == good].tolist(), AT_ONCE):
                 counts[int(good)] += np.bincount(ngram_buckets(part)[0], minlength=2 * BUCKETS)
     raw, at = counts.sum(axis=0), np.flatnonzero(counts.sum(axis=0))
     yield pd.DataFrame({"bucket": at, "target": counts[1][at], "raw": raw[at]})
@@ -130,7 +132,7 @@ def _drawn(docs: DataFrame, labels: DataFrame, text: str, key: str, seed: int, m
     @F.pandas_udf("double")
     def log_weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            parts = [weights(p, ratios.value) for p in slices(batch.fillna("").tolist())]
+            parts = [weights(p, ratios.value) for p in slices(batch.fillna("").tolist(), AT_ONCE)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
