@@ -238,13 +238,17 @@ def ecef_inverse(x: Column, y: Column, z: Column) -> tuple[Column, Column, Colum
 # --- tile names ---------------------------------------------------------------------------------------
 
 #: Forms of tile names, each with east and north in kilometres.
-TILE_FORMS = (r"\d{2}(\d{3})-(\d{4})", r"_33_(\d{3})_(\d{4})", r"(?:_|^)(\d{3})_(\d{4})$", r"(?:32)?(\d{3})_(\d{4})")
+TILE_FORMS = (r"\d{2}(\d{3})-(\d{4})", r"_33_(\d{3})_(\d{4})", r"_(\d{3})_(\d{4})$", r"^(\d{3})_(\d{4})", r"^32(\d+)_(\d+)(?:_|$)", r"^(\d+)_(\d+)(?:_|$)")
+#: What tile names may end in besides, in the order in which it is taken out.
+TILE_SUFFIXES = ("_20_DOM", "_DOM", "_DSM")
 
 
 def tile_origin(name: Column) -> tuple[Column, Column]:
     """Lower left corner in metres of the kilometre tile that ``name`` (without extension) names; else null."""
     east = north = F.lit(None).cast("string")
-    stem = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
+    stem = F.regexp_replace(F.substring_index(name, "/", -1), r"(?<=.)\.[^.]*$", "")
+    for suffix in TILE_SUFFIXES:
+        stem = F.replace(stem, F.lit(suffix), F.lit(""))
     for form in reversed(TILE_FORMS):
         east = F.when(stem.rlike(form), F.regexp_extract(stem, form, 1)).otherwise(east)
         north = F.when(stem.rlike(form), F.regexp_extract(stem, form, 2)).otherwise(north)
@@ -265,21 +269,33 @@ def tile_id(east: Column, north: Column, form: str) -> Column:
 # --- the keyframe rule --------------------------------------------------------------------------------
 
 
-def keyframe_reason(tracked: Column, since: Column, min_points: int = 100, initial: Column | None = None, error: Column | None = None, baseline: Column | None = None, min_interval: int = 5, max_interval: int | None = None, growth: float = 2.0, absolute: float = 2.0, grace: int = 15, drop: float = 0.4) -> Column:
+def keyframe_reason(
+    tracked: Column, since: Column, min_points: int = 100, initial: Column | None = None, error: Column | None = None, baseline: Column | None = None, spread: tuple[Column, Column, Column] | None = None,
+    min_interval: int = 5, max_interval: int = 0, growth: float = 2.0, absolute: float = 2.0, grace: int = 15, drop: float = 0.4, collapse: float = 30.0, decay: int = 100, margin: float = 0.35,
+) -> Column:
     """Why a frame becomes a keyframe, by the first rule that holds; empty if none does.
 
-    ``max_interval`` holds before the minimum interval is looked at; then too few points, then a loss of
-    points against the keyframe's, then errors that grow beyond the keyframe's or beyond a limit that is
-    looser in the first ``grace`` frames.
+    ``max_interval``, if any, holds even before the minimum interval. Then: fewer points than ``min_points``; fewer than
+    ``drop`` of the keyframe's and than three times ``min_points``; ten points or more (``spread`` has their number and
+    standard deviations in x and y) that lie within ``collapse``; an error beyond ``absolute``, or beyond the
+    keyframe's where that is larger, both looser in the first ``grace`` frames; and after these an error that has
+    grown beyond the keyframe's by a factor that falls from ``growth`` to 1 + ``margin`` over ``decay`` frames.
     """
     none = F.lit("")
-    reason = F.when(since >= max_interval, "max_interval") if max_interval is not None else F.when(F.lit(False), none)
-    reason = reason.when(since < min_interval, none).when(tracked < min_points, "few_points")
+    reason = F.when(since >= max_interval, "max_interval") if max_interval > 0 else F.when(F.lit(False), none)
+    reason = reason.when(since < min_interval, none).when(tracked < min_points, "low_points")
     if initial is not None:
-        reason = reason.when((initial > 0) & (tracked < drop * initial), "point_drop")
+        reason = reason.when((initial > 0) & (tracked < drop * initial) & (tracked < 3 * min_points), "point_drop")
+    if spread is not None:
+        n, x, y = spread
+        reason = reason.when((n >= 10) & ((x < collapse) | (y < collapse)), "spatial_collapse")
     if error is not None:
-        limit = absolute + 2 * F.greatest(F.lit(0.0), 1 - since / grace)
+        slack = 2 * F.greatest(F.lit(0.0), 1 - since / grace)
+        known = F.coalesce(baseline, F.lit(0.0)) if baseline is not None else F.lit(0.0)
+        limit = F.when((known > 0) & (known > absolute + slack), known + slack).otherwise(absolute + slack)
+        reason = reason.when(error > limit, "reproj_abs")
         if baseline is not None:
-            reason = reason.when((baseline > 0) & (error > growth * baseline) & (error > 0.5 * absolute), "error_growth")
-        reason = reason.when(error > limit, "error_limit")
+            gone = F.least(F.lit(1.0), (since - grace) / decay)
+            factor = 1 + (growth - 1) * (1 - gone) + margin * gone
+            reason = reason.when((known > 0) & (since >= grace) & (error > known * factor), "reproj_growth")
     return reason.otherwise(none)

@@ -43,6 +43,34 @@ def first_frame_alignment(df: DataFrame, pred: list[str], gt: list[str], seq: st
     return sums.select(seq, F.when(F.col("_norm") > 1e-12, F.col("_dot") / F.col("_norm")).otherwise(1.0).alias("scale"))
 
 
+def anchored(df: DataFrame, pred: list[str], gt: list[str], pred_rotation: str | None = None, gt_rotation: str | None = None, with_scale: bool = False, seq: str = "seq", order: str = "ord") -> DataFrame:
+    """``df`` with ``scale`` and the coordinates ``ax``, ``ay``, ``az`` of ``pred`` once its first frame is the truth's.
+
+    Where camera-to-world rotations are named (row-major arrays), the turn that makes the first ones equal is applied;
+    ``with_scale`` then fits the offsets from the first frame by least squares, 1 where the prediction stands still.
+    Two aggregates by sequence, of one row each; no sequence is held in one place.
+    """
+    named = [c for c in (pred_rotation, gt_rotation) if c]
+    first = df.groupBy(seq).agg(F.min_by(F.struct(*pred, *gt, *named), order).alias("_first"))
+    joined = df.join(first, seq)
+    moved = [F.col(p) - F.col(f"_first.{p}") for p in pred]
+    if pred_rotation and gt_rotation:
+        a, b = F.col(f"_first.{gt_rotation}"), F.col(f"_first.{pred_rotation}")
+        turn = [[sum((a[3 * i + k] * b[3 * j + k] for k in (1, 2)), a[3 * i] * b[3 * j]) for j in range(3)] for i in range(3)]
+        moved = [row[0] * moved[0] + row[1] * moved[1] + row[2] * moved[2] for row in turn]
+    joined = joined.withColumns({f"_m{i}": m for i, m in enumerate(moved)})
+    offset = [F.col(g) - F.col(f"_first.{g}") for g in gt]
+    if with_scale:
+        dot, norm = (sum((F.col(f"_m{i}") * x for i, x in enumerate(xs[1:], 1)), F.col("_m0") * xs[0]) for xs in (offset, [F.col(f"_m{i}") for i in range(3)]))
+        sums = joined.groupBy(seq).agg(F.sum(norm).alias("_norm"), F.sum(dot).alias("_dot"))
+        scale = sums.select(seq, F.when(F.col("_norm") > 1e-12, F.col("_dot") / F.col("_norm")).otherwise(1.0).alias("scale"))
+        joined = joined.join(scale, seq)
+    else:
+        joined = joined.withColumn("scale", F.lit(1.0))
+    placed = joined.withColumns({f"a{c}": F.col(f"_first.{g}") + F.col("scale") * F.col(f"_m{i}") for i, (c, g) in enumerate(zip("xyz", gt, strict=True))})
+    return placed.drop("_first", "_m0", "_m1", "_m2")
+
+
 ALIGNMENT = "seq long, n long, scale double, rotation array<double>, shift array<double>"
 
 

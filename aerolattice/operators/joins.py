@@ -37,18 +37,18 @@ def covering_cells(boxes: DataFrame, key: str, size: float) -> DataFrame:
     return _cells(boxes.select(key, *BOX), size).select(key, (F.col("_cx") * size).alias("east"), (F.col("_cy") * size).alias("north"))
 
 
-def nearest_in_time(frames: DataFrame, samples: DataFrame, keys: list[str], t: str, sample_t: str, tolerance: float, tie: str) -> DataFrame:
+def nearest_in_time(frames: DataFrame, samples: DataFrame, keys: list[str], t: str, sample_t: str, tolerance: float, tie: str, row_key: list[str]) -> DataFrame:
     """Each of ``frames`` with the sample nearest in time within ``tolerance``, the lowest ``tie`` of equals; else nulls.
 
-    Times are dealt out to slots of the tolerance; a frame looks into its own slot and both neighbours.
+    ``row_key`` tells the frames apart, nulls among them too; no other column is compared. Times are dealt out to slots of the tolerance; a frame looks into its own slot and both neighbours.
     """
     slot = F.floor(F.col(t) / tolerance)
     left = frames.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
     right = samples.withColumn("_slot", F.floor(F.col(sample_t) / tolerance))
     kept = [c for c in right.columns if c not in (*keys, "_slot")]
     near = left.join(right, [*keys, "_slot"]).where(F.abs(F.col(t) - F.col(sample_t)) <= tolerance)
-    picked = near.groupBy(*frames.columns).agg(F.min_by(F.struct(*kept), F.struct(F.abs(F.col(t) - F.col(sample_t)), F.col(tie))).alias("_found"))
-    joined = frames.join(picked, frames.columns, "left")
+    picked = near.groupBy(*[F.col(k).alias(f"_key_{k}") for k in row_key]).agg(F.min_by(F.struct(*kept), F.struct(F.abs(F.col(t) - F.col(sample_t)), F.col(tie))).alias("_found"))
+    joined = frames.join(picked, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in row_key]), "left")
     return joined.select(*frames.columns, *[F.col("_found")[c].alias(c) for c in kept])
 
 

@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sampled(points: DataFrame, raster: DataFrame, col: str, row: str, out: str) -> DataFrame:
-    """``points`` with the bilinear value at (col, row): nearest cell where a corner is missing, null outside.
+def sampled(points: DataFrame, raster: DataFrame, col: str, row: str, out: str, key: list[str]) -> DataFrame:
+    """``key`` of ``points`` with the bilinear value at (col, row): nearest cell where a corner is missing, null outside.
 
-    The raster's cells meet the points' four corners on equal keys. Each point goes along with its corners, so
-    the number that brings them together again needs no second pass over the points.
+    The raster's cells meet the points' four corners on equal keys, and the key and place of a point bring its corners
+    together again: nothing else of it is shuffled, and no number of its own that a task which runs again might
+    give otherwise. Points of equal key and place are counted and come out as often.
     """
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
     c0, r0 = F.floor(F.col(col)), F.floor(F.col(row))
     fc, fr = F.col(col) - c0, F.col(row) - r0
     corners = [(i, j, (fc if i else 1 - fc) * (fr if j else 1 - fr)) for i in (0, 1) for j in (0, 1)]
     parts = F.array(*[F.struct((c0 + i).alias("_c"), (r0 + j).alias("_r"), w.alias("_w"), F.lit(False).alias("_near")) for i, j, w in corners],
                     F.struct(F.rint(F.col(col)).cast("long").alias("_c"), F.rint(F.col(row)).cast("long").alias("_r"), F.lit(0.0).alias("_w"), F.lit(True).alias("_near")))
-    asked = keyed.select("_id", F.struct(*points.columns).alias("_point"), F.inline(parts))
+    asked = points.select(*key, F.col(col).alias("_x"), F.col(row).alias("_y"), F.inline(parts))
     cells = raster.select(F.col("col").cast("long").alias("_c"), F.col("row").cast("long").alias("_r"), F.col("z").alias("_z"))
-    found = asked.join(cells, ["_c", "_r"], "left").groupBy("_id").agg(
-        F.first("_point").alias("_point"), F.count(F.when(~F.col("_near"), F.col("_z"))).alias("_n"),
+    found = asked.join(cells, ["_c", "_r"], "left").groupBy(*key, "_x", "_y").agg(
+        F.count_if("_near").alias("_copies"), F.count(F.when(~F.col("_near"), F.col("_z"))).alias("_n"),
         F.sum(F.when(~F.col("_near"), F.col("_w") * F.col("_z"))).alias("_sum"), F.max(F.when(F.col("_near"), F.col("_z"))).alias("_nearest"),
     )
-    value = F.when(F.col("_n") == 4, F.col("_sum")).otherwise(F.col("_nearest"))
-    return found.select("_point.*", value.alias(out))
+    value = F.when(F.col("_n") == 4 * F.col("_copies"), F.col("_sum") / F.col("_copies")).otherwise(F.col("_nearest"))
+    return found.select(*key, value.alias(out), F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def pooled(raster: DataFrame, factor: int, how) -> DataFrame:

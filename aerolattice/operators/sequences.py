@@ -14,7 +14,7 @@ def chained_poses(df: DataFrame) -> DataFrame:
     Each step adds the turned, reversed shift and then the reversed turn; where ``ok`` is false the pose holds.
     """
 
-    def fold(key, frames: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         rotation, centre, rows = np.eye(3), np.zeros(3), []
         for f in frames.sort_values("ord").itertuples(index=False):
             if f.ok:
@@ -33,12 +33,14 @@ def natural_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.interp(at, t, y)
     h = np.diff(t)
-    system, right = np.zeros((n, n)), np.zeros(n)
-    system[0, 0] = system[-1, -1] = 1
-    rows = np.arange(1, n - 1)
-    system[rows, rows - 1], system[rows, rows], system[rows, rows + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    right[1:-1] = 6 * (np.diff(y)[1:] / h[1:] - np.diff(y)[:-1] / h[:-1])
-    m = np.linalg.solve(system, right)
+    slope = np.diff(y) / h
+    ahead, left = [0.0] * n, [0.0] * n  # elimination of a system of three diagonals, forth and back
+    for k, (low, high, turn) in enumerate(zip(h[:-1].tolist(), h[1:].tolist(), (6 * np.diff(slope)).tolist(), strict=True), 1):
+        pivot = 2 * (low + high) - low * ahead[k - 1]
+        ahead[k], left[k] = high / pivot, (turn - low * left[k - 1]) / pivot
+    m = np.zeros(n)
+    for k in range(n - 2, 0, -1):
+        m[k] = left[k] - ahead[k] * m[k + 1]
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     a, b = t[k + 1] - at, at - t[k]
     return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
@@ -51,7 +53,7 @@ def resampled(df: DataFrame, channels: list[str], target: float, rate: float = 3
     spline through the old frames. Slower sequences stay as they are.
     """
 
-    def stretch(key, frames: pd.DataFrame) -> pd.DataFrame:
+    def stretch(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values("ord")
         values = frames[channels].to_numpy(float)
         steps = np.linalg.norm(np.diff(frames[list(position)].to_numpy(float), axis=0), axis=1)
@@ -85,7 +87,7 @@ def perturbed(df: DataFrame, channels: dict[str, float], seed: int = 42, slow: f
     """
     names = list(channels)
 
-    def disturb(key, frames: pd.DataFrame) -> pd.DataFrame:
+    def disturb(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         frames = frames.sort_values("ord").reset_index(drop=True)
         for k, (name, scale) in enumerate(channels.items()):
             rng = np.random.RandomState((seed * 1_000_003 + int(key[0]) * 101 + k) % (1 << 32))
@@ -151,7 +153,7 @@ def located(df: DataFrame, iterations: int = 5000, threshold: float = 4.0, least
         c = w @ pose[:, :3].T + pose[:, 3]
         return np.where(c[:, 2] > 1e-9, np.linalg.norm(c[:, :2] / np.maximum(c[:, 2:], 1e-9) - p, axis=1), np.inf)
 
-    def solve(key, points: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values(["u", "v", "X", "Y", "Z"])
         p, w = points[["u", "v"]].to_numpy(float) / 1000, points[["X", "Y", "Z"]].to_numpy(float)
         rng, best, most = np.random.RandomState(seed), None, np.zeros(len(p), bool)

@@ -36,10 +36,20 @@ RELATIONS = {
         SELECT s_suppkey AS tile, CAST((s_suppkey * 211) % 5000 AS DOUBLE) AS minx, CAST((s_suppkey * 97) % 4000 AS DOUBLE) AS miny,
                CAST((s_suppkey * 211) % 5000 + 100 AS DOUBLE) AS maxx, CAST((s_suppkey * 97) % 4000 + 100 AS DOUBLE) AS maxy FROM {supplier}"""),
     "quats": ("embeddings", "SELECT vec_id, {q1} AS qw, {q2} AS qx, {q3} AS qy, {q4} AS qz, label FROM {embeddings}"),
+    # cameras: a rotation to the world by rows, and a centre
+    "cameras": ("embeddings", """
+        SELECT vec_id AS cam, 1-2*(qy*qy+qz*qz)/n AS m0, 2*(qx*qy-qz*qw)/n AS m1, 2*(qx*qz+qy*qw)/n AS m2, 2*(qx*qy+qz*qw)/n AS m3, 1-2*(qx*qx+qz*qz)/n AS m4, 2*(qy*qz-qx*qw)/n AS m5,
+               2*(qx*qz-qy*qw)/n AS m6, 2*(qy*qz+qx*qw)/n AS m7, 1-2*(qx*qx+qy*qy)/n AS m8, vec_id * 0.5e0 AS x, vec_id % 7 + 1e0 AS y, 40e0 + vec_id % 61 AS z
+        FROM (SELECT *, qw*qw+qx*qx+qy*qy+qz*qz AS n FROM (SELECT vec_id, {q1} AS qw, {q2} AS qx, {q3} AS qy, {q4} AS qz FROM {embeddings}) q) s WHERE n > 0"""),
+    # pixels of images, every fifth of which is nearly the colour of the sky, and every seventh dark
+    "pixels": ("lineitem", """
+        SELECT l_suppkey AS frame, l_orderkey * 10 + l_linenumber AS px, CASE WHEN l_suppkey % 7 = 0 THEN 0 WHEN l_suppkey % 5 = 0 AND l_orderkey % 40 <> 0 THEN 235 + l_orderkey % 9 ELSE l_partkey % 256 END AS b,
+               CASE WHEN l_suppkey % 7 = 0 THEN l_orderkey % 2 WHEN l_suppkey % 5 = 0 AND l_orderkey % 40 <> 0 THEN 206 - l_orderkey % 9 ELSE l_partkey * 3 % 256 END AS g,
+               CASE WHEN l_suppkey % 7 = 0 THEN 0 WHEN l_suppkey % 5 = 0 AND l_orderkey % 40 <> 0 THEN 135 + l_orderkey % 5 ELSE l_partkey * 7 % 256 END AS r FROM {lineitem}"""),
     "places": ("customer", """
         SELECT c_custkey AS place, 47e0 + (c_custkey % 700) / 100e0 AS lat, 6e0 + (c_custkey % 890) / 100e0 AS lon, CAST(c_custkey % 500 AS DOUBLE) AS height FROM {customer}"""),
     "names": ("part", """
-        SELECT p_partkey AS part, CASE p_partkey % 6 WHEN 0 THEN 'bdom_33' || (390 + p_partkey % 20) || '-' || (5800 + p_partkey % 30) || '.tif'
+        SELECT p_partkey AS part, CASE p_partkey % 9 WHEN 6 THEN '32' || (600 + p_partkey % 99) || '_' || (5300 + p_partkey % 50) || '_20_DOM.tif' WHEN 7 THEN 'x_' || (390 + p_partkey % 20) || '_' || (5800 + p_partkey % 30) || '_y.tif' WHEN 8 THEN (600 + p_partkey % 99) || '_' || (5300 + p_partkey % 50) || '_DSM.a.tif' WHEN 0 THEN 'bdom_33' || (390 + p_partkey % 20) || '-' || (5800 + p_partkey % 30) || '.tif'
                WHEN 1 THEN '3dm_33_' || (390 + p_partkey % 20) || '_' || (5800 + p_partkey % 30) || '_1_be' WHEN 2 THEN 'LoD1_' || (390 + p_partkey % 20) || '_' || (5800 + p_partkey % 30) || '.xml'
                WHEN 3 THEN (600 + p_partkey % 99) || '_' || (5300 + p_partkey % 50) || '.gml' WHEN 4 THEN '32' || (600 + p_partkey % 99) || '_' || (5300 + p_partkey % 50) || '.tif'
                ELSE 'readme' END AS name FROM {part}"""),

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import joins, mesh, windows
 from .queries import query, r4
 
-#: Labels of building parts by what their names contain, the first that fits.
-PART_LABELS = (("interiorwall", "interior"), ("wall", "wall"), ("roof", "roof"), ("ground", "ground"), ("door", "opening"), ("window", "opening"))
-
 
 @query("path", """, d AS (SELECT seq, ord, ((yaw-lag(yaw) OVER (PARTITION BY seq ORDER BY ord)+540)%360+360)%360-180 AS rate FROM path) SELECT seq, ord, round(coalesce(rate,0)*0.15,4) AS bank FROM d""")
 def turn_banking(df):
@@ -107,7 +104,7 @@ def boxes_without_tiles(boxes, tiles):
     return boxes.select("box").join(joins.overlapping(boxes, tiles, "box", "tile", 100.0), "box", "left_anti")
 
 
-@query("dsm", """, e AS (SELECT a.row*100000+a.col AS a, b.row*100000+b.col AS b FROM dsm a JOIN dsm b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query("dsm", """, e AS (SELECT a.row*2147483648+a.col AS a, b.row*2147483648+b.col AS b FROM dsm a JOIN dsm b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     n AS (SELECT DISTINCT a AS node FROM l) SELECT count(*) AS linked, (SELECT count(*) FROM e) AS edges FROM n""")
 def plane_links(dsm):
     """Neighbouring cells of nearly equal height; plane_segments joins them to components."""
@@ -121,14 +118,21 @@ def _flat_neighbours(dsm):
     moved = at.select("row", (F.col("col") - 1).alias("col"), F.col("z").alias("nz"), F.lit(0).alias("dr"), F.lit(1).alias("dc"))
     moved = moved.unionByName(at.select((F.col("row") - 1).alias("row"), "col", F.col("z").alias("nz"), F.lit(1).alias("dr"), F.lit(0).alias("dc")))
     near = at.join(moved, ["row", "col"]).where(F.abs(F.col("z") - F.col("nz")) < 0.02 * F.greatest("z", "nz"))
-    return near.select((F.col("row") * 100000 + F.col("col")).alias("a"), ((F.col("row") + F.col("dr")) * 100000 + F.col("col") + F.col("dc")).alias("b"))
+    return near.select(_cell(F.col("row"), F.col("col")).alias("a"), _cell(F.col("row") + F.col("dr"), F.col("col") + F.col("dc")).alias("b"))
+
+
+def _cell(row, col):
+    """A number for each cell of any raster of fewer than 2^31 columns."""
+    return row * 2147483648 + col
 
 
-@query("dsm", None)
+@query("dsm", """, e AS (SELECT a.row*2147483648+a.col AS a, b.row*2147483648+b.col AS b FROM dsm a JOIN dsm b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    reach AS (SELECT a AS node, a AS via FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON l.a=reach.via), lab AS (SELECT node, min(via) AS segment FROM reach GROUP BY node)
+    SELECT segment, count(*) AS cells, round(avg(z),4) AS height FROM lab JOIN dsm ON node=row*2147483648+col GROUP BY segment HAVING count(*)>=5""")
 def plane_segments(dsm):
     """Components of flat neighbours of five cells at least: segment, cells, mean height."""
     parts = mesh.components(_flat_neighbours(dsm))
-    cells = dsm.withColumn("node", F.col("row") * 100000 + F.col("col")).join(parts, "node")
+    cells = dsm.withColumn("node", _cell(F.col("row"), F.col("col"))).join(parts, "node")
     return cells.groupBy(F.col("component").alias("segment")).agg(F.count("*").alias("cells"), r4(F.avg("z"), "height")).where("cells >= 5")
 
 

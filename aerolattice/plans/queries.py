@@ -96,9 +96,13 @@ def ecef_coordinates(df):
     return placed.select("place", *[F.round(c, 3).alias(c) for c in "xyz"], F.round(lat, 7).alias("lat"), F.round(height, 2).alias("height"))
 
 
-@query("names", r""", s AS (SELECT part, name, regexp_replace(name, '\.[A-Za-z]+$', '') AS stem FROM names), m AS (SELECT *, CASE WHEN regexp_matches(stem, '\d{2}(\d{3})-(\d{4})') THEN '\d{2}(\d{3})-(\d{4})' WHEN regexp_matches(stem, '_33_(\d{3})_(\d{4})') THEN '_33_(\d{3})_(\d{4})' WHEN regexp_matches(stem, '(?:_|^)(\d{3})_(\d{4})$') THEN '(?:_|^)(\d{3})_(\d{4})$' WHEN regexp_matches(stem, '(?:32)?(\d{3})_(\d{4})') THEN '(?:32)?(\d{3})_(\d{4})' END AS form FROM s)
-    SELECT part, CAST(CASE WHEN form = '\d{2}(\d{3})-(\d{4})' THEN regexp_extract(stem, '\d{2}(\d{3})-(\d{4})', 1) WHEN form = '_33_(\d{3})_(\d{4})' THEN regexp_extract(stem, '_33_(\d{3})_(\d{4})', 1) WHEN form = '(?:_|^)(\d{3})_(\d{4})$' THEN regexp_extract(stem, '(?:_|^)(\d{3})_(\d{4})$', 1) WHEN form IS NOT NULL THEN regexp_extract(stem, '(?:32)?(\d{3})_(\d{4})', 1) END AS BIGINT)*1000 AS minx,
-      CAST(CASE WHEN form = '\d{2}(\d{3})-(\d{4})' THEN regexp_extract(stem, '\d{2}(\d{3})-(\d{4})', 2) WHEN form = '_33_(\d{3})_(\d{4})' THEN regexp_extract(stem, '_33_(\d{3})_(\d{4})', 2) WHEN form = '(?:_|^)(\d{3})_(\d{4})$' THEN regexp_extract(stem, '(?:_|^)(\d{3})_(\d{4})$', 2) WHEN form IS NOT NULL THEN regexp_extract(stem, '(?:32)?(\d{3})_(\d{4})', 2) END AS BIGINT)*1000 AS miny FROM m""")
+_FORM = r"""CASE WHEN regexp_matches(stem, '\d{2}(\d{3})-(\d{4})') THEN regexp_extract(stem, '\d{2}(\d{3})-(\d{4})', %d) WHEN regexp_matches(stem, '_33_(\d{3})_(\d{4})') THEN regexp_extract(stem, '_33_(\d{3})_(\d{4})', %d)
+    WHEN regexp_matches(stem, '_(\d{3})_(\d{4})$') THEN regexp_extract(stem, '_(\d{3})_(\d{4})$', %d) WHEN regexp_matches(stem, '^(\d{3})_(\d{4})') THEN regexp_extract(stem, '^(\d{3})_(\d{4})', %d)
+    WHEN regexp_matches(stem, '^32(\d+)_(\d+)(_|$)') THEN regexp_extract(stem, '^32(\d+)_(\d+)(_|$)', %d) WHEN regexp_matches(stem, '^(\d+)_(\d+)(_|$)') THEN regexp_extract(stem, '^(\d+)_(\d+)(_|$)', %d) END"""
+
+
+@query("names", rf""", s AS (SELECT part, replace(replace(replace(regexp_replace(name, '(.)\.[^.]*$', '\1'), '_20_DOM', ''), '_DOM', ''), '_DSM', '') AS stem FROM names)
+    SELECT part, CAST({_FORM % ((1,) * 6)} AS BIGINT)*1000 AS minx, CAST({_FORM % ((2,) * 6)} AS BIGINT)*1000 AS miny FROM s""")
 def tile_bounds_from_names(df):
     x, y = g.tile_origin(F.col("name"))
     return df.select("part", x.alias("minx"), y.alias("miny"))
@@ -173,20 +177,27 @@ def failure_runs(df):
 
 
 @query("path", """, g AS (SELECT *, sum(CASE WHEN is_kf THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY ord ROWS UNBOUNDED PRECEDING) AS g FROM path),
-    s AS (SELECT *, CASE WHEN g>0 THEN row_number() OVER (PARTITION BY seq, g ORDER BY ord)-1 END AS since FROM g)
-    SELECT seq, ord, CAST(since AS BIGINT) AS since, CASE WHEN since<5 THEN '' WHEN tracked<100 THEN 'few_points' WHEN err>2+2*greatest(0.0,1-since/15.0) THEN 'error_limit' ELSE '' END AS reason FROM s""")
+    s AS (SELECT *, CASE WHEN g>0 THEN row_number() OVER (PARTITION BY seq, g ORDER BY ord)-1 END AS since FROM g),
+    k AS (SELECT *, first_value(tracked) OVER k AS initial, first_value(err) OVER k AS base, 20+seq%40 AS sx, 25+ord%30 AS sy, 2*greatest(0.0,1-since/15.0) AS slack, least(1.0,(since-15)/100.0) AS gone FROM s WINDOW k AS (PARTITION BY seq, g ORDER BY ord))
+    SELECT seq, ord, CAST(since AS BIGINT) AS since, CASE WHEN since>=60 THEN 'max_interval' WHEN since<5 THEN '' WHEN tracked<100 THEN 'low_points' WHEN initial>0 AND tracked<0.4e0*initial AND tracked<300 THEN 'point_drop' WHEN tracked>=10 AND (sx<30 OR sy<30) THEN 'spatial_collapse'
+      WHEN err>CASE WHEN base>0 AND base>2+slack THEN base+slack ELSE 2+slack END THEN 'reproj_abs' WHEN base>0 AND since>=15 AND err>base*(1+(1-gone)+0.35e0*gone) THEN 'reproj_growth' ELSE '' END AS reason FROM k""")
 def keyframe_rule(df):
-    since = windows.frames_since(df, "is_kf", "since")
-    return since.select("seq", "ord", F.col("since").cast("long").alias("since"), g.keyframe_reason(F.col("tracked"), F.col("since"), error=F.col("err")).alias("reason"))
+    """The rule as a Column: points and error of the last keyframe are the first of its run."""
+    since = windows.frames_since(df, "is_kf", "since").withColumn("_g", F.sum(F.col("is_kf").cast("int")).over(windows.of().rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("seq", "_g").orderBy("ord")
+    since = since.withColumn("initial", F.first("tracked").over(run)).withColumn("base", F.first("err").over(run))
+    spread = (F.col("tracked"), 20 + F.col("seq") % 40, 25 + F.col("ord") % 30)
+    reason = g.keyframe_reason(F.col("tracked"), F.col("since"), initial=F.col("initial"), error=F.col("err"), baseline=F.col("base"), spread=spread, max_interval=60)
+    return since.select("seq", "ord", F.col("since").cast("long").alias("since"), reason.alias("reason"))
 
 
 @query("path", """, k AS (SELECT seq, ord, CASE WHEN failed THEN NULL ELSE x END AS x FROM path), f AS (SELECT seq, ord, x, last_value(x IGNORE NULLS) OVER b AS lo, first_value(x IGNORE NULLS) OVER a AS hi,
       last_value(CASE WHEN x IS NOT NULL THEN ord END IGNORE NULLS) OVER b AS lo_at, first_value(CASE WHEN x IS NOT NULL THEN ord END IGNORE NULLS) OVER a AS hi_at FROM k
       WINDOW b AS (PARTITION BY seq ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY seq ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT seq, ord, round(lo,4) AS carried, round(CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR hi_at=lo_at THEN lo ELSE lo+(hi-lo)*((ord-lo_at)/CAST(hi_at-lo_at AS DOUBLE)) END,4) AS x FROM f""")
+    SELECT seq, ord, lo AS carried, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR hi_at=lo_at THEN lo ELSE lo+(hi-lo)*((ord-lo_at)/CAST(hi_at-lo_at AS DOUBLE)) END AS x FROM f""")
 def filled_positions(df):
     known = df.withColumn("x", F.when(~F.col("failed"), F.col("x")))
-    return known.select("seq", "ord", r4(windows.filled_forward("x"), "carried"), r4(windows.interpolated("x"), "x"))
+    return known.select("seq", "ord", windows.filled_forward("x").alias("carried"), windows.interpolated("x").alias("x"))
 
 
 @query("path", """, s AS (SELECT seq, ord, x, y, sum(CASE WHEN is_kf THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY ord ROWS UNBOUNDED PRECEDING) AS g FROM path),
@@ -377,13 +388,13 @@ def discovered_tiles(boxes):
     SELECT p.seq, p.ord, n.sid FROM path p LEFT JOIN n ON p.seq=n.seq AND p.ord=n.ord AND n.k=1""")
 def nearest_timestamps(df):
     samples = df.where("ord % 3 = 0").select("seq", F.col("ord").alias("sid"), (F.col("t") + ((F.col("event_id") % 3) - 1) * 0.02).alias("st"))
-    return joins.nearest_in_time(df.select("seq", "ord", "t"), samples, ["seq"], "t", "st", 0.06, "sid").select("seq", "ord", "sid")
+    return joins.nearest_in_time(df.select("seq", "ord", "t"), samples, ["seq"], "t", "st", 0.06, "sid", row_key=["seq", "ord"]).select("seq", "ord", "sid")
 
 
-@query("results", """, g AS (SELECT frame_id, max(gx) AS gx FROM results WHERE gx IS NOT NULL AND frame_id%3<>0 GROUP BY frame_id) SELECT r.frame_id, g.gx IS NOT NULL AS valid, round(coalesce(g.gx,0),4) AS gx FROM results r LEFT JOIN g USING (frame_id)""")
+@query("results", """, g AS (SELECT frame_id, max(gx) AS gx FROM results WHERE gx IS NOT NULL AND frame_id%3<>0 GROUP BY frame_id) SELECT r.frame_id, g.gx IS NOT NULL AS valid, coalesce(g.gx,0) AS gx FROM results r LEFT JOIN g USING (frame_id)""")
 def ground_truth_join(df):
     gt = df.where("gx is not null and frame_id % 3 <> 0").groupBy("frame_id").agg(F.max("gx").alias("g"))
-    return df.join(gt, "frame_id", "left").select("frame_id", F.col("g").isNotNull().alias("valid"), r4(F.coalesce("g", F.lit(0.0)), "gx"))
+    return df.join(gt, "frame_id", "left").select("frame_id", F.col("g").isNotNull().alias("valid"), F.coalesce("g", F.lit(0.0)).alias("gx"))
 
 
 @query("matches", "SELECT o.frame, o.ord, o.crop FROM matches o WHERE o.crop>1 AND NOT EXISTS (SELECT 1 FROM matches n WHERE n.crop=1 AND n.frame=o.frame AND (n.u-o.u)*(n.u-o.u)+(n.v-o.v)*(n.v-o.v)<=9)")
@@ -406,11 +417,11 @@ def ratio_test(df):
 
 
 @query("matches dsm", """, p AS (SELECT frame, ord, crop, u/8 AS c, v/8 AS r FROM matches), k AS (SELECT *, CAST(floor(c) AS BIGINT) AS c0, CAST(floor(r) AS BIGINT) AS r0 FROM p)
-    SELECT k.frame, k.ord, k.crop, round(CASE WHEN a.z IS NOT NULL AND b.z IS NOT NULL AND d.z IS NOT NULL AND e.z IS NOT NULL THEN a.z*(1-(c-c0))*(1-(r-r0))+b.z*(c-c0)*(1-(r-r0))+d.z*(1-(c-c0))*(r-r0)+e.z*(c-c0)*(r-r0) ELSE n.z END,4) AS z FROM k
+    SELECT k.frame, k.ord, k.crop, (CASE WHEN a.z IS NOT NULL AND b.z IS NOT NULL AND d.z IS NOT NULL AND e.z IS NOT NULL THEN a.z*(1-(c-c0))*(1-(r-r0))+b.z*(c-c0)*(1-(r-r0))+d.z*(1-(c-c0))*(r-r0)+e.z*(c-c0)*(r-r0) ELSE n.z END) AS z FROM k
       LEFT JOIN dsm a ON a.col=c0 AND a.row=r0 LEFT JOIN dsm b ON b.col=c0+1 AND b.row=r0 LEFT JOIN dsm d ON d.col=c0 AND d.row=r0+1 LEFT JOIN dsm e ON e.col=c0+1 AND e.row=r0+1 LEFT JOIN dsm n ON n.col=CAST(round_even(c,0) AS BIGINT) AND n.row=CAST(round_even(r,0) AS BIGINT)""")
 def sampled_heights(points, dsm):
     placed = points.select("frame", "ord", "crop", (F.col("u") / 8).alias("c"), (F.col("v") / 8).alias("r"))
-    return raster.sampled(placed, dsm, "c", "r", "z").select("frame", "ord", "crop", r4(F.col("z"), "z"))
+    return raster.sampled(placed, dsm, "c", "r", "z", key=["frame", "ord", "crop"])
 
 
 @query("dsm", ", s AS (SELECT max(row) AS h, max(col) AS w FROM dsm) SELECT CAST(floor(row/4) AS BIGINT) AS row, CAST(floor(col/4) AS BIGINT) AS col, round(max(z),4) AS z FROM dsm, s WHERE row<floor((h+1)/4)*4 AND col<floor((w+1)/4)*4 GROUP BY 1,2")

@@ -97,3 +97,28 @@ def merged_meshes(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Dat
     moved = vertices.join(shift, "path").select((F.col("v") + F.col("s")).alias("v"), "x", "y", "z")
     own = faces.join(shift, "path").select("path", "f", *[(F.col(k) + F.col("s")).alias(k) for k in "abc"])
     return moved, own
+
+
+def array_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (path, v, x, y, z, in world coordinates) and faces (path, f, a, b, c, label) of npz meshes.
+
+    An offset that a file has is added to its vertices. A file without labels, or with none, has ``building`` for all faces.
+    """
+
+    def vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                found = _arrays(content)
+                at = found["vertices"].astype(float).reshape(-1, 3) + found.get("utm_offset", np.zeros(3)).astype(float)
+                yield pd.DataFrame({"path": name, "v": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
+
+    def faces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                found = _arrays(content)
+                at = found["faces"].astype(np.int64).reshape(-1, 3)
+                label = found.get("labels", np.zeros(0))
+                yield pd.DataFrame({"path": name, "f": np.arange(len(at)), "a": at[:, 0], "b": at[:, 1], "c": at[:, 2], "label": label.astype(str) if len(label) else "building"})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(vertices, "path string, v long, x double, y double, z double"), files.mapInPandas(faces, "path string, f long, a long, b long, c long, label string")

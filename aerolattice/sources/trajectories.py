@@ -94,3 +94,34 @@ def colmap_images(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in COLMAP.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, COLMAP)
+
+
+def colmap_images_text(spark: SparkSession, path: str) -> DataFrame:
+    """As colmap_images() of images.txt: of the lines that aren't comments or blank, each pose is followed by one of points."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.filter(F.split("value", "\r?\n"), lambda x: ~F.ltrim(x).startswith("#")).alias("lines"))
+    # a line of points may be empty, so lines count in pairs from the first that isn't
+    first = F.array_position(F.transform("lines", lambda x: F.trim(x) != ""), True).cast("int")
+    poses = lines.where(first > 0).select("path", F.posexplode(F.slice("lines", first, F.size("lines"))).alias("k", "value")).where("k % 2 = 0")
+    f = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    named = poses.withColumn("f", f).where(F.size("f") >= 10)
+    columns = [F.col("f")[k].try_cast(t).alias(n) for k, (n, t) in enumerate((x.split()[0], x.split()[1]) for x in COLMAP.split(", ")[1:])]
+    return named.select("path", *columns).where("image_id is not null")
+
+
+def colmap_model(spark: SparkSession, folders: str) -> DataFrame:
+    """Images of the model folders that match: those of images.bin, and of images.txt where a folder has no images.bin."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "images.{bin,txt}").load(folders).select("path")
+    kinds = {r.kind for r in listed.select(F.regexp_extract("path", r"([a-z]+)$", 1).alias("kind")).distinct().collect()}  # two at most
+    empty = spark.createDataFrame([], COLMAP)
+    binary = colmap_images(spark, f"{folders.rstrip('/')}/images.bin") if "bin" in kinds else empty
+    text = colmap_images_text(spark, f"{folders.rstrip('/')}/images.txt") if "txt" in kinds else empty
+    folder = lambda c: F.regexp_replace(F.regexp_replace(c, r"/[^/]*$", ""), "^file:/+", "/")
+    done = listed.where(F.col("path").endswith(".bin")).select(folder(F.col("path")).alias("_folder")).distinct()
+    return binary.unionByName(text.join(done, folder(F.col("path")) == F.col("_folder"), "left_anti"))
+
+
+def matrix_intrinsics(spark: SparkSession, path: str) -> DataFrame:
+    """fx, fy, cx, cy of files that hold a bare 3x3 matrix; files with other than nine numbers are left out."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "#[^\n]*", " ").alias("value"))
+    n = raw.select("path", F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double")).alias("k")).where(F.size("k") == 9)
+    return n.select("path", F.col("k")[0].alias("fx"), F.col("k")[4].alias("fy"), F.col("k")[2].alias("cx"), F.col("k")[5].alias("cy"))

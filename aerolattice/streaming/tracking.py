@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 IN = ("seq", "ord", "x", "y", "tracked", "err", "failed")
 OUT = "seq long, ord long, method string, reason string, keyframe long, since long, success boolean"
-STATE = "keyframe long, since long, x double, y double, failures long, relocalised long, initial long, steps array<double>"
+STATE = "keyframe long, since long, x double, y double, failures long, relocalised long, initial long, baseline double, last long, steps array<double>"
 MIN_POINTS, MIN_INTERVAL, HISTORY, MAX_FAILURES, MAX_RELOCALISED = 100, 5, 15, 5, 3
 
 
@@ -32,26 +32,35 @@ class Track:
     failures: int = 0
     relocalised: int = 0
     initial: int = 0
+    baseline: float = 0.0
+    last: int = -(1 << 62)  # the order of the last frame that was looked at
     steps: list[float] = field(default_factory=list)
 
-    def start(self, order: int, x: float, y: float, tracked: int) -> None:
-        self.keyframe, self.since, self.x, self.y, self.initial, self.failures, self.steps = order, 0, x, y, tracked, 0, []
+    def start(self, order: int, x: float, y: float, tracked: int, err: float) -> None:
+        self.keyframe, self.since, self.x, self.y, self.initial, self.baseline, self.failures, self.steps = order, 0, x, y, tracked, err, 0, []
 
     def reason(self, tracked: int, err: float) -> str:
+        """functions.geometry.keyframe_reason() with its defaults, of a state instead of columns."""
         if self.since < MIN_INTERVAL:
             return ""
         if tracked < MIN_POINTS:
-            return "few_points"
-        if self.initial > 0 and tracked < 0.4 * self.initial:
+            return "low_points"
+        if self.initial > 0 and tracked < 0.4 * self.initial and tracked < 3 * MIN_POINTS:
             return "point_drop"
-        return "error_limit" if err > 2 + 2 * max(0.0, 1 - self.since / 15) else ""
+        slack = 2 * max(0.0, 1 - self.since / 15)
+        if err > (self.baseline if self.baseline > 2 + slack else 2) + slack:
+            return "reproj_abs"
+        gone = min(1.0, (self.since - 15) / 100)
+        grown = self.baseline > 0 and self.since >= 15 and err > self.baseline * (1 + (1 - gone) + 0.35 * gone)
+        return "reproj_growth" if grown else ""
 
     def step(self, order: int, x: float, y: float, tracked: int, err: float, failed: bool) -> tuple[str, str, bool]:
         """Method, reason and success of the next frame."""
+        self.last = order
         if self.keyframe < 0:
             if failed:
                 return "failed", "first_frame", False
-            self.start(order, x, y, tracked)
+            self.start(order, x, y, tracked, err)
             return "keyframe", "first_frame", True
         self.since += 1
         jump = ((x - self.x) ** 2 + (y - self.y) ** 2) ** 0.5
@@ -60,12 +69,12 @@ class Track:
             self.failures += 1
             if self.failures >= MAX_FAILURES and self.relocalised < MAX_RELOCALISED:
                 self.relocalised += 1
-                self.start(order, x, y, tracked)
+                self.start(order, x, y, tracked, err)
                 return "re-localized", "failures", True
             return "failed", "lost" if failed else "jump", False
         reason = self.reason(tracked, err)
         if reason:
-            self.start(order, x, y, tracked)
+            self.start(order, x, y, tracked, err)
             return "keyframe", reason, True
         self.failures, self.x, self.y = 0, x, y
         self.steps = [*self.steps, jump][-HISTORY:]
@@ -83,7 +92,7 @@ def _run(track: Track, seq: int, frames: pd.DataFrame) -> pd.DataFrame:
 def track_batch(frames: DataFrame) -> DataFrame:
     """A row for each of ``frames`` (IN): one task holds one sequence, which is as long as its flight."""
 
-    def whole(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _run(Track(), int(key[0]), pdf)
 
     return frames.select(*IN).where("seq is not null").groupBy("seq").applyInPandas(whole, OUT)
@@ -92,15 +101,14 @@ def track_batch(frames: DataFrame) -> DataFrame:
 def track_stream(frames: DataFrame) -> DataFrame:
     """As track_batch() over a stream whose frames arrive in order; the state of a sequence outlives batches.
 
-    Frames that arrive behind their sequence's keyframe and count are dropped, as a tracker can't go back.
+    Frames that arrive behind the last one of their sequence are dropped, as a tracker can't go back.
     """
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         values = state.get if state.exists else None
-        track = Track() if values is None else Track(*values[:7], list(values[7]))
-        last = track.keyframe + track.since if track.keyframe >= 0 else -1
+        track = Track() if values is None else Track(*values[:9], list(values[9]))
         frames = pd.concat(list(batches))
-        yield _run(track, int(key[0]), frames[frames["ord"] > last])
+        yield _run(track, int(key[0]), frames[frames["ord"] > track.last])
         state.update(tuple(asdict(track).values()))
 
     return frames.select(*IN).where("seq is not null").groupBy("seq").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

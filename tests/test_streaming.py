@@ -27,7 +27,7 @@ def test_points_and_interval(spark):
     rows = [(1, k, float(k), 0.0, 200 if k == 0 else 50, 0.0, False) for k in range(7)]
     got = run(spark, rows)
     assert [g[2] for g in got] == ["keyframe", "tracked", "tracked", "tracked", "tracked", "keyframe", "tracked"]
-    assert got[5][3] == "few_points"
+    assert got[5][3] == "low_points"
 
 
 def test_jump_fails_and_five_failures_relocalise(spark):
@@ -49,6 +49,18 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     assert got == sorted(map(tuple, tracking.track_batch(df).collect()))
 
 
+def test_late_frames_and_gaps(spark, tmp_path):
+    """After frames 0, 10 and 20 a frame 5 is late, however few have been counted."""
+    source = str(tmp_path / "in")
+    schema = spark.createDataFrame(frames([(1, 0, 0.0, 0.0, 200, 0.0, False)])).schema
+    for k, orders in enumerate(((0, 10, 20), (5, 30), (15, 31))):
+        spark.createDataFrame(frames([(1, o, 0.0, 0.0, 200, 0.0, False) for o in orders]), schema).coalesce(1).write.mode("append").json(f"{source}/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{source}/*")
+    query = tracking.track_stream(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(r.ord for r in spark.table("late").collect()) == [0, 10, 20, 30, 31]
+
+
 @pytest.mark.parametrize("empty", [True])
 def test_empty(spark, empty):
     assert tracking.track_batch(relation(spark, SF, "path").where("false")).count() == 0
