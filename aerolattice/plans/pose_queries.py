@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -332,8 +334,8 @@ def target_speeds(df):
     top = df.withColumn("v", speed).groupBy("seq").agg(F.round(F.coalesce(F.max("v"), F.lit(0.0)), 6).alias("v"))
     n = top.agg(F.count("*").alias("n"))  # one row
     ranked = top.withColumn("k", F.row_number().over(Window.orderBy("v", "seq")) - 1).join(F.broadcast(n))  # one task: a row for each sequence
-    low, high, share = F.lit(SPEED_BINS[-1][1]), F.lit(SPEED_BINS[-1][2]), sum(s for s, _, _ in SPEED_BINS[:-1])
-    for s, a, b in reversed(SPEED_BINS[:-1]):
+    low, high = F.lit(SPEED_BINS[-1][1]), F.lit(SPEED_BINS[-1][2])
+    for share, (_, a, b) in reversed(list(zip(accumulate(s for s, _, _ in SPEED_BINS), SPEED_BINS[:-1], strict=False))):
         below = F.col("k") < F.floor(share * F.col("n"))
-        low, high, share = F.when(below, a).otherwise(low), F.when(below, b).otherwise(high), share - s
+        low, high = F.when(below, a).otherwise(low), F.when(below, b).otherwise(high)
     return ranked.select("seq", low.alias("low"), high.alias("high"))
