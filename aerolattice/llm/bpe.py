@@ -64,6 +64,10 @@ class ByteBpe:
         self.known: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {b"": b""}
 
+    def forget(self) -> None:
+        """Empties the caches, which a worker that goes on to other work would else keep."""
+        self.known, self.words = {}, {b"": b""}
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as encode() gives them."""
         out = [self._merge_long(w) if len(w) > LONG_WORD else b"" for w in words]
@@ -186,8 +190,11 @@ def encode(text: Column, tokenizer_path: str) -> Column:
     @F.pandas_udf(T.BinaryType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = byte_bpe(tokenizer_path)
-        for batch in batches:
-            yield pd.Series([ids for part in slices(batch.fillna("").tolist()) for ids in bpe.encode(part)], dtype="object")
+        try:
+            for batch in batches:
+                yield pd.Series([ids for part in slices(batch.fillna("").tolist()) for ids in bpe.encode(part)], dtype="object")
+        finally:
+            bpe.forget()
 
     return run(text)
 
@@ -213,9 +220,12 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFr
     @F.pandas_udf("token_ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(tokenizer_path)
-        for batch in batches:
-            ids = [b for part in slices(batch.fillna("").tolist()) for b in bpe.encode(part)]
-            yield pd.DataFrame({"token_ids": ids, "decoded": [bpe.decode(b) for b in ids]}, dtype="object")
+        try:
+            for batch in batches:
+                ids = [b for part in slices(batch.fillna("").tolist()) for b in bpe.encode(part)]
+                yield pd.DataFrame({"token_ids": ids, "decoded": [bpe.decode(b) for b in ids]}, dtype="object")
+        finally:
+            bpe.forget()
 
     both = F.col("_round_trip")
     rest = df.drop("token_ids", "decoded") if text not in ("token_ids", "decoded") else df
