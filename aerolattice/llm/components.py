@@ -39,3 +39,17 @@ def components(links: DataFrame) -> DataFrame:
         if seen == now or not now.n:
             return state
         state, seen = written(_small_star(_large_star(state)), "links"), now
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """The root of each ``u`` of ``parents``, which has one row (u, v) with v < u for each u: rows (u, v), v the root.
+
+    Each round looks up the parent's parent, so that a path takes the logarithm of its length in rounds.
+    """
+    state, seen = written(parents.select("u", "v"), "parents"), None
+    while True:
+        now = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if seen == now or not now.n:
+            return state
+        up = state.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        state, seen = written(state.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v")), "parents"), now

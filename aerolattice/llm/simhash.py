@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import shuffle_partitions, slices, written
-from .components import components
+from .components import components, forest_roots
 
 RADIUS = 4
 #: Bits of the five blocks, as (lowest bit, bits).
@@ -37,7 +37,7 @@ FANOUT = 8
 SEVERAL, SIMILARITY = 10, 0.8
 #: Blocks of bits of which a sketch's fingerprints share one, and the bits that they differ in at most.
 QUARTERS, REACH = ((0, 16), (16, 16), (32, 16), (48, 16)), 14
-#: Rounds that test two links of each group, before all that are left are tested.
+#: Rounds that test one link of each group, before all that are left are tested.
 HOOKS = 7
 #: Pairs of a query and a node that are looked at together, about.
 FRONTIER = 1 << 19
@@ -352,21 +352,22 @@ def similar_groups(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     """(id, root) of the components of those ``pairs`` (u, v, sure) whose ``sets`` (id, set) have the Jaccard similarity.
 
     A pair is tested unless tested ones already join its ends, so that a large group takes few tests: first
-    some rounds of a pair or two of each group, the surest ones and of these any, then all that are left.
+    some rounds of one pair of each group to an earlier one, a sure one if there is, then all that are left.
     """
     left = written(pairs.select("u", "v", "sure", F.col("u").alias("ru"), F.col("v").alias("rv")), "pairs")
     roots = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("root"))
     for k in range(HOOKS + 1):
         chosen = left
         if k < HOOKS:
-            pick = F.min(F.struct((1 - F.col("sure")).alias("loose"), F.xxhash64("u", "v", F.lit(k)).alias("any"), "u", "v", "ru", "rv")).alias("p")
-            picked = [left.groupBy(end(F.col("ru"), F.col("rv")).alias("of")).agg(pick).select("p.u", "p.v", "p.ru", "p.rv") for end in (F.greatest, F.least)]
-            chosen = picked[0].union(picked[1]).distinct()
+            order = F.xxhash64("u", "v", F.lit(k)) if k else F.least("ru", "rv")
+            pick = F.min(F.struct((1 - F.col("sure")).alias("loose"), order.alias("order"), "u", "v", "ru", "rv")).alias("p")
+            chosen = left.groupBy(F.greatest("ru", "rv").alias("of")).agg(pick).select("p.u", "p.v", "p.ru", "p.rv")
         a, b = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
         shared = F.size(F.array_intersect("a", "b"))
         alike = shared >= similarity * (F.size("a") + F.size("b") - shared)
         tested = written(chosen.join(a, "u").join(b, "v").select("u", "v", "ru", "rv", (alike & (shared > 0)).alias("alike")), "tested")
-        to = components(tested.where("alike").select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("u").alias("root"), F.col("v").alias("to"))
+        merged = tested.where("alike").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v"))
+        to = (forest_roots(merged) if k < HOOKS else components(merged)).select(F.col("u").alias("root"), F.col("v").alias("to"))
         roots = roots.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         if k < HOOKS:
             left = left.join(tested.select("u", "v"), ["u", "v"], "left_anti")

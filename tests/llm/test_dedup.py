@@ -143,6 +143,10 @@ def test_components_of_links(spark):
     root = roots(400, pairs)
     assert got == {i: root[i] for i in range(400) if root[i] != i}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    parents = [(k, rnd.randrange(k)) for k in range(1, 300) if k % 7] + [(k, k - 1) for k in range(401, 500)]
+    root = roots(500, parents)
+    assert dict(map(tuple, components.forest_roots(spark.createDataFrame(parents, "u long, v long")).collect())) == {u: root[u] for u, _ in parents}
+    assert components.forest_roots(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def brute_removal(docs):
