@@ -94,6 +94,12 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["_id", "toxic", "word", "n"])
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        columns = [batch[c].to_numpy().astype(kind).tobytes() for c, kind in (("_id", "<i8"), ("place", "<i4"), ("n", "i1"))]
+        yield pd.DataFrame([columns], columns=["ids", "places", "counts"])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 11, max_labelled: int = MAX_LABELLED) -> CumulativeLink:
     """Learns from at most ``max_labelled`` rows of ``labels`` (doc_id, toxic) with their documents.
 
@@ -122,15 +128,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         chosen = [r.word for r in features.collect()]
         if not chosen:
             return CumulativeLink([], np.zeros(0), np.array([50.0, 51.0]))
-        place = {w: k for k, w in enumerate(chosen)}
-        table = words.join(F.broadcast(features), "word").groupBy("_id", "word").agg(F.max("n").alias("n")).orderBy("_id", "word").collect()
+        numbered = spark.createDataFrame(list(enumerate(chosen)), "place int, word string")
+        found = words.join(F.broadcast(numbered), "word").groupBy("_id", "place").agg(F.max("n").alias("n"))
+        packed = found.mapInPandas(_packed, "ids binary, places binary, counts binary").collect()  # 13 bytes a feature of a document
         ids = [tuple(r) for r in rows.select("_id", "toxic").distinct().orderBy("_id").collect()]  # max_labelled rows at most
     finally:
         words.unpersist()
-    number = {i: k for k, (i, _) in enumerate(ids)}
-    row = np.array([number[r._id] for r in table], np.int64)
-    col = np.array([place[r.word] for r in table], np.int64)
-    value = np.array([r.n for r in table], float)
+    of_doc, col, value = (np.concatenate([np.frombuffer(r[k], kind) for r in packed] or [np.zeros(0, kind)]) for k, kind in enumerate(("<i8", "<i4", "i1")))
+    row = np.searchsorted(np.array([i for i, _ in ids], np.int64), of_doc)
+    order = np.lexsort((col, row))
+    row, col, value = row[order], col[order].astype(np.int64), value[order].astype(float)
     toxic = np.array([t for _, t in ids])
     if (grades := int(toxic.max())) > 1:
         return CumulativeLink.fit(chosen, row, col, value, toxic, grades + 1)
