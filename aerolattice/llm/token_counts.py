@@ -29,12 +29,19 @@ SAMPLE, FREQUENT, TABLE_BYTES = 4096, 1 << 17, 4_000_000
 
 
 def frequent_pieces(df: DataFrame, path: str, text: str = "text", sample: int = SAMPLE, most: int = FREQUENT) -> tuple[bytes, np.ndarray]:
-    """Tier one: the commonest pieces of ``sample`` rows of ``df``, joined by blanks, and each one's token count."""
+    """Tier one: the commonest pieces of ``sample`` rows of ``df``, joined by blanks, and each one's token count.
+
+    The rows are the first ones of the first partition, which one task reads; nothing is shuffled.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[bytes] = Counter()
+        left = sample
         for batch in batches:
-            for t in batch["t"]:
+            if left <= 0:
+                break
+            texts, left = batch["t"].iloc[:left], left - len(batch)
+            for t in texts:
                 found.update(p for p in t.encode("utf-8", "surrogatepass").split() if len(p) <= CACHE_BYTES)
                 if len(found) > 4 * most:  # rare ones go first; only speed depends on it
                     found = Counter(dict(found.most_common(2 * most)))
@@ -46,8 +53,8 @@ def frequent_pieces(df: DataFrame, path: str, text: str = "text", sample: int =
         small = small[: int((size <= TABLE_BYTES).sum())]
         yield pd.DataFrame({"pieces": [b" ".join(p for p, _ in small)], "counts": [bytes(n for _, n in small)]})
 
-    sampled = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample).coalesce(1)
-    row = sampled.mapInPandas(count, "pieces binary, counts binary").first()  # one row of TABLE_BYTES and FREQUENT bytes
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    row = texts.mapInPandas(count, "pieces binary, counts binary").first()  # of the first partition: TABLE_BYTES and FREQUENT bytes
     return (bytes(row.pieces), np.frombuffer(row.counts, np.uint8)) if row else (b"", np.zeros(0, np.uint8))
 
 
