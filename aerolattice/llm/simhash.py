@@ -12,7 +12,9 @@ each member instead of all pairs.
 
 Near copies by Jaccard similarity are found by several fingerprints: a pair at 0.8 shares a whole block of
 16 bits in one of 40 tables 95 times of 100. There the index searches a wide radius, and a pair that is found
-counts only if the shingles of both texts are as similar.
+counts only if the shingles of both texts are as similar. It searches twice: the first time it gives each member's
+nearest partner, so that tests of few pairs tell most groups; the second time it gives, once each, all pairs
+between different groups whose shingles can be as similar, by the number that any other member has too.
 """
 
 from __future__ import annotations
@@ -246,46 +248,85 @@ class GrayIndex:
         """Queries that are searched at once, so that FRONTIER holds even if all of a bucket are near."""
         return max(1, min(4096, FRONTIER // int(np.bincount(self.root).max())))
 
-    def pairs(self, sure: int) -> np.ndarray:
-        """Members a and b of the near pairs, and whether their sketches differ in at most ``sure`` bits.
+    def nearest(self, sure: int) -> np.ndarray:
+        """Members a and b of some near pairs, whether their sketches differ in at most ``sure`` bits, and whether a has others.
 
-        Sure pairs join groups, and only those that merge two are given; of the others, all that join two groups.
+        Sure pairs join groups, and only those that merge two are given; of the others, the nearest of each member a.
+        A pair that isn't given has two members with others.
         """
-        most = self._block()
+        most, n = self._block(), len(self.members)
         at, block = 0, min(64, most)
-        joined, loose = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
-        while at < len(self.members):
-            a, b = self.search(np.arange(at, min(at + block, len(self.members))))
-            near = np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1) <= sure
-            joined.append(self.join(a[near], b[near]))
-            apart = ~near & (self.label[a] != self.label[b])
-            loose.append(np.stack([a[apart], b[apart]]))
+        joined = [np.zeros((2, 0), np.int64)]
+        partner, least, partners = np.full(n, -1), np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+        while at < n:
+            a, b = self.search(np.arange(at, min(at + block, n)))
+            far = np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1, dtype=np.int64)
+            joined.append(self.join(a[far <= sure], b[far <= sure]))
+            one, other, far = np.append(a, b), np.append(b, a), np.append(far, far)
+            apart = np.flatnonzero((far > sure) & (self.label[one] != self.label[other]))
+            partners += np.bincount(one[apart], minlength=n)
+            apart = apart[far[apart] < least[one[apart]]]
+            apart = apart[np.lexsort((far[apart], one[apart]))]
+            apart = apart[np.flatnonzero(np.diff(one[apart], prepend=-1))]
+            partner[one[apart]], least[one[apart]] = other[apart], far[apart]
             at, block = at + block, min(block * 2, most)
-        first, rest = np.concatenate(joined, axis=1), np.concatenate(loose, axis=1)
-        rest = rest[:, self.label[rest[0]] != self.label[rest[1]]]
-        return np.concatenate([np.vstack([first, np.ones_like(first[:1])]), np.vstack([rest, np.zeros_like(rest[:1])])], axis=1)
+        first = np.concatenate(joined, axis=1)
+        own = np.flatnonzero(partner >= 0)
+        own = own[self.label[own] != self.label[partner[own]]]
+        rest = np.stack([own, partner[own], np.zeros_like(own), partners[own] > 1])
+        return np.concatenate([np.vstack([first, np.ones_like(first[:1]), np.zeros_like(first[:1])]), rest], axis=1)
+
+    def between(self, label: np.ndarray) -> np.ndarray:
+        """Members a and b of all near pairs whose ``label``, a number for each member, differs."""
+        self.label = label
+        most = self._block()
+        found = [self.search(np.arange(at, min(at + most, len(label)))) for at in range(0, len(label), most)]
+        a, b = (np.concatenate(ends) for ends in zip(*found, strict=True))
+        return np.stack([a, b])[:, label[a] != label[b]]
 
 
-def _link(radius: int, most: int, sure: int | None = None):
+def _link(radius: int, most: int, sure: int | None = None, similarity: float | None = None):
     """Links of the members of each bucket to the first of their group; rows come sorted by bucket and Gray rank.
 
-    With ``sure``, the pairs that GrayIndex.pairs() gives instead.
+    With ``sure``, the pairs that GrayIndex.nearest() gives instead. With ``similarity``, all pairs of different
+    ``root`` that meet in no earlier part and that can be as similar: of ``size`` shingles, ``shared`` ones
+    may be in another member.
     """
 
+    def first_part(x: np.ndarray) -> np.ndarray:
+        tables = [((d >> _U(at)) & _U((1 << bits) - 1) == 0) & (np.bitwise_count(d) <= radius) for d in x.T for at, bits in QUARTERS]
+        return np.argmax(np.stack(tables), axis=0)
+
+    def between(index: GrayIndex, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = index.between(np.unique(rows["root"], return_inverse=True)[1])
+        size, shared, part = (rows[c].to_numpy(np.int64) for c in ("size", "shared", "part"))
+        able = (1 + similarity) * np.minimum(shared[a], shared[b]) >= similarity * (size[a] + size[b]) - 1e-6
+        a, b = a[able], b[able]
+        if len(a):
+            here = first_part(index.sketches[a] ^ index.sketches[b]) == part[a]
+            a, b = a[here], b[here]
+        u, root = rows["id"].to_numpy(np.int64), rows["root"].to_numpy(np.int64)
+        a, b = np.where(u[a] > u[b], a, b), np.where(u[a] > u[b], b, a)
+        return pd.DataFrame({"u": u[a], "v": u[b], "sure": np.zeros_like(a), "ru": root[a], "rv": root[b]})
+
     def of(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
         bucket = rows.groupby(["part", "bits"], sort=False).ngroup().to_numpy()
         alone = (np.diff(bucket, prepend=-1) != 0) & (np.diff(bucket, append=-1) != 0)
         rows, bucket = rows[~alone], bucket[~alone]
         if not len(rows):
-            return pd.DataFrame({"u": [], "v": []} | ({} if sure is None else {"sure": []})).astype("int64")
+            none = ["u", "v", *(["sure"] if sure is not None or similarity else []), *(["ru", "rv"] if similarity else ["more_u", "more_v"] if sure is not None else [])]
+            return pd.DataFrame({c: [] for c in none}).astype("int64")
         sketches = np.stack(rows["sketch"].tolist()).view(_U) if "sketch" in rows else None
         bucket = np.cumsum(np.diff(bucket, prepend=-1) != 0) - 1
         index = GrayIndex(rows["fp"].to_numpy(np.int64).view(_U), bucket, radius, sketches, most)
+        if similarity:
+            return between(index, rows)
         u = rows["id"].to_numpy(np.int64)
         if sure is not None:
-            a, b, near = index.pairs(sure)
-            return pd.DataFrame({"u": np.maximum(u[a], u[b]), "v": np.minimum(u[a], u[b]), "sure": near})
+            a, b, near, more = index.nearest(sure)
+            more_u, more_v = np.where(u[a] > u[b], more, 0), np.where(u[a] > u[b], 0, more)
+            return pd.DataFrame({"u": np.maximum(u[a], u[b]), "v": np.minimum(u[a], u[b]), "sure": near, "more_u": more_u, "more_v": more_v})
         label = index.groups()
         least = np.full(len(u), np.iinfo(np.int64).max)
         np.minimum.at(least, label, u)
@@ -339,26 +380,54 @@ def _sorted(dealt: DataFrame, fp: Column) -> DataFrame:
     return dealt.repartition(n, "part", "bits").withColumn("fp", fp).withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("part", "bits", "rank", "id")
 
 
-def candidates(prints: DataFrame, several: int, most: int, sure: int) -> DataFrame:
-    """Pairs (u, v, sure) of the ids of ``prints`` (id, sketch) whose sketches differ in at most ``most`` bits."""
+def _in_quarters(prints: DataFrame, several: int) -> DataFrame:
+    """``prints`` (id, sketch and others) once for each quarter of each fingerprint, each bucket in one task."""
     tables = [(block,) for block in QUARTERS]
     keys = [key for k in range(several) for key in _keys(F.col("sketch")[k], tables, k * len(tables))]
-    dealt = prints.select("id", "sketch", F.inline(F.array(*keys)))
-    own = F.get("sketch", F.floor(F.col("part") / len(tables)).cast("int"))  # the fingerprint that the bits are of
-    return _sorted(dealt, own).mapInPandas(_link(REACH, most, sure), "u long, v long, sure long").groupBy("u", "v").agg(F.max("sure").alias("sure"))
+    dealt = prints.select("*", F.inline(F.array(*keys)))
+    return _sorted(dealt, F.get("sketch", F.floor(F.col("part") / len(tables)).cast("int")))  # the fingerprint that the bits are of
+
 
+def candidates(prints: DataFrame, several: int, most: int, sure: int) -> DataFrame:
+    """Pairs (u, v, sure, more_u, more_v) of ids of ``prints`` (id, sketch) whose sketches differ in at most ``most`` bits.
+
+    Of the pairs of a bucket, those of at most ``sure`` bits that make its groups, and each member's nearest other one:
+    a few rows a member, and one at least for each that has any partner. Other pairs are between two members of
+    which ``more`` is 1 in some row.
+    """
+    found = _in_quarters(prints, several).mapInPandas(_link(REACH, most, sure), "u long, v long, sure long, more_u long, more_v long")
+    return found.groupBy("u", "v").agg(*[F.max(c).alias(c) for c in ("sure", "more_u", "more_v")])
 
-def similar_groups(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(id, root) of the components of those ``pairs`` (u, v, sure) whose ``sets`` (id, set) have the Jaccard similarity.
 
-    A pair is tested unless tested ones already join its ends, so that a large group takes few tests: first
-    some rounds of one pair of each group to an earlier one, a sure one if there is, then all that are left.
+def candidates_between(prints: DataFrame, several: int, most: int, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v, sure, ru, rv) of ids of ``prints`` whose ``roots`` (id, root), ru and rv, differ and whose
+    sketches differ in at most ``most`` bits, each once, but for those whose ``sets`` (id, set) can't have the similarity.
+
+    A shingle that one member alone has is in no other's set, so what two share is at most the lesser count of
+    the rest, and a member of which too much is its own has no such pair at all. Counts of shingles are summed up
+    before the shuffle.
+    """
+    own = sets.join(prints.select("id"), "id", "left_semi")
+    once = own.select("id", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = once.groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = own.select("id", F.size("set").alias("size")).join(alone, "id", "left")
+    sizes = sizes.select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    able = sizes.where(F.col("shared") >= similarity * F.col("size") - 1e-6)
+    members = written(prints.join(able, "id").join(roots, "id"), "members")
+    return _in_quarters(members, several).mapInPandas(_link(REACH, most, similarity=similarity), "u long, v long, sure long, ru long, rv long")
+
+
+def similar_groups(pairs: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame) -> DataFrame:
+    """``roots`` (id, root) joined by those ``pairs`` (u, v, sure, ru, rv) whose ``sets`` (id, set) have the Jaccard similarity.
+
+    A pair is tested unless tested ones already join its roots ru and rv, so that a large group takes few tests: first
+    some rounds of one pair of each group to an earlier one, a sure one if there is, as long as they
+    merge any, then all that are left.
     """
-    left = written(pairs.select("u", "v", "sure", F.col("u").alias("ru"), F.col("v").alias("rv")), "pairs")
-    roots = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("root"))
-    for k in range(HOOKS + 1):
-        chosen = left
-        if k < HOOKS:
+    left, k = written(pairs, "pairs"), 0
+    while True:
+        hook, chosen = k < HOOKS, left
+        if hook:
             order = F.xxhash64("u", "v", F.lit(k)) if k else F.least("ru", "rv")
             pick = F.min(F.struct((1 - F.col("sure")).alias("loose"), order.alias("order"), "u", "v", "ru", "rv")).alias("p")
             chosen = left.groupBy(F.greatest("ru", "rv").alias("of")).agg(pick).select("p.u", "p.v", "p.ru", "p.rv")
@@ -367,16 +436,19 @@ def similar_groups(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
         alike = shared >= similarity * (F.size("a") + F.size("b") - shared)
         tested = written(chosen.join(a, "u").join(b, "v").select("u", "v", "ru", "rv", (alike & (shared > 0)).alias("alike")), "tested")
         merged = tested.where("alike").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v"))
-        to = (forest_roots(merged) if k < HOOKS else components(merged)).select(F.col("u").alias("root"), F.col("v").alias("to"))
-        roots = roots.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        if k < HOOKS:
-            left = left.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-            for end in ("ru", "rv"):
-                left = left.join(to.withColumnRenamed("root", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-            left = written(left.where("ru <> rv"), "pairs")
-            if left.isEmpty():
-                break
-    return roots
+        merges = not merged.isEmpty()
+        if merges:
+            to = (forest_roots(merged) if hook else components(merged)).select(F.col("u").alias("root"), F.col("v").alias("to"))
+            roots = written(roots.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+        if not hook:
+            return roots
+        left = left.join(tested.select("u", "v"), ["u", "v"], "left_anti")
+        for end in ("ru", "rv") if merges else ():
+            left = left.join(to.withColumnRenamed("root", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        left = written(left.where("ru <> rv"), "pairs")
+        if left.isEmpty():
+            return roots
+        k = k + 1 if merges else HOOKS
 
 
 def near_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,14 +483,19 @@ def representatives(docs: DataFrame, words: int = 5, several: int = SEVERAL, sim
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     prints = written(hashed.select(F.col(doc_id).cast("long").alias("doc_id"), "_hash", sketch(F.col(text), words, seed, several).alias("sketch")), "sketches")
     prints = prints.withColumn("id", F.xxhash64("sketch"))
-    pairs = written(candidates(prints.select("id", "sketch").distinct(), several, int(bits + 3 * error), int(bits - 4 * error)), "candidates")
+    most, members = int(bits + 3 * error), prints.select("id", "sketch").distinct()
+    pairs = written(candidates(members, several, most, int(bits - 4 * error)), "candidates")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     one = F.min(F.struct("doc_id", "_hash")).alias("one")
     wanted = prints.join(ids, "id", "left_semi").groupBy("id").agg(one).select("id", F.col("one.doc_id").alias("_id"), F.col("one._hash").alias("_of"))
     texts = hashed.select(F.col(doc_id).cast("long").alias("_doc"), "_hash", F.col(text).alias("_text"))
     found = texts.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")))
     sets = written(found.select("id", shingle_set(F.col("_text"), words, seed).alias("set")).dropDuplicates(["id"]), "shingles")
-    root = similar_groups(pairs, sets, similarity)
+    first = pairs.select("u", "v", "sure", F.col("u").alias("ru"), F.col("v").alias("rv"))
+    near = similar_groups(first, sets, similarity, ids.select("id", F.col("id").alias("root")))
+    more = pairs.where("more_u = 1").select(F.col("u").alias("id")).union(pairs.where("more_v = 1").select("v")).distinct()
+    others = candidates_between(members.join(more, "id", "left_semi"), several, most, near, sets, similarity)
+    root = similar_groups(others, sets, similarity, near)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash")
     counted = prints.groupBy("id", "doc_id", "_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "n")).alias("first")
