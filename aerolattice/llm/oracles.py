@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .filter_audit import MARKS, MAX_CAPITALS, MIN_DISTINCT
+from .filter_audit import MIN_WORDS as AUDIT_WORDS
 from .quality_rules import CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE_WORDS, MIN_WORDS, SPACE, SYMBOLS
 
 
@@ -43,3 +45,30 @@ def quality_rules() -> str:
     d AS (SELECT *, {distance('classes')} AS class_distance, {distance('common')} AS word_distance FROM j)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
       NOT base_failed AND NOT (list_sum(classes) >= {MIN_CHARS} AND class_distance > {MAX_CLASS_DISTANCE} OR n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE}) AS kept FROM d"""
+
+
+def filter_audit() -> str:
+    """The audit of op13: flags of each document, all orders by a join of five letters, counts by comparing sets of letters."""
+    taken = " AND ".join(f"a{i}.f <> a{j}.f" for i in range(5) for j in range(i))
+    letters = ", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) a{k}" for k in range(5))
+    order = " || ".join(f"a{k}.f" for k in range(5))
+    return f"""
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), {_quoted(SPACE)}), lambda x: x <> '') AS ws FROM documents),
+    firsts AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+    said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT part, CASE WHEN len(ws) < {AUDIT_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < {MIN_DISTINCT} * len(ws) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MAX_CAPITALS} * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, {_quoted(MARKS)}) THEN 'D' ELSE '' END
+      || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS failed, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w JOIN firsts USING (text) LEFT JOIN said ON w.doc_id = said.doc_id),
+    c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY part, failed),
+    orders AS (SELECT {order} AS filter_order FROM {letters} WHERE {taken}),
+    steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k:k] AS f, filter_order[1:k - 1] AS before FROM orders, unnest(range(1, 6)) AS u(k)),
+    r AS (SELECT part, filter_order, step, f,
+      sum(CASE WHEN translate(failed, before || f, '') = failed THEN n ELSE 0 END) AS kept,
+      sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') <> failed THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN good ELSE 0 END) AS good_lost,
+      sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, steps GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+      CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
+from . import bpe, decontaminate, filter_audit, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,10 +76,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of five text filters by source."""
+    return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, components, removed spans and trained models are beyond SQL; tests hold these against brute force."""
-    return {"op6_quality_rules": oracles.quality_rules()}
+    return {"op6_quality_rules": oracles.quality_rules(), "op13_filter_audit": oracles.filter_audit()}
