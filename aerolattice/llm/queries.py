@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
+from . import bpe, credentials, decontaminate, filter_audit, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,13 +76,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hash of the base spans of each document, and all its spans."""
+    found = credentials.with_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [credentials.count(F.col("spans"), kind).alias(f"n_{kind}") for kind in credentials.BASE_KINDS]
+    base = credentials.joined(F.col("spans"), credentials.BASE_KINDS)
+    return found.select("columns.doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), credentials.joined(F.col("spans")).alias("spans"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of five text filters by source."""
     return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter, op11_secret_scan, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
