@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, decontaminate, filter_audit, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
+from . import alignment, bpe, credentials, decontaminate, filter_audit, importance, oracles, quality_rules, severity, simhash, suffix_dedup, token_counts, token_files, url_filter
 from .common import documents, fresh_path
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +85,19 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("columns.doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), credentials.joined(F.col("spans")).alias("spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of each document under two tokenizers."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")
+    return alignment.align(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE)).select("columns.doc_id", *alignment.SUMS, "groups_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of five text filters by source."""
     return filter_audit.audit_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter, op11_secret_scan, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_token_files, op4_decontamination, op5_importance_resampling, op6_quality_rules, op7_suffix_dedup, op8_severity, op9_byte_bpe, op10_url_filter, op11_secret_scan, op12_token_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
