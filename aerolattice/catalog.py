@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import more_queries, pose_queries  # noqa: F401  register their queries
+from .plans import camera_queries, more_queries, pose_queries  # noqa: F401  register their queries
 from .plans import queries as plans
 
 

@@ -42,6 +42,25 @@ RELATIONS = {
                2*(qx*qz-qy*qw)/n AS m6, 2*(qy*qz+qx*qw)/n AS m7, 1-2*(qx*qx+qy*qy)/n AS m8, vec_id * 0.5e0 AS x, vec_id % 7 + 1e0 AS y, 40e0 + vec_id % 61 AS z
         FROM (SELECT *, qw*qw+qx*qx+qy*qy+qz*qz AS n FROM (SELECT vec_id, {q1} AS qw, {q2} AS qx, {q3} AS qy, {q4} AS qz FROM {embeddings}) q) s WHERE n > 0"""),
     # pixels of images, every fifth of which is nearly the colour of the sky, and every seventh dark
+    # world points as frames see them from above: turned by yaw, tilted, of a focal length of the frame; 4 or 6 of 10 in the right place
+    "sights": ("lineitem", """
+        SELECT frame, focal, cx, cy, cz, fits, X, Y, Z, CASE WHEN frame % 9 = 8 AND row % 60 <> 0 THEN NULL WHEN fits THEN 320 + focal * a / c ELSE 370 + focal * a / c + row * 7 % 200 END AS u,
+               CASE WHEN fits THEN 240 + focal * (b * cos(tilt) + d * sin(tilt)) / c ELSE 200 + focal * (b * cos(tilt) + d * sin(tilt)) / c - row * 13 % 150 END AS v
+        FROM (SELECT *, dx * cos(yaw) + dy * sin(yaw) AS a, dx * sin(yaw) - dy * cos(yaw) AS b, -dz AS d, -(dx * sin(yaw) - dy * cos(yaw)) * sin(tilt) - dz * cos(tilt) AS c
+        FROM (SELECT *, X - cx AS dx, Y - cy AS dy, Z - cz AS dz, row % 10 < CASE WHEN frame % 4 = 0 THEN 4 ELSE 6 END AS fits
+        FROM (SELECT frame, row, 240 / tan(radians((40.5e0 + frame % 30) / 2)) AS focal, radians(frame * 37e0) AS yaw, radians((frame % 11 - 5) * 3e0) AS tilt, frame % 10 * 30e0 AS cx, frame % 7 * 20e0 AS cy, 120e0 + frame % 40 AS cz,
+               frame % 10 * 30e0 + part * 37 % 971 * 0.17e0 - 80 AS X, frame % 7 * 20e0 + ord * 41 % 887 * 0.15e0 - 65 AS Y, CASE WHEN frame % 5 = 0 THEN 10e0 ELSE part * 17 % 211 * 0.1e0 END AS Z
+        FROM (SELECT l_suppkey AS frame, l_orderkey * 7 + l_linenumber AS row, l_partkey AS part, l_orderkey AS ord FROM {lineitem}) l) p) q) r"""),
+    # points in two views: turned about the axis of view and tilted, moved by one in a direction of the pair; flat or in relief
+    "views": ("lineitem", """
+        SELECT pair, fits, u1, v1, CASE WHEN fits THEN 320 + 500 * qx / qz ELSE u1 + 40 + row * 7 % 120 END AS u2, CASE WHEN fits THEN 240 + 500 * qy / qz ELSE v1 - 30 - row * 13 % 100 END AS v2
+        FROM (SELECT *, 320 + 500 * ax / az AS u1, 240 + 500 * ay / az AS v1, ax * cos(yaw) - ay * sin(yaw) + tx AS qx,
+               (ax * sin(yaw) + ay * cos(yaw)) * cos(tilt) - az * sin(tilt) + ty AS qy, (ax * sin(yaw) + ay * cos(yaw)) * sin(tilt) + az * cos(tilt) + tz AS qz
+        FROM (SELECT *, sx * az AS ax, sy * az AS ay
+        FROM (SELECT *, CASE WHEN pair % 3 = 0 THEN 9e0 ELSE 7 + part * 17 % 211 * 0.02e0 END AS az
+        FROM (SELECT l_suppkey AS pair, l_partkey AS part, l_orderkey * 7 + l_linenumber AS row, (l_orderkey * 7 + l_linenumber) % 10 < 7 AS fits, l_partkey * 37 % 971 / 971e0 - 0.5e0 AS sx, l_orderkey * 41 % 887 / 887e0 - 0.5e0 AS sy,
+               radians(l_suppkey % 9 * 2e0 - 8) AS yaw, radians(l_suppkey % 7 - 3e0) AS tilt, cos(radians(l_suppkey * 40e0)) * 0.8e0 AS tx, sin(radians(l_suppkey * 40e0)) * 0.8e0 AS ty, CASE WHEN l_suppkey % 2 = 0 THEN 0.6e0 ELSE -0.6e0 END AS tz
+        FROM {lineitem}) l) p) q) r"""),
     "pixels": ("lineitem", """
         SELECT l_suppkey AS frame, l_orderkey * 10 + l_linenumber AS px, CASE WHEN l_suppkey % 7 = 0 THEN 0 WHEN l_suppkey % 5 = 0 AND l_orderkey % 40 <> 0 THEN 235 + l_orderkey % 9 ELSE l_partkey % 256 END AS b,
                CASE WHEN l_suppkey % 7 = 0 THEN l_orderkey % 2 WHEN l_suppkey % 5 = 0 AND l_orderkey % 40 <> 0 THEN 206 - l_orderkey % 9 ELSE l_partkey * 3 % 256 END AS g,
