@@ -7,9 +7,10 @@ none of which has a blank after another character, nor a tab or line end at all.
 model is loaded; characters for which it doesn't hold split no text. So the tokens of a text are those of its
 segments, in order.
 
-Documents are taken in chunks. A chunk keeps its distinct segments once and its documents as numbers of these; the
-segments of all chunks are made distinct by a shuffle, tokenised and aligned, and joined back to the chunks
-that hold them. Counts of id pairs over the corpus come from the segments and how often they occur.
+Documents are taken in chunks. A chunk keeps its distinct segments once and its documents as numbers of these, and asks
+for each of its segments once, so no segment has more requests than there are chunks. A shuffle brings the requests
+for a segment together; it is tokenised and aligned once, and the answer goes back to the chunks that asked,
+which compose their documents. Counts of id pairs over the corpus come from the segments and how often they occur.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import ne
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from .common import written
+from .common import shuffle_partitions, written
 from .pieces import byte_symbols
 
 #: White space that may begin a segment, besides the blank.
@@ -41,6 +44,8 @@ BREAKS = "\t\n\v\f\r"
 CHUNK_CHARS, CHUNK_SEGMENTS = 32 << 20, 500_000
 #: Segments that are tokenised at once.
 SEGMENT_BATCH = 4096
+#: Requests that are answered at once, and pairs of ids that are broadcast at most: 17 bytes each.
+ANSWER_ROWS, MAX_PAIRS = 1 << 18, 1 << 22
 BLANK = "▁"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -167,7 +172,7 @@ def _chunks(a_path: str, b_path: str):
             columns = [pa.array([base + made]), pa.concat_arrays([pa.array([], pa.list_(kind)), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(rows))])]
             columns += [pa.array([lens.tobytes()]), pa.array([_packed(order)]), pa.array([list(numbers)], pa.list_(pa.string()))]
             columns.append(pa.ListArray.from_arrays([0, len(counts)], pa.array(counts, pa.int64())))
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "lens", "places", "segments", "counts"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "lens", "order", "segments", "counts"])
 
         for batch in batches:
             kind, at = batch.column(0).type, 0
@@ -188,53 +193,118 @@ def _chunks(a_path: str, b_path: str):
 
 
 def _align(a_path: str, b_path: str):
+    """Requests (segment, chunk, place, n), in order of the segment, to a row for each segment of a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, number = pair_of(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, SEGMENT_BATCH):
-                part = batch.slice(at, SEGMENT_BATCH)
-                done = pair.aligned(part.column(0).to_pylist())
-                links = pa.StructArray.from_arrays([pa.array(ids, pa.int32()) for ids in (done.link_a, done.link_b)], ["a", "b"])
-                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(done.n_links)), pa.int32()), links)
-                numbers = pa.array(np.arange(number, number + part.num_rows))
-                yield pa.RecordBatch.from_arrays([numbers, part.column(0), part.column(1), pa.array(done.n_a, pa.int32()), done.groups, listed], ["number", "segment", "n", "n_a", "groups", "links"])
-                number += part.num_rows
+            segments = batch.column(0).to_pylist()
+            firsts = np.flatnonzero([True, *map(ne, segments[1:], segments)]) if segments else np.zeros(0, np.int64)
+            for at in range(0, len(firsts), SEGMENT_BATCH):
+                own = firsts[at : at + SEGMENT_BATCH]
+                end = int(firsts[at + SEGMENT_BATCH]) if at + SEGMENT_BATCH < len(firsts) else len(segments)
+                done = pair.aligned([segments[k] for k in own.tolist()])
+                asks = pa.array(np.append(own, end) - own[0], pa.int32())
+                links = pa.array(np.append(0, np.cumsum(done.n_links)), pa.int32())
+                part = batch.slice(int(own[0]), end - int(own[0]))
+                counts = np.add.reduceat(part.column(3).to_numpy(), own - own[0])
+                lists = [pa.ListArray.from_arrays(asks, pa.concat_arrays([part.column(k)])) for k in (1, 2)] + [pa.ListArray.from_arrays(links, pa.array(ids, pa.int32())) for ids in (done.link_a, done.link_b)]
+                numbers = pa.array(np.arange(number, number + len(own)))
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(counts), pa.array(done.n_a, pa.int32()), done.groups, *lists], ["number", "n", "n_a", "groups", "chunks", "places", "a", "b"])
+                number += len(own)
 
     return run
 
 
-ALIGNED = "number long, segment string, n long, n_a int, groups string, links array<struct<a: int, b: int>>"
+ALIGNED = "number long, n long, n_a int, groups string, chunks array<long>, places array<int>, a array<int>, b array<int>"
+ANSWERS = "chunk long, places array<int>, n_a array<int>, n_best array<int>, count_sum array<long>, groups string"
+
+
+class PairTable:
+    """Counts of id pairs, by binary search."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, count: np.ndarray, best: np.ndarray):
+        order = np.argsort(key := a.astype(np.int64) << 32 | b)
+        self.keys, self.counts, self.best = key[order], count[order], best[order]
+
+    def sums(self, a: pa.ListArray, b: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """For each list of links how many are best, and the sum of their counts."""
+        at = np.searchsorted(self.keys, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy())
+        starts = np.append(0, np.cumsum(pc.list_value_length(a).to_numpy()))[:-1]
+        return np.add.reduceat(self.best[at].astype(np.int64), starts), np.add.reduceat(self.counts[at], starts)
+
+
+def _looked_up(table: Broadcast[PairTable]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_best, count_sum = table.value.sums(batch.column("a"), batch.column("b"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TOLD), pa.array(n_best, pa.int32()), pa.array(count_sum)], [*TOLD, "n_best", "count_sum"])
+
+    return run
+
+
+TOLD = ("n_a", "groups", "chunks", "places")
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of ANSWER_ROWS requests, with the answers to all of them."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        chunks, places = (table.column(c).combine_chunks() for c in ("chunks", "places"))
+        of = np.repeat(np.arange(table.num_rows), pc.list_value_length(chunks).to_numpy())
+        chunks, places = chunks.flatten().to_numpy(), places.flatten().to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        starts = np.flatnonzero(np.diff(chunks[order], prepend=-1))
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        take = pa.array(of[order])
+        lists = [pa.array(places[order]), *(table.column(c).combine_chunks().take(take) for c in ("n_a", "n_best", "count_sum"))]
+        groups = pc.binary_join(pa.ListArray.from_arrays(ends, table.column("groups").combine_chunks().take(take)), "\n")
+        return pa.RecordBatch.from_arrays([pa.array(chunks[order][starts]), *(pa.ListArray.from_arrays(ends, x) for x in lists), groups], ["chunk", "places", "n_a", "n_best", "count_sum", "groups"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += len(batch.column("chunks").flatten())
+        if rows >= ANSWER_ROWS:
+            yield packed(held)
+            held, rows = [], 0
+    if rows:
+        yield packed(held)
 
 
 def _compose(chunk: pa.Table, answers: pa.Table) -> pa.Table:
     """The documents of one chunk, from the answers to its segments."""
     lens = np.frombuffer(chunk.column("lens")[0].as_py(), "<u4").astype(np.int64)
-    order = _unpacked(chunk.column("places")[0].as_py(), int(lens.sum()))
+    order = _unpacked(chunk.column("order")[0].as_py(), int(lens.sum()))
     starts, has = np.cumsum(lens) - lens, lens > 0
-    by_place = np.argsort(answers.column("place").to_numpy())
-    groups = answers.column("groups").take(pa.array(by_place)).combine_chunks()
-    n_a, n_best, count_sum = (answers.column(c).to_numpy()[by_place].astype(np.int64) for c in ("n_a", "n_best", "count_sum"))
-    n_groups = pc.count_substring(groups, ";").to_numpy() + 1
-    n_b = pc.count_substring(groups, ",").to_numpy() + 2 * n_groups - n_a
+    flat = {c: answers.column(c).combine_chunks().flatten().to_numpy() for c in ("places", "n_a", "n_best", "count_sum")}
+    by_place = np.argsort(flat["places"])
+    n_a, n_best, count_sum = (flat[c][by_place].astype(np.int64) for c in ("n_a", "n_best", "count_sum"))
+    spelled = pa.array("\n".join(answers.column("groups").to_pylist()).split("\n") if len(by_place) else [], pa.string()).take(pa.array(by_place))
+    n_groups = pc.count_substring(spelled, ";").to_numpy() + 1
+    n_b = pc.count_substring(spelled, ",").to_numpy() + 2 * n_groups - n_a
     columns = {"columns": chunk.column("docs").combine_chunks().flatten()}
     for name, of in zip(SUMS, (n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum), strict=True):
         sums = np.zeros(len(lens), np.int64)
         if has.any():
             sums[has] = np.add.reduceat(of[order], starts[has])
         columns[name] = pa.array(sums)
-    spelled = groups.to_pylist()
-    hashes = [hashlib.sha256(";".join(map(spelled.__getitem__, order[b : b + k].tolist())).encode()).hexdigest() if k else "" for b, k in zip(starts.tolist(), lens.tolist(), strict=True)]
+    texts = spelled.to_pylist()
+    hashes = [hashlib.sha256(";".join(map(texts.__getitem__, order[b : b + k].tolist())).encode()).hexdigest() if k else "" for b, k in zip(starts.tolist(), lens.tolist(), strict=True)]
     return pa.table(columns | {"groups_sha256": pa.array(hashes, pa.string())})
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """a, b, count (links of the corpus that hold both) and best (no other id of A has more with this b)."""
-    counts = aligned.select("n", F.inline("links")).groupBy("a", "b").agg(F.sum("n").alias("count"))
+    counts = aligned.select("n", F.inline(F.arrays_zip("a", "b"))).groupBy("a", "b").agg(F.sum("n").alias("count"))
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     return counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", max_pairs: int = MAX_PAIRS) -> DataFrame:
     """The columns of ``df`` but its ``text`` as a struct ``columns``, and what aligns in each text.
 
     n_a, n_b: tokens of a blank and the text; n_groups: the parts between places where tokens of both end; n_links: pairs of an
@@ -243,23 +313,28 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     ids. A null or empty text, and one whose bytes the tokens don't give back, has no tokens: zeros and ''.
     Rows keep their number; repeated rows and rows of one number count each. Texts and segments of any length are whole.
 
-    A chunk holds tens of millions of characters at most, but for a longer text, and is composed in one task. A segment of
-    all chunks stands once for each in the join by segment, which Spark splits where it is skewed; so does the join by
-    ids, where a pair of ids may be in many segments.
+    A chunk holds tens of millions of characters at most, but for a longer text, and is composed in one task. Counts of
+    pairs are looked up in a broadcast table while there are ``max_pairs`` at most, and joined beyond.
     """
     rest = [c for c in df.columns if c != text] or [text]
     carried = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("columns"), F.col(f"`{text}`").alias("text"))
     own = carried.schema["columns"].dataType
-    schema = T.StructType().add("chunk", "long").add("docs", T.ArrayType(own)).add("lens", "binary").add("places", "binary")
+    schema = T.StructType().add("chunk", "long").add("docs", T.ArrayType(own)).add("lens", "binary").add("order", "binary")
     chunks = written(carried.mapInArrow(_chunks(a_path, b_path), schema.add("segments", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))), "chunks")
-    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("place", "x")).select("chunk", "place", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
-    distinct = asked.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = written(distinct.mapInArrow(_align(a_path, b_path), ALIGNED), "segments")
-    links = aligned.select("number", F.inline("links")).join(pair_counts(aligned), ["a", "b"])
-    sums = links.groupBy("number").agg(F.count_if("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    told = aligned.select("number", "segment", "n_a", "groups").join(sums, "number").drop("number")
-    answers = asked.select("chunk", "place", "segment").join(told, "segment").drop("segment")
+    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("place", "x")).select(F.col("x.segments").alias("segment"), "chunk", "place", F.col("x.counts").alias("n"))
+    asked = asked.repartition(shuffle_partitions(df.sparkSession), "segment").sortWithinPartitions("segment")
+    aligned = written(asked.mapInArrow(_align(a_path, b_path), ALIGNED), "segments")
+    pairs = written(pair_counts(aligned), "pairs")
+    if pairs.count() <= max_pairs:
+        held = pairs.toArrow()
+        table = df.sparkSession.sparkContext.broadcast(PairTable(*(held.column(c).to_numpy() for c in ("a", "b", "count", "best"))))
+        told = aligned.mapInArrow(_looked_up(table), "n_a int, groups string, chunks array<long>, places array<int>, n_best int, count_sum long")
+    else:
+        links = aligned.select("number", F.inline(F.arrays_zip("a", "b"))).join(pairs, ["a", "b"])
+        sums = links.groupBy("number").agg(F.count_if("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        told = aligned.select("number", *TOLD).join(sums, "number").drop("number")
+    answers = told.mapInArrow(_answers, ANSWERS)
     done = T.StructType().add("columns", own)
     for name in SUMS:
         done = done.add(name, "long")
-    return chunks.select(F.col("chunk").alias("own"), "docs", "lens", "places").groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(_compose, done.add("groups_sha256", "string"))
+    return chunks.select(F.col("chunk").alias("own"), "docs", "lens", "order").groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(_compose, done.add("groups_sha256", "string"))

@@ -94,13 +94,13 @@ def test_segments_have_the_tokens_of_the_text(libraries):
         assert sum(got_a, []) == [i for i, _ in a] and sum(got_b, []) == [i for i, _ in b], text
 
 
-@pytest.mark.parametrize("size", [(32 << 20, 500_000), (200, 500_000), (32 << 20, 5)])
-def test_align_against_whole_texts(spark, libraries, monkeypatch, size):
+@pytest.mark.parametrize(("size", "pairs"), [((32 << 20, 500_000), 1 << 22), ((200, 500_000), 1 << 22), ((32 << 20, 5), 1 << 22), ((32 << 20, 5), 0)])
+def test_align_against_whole_texts(spark, libraries, monkeypatch, size, pairs):
     monkeypatch.setattr(alignment, "CHUNK_CHARS", size[0])
     monkeypatch.setattr(alignment, "CHUNK_SEGMENTS", size[1])
     texts = [(k % 90, made(k)) for k in range(120)] + [(None, " "), (1, "  "), (2, "\n"), (3, None), (4, "")]
     df = spark.createDataFrame([(i, t, "own", 7) for i, t in texts], "doc_id long, text string, columns string, n_a long").repartition(3)
-    got = alignment.align(df, A_PATH, B_PATH).select("columns.doc_id", *alignment.SUMS, "groups_sha256", "columns.columns", "columns.n_a").collect()
+    got = alignment.align(df, A_PATH, B_PATH, max_pairs=pairs).select("columns.doc_id", *alignment.SUMS, "groups_sha256", "columns.columns", "columns.n_a").collect()
     assert {r[8:] for r in got} == {("own", 7)}
     same(got, texts, libraries)
 
