@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from operator import ne
 from typing import NamedTuple
@@ -41,7 +42,7 @@ from .pieces import byte_symbols
 #: White space that may begin a segment, besides the blank.
 BREAKS = "\t\n\v\f\r"
 #: A chunk ends with the document that takes it over so many characters or distinct segments.
-CHUNK_CHARS, CHUNK_SEGMENTS = 32 << 20, 500_000
+CHUNK_CHARS, CHUNK_SEGMENTS = 10 << 20, 250_000
 #: Segments that are tokenised at once.
 SEGMENT_BATCH = 4096
 #: Requests that are answered at once, and pairs of ids that are broadcast at most: 17 bytes each.
@@ -72,10 +73,7 @@ class Pair:
         splitter = spec.get("pre_tokenizer") or {}
         if splitter.get("type") != "ByteLevel" or spec.get("normalizer") or spec["model"]["type"] != "BPE":
             raise ValueError(f"{a_path} is no byte-level BPE")
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a_path = a_path
         to_byte = {c: k for k, c in enumerate(byte_symbols())}
         vocab = spec["model"]["vocab"]
         if set(to_byte) - set(vocab):
@@ -96,6 +94,15 @@ class Pair:
         self.splits = splitter.get("use_regex", True) and not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
         self.a_lens, self.b_lens = (np.array([len(x) for x in of]) for of in (self.a_bytes, self.b_bytes))
 
+    @cached_property
+    def a(self) -> Tokenizer:
+        """Tokenizer A, which what only splits texts doesn't load."""
+        found = Tokenizer.from_file(self.a_path)
+        found.no_truncation()
+        found.no_padding()
+        found.encode_special_tokens = True
+        return found
+
     def keeps(self, text: str) -> bool:
         """Whether the bytes of B's tokens are those of a blank and ``text``; A's always are."""
         return self.b.normalize(text).replace(BLANK, " ") == " " + text
@@ -313,7 +320,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", max_pairs
     ids. A null or empty text, and one whose bytes the tokens don't give back, has no tokens: zeros and ''.
     Rows keep their number; repeated rows and rows of one number count each. Texts and segments of any length are whole.
 
-    A chunk holds tens of millions of characters at most, but for a longer text, and is composed in one task. Counts of
+    A chunk holds some ten million characters at most, but for a longer text, and is composed in one task. Counts of
     pairs are looked up in a broadcast table while there are ``max_pairs`` at most, and joined beyond.
     """
     rest = [c for c in df.columns if c != text] or [text]

@@ -94,7 +94,7 @@ def test_segments_have_the_tokens_of_the_text(libraries):
         assert sum(got_a, []) == [i for i, _ in a] and sum(got_b, []) == [i for i, _ in b], text
 
 
-@pytest.mark.parametrize(("size", "pairs"), [((32 << 20, 500_000), 1 << 22), ((200, 500_000), 1 << 22), ((32 << 20, 5), 1 << 22), ((32 << 20, 5), 0)])
+@pytest.mark.parametrize(("size", "pairs"), [((10 << 20, 250_000), 1 << 22), ((200, 250_000), 1 << 22), ((10 << 20, 5), 1 << 22), ((10 << 20, 5), 0)])
 def test_align_against_whole_texts(spark, libraries, monkeypatch, size, pairs):
     monkeypatch.setattr(alignment, "CHUNK_CHARS", size[0])
     monkeypatch.setattr(alignment, "CHUNK_SEGMENTS", size[1])
