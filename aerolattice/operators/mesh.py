@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+
 
 def face_geometry(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """f, centroid, area and unit normal of each face; a face without area has normal 0."""
@@ -28,31 +27,19 @@ def edges(faces: DataFrame) -> DataFrame:
     return faces.select(F.inline(sides)).distinct()
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-aerolattice-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each node that ``links`` (a, b) name.
 
     Nodes take the least label among their neighbours', then their label's label, until none changes; the
     state of each round is a table in the shared folder.
     """
-    both = _saved(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
-    state = _saved(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
+    both = saved(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
+    state = saved(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
     while True:
         near = both.join(state.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         lower = state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("label"))
         jump = state.select(F.col("node").alias("label"), F.col("component").alias("up"))
-        after = _saved(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("component")), "labels")
+        after = saved(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("component")), "labels")
         if after.where("old <> component").isEmpty():
             return after.select("node", "component")
         state = after.select("node", "component")

@@ -122,61 +122,3 @@ def gusts(df: DataFrame, channel: str, strength: float, frames: int = 120, share
     sign = F.when(F.pmod(F.xxhash64(F.lit(seed + 1), "seq", block), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     envelope = 0.5 - 0.5 * F.cos(2 * np.pi * F.pmod(F.col("ord"), F.lit(frames)) / frames)
     return df.withColumn(channel, F.col(channel) + F.when(blows, sign * strength * envelope).otherwise(0.0))
-
-
-def located(df: DataFrame, iterations: int = 5000, threshold: float = 4.0, least: int = 30, seed: int = 42, confidence: float = 0.9999) -> DataFrame:
-    """Camera poses from correspondences (frame, u, v, X, Y, Z) in normalised image coordinates times 1000.
-
-    The direct linear transform on random sixes, the pose with most inliers, fitted again to these. Rounds end
-    when one of them took inliers alone with ``confidence``, or after ``iterations``. Frames of fewer than ``least`` inliers fail. A frame's correspondences are one task's; matchers give thousands.
-    """
-
-    def direct(p: np.ndarray, w: np.ndarray) -> np.ndarray | None:
-        mean, size = w.mean(axis=0), max(w.std(), 1e-12)
-        q = np.hstack([(w - mean) / size, np.ones((len(w), 1))])
-        zero = np.zeros_like(q)
-        rows = np.vstack([np.hstack([q, zero, -p[:, :1] * q]), np.hstack([zero, q, -p[:, 1:] * q])])
-        m = np.linalg.svd(rows, full_matrices=False)[2][-1].reshape(3, 4)
-        undo = np.eye(4)
-        undo[:3, :3] /= size
-        undo[:3, 3] = -mean / size
-        m = m @ undo
-        if np.linalg.det(m[:, :3]) < 0:
-            m = -m
-        u, s, vt = np.linalg.svd(m[:, :3])
-        if s.mean() < 1e-12:
-            return None
-        rotation = u @ vt
-        return np.hstack([rotation, (m[:, 3] / s.mean())[:, None]])
-
-    def errors(pose: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-        c = w @ pose[:, :3].T + pose[:, 3]
-        return np.where(c[:, 2] > 1e-9, np.linalg.norm(c[:, :2] / np.maximum(c[:, 2:], 1e-9) - p, axis=1), np.inf)
-
-    def solve(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values(["u", "v", "X", "Y", "Z"])
-        p, w = points[["u", "v"]].to_numpy(float) / 1000, points[["X", "Y", "Z"]].to_numpy(float)
-        rng, best, most = np.random.RandomState(seed), None, np.zeros(len(p), bool)
-        needed = iterations if len(p) >= max(6, least) else 0
-        for done in range(needed):
-            if done >= needed:
-                break
-            some = rng.choice(len(p), 6, replace=False)
-            pose = direct(p[some], w[some])
-            if pose is None:
-                continue
-            near = errors(pose, p, w) < threshold / 1000
-            if near.sum() > most.sum():
-                best, most = pose, near
-                clean = (near.sum() / len(p)) ** 6
-                needed = min(needed, np.log(1 - confidence) / np.log1p(-clean) if clean < 1 else 0)
-        if best is not None and most.sum() >= 6:
-            again = direct(p[most], w[most])
-            if again is not None and (errors(again, p, w) < threshold / 1000).sum() >= most.sum():
-                best, most = again, errors(again, p, w) < threshold / 1000
-        if best is None or most.sum() < least:
-            return pd.DataFrame([(key[0], False, int(most.sum()), None, None, None, None)], columns=["frame", "success", "inliers", "x", "y", "z", "error"])
-        centre = -best[:, :3].T @ best[:, 3]
-        return pd.DataFrame([(key[0], True, int(most.sum()), *centre, float(errors(best, p, w)[most].mean() * 1000))], columns=["frame", "success", "inliers", "x", "y", "z", "error"])
-
-    return df.groupBy("frame").applyInPandas(solve, "frame long, success boolean, inliers long, x double, y double, z double, error double")

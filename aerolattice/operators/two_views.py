@@ -88,18 +88,19 @@ def transfer_errors(matrices: np.ndarray, first: np.ndarray, second: np.ndarray)
 
 
 def _sampled(first, second, size, solve, errors, threshold, rounds, rng) -> tuple[np.ndarray | None, np.ndarray]:
-    """The matrix with most pairs within ``threshold``, and which these are."""
-    best, most, drawn, needed = None, np.zeros(len(first), bool), 0, rounds
+    """The matrix with the least sum of squared distances, each ``threshold`` at most, and which pairs are nearer than that."""
+    best, most, least, drawn, needed = None, np.zeros(len(first), bool), np.inf, 0, rounds
     while drawn < needed:
         some = rng.random((SAMPLES, len(first))).argpartition(size - 1, axis=1)[:, :size]
         drawn += SAMPLES
         found = solve(first[some], second[some])
         if not len(found):
             continue
-        near = errors(found, first, second) < threshold**2
-        k = int(near.sum(1).argmax())
-        if near[k].sum() > most.sum():
-            best, most = found[k], near[k]
+        off = np.minimum(errors(found, first, second), threshold**2)
+        costs = off.sum(1)
+        k = int(costs.argmin())
+        if costs[k] < least:
+            best, most, least = found[k], off[k] < threshold**2, costs[k]
             clean = min((most.sum() / len(first)) ** size, 1 - 1e-12)
             needed = min(rounds, np.log(1 - SURE) / np.log1p(-clean))
     return best, most
@@ -138,35 +139,47 @@ def _signed_errors(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, secon
     return (lines * second).sum(1) / np.sqrt(np.maximum(lines[:, 0] ** 2 + lines[:, 1] ** 2 + back[:, 0] ** 2 + back[:, 1] ** 2, 1e-300))
 
 
-def refined_motion(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, second: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """The motion of least weighted distances from what it allows, by damped Gauss-Newton steps over turn and direction.
+def refined_motion(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """The motion of least squared distances from what it allows, by damped Gauss-Newton steps over turn and direction.
 
-    A pair weighs less the farther it is off, by the median distance, so that a wrong pair that happens to lie near its line counts for little.
+    After each round those pairs count that are within ``threshold`` and within five times the median distance, so that a wrong pair that happens
+    to lie near its line is left out once the others fit better.
     """
-    damping = 1e-3
+    off = _signed_errors(turn, shift, first, second)
+    fits = np.abs(off) < threshold
+    for _ in range(rounds):
+        if fits.sum() < LEAST_AHEAD:
+            break
+        turn, shift = _least_squares(turn, shift, first[fits], second[fits])
+        off = np.abs(_signed_errors(turn, shift, first, second))
+        now = off < min(threshold, max(5 * float(np.median(off[fits])), 1e-12))
+        if (now == fits).all():
+            break
+        fits = now
+    return turn, shift
+
+
+def _least_squares(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, second: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    damping, off = 1e-6, _signed_errors(turn, shift, first, second)
 
     def moved(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        aside = np.linalg.svd(shift[None])[2][1:]
-        to = shift + step[3:] @ aside
+        to = shift + step[3:] @ np.linalg.svd(shift[None])[2][1:]
         return turn_by(step[:3]) @ turn, to / np.linalg.norm(to)
 
-    off = _signed_errors(turn, shift, first, second)
     for _ in range(steps):
-        size = max(1.5 * float(np.median(np.abs(off))), 1e-12)
-        weights = 1 / (1 + (off / size) ** 2)
         slope = np.stack([(_signed_errors(*moved(h), first, second) - _signed_errors(*moved(-h), first, second)) / 2e-6 for h in 1e-6 * np.eye(5)], axis=1)
-        square, pull, cost = slope.T @ (slope * weights[:, None]), slope.T @ (weights * off), float(np.log1p((off / size) ** 2).sum())
+        square, pull = slope.T @ slope, slope.T @ off
         while damping < 1e9:
             step = -np.linalg.solve(square + damping * np.diag(np.diag(square) + 1e-15), pull)
             now = moved(step)
             new = _signed_errors(*now, first, second)
-            if np.log1p((new / size) ** 2).sum() < cost:
+            if new @ new < off @ off:
                 break
             damping *= 10
         else:
             break
-        (turn, shift), off, damping = now, new, max(damping / 10, 1e-9)
-        if np.abs(step).max() < 1e-13:
+        (turn, shift), off, damping = now, new, max(damping / 10, 1e-12)
+        if np.abs(step).max() < 1e-12:
             break
     return turn, shift
 
@@ -216,7 +229,8 @@ def motion(first: np.ndarray, second: np.ndarray, threshold: float, rounds: int,
     if essential is not None:
         count, turn, shift = motion_of_essential(essential, first[fits], second[fits])
         if count >= LEAST_AHEAD:
-            turn, shift = refined_motion(turn, shift, first[fits], second[fits])
+            turn, shift = refined_motion(turn, shift, first, second, threshold)
+            fits = np.abs(_signed_errors(turn, shift, first, second)) < threshold
             found = "essential", int(fits.sum()), turn, shift
     if plane is not None and (found is None or on.sum() > PLANE_SHARE * max(on.sum() + fits.sum(), 1)):
         plane = homographies(first[on][None], second[on][None])[0] if on.sum() > 4 else plane

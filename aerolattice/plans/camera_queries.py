@@ -1,10 +1,12 @@
-"""Queries of cameras that are found from correspondences: poses, focal lengths, and the motion between two views."""
+"""Queries of cameras that are found from correspondences, and of raster files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import camera_fit, two_views
+from ..scratch import scratch_path
+from ..sources import tiff
 from .queries import query
 
 WIDTH, HEIGHT = 640.0, 480.0
@@ -37,3 +39,23 @@ def view_motions(df):
     found = two_views.relative_poses(df, 500.0, (WIDTH / 2, HEIGHT / 2))
     turns = {f"r{k}": F.col("rel")[k] for k in (0, 3, 6)}
     return found.withColumns(turns).select("pair", "points", "model", *_rounded("r0 r3 r6 tx ty tz", 3))
+
+
+TILE, LEFT, TOP = 16, 1000.0, 2000.0
+
+
+@query("dsm", "SELECT row, col, round(z, 3) AS z FROM dsm WHERE col >= 5 AND col < 30 AND row < 40")
+def raster_files(df):
+    """A height map written as GeoTIFF tiles, and a window of it read back: tiles and strips outside aren't read."""
+    of = [F.floor(F.col(c) / TILE).alias(f"t{c}") for c in ("row", "col")]
+    places = F.map_from_entries(F.collect_list(F.struct((F.col("row") % TILE * TILE + F.col("col") % TILE).cast("int"), "z")))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda k: F.coalesce(F.element_at("cells", k), F.lit(-9999.0)))
+    tiles = df.groupBy(*of).agg(places.alias("cells")).select(
+        F.concat_ws("_", F.lit("dsm"), "trow", "tcol").alias("name"), F.lit(TILE).alias("width"), (LEFT + F.col("tcol") * TILE).alias("left"), (TOP - F.col("trow") * TILE).alias("top"),
+        F.lit(1.0).alias("res"), F.lit(25833).alias("epsg"), F.lit(-9999.0).alias("nodata"), filled.alias("values"),
+    )
+    folder = scratch_path(df.sparkSession, "tiles")
+    tiff.write_tiles(tiles, folder).write.format("noop").mode("overwrite").save()
+    near = tiff.blocks(df.sparkSession, folder).where((F.col("right") > LEFT + 5) & (F.col("left") < LEFT + 30) & (F.col("top") > TOP - 40))
+    inside = tiff.cells(near).where((F.col("x") > LEFT + 5) & (F.col("x") < LEFT + 30) & (F.col("y") > TOP - 40) & F.col("z").isNotNull())
+    return inside.select((TOP - 0.5 - F.col("y")).cast("long").alias("row"), (F.col("x") - LEFT - 0.5).cast("long").alias("col"), F.round("z", 3).alias("z"))

@@ -29,32 +29,3 @@ def test_resampled_lengths_and_noise(spark):
     assert one == sequences.perturbed(df.repartition(3), {"x": 0.5, "y": 0.1}).orderBy("seq", "ord").collect()
     noise = np.array([r.x - k * r.seq for r, k in zip(one, list(range(10)) * 2, strict=True)])
     assert np.allclose([noise[:10].std(), noise[10:].std()], 0.5)
-
-
-def test_located(spark):
-    rng = np.random.RandomState(1)
-    world = rng.uniform(-20, 20, (80, 3)) + [0, 0, 60]
-    centre = np.array([3.0, -2.0, 5.0])
-    camera = world - centre
-    pixel = camera[:, :2] / camera[:, 2:] * 1000
-    pixel[:12] += rng.uniform(200, 400, (12, 2))
-    rows = [(1, *map(float, p), *map(float, w)) for p, w in zip(pixel, world, strict=True)] + [(2, 0.0, 0.0, 0.0, 0.0, 1.0)]
-    got = {r.frame: r for r in sequences.located(spark.createDataFrame(rows, "frame long, u double, v double, X double, Y double, Z double")).collect()}
-    assert got[1].success and got[1].inliers == 68 and np.allclose([got[1].x, got[1].y, got[1].z], centre, atol=1e-5)
-    assert not got[2].success
-
-
-def test_located_among_many_wrong_matches(spark):
-    rows, centres = [], {}
-    for frame in range(4):
-        rng = np.random.RandomState(20 + frame)
-        world = rng.uniform(-20, 20, (200, 3)) + [0, 0, 60]
-        centres[frame] = rng.uniform(-5, 5, 3)
-        camera = world - centres[frame]
-        pixel = camera[:, :2] / camera[:, 2:] * 1000
-        pixel[70:] = rng.uniform(-400, 400, (130, 2))
-        rows += [(frame, *map(float, p), *map(float, w)) for p, w in zip(pixel, world, strict=True)]
-    got = sequences.located(spark.createDataFrame(rows, "frame long, u double, v double, X double, Y double, Z double")).collect()
-    assert len(got) == 4
-    for r in got:
-        assert r.success and r.inliers >= 70 and np.allclose([r.x, r.y, r.z], centres[r.frame], atol=0.1)
