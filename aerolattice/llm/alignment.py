@@ -168,18 +168,24 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+CHUNK = ["chunk", "first", "docs", "lens", "order", "segments", "counts"]
+
+
 def _chunks(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, base = pair_of(a_path, b_path), TaskContext.get().partitionId() << 32
         numbers, rows, own, chars, made = _Numbers(), [], [], 0, 0
 
-        def chunk() -> pa.RecordBatch:
+        def chunk() -> Iterator[pa.RecordBatch]:
+            """The documents in one row, then the segments in rows of SEGMENT_BATCH."""
             lens, order = np.array([len(x) for x in own], "<u4"), np.concatenate(own)
-            counts = np.bincount(order, minlength=len(numbers))
-            columns = [pa.array([base + made]), pa.concat_arrays([pa.array([], pa.list_(kind)), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(rows))])]
-            columns += [pa.array([lens.tobytes()]), pa.array([_packed(order)]), pa.array([list(numbers)], pa.list_(pa.string()))]
-            columns.append(pa.ListArray.from_arrays([0, len(counts)], pa.array(counts, pa.int64())))
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "lens", "order", "segments", "counts"])
+            counts, listed = np.bincount(order, minlength=len(numbers)), list(numbers)
+            docs = pa.concat_arrays([pa.array([], pa.list_(kind)), pa.ListArray.from_arrays([0, len(lens)], pa.concat_arrays(rows))])
+            of, none = pa.array([base + made]), [pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([of, pa.nulls(1, pa.int32()), docs, pa.array([lens.tobytes()]), pa.array([_packed(order)]), *none], CHUNK)
+            for at in range(0, len(listed), SEGMENT_BATCH):
+                part = [pa.array([x[at : at + SEGMENT_BATCH]], pa.list_(k)) for x, k in ((listed, pa.string()), (counts, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([of, pa.array([at], pa.int32()), pa.nulls(1, docs.type), *[pa.nulls(1, pa.binary())] * 2, *part], CHUNK)
 
         for batch in batches:
             kind, at = batch.column(0).type, 0
@@ -191,10 +197,10 @@ def _chunks(a_path: str, b_path: str):
                     rows.append(batch.column(0).slice(at, k - at))
                     at = k
                 if chars >= CHUNK_CHARS or len(numbers) >= CHUNK_SEGMENTS:
-                    yield chunk()
+                    yield from chunk()
                     numbers, rows, own, chars, made = _Numbers(), [], [], 0, made + 1
         if own:
-            yield chunk()
+            yield from chunk()
 
     return run
 
@@ -326,9 +332,11 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", max_pairs
     rest = [c for c in df.columns if c != text] or [text]
     carried = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("columns"), F.col(f"`{text}`").alias("text"))
     own = carried.schema["columns"].dataType
-    schema = T.StructType().add("chunk", "long").add("docs", T.ArrayType(own)).add("lens", "binary").add("order", "binary")
-    chunks = written(carried.mapInArrow(_chunks(a_path, b_path), schema.add("segments", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))), "chunks")
-    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("place", "x")).select(F.col("x.segments").alias("segment"), "chunk", "place", F.col("x.counts").alias("n"))
+    kinds = ("long", "int", T.ArrayType(own), "binary", "binary", "array<string>", "array<long>")
+    schema = T.StructType([T.StructField(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind) for name, kind in zip(CHUNK, kinds, strict=True)])
+    chunks = written(carried.mapInArrow(_chunks(a_path, b_path), schema), "chunks")
+    asked = chunks.where("first is not null").select("chunk", "first", "counts", F.posexplode("segments").alias("k", "segment"))
+    asked = asked.select("segment", "chunk", (F.col("first") + F.col("k")).alias("place"), F.col("counts")[F.col("k")].alias("n"))
     asked = asked.repartition(shuffle_partitions(df.sparkSession), "segment").sortWithinPartitions("segment")
     aligned = written(asked.mapInArrow(_align(a_path, b_path), ALIGNED), "segments")
     pairs = written(pair_counts(aligned), "pairs")
@@ -344,4 +352,4 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", max_pairs
     done = T.StructType().add("columns", own)
     for name in SUMS:
         done = done.add(name, "long")
-    return chunks.select(F.col("chunk").alias("own"), "docs", "lens", "order").groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(_compose, done.add("groups_sha256", "string"))
+    return chunks.where("first is null").select(F.col("chunk").alias("own"), "docs", "lens", "order").groupBy("own").cogroup(answers.groupBy("chunk")).applyInArrow(_compose, done.add("groups_sha256", "string"))
