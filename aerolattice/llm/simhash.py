@@ -258,18 +258,32 @@ class GrayIndex:
         at, block = 0, min(64, most)
         joined = [np.zeros((2, 0), np.int64)]
         partner, least, partners = np.full(n, -1), np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
-        while at < n:
-            a, b = self.search(np.arange(at, min(at + block, n)))
-            far = np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1, dtype=np.int64)
-            joined.append(self.join(a[far <= sure], b[far <= sure]))
+
+        def note(a: np.ndarray, b: np.ndarray, far: np.ndarray, of: np.ndarray) -> None:
+            """Counts the pairs of two groups for those members that are in ``of``, and keeps the nearest."""
             one, other, far = np.append(a, b), np.append(b, a), np.append(far, far)
-            apart = np.flatnonzero((far > sure) & (self.label[one] != self.label[other]))
-            partners += np.bincount(one[apart], minlength=n)
+            apart = np.flatnonzero((far > sure) & (self.label[one] != self.label[other]) & of[one])
+            partners[:] += np.bincount(one[apart], minlength=n)
             apart = apart[far[apart] < least[one[apart]]]
             apart = apart[np.lexsort((far[apart], one[apart]))]
             apart = apart[np.flatnonzero(np.diff(one[apart], prepend=-1))]
             partner[one[apart]], least[one[apart]] = other[apart], far[apart]
+
+        while at < n:
+            a, b = self.search(np.arange(at, min(at + block, n)))
+            far = np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1, dtype=np.int64)
+            joined.append(self.join(a[far <= sure], b[far <= sure]))
+            note(a, b, far, np.ones(n, bool))
             at, block = at + block, min(block * 2, most)
+        # whose nearest has come into the own group since may have others outside: their buckets are searched again, by the groups as they are now
+        lost = (partner >= 0) & (self.label == self.label[partner]) & (partners > 1)
+        partner[lost], least[lost], partners[lost] = -1, np.iinfo(np.int64).max, 0
+        again = np.flatnonzero(np.isin(self.root, self.root[lost]))
+        for at in range(0, len(again), most):
+            a, b = self.search(again[at : at + most])
+            some = lost[a] | lost[b]
+            a, b = a[some], b[some]
+            note(a, b, np.bitwise_count(self.sketches[a] ^ self.sketches[b]).sum(axis=1, dtype=np.int64), lost)
         first = np.concatenate(joined, axis=1)
         own = np.flatnonzero(partner >= 0)
         own = own[self.label[own] != self.label[partner[own]]]
