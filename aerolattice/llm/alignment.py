@@ -343,12 +343,12 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text", max_pairs
     if pairs.count() <= max_pairs:
         held = pairs.toArrow()
         table = df.sparkSession.sparkContext.broadcast(PairTable(*(held.column(c).to_numpy() for c in ("a", "b", "count", "best"))))
-        told = aligned.mapInArrow(_looked_up(table), "n_a int, groups string, chunks array<long>, places array<int>, n_best int, count_sum long")
+        look = _looked_up(table)
+        answers = aligned.mapInArrow(lambda batches: _answers(look(batches)), ANSWERS)  # one worker a task does both
     else:
         links = aligned.select("number", F.inline(F.arrays_zip("a", "b"))).join(pairs, ["a", "b"])
         sums = links.groupBy("number").agg(F.count_if("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-        told = aligned.select("number", *TOLD).join(sums, "number").drop("number")
-    answers = told.mapInArrow(_answers, ANSWERS)
+        answers = aligned.select("number", *TOLD).join(sums, "number").drop("number").mapInArrow(_answers, ANSWERS)
     done = T.StructType().add("columns", own)
     for name in SUMS:
         done = done.add(name, "long")
