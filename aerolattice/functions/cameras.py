@@ -59,16 +59,17 @@ def frustum_corners(c2w: Column, centre: list[Column], width: Column, height: Co
     A ray that misses the ground goes MAX_REACH along its direction on the map; one without such a direction
     has no corner.
     """
-    out = []
-    for u, v in image_corners(width, height):
-        d = pixel_ray(u, v, c2w, *k)
-        t = F.when(F.abs(d[2]) > 1e-6, (ground - centre[2]) / d[2])
-        flat = F.sqrt(d[0] * d[0] + d[1] * d[1])
-        slope = flat / F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        missed = t.isNull() | (t <= 0)
-        far = F.when(missed, F.when(slope >= 1e-8, MAX_REACH / flat)).when(t * flat > MAX_REACH, MAX_REACH / flat).otherwise(t)
-        out.append([centre[i] + far * d[i] for i in (0, 1)])
-    return out
+    return [ground_point(pixel_ray(u, v, c2w, *k), centre, ground) for u, v in image_corners(width, height)]
+
+
+def ground_point(d: list[Column], centre: list[Column], ground: Column) -> list[Column]:
+    """x and y where the direction ``d`` meets the ground, as frustum_corners() has it."""
+    t = F.when(F.abs(d[2]) > 1e-6, (ground - centre[2]) / d[2])
+    flat = F.sqrt(d[0] * d[0] + d[1] * d[1])
+    slope = flat / F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    missed = t.isNull() | (t <= 0)
+    far = F.when(missed, F.when(slope >= 1e-8, MAX_REACH / flat)).when(t * flat > MAX_REACH, MAX_REACH / flat).otherwise(t)
+    return [centre[i] + far * d[i] for i in (0, 1)]
 
 
 def camera_triangle(c2w: Column, centre: list[Column], size: float = 5.0) -> list[list[Column]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import camera_fit, two_views
+from ..operators import camera_fit, scene, two_views
 from ..scratch import scratch_path
 from ..sources import tiff
 from .queries import query
@@ -59,3 +59,43 @@ def raster_files(df):
     near = tiff.blocks(df.sparkSession, folder).where((F.col("right") > LEFT + 5) & (F.col("left") < LEFT + 30) & (F.col("top") > TOP - 40))
     inside = tiff.cells(near).where((F.col("x") > LEFT + 5) & (F.col("x") < LEFT + 30) & (F.col("y") > TOP - 40) & F.col("z").isNotNull())
     return inside.select((TOP - 0.5 - F.col("y")).cast("long").alias("row"), (F.col("x") - LEFT - 0.5).cast("long").alias("col"), F.round("z", 3).alias("z"))
+
+
+# --- scenes -------------------------------------------------------------------------------------------
+
+_SEEN = "s AS (SELECT frame AS cam, u, v, CASE WHEN ord%13=0 THEN 0 ELSE depth END AS d FROM matches), p AS (SELECT x+d*(m0*(u-320)/500+m1*(v-240)/500+m2) AS px, y+d*(m3*(u-320)/500+m4*(v-240)/500+m5) AS py, z+d*(m6*(u-320)/500+m7*(v-240)/500+m8) AS pz FROM s JOIN cameras USING (cam) WHERE d>0)"
+
+
+def _depths(matches):
+    depth = F.when(F.col("ord") % 13 == 0, 0.0).otherwise(F.col("depth"))
+    return matches.select(F.col("frame").alias("cam"), "u", "v", depth.alias("depth"))
+
+
+def _camera() -> list:
+    return [F.lit(v) for v in (500.0, 500.0, WIDTH / 2, HEIGHT / 2)]
+
+
+@query("cameras matches", f""", {_SEEN}, g AS (SELECT quantile_cont(pz,0.5) AS ground FROM p), c(u, v) AS (VALUES (0e0, 0e0), (640e0, 0e0), (640e0, 480e0), (0e0, 480e0)), r AS (SELECT x, y, z, m0*(u-320)/500+m1*(v-240)/500+m2 AS dx, m3*(u-320)/500+m4*(v-240)/500+m5 AS dy, m6*(u-320)/500+m7*(v-240)/500+m8 AS dz FROM cameras, c WHERE cam IN (SELECT cam FROM s)),
+    t AS (SELECT *, sqrt(dx*dx+dy*dy) AS flat, CASE WHEN abs(dz)>1e-6 THEN (ground-z)/dz ELSE -1 END AS t FROM r, g), f AS (SELECT x+far*dx AS fx, y+far*dy AS fy FROM (SELECT *, CASE WHEN t<=0 OR t*flat>2000 THEN 2000/flat ELSE t END AS far FROM t) q),
+    b AS (SELECT least(quantile_cont(px,0.005), (SELECT min(fx) FROM f))-200 AS minx, least(quantile_cont(py,0.005), (SELECT min(fy) FROM f))-200 AS miny, greatest(quantile_cont(px,0.995), (SELECT max(fx) FROM f))+200 AS maxx, greatest(quantile_cont(py,0.995), (SELECT max(fy) FROM f))+200 AS maxy FROM p), m AS (SELECT (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my FROM cameras)
+    SELECT CASE WHEN wide THEN greatest(minx,mx-2500) ELSE minx END AS minx, CASE WHEN wide THEN greatest(miny,my-2500) ELSE miny END AS miny, CASE WHEN wide THEN least(maxx,mx+2500) ELSE maxx END AS maxx, CASE WHEN wide THEN least(maxy,my+2500) ELSE maxy END AS maxy FROM (SELECT *, greatest(maxx-minx,maxy-miny)>5000 AS wide FROM b, m) w""")
+def scene_boxes(cameras, matches):
+    """The box of the scene that the cameras see."""
+    return scene.scene_box(cameras, _depths(matches), WIDTH, HEIGHT, _camera())
+
+
+@query("matches dsm", """, o AS (SELECT gx*0+(ord%53)*0.97e0 AS x, (ord%7)*0.93e0-0.4e0 AS y, 60+crop*3+depth/4 AS pz FROM matches WHERE ord%13<>0), b AS (SELECT o.*, (SELECT count(*) FROM dsm)>0 AS ok, CAST(floor(7-y) AS BIGINT) AS r, CAST(floor(x) AS BIGINT) AS c FROM o),
+    h AS (SELECT pz-coalesce(CASE WHEN x<=30 AND y>=0 AND y<=7 AND a.z>-1000 THEN a.z END, CASE WHEN x>=20 AND x<=50 AND y>=0 AND y<=7 AND d.z>-1000 THEN d.z END) AS d FROM b LEFT JOIN (SELECT row, col, CASE WHEN col%9=0 THEN -9999 ELSE z END AS z FROM dsm WHERE col<30 AND row<7) a ON a.row=r AND a.col=c LEFT JOIN (SELECT row, col, z FROM dsm WHERE col>=20 AND row<7) d ON d.row=r AND d.col=c)
+    SELECT CASE WHEN abs(quantile_cont(d,0.5))<=100 THEN quantile_cont(d,0.5) END AS "offset", count(d) AS points FROM h""")
+def height_offsets(matches, dsm):
+    """The median height of points above two overlapping tiles of a map, the first of which has gaps."""
+    points = matches.where("ord % 13 <> 0").select((F.col("ord") % 53 * 0.97).alias("x"), (F.col("ord") % 7 * 0.93 - 0.4).alias("y"), (60 + F.col("crop") * 3 + F.col("depth") / 4).alias("z"))
+    tiles = df_of(matches, [("a", 0.0, 0.0, 30.0, 7.0, 1.0), ("b", 20.0, 0.0, 50.0, 7.0, 1.0)], "tile string, left double, bottom double, right double, top double, res double")
+    low = dsm.where("row < 7")
+    first = low.where("col < 30").select(F.lit("a").alias("tile"), "row", "col", F.when(F.col("col") % 9 == 0, -9999.0).otherwise(F.col("z")).alias("z"))
+    second = low.where("col >= 20").select(F.lit("b").alias("tile"), "row", (F.col("col") - 20).alias("col"), "z")
+    return scene.height_offset(points, tiles, first.unionByName(second), size=16.0)
+
+
+def df_of(like, rows: list, schema: str):
+    return like.sparkSession.createDataFrame(rows, schema)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras as cam
 from ..functions import geometry as g
-from ..operators import aggregates, joins, mesh, windows
+from ..operators import aggregates, joins, mesh, quantiles, windows
+from ..scratch import saved
 from .queries import query
 
 WIDTH, HEIGHT, FOCAL = 640.0, 480.0, 500.0
@@ -235,13 +236,18 @@ def flow_checked_points(df):
     return good.join(enough, ["frame", "crop"], "left_semi").select("frame", "crop", "ord")
 
 
-@query("faces vertices path", """, t AS (SELECT avg(x) AS cx, avg(y) AS cy, greatest(max(x)-min(x), max(y)-min(y), 20.0)*0.05e0+10 AS radius FROM path), m AS (SELECT f, (a.x+b.x+c.x)/3 AS x, (a.y+b.y+c.y)/3 AS y FROM faces JOIN vertices a ON a.v=faces.a JOIN vertices b ON b.v=faces.b JOIN vertices c ON c.v=faces.c)
+#: Metres around the trajectories, and the least extent that these count with.
+NEAR, LEAST_EXTENT = 300.0, 200.0
+
+
+@query("faces vertices path", """, t AS (SELECT avg(x) AS cx, avg(y) AS cy, greatest(max(x)-min(x), max(y)-min(y), 200e0)+300 AS radius FROM path), m AS (SELECT f, 40*(a.x+b.x+c.x)/3 AS x, 40*(a.y+b.y+c.y)/3 AS y FROM faces JOIN vertices a ON a.v=faces.a JOIN vertices b ON b.v=faces.b JOIN vertices c ON c.v=faces.c)
     SELECT f FROM m, t WHERE sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))<radius""")
 def faces_near_path(faces, vertices, df):
-    """Faces whose centre is within a radius of the middle of the trajectories, which grows with their extent."""
-    middle = df.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(20.0)) * 0.05 + 10).alias("radius"))  # one row
-    placed = mesh.face_geometry(faces, vertices).select("f", "cx", "cy").join(F.broadcast(middle))
-    return placed.where(F.sqrt((F.col("cx") - F.col("mx")) * (F.col("cx") - F.col("mx")) + (F.col("cy") - F.col("my")) * (F.col("cy") - F.col("my"))) < F.col("radius")).select("f")
+    """Faces of a mesh in units of 40 metres whose centre is nearer to the middle of the trajectories than their extent and NEAR."""
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(LEAST_EXTENT))
+    middle = df.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (extent + NEAR).alias("radius"))  # one row
+    placed = mesh.face_geometry(faces, vertices).select("f", (40 * F.col("cx")).alias("cx"), (40 * F.col("cy")).alias("cy")).join(F.broadcast(middle))
+    return placed.where(g.position_error(["cx", "cy"], ["mx", "my"]) < F.col("radius")).select("f")
 
 
 # --- point maps ----------------------------------------------------------------------------------------
@@ -304,9 +310,9 @@ def height_points(dsm):
 def height_statistics(dsm):
     """Offset of a scene: the middle of its bounds and its median height; and the two ways to normalise its heights."""
     z = F.when((F.col("row") * 50 + F.col("col")) % 97 == 0, -9999.0).otherwise(F.col("z"))
-    valid = dsm.select(z.alias("z")).where("z > -9000")
+    valid = saved(dsm.select(z.alias("z")).where("z > -9000"), "heights")
     return valid.agg(
-        F.lit(1250.0).alias("x"), F.lit(2150.0).alias("y"), F.percentile("z", F.lit(0.5)).alias("z"), F.min("z").alias("least"),
+        F.lit(1250.0).alias("x"), F.lit(2150.0).alias("y"), F.lit(quantiles.quantile(valid, "z", 0.5)).cast("double").alias("z"), F.min("z").alias("least"),
         (F.max("z") - F.min("z") + 1e-8).alias("span"), F.avg("z").alias("mean"), (F.stddev_samp("z") + 1e-8).alias("spread"),
     )
 
