@@ -53,6 +53,29 @@ def last_tile(cells: DataFrame, keys: list[str], value: str, order: str, valid:
     return cells.where(valid).groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
+def _diamond(cells: DataFrame, reach: int) -> DataFrame:
+    """The cells within ``reach`` steps up, down and sideways of each of ``cells``, as often as they are."""
+    steps = [(r, c) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1) if abs(r) + abs(c) <= reach]
+    moved = F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in steps])
+    return cells.select(F.inline(moved))
+
+
+def dilated(cells: DataFrame, grid: DataFrame, reach: int) -> DataFrame:
+    """Cells (row, col) of ``grid`` that are within ``reach`` steps of one of ``cells``."""
+    return _diamond(cells.select("row", "col"), reach).distinct().join(grid.select("row", "col"), ["row", "col"], "left_semi")
+
+
+def eroded(cells: DataFrame, reach: int) -> DataFrame:
+    """Those of the distinct ``cells`` (row, col) around which all within ``reach`` steps are among them too."""
+    around = _diamond(cells.select("row", "col"), reach).groupBy("row", "col").agg(F.count("*").alias("n"))
+    return around.where(F.col("n") == 2 * reach * (reach + 1) + 1).select("row", "col")
+
+
+def closed(cells: DataFrame, grid: DataFrame, reach: int) -> DataFrame:
+    """``cells`` of ``grid`` with their gaps filled: dilated, then eroded; beyond the grid is nothing."""
+    return eroded(dilated(cells, grid, reach), reach)
+
+
 def normals(raster: DataFrame) -> DataFrame:
     """Unit normals of inner cells from central differences of the height; cells at a border have none."""
     at = raster.select("row", "col", "z")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras as cam
 from ..functions import geometry as g
-from ..operators import aggregates, joins, mesh, quantiles, windows
+from ..operators import aggregates, joins, mesh, quantiles, raster, windows
 from ..scratch import saved
 from .queries import query
 
@@ -227,11 +227,11 @@ def invalid_frames(df):
     return found.withColumn("invalid", F.col("black") | F.col("sky"))
 
 
-@query("matches", """, e AS (SELECT *, sqrt(((ord%9)*0.2e0-0.63e0)*((ord%9)*0.2e0-0.63e0)+((ord%5)*0.2e0-0.4e0)*((ord%5)*0.2e0-0.4e0)) AS fb FROM matches WHERE crop<>3), g AS (SELECT frame, crop, ord, count(*) OVER (PARTITION BY frame, crop) AS n FROM e WHERE fb<1) SELECT frame, crop, ord FROM g WHERE n>=20""")
+@query("matches", """, e AS (SELECT *, sqrt(((ord%9)*0.2e0-0.63e0)*((ord%9)*0.2e0-0.63e0)+((ord%5)*0.2e0-0.4e0)*((ord%5)*0.2e0-0.4e0)) AS fb FROM matches), g AS (SELECT frame, crop, ord, count(*) OVER (PARTITION BY frame, crop) AS n FROM e WHERE fb<1) SELECT frame, crop, ord FROM g WHERE n>=20""")
 def flow_checked_points(df):
     """Points that flow there and back again to within a pixel, of the frames where 20 or more do."""
     back = df.withColumns({"bu": F.col("u") + (F.col("ord") % 9) * 0.2 - 0.63, "bv": F.col("v") + (F.col("ord") % 5) * 0.2 - 0.4})
-    good = back.where((F.col("crop") != 3) & (g.position_error(["u", "v"], ["bu", "bv"]) < 1.0))
+    good = back.where(g.position_error(["u", "v"], ["bu", "bv"]) < 1.0)
     enough = good.groupBy("frame", "crop").agg(F.count("*").alias("n")).where("n >= 20")
     return good.join(enough, ["frame", "crop"], "left_semi").select("frame", "crop", "ord")
 
@@ -263,26 +263,38 @@ def _around(dsm: DataFrame) -> DataFrame:
 _AROUND = "a AS (SELECT dsm.row, dsm.col, dsm.z, l.z AS l, r.z AS r, u.z AS u, d.z AS d FROM dsm LEFT JOIN dsm l ON l.row=dsm.row AND l.col=dsm.col-1 LEFT JOIN dsm r ON r.row=dsm.row AND r.col=dsm.col+1 LEFT JOIN dsm u ON u.row=dsm.row-1 AND u.col=dsm.col LEFT JOIN dsm d ON d.row=dsm.row+1 AND d.col=dsm.col)"
 
 
-@query("dsm", f""", {_AROUND}, g AS (SELECT *, (coalesce(r,z)-coalesce(l,z))/((CASE WHEN r IS NULL THEN 0 ELSE 1 END+CASE WHEN l IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gx, (coalesce(d,z)-coalesce(u,z))/((CASE WHEN d IS NULL THEN 0 ELSE 1 END+CASE WHEN u IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gy FROM a WHERE (l IS NOT NULL OR r IS NOT NULL) AND (u IS NOT NULL OR d IS NOT NULL))
-    SELECT row, col, -gx/sqrt(gx*gx+gy*gy+1) AS nx, gy/sqrt(gx*gx+gy*gy+1) AS ny, 1/sqrt(gx*gx+gy*gy+1) AS nz, 1/sqrt(gx*gx+gy*gy+1)>0.75 AND NOT (coalesce(abs(z-l),0)>2 OR coalesce(abs(z-u),0)>2) AS horizontal FROM g""")
+_MAP = "dz AS (SELECT row, col, z-0.5e0*row+CASE WHEN (row*7+col*3)%29=0 THEN 5 ELSE 0 END AS z FROM dsm)"
+_DIAMOND = {k: "(VALUES " + ", ".join(f"({r}, {c})" for r in range(-k, k + 1) for c in range(-k, k + 1) if abs(r) + abs(c) <= k) + ") o(r, c)" for k in (1, 2)}
+
+
+@query("dsm", f""", {_MAP}, {_AROUND.replace("dsm", "dz")}, g AS (SELECT *, (coalesce(r,z)-coalesce(l,z))/((CASE WHEN r IS NULL THEN 0 ELSE 1 END+CASE WHEN l IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gx, (coalesce(d,z)-coalesce(u,z))/((CASE WHEN d IS NULL THEN 0 ELSE 1 END+CASE WHEN u IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gy FROM a WHERE (l IS NOT NULL OR r IS NOT NULL) AND (u IS NOT NULL OR d IS NOT NULL)),
+    s AS (SELECT row, col FROM a WHERE coalesce(abs(z-l),0)>2 OR coalesce(abs(z-u),0)>2), w AS (SELECT DISTINCT row+r AS row, col+c AS col FROM s, {_DIAMOND[1]}), m AS (SELECT row, col FROM g WHERE 1/sqrt(gx*gx+gy*gy+1)>0.75 AND (row, col) NOT IN (SELECT (row, col) FROM w)),
+    k AS (SELECT DISTINCT row+r AS row, col+c AS col FROM m, {_DIAMOND[2]}), f AS (SELECT row, col FROM k WHERE (row, col) IN (SELECT (row, col) FROM dz)), e AS (SELECT row+r AS row, col+c AS col FROM f, {_DIAMOND[2]}), q AS (SELECT row, col FROM e GROUP BY row, col HAVING count(*)=13)
+    SELECT row, col, -gx/sqrt(gx*gx+gy*gy+1) AS nx, gy/sqrt(gx*gx+gy*gy+1) AS ny, 1/sqrt(gx*gx+gy*gy+1) AS nz, (row, col) IN (SELECT (row, col) FROM q) AS horizontal FROM g""")
 def point_map_normals(dsm):
-    """Upward normals of a height map on a grid of half a metre, one-sided at its edges, and what is level and no step."""
-    a = _around(dsm).where("(l is not null or r is not null) and (u is not null or d is not null)")
+    """Upward normals of a height map on a grid of half a metre, one-sided at its edges, and what is level: next to no step, and gaps closed."""
+    z = F.col("z") - 0.5 * F.col("row") + F.when((F.col("row") * 7 + F.col("col") * 3) % 29 == 0, 5.0).otherwise(0.0)
+    a = saved(_around(dsm.select("row", "col", z.alias("z"))), "point-map")
+    step = (F.coalesce(F.abs(F.col("z") - F.col("l")), F.lit(0.0)) > 2) | (F.coalesce(F.abs(F.col("z") - F.col("u")), F.lit(0.0)) > 2)
     both = lambda p, q: (F.col(p).isNotNull().cast("int") + F.col(q).isNotNull().cast("int")) * 0.5
-    a = a.withColumn("gx", (F.coalesce("r", "z") - F.coalesce("l", "z")) / both("l", "r")).withColumn("gy", (F.coalesce("d", "z") - F.coalesce("u", "z")) / both("u", "d"))
+    edged = a.where("(l is not null or r is not null) and (u is not null or d is not null)")
+    slopes = edged.select("row", "col", ((F.coalesce("r", "z") - F.coalesce("l", "z")) / both("l", "r")).alias("gx"), ((F.coalesce("d", "z") - F.coalesce("u", "z")) / both("u", "d")).alias("gy"))
     size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)
-    step = (F.coalesce(F.abs(F.col("z") - F.col("l")), F.lit(0.0)) > 2) | (F.coalesce(F.abs(F.col("z") - F.col("u")), F.lit(0.0)) > 2)
-    return a.select("row", "col", (-F.col("gx") / size).alias("nx"), (F.col("gy") / size).alias("ny"), (1 / size).alias("nz"), ((1 / size > 0.75) & ~step).alias("horizontal"))
+    level = slopes.where(1 / size > 0.75).join(raster.dilated(a.where(step), a, 1), ["row", "col"], "left_anti")
+    filled = raster.closed(level, a, 2).withColumn("horizontal", F.lit(True))
+    return slopes.join(filled, ["row", "col"], "left").select("row", "col", (-F.col("gx") / size).alias("nx"), (F.col("gy") / size).alias("ny"), (1 / size).alias("nz"), F.coalesce("horizontal", F.lit(False)).alias("horizontal"))
 
 
 _P = "struct_pack(x := {d}*xn{k}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1), y := {d}*yn{k}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1), z := {d}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1))"
 
 
-@query("dsm", f""", {_AROUND}, n AS (SELECT *, (col-1-20)/60e0 AS xnl, (row-15)/60e0 AS ynl, (col+1-20)/60e0 AS xnr, (row-15)/60e0 AS ynr, (col-20)/60e0 AS xnu, (row-1-15)/60e0 AS ynu, (col-20)/60e0 AS xnd, (row+1-15)/60e0 AS ynd FROM a WHERE l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL),
-    p AS (SELECT row, col, {', '.join(_P.format(d=c, k=c) + f' AS p{c}' for c in 'lrud')} FROM n), v AS (SELECT row, col, pr.x-pl.x AS ax, pr.y-pl.y AS ay, pr.z-pl.z AS az, pd.x-pu.x AS ex, pd.y-pu.y AS ey, pd.z-pu.z AS ez FROM p),
-    c AS (SELECT row, col, ay*ez-az*ey AS nx, az*ex-ax*ez AS ny, ax*ey-ay*ex AS nz FROM v), s AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM c) SELECT row, col, CASE WHEN nz<0 THEN -1 ELSE 1 END*nx/l AS nx, CASE WHEN nz<0 THEN -1 ELSE 1 END*ny/l AS ny, abs(nz)/l AS nz FROM s WHERE l>=1e-8""")
-def camera_normals(dsm):
-    """Normals toward the camera of a map of distances along the rays, from its neighbours on both sides."""
+_CROSS = f"""dz AS (SELECT row, col, CASE WHEN (row*50+col)%97=0 THEN 0 ELSE z END AS z FROM dsm), {_AROUND.replace("dsm", "dz")}, n AS (SELECT *, (col-1-20)/60e0 AS xnl, (row-15)/60e0 AS ynl, (col+1-20)/60e0 AS xnr, (row-15)/60e0 AS ynr, (col-20)/60e0 AS xnu, (row-1-15)/60e0 AS ynu, (col-20)/60e0 AS xnd, (row+1-15)/60e0 AS ynd FROM a),
+    p AS (SELECT row, col, z, l+r+u+d IS NOT NULL AS inner_cell, {', '.join(_P.format(d=c, k=c) + f' AS p{c}' for c in 'lrud')} FROM n), v AS (SELECT row, col, z, inner_cell, pr.x-pl.x AS ax, pr.y-pl.y AS ay, pr.z-pl.z AS az, pd.x-pu.x AS ex, pd.y-pu.y AS ey, pd.z-pu.z AS ez FROM p),
+    c AS (SELECT row, col, z, inner_cell, ay*ez-az*ey AS nx, az*ex-ax*ez AS ny, ax*ey-ay*ex AS nz FROM v), s AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM c)"""
+
+
+def _crosses(dsm: DataFrame) -> DataFrame:
+    """Of a map of distances along the rays, 0 where there is none: z, and the cross product of the differences over both neighbours, null at the border."""
     def point(value: str, dr: int, dc: int) -> list[Column]:
         x, y = (F.col("col") + dc - 20) / 60, (F.col("row") + dr - 15) / 60
         depth = F.col(value) / F.sqrt(x * x + y * y + 1)
@@ -291,10 +303,24 @@ def camera_normals(dsm):
     a = [q - p for p, q in zip(point("l", 0, -1), point("r", 0, 1), strict=True)]
     b = [q - p for p, q in zip(point("u", -1, 0), point("d", 1, 0), strict=True)]
     cross = {"nx": a[1] * b[2] - a[2] * b[1], "ny": a[2] * b[0] - a[0] * b[2], "nz": a[0] * b[1] - a[1] * b[0]}
-    found = _around(dsm).where("l is not null and r is not null and u is not null and d is not null").select("row", "col", *[c.alias(n) for n, c in cross.items()])
-    size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
-    sign = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
-    return found.withColumn("s", size).where("s >= 1e-8").select("row", "col", *[(sign * F.col(n) / F.col("s")).alias(n) for n in cross])
+    depth = F.when((F.col("row") * 50 + F.col("col")) % 97 == 0, 0.0).otherwise(F.col("z"))
+    found = _around(dsm.withColumn("z", depth)).select("row", "col", "z", *[c.alias(n) for n, c in cross.items()])
+    return found.withColumn("s", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")))
+
+
+@query("dsm", f""", {_CROSS} SELECT row, col, {', '.join(f"CASE WHEN inner_cell AND z<>0 THEN CASE WHEN nz<0 THEN -1 ELSE 1 END*{n}/CASE WHEN l<1e-8 THEN 1 ELSE l END ELSE 0 END AS {n}" for n in ("nx", "ny", "nz"))} FROM s""")
+def camera_normals(dsm):
+    """Normals turned to one side of the camera; zeros at the border and where there is no distance."""
+    size, sign = F.when(F.col("s") < 1e-8, 1.0).otherwise(F.col("s")), F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
+    known = F.col("s").isNotNull() & (F.col("z") != 0)
+    return _crosses(dsm).select("row", "col", *[F.when(known, sign * F.col(n) / size).otherwise(0.0).alias(n) for n in ("nx", "ny", "nz")])
+
+
+@query("dsm", f""", {_CROSS} SELECT row, col, {', '.join(f"CASE WHEN inner_cell AND z>0 AND l>1e-6 THEN {n}/(l+1e-9) ELSE 0 END AS {n}" for n in ("nx", "ny", "nz"))} FROM s""")
+def depth_normals(dsm):
+    """Normals as the differences give them, with no side forced; zeros at the border, without distance and of no length."""
+    known = (F.col("s") > 1e-6) & (F.col("z") > 0)
+    return _crosses(dsm).select("row", "col", *[F.when(known, F.col(n) / (F.col("s") + 1e-9)).otherwise(0.0).alias(n) for n in ("nx", "ny", "nz")])
 
 
 @query("dsm", """, s AS (SELECT max(row) AS h, max(col) AS w FROM dsm) SELECT row, col, 1000+col*(500e0/w) AS x, 2300-row*(300e0/h) AS y, CASE WHEN (row*50+col)%97=0 THEN 0 ELSE z END AS z FROM dsm, s""")

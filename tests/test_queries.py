@@ -8,7 +8,7 @@ from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
 #: Queries with sums of many terms, ties of rounding or joins by place are compared on the larger tables too.
-LARGER = ("filled_positions", "ground_truth_join", "sampled_heights", "keyframe_rule", "nearest_timestamps", "tile_bounds_from_names", "plane_segments", "anchored_trajectories", "interpolated_rotations", "mesh_folders")
+LARGER = ("filled_positions", "ground_truth_join", "sampled_heights", "keyframe_rule", "nearest_timestamps", "tile_bounds_from_names", "plane_segments", "anchored_trajectories", "interpolated_rotations", "mesh_folders", "located_frames", "view_motions", "raster_files", "scene_boxes", "height_offsets", "point_map_normals")
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,11 @@ def test_query_matches_sql_on_larger_tables(spark, name):
     assert difference(spark, connect(sf), sf, catalog.queries()[name], catalog.oracle_sql()[name]) == ""
 
 
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_query_has_rows(spark, name):
+    assert not catalog.queries()[name](spark, "/root/testdata/sf0.01").isEmpty()
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 
