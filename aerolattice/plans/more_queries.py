@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, mesh, windows
+from ..operators import joins, segments, windows
+from ..scratch import saved
+from .pose_queries import AROUND, around
 from .queries import query, r4
 
 
@@ -107,7 +109,7 @@ def boxes_without_tiles(boxes, tiles):
 @query("dsm", """, e AS (SELECT a.row*2147483648+a.col AS a, b.row*2147483648+b.col AS b FROM dsm a JOIN dsm b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     n AS (SELECT DISTINCT a AS node FROM l) SELECT count(*) AS linked, (SELECT count(*) FROM e) AS edges FROM n""")
 def plane_links(dsm):
-    """Neighbouring cells of nearly equal height; plane_segments joins them to components."""
+    """Neighbouring cells of nearly equal height."""
     links = _flat_neighbours(dsm)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     return nodes.agg(F.count("*").alias("linked")).join(links.agg(F.count("*").alias("edges")))
@@ -126,14 +128,22 @@ def _cell(row, col):
     return row * 2147483648 + col
 
 
-@query("dsm", """, e AS (SELECT a.row*2147483648+a.col AS a, b.row*2147483648+b.col AS b FROM dsm a JOIN dsm b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+_RELIEF = "dz AS (SELECT row, col, z-0.5e0*row+3*((CAST(floor(row/12e0) AS BIGINT)+CAST(floor(col/13e0) AS BIGINT))%3)+CASE WHEN (row*7+col*3)%61=0 THEN 5 ELSE 0 END AS z FROM dsm)"
+
+
+@query("dsm", f""", {_RELIEF}, {AROUND.replace("dsm", "dz")}, g AS (SELECT row, col, z, coalesce(r,z)-coalesce(l,z) AS gx, coalesce(d,z)-coalesce(u,z) AS gy FROM a), s AS (SELECT *, sqrt(gx*gx+gy*gy+1) AS n FROM g),
+    e AS (SELECT a.row*2147483648+a.col AS a, b.row*2147483648+b.col AS b FROM s a JOIN s b ON (b.row=a.row AND b.col=a.col+1 OR b.row=a.row+1 AND b.col=a.col) AND abs(a.z-b.z)<0.02*greatest(a.z,b.z) AND (a.gx*b.gx+a.gy*b.gy+1)/(a.n*b.n)>=0.995), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     reach AS (SELECT a AS node, a AS via FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON l.a=reach.via), lab AS (SELECT node, min(via) AS segment FROM reach GROUP BY node)
-    SELECT segment, count(*) AS cells, round(avg(z),4) AS height FROM lab JOIN dsm ON node=row*2147483648+col GROUP BY segment HAVING count(*)>=5""")
+    SELECT segment, count(*) AS cells, round(avg(z),4) AS height FROM lab JOIN dz ON node=row*2147483648+col GROUP BY segment HAVING count(*)>=50""")
 def plane_segments(dsm):
-    """Components of flat neighbours of five cells at least: segment, cells, mean height."""
-    parts = mesh.components(_flat_neighbours(dsm))
-    cells = dsm.withColumn("node", _cell(F.col("row"), F.col("col"))).join(parts, "node")
-    return cells.groupBy(F.col("component").alias("segment")).agg(F.count("*").alias("cells"), r4(F.avg("z"), "height")).where("cells >= 5")
+    """Planes of a height map of 50 cells at least: segment, cells and mean height."""
+    step = (F.floor(F.col("row") / 12) + F.floor(F.col("col") / 13)) % 3
+    z = F.col("z") - 0.5 * F.col("row") + 3 * step + F.when((F.col("row") * 7 + F.col("col") * 3) % 61 == 0, 5).otherwise(0)
+    a = around(dsm.select("row", "col", z.alias("z")))
+    slopes = [-(F.coalesce("r", "z") - F.coalesce("l", "z")), F.coalesce("d", "z") - F.coalesce("u", "z")]
+    cells = saved(a.select(F.lit(0).alias("frame"), "row", "col", F.col("z").alias("depth"), slopes[0].alias("nx"), slopes[1].alias("ny"), F.lit(1.0).alias("nz")), "relief")
+    found = segments.plane_segments(cells, block=16).join(cells.select("row", "col", "depth"), ["row", "col"])
+    return found.groupBy("segment").agg(F.count("*").alias("cells"), r4(F.avg("depth"), "height"))
 
 
 @query("quats", """, d AS (SELECT a.vec_id AS q, b.vec_id AS n, a.qw*b.qw+a.qx*b.qx+a.qy*b.qy+a.qz*b.qz AS dot, sqrt((a.qw*a.qw+a.qx*a.qx+a.qy*a.qy+a.qz*a.qz)*(b.qw*b.qw+b.qx*b.qx+b.qy*b.qy+b.qz*b.qz)) AS s FROM quats a, quats b WHERE a.vec_id%50=0 AND a.vec_id<>b.vec_id)

@@ -253,28 +253,28 @@ def faces_near_path(faces, vertices, df):
 # --- point maps ----------------------------------------------------------------------------------------
 
 
-def _around(dsm: DataFrame) -> DataFrame:
+def around(dsm: DataFrame) -> DataFrame:
     """``dsm`` with the heights of the four neighbours: l, r, u, d."""
     by_row, by_col = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
     beside = lambda c, k, w: F.when(F.lead(c, k).over(w) == F.col(c) + k, F.lead("z", k).over(w))
     return dsm.withColumns({"l": beside("col", -1, by_row), "r": beside("col", 1, by_row), "u": beside("row", -1, by_col), "d": beside("row", 1, by_col)})
 
 
-_AROUND = "a AS (SELECT dsm.row, dsm.col, dsm.z, l.z AS l, r.z AS r, u.z AS u, d.z AS d FROM dsm LEFT JOIN dsm l ON l.row=dsm.row AND l.col=dsm.col-1 LEFT JOIN dsm r ON r.row=dsm.row AND r.col=dsm.col+1 LEFT JOIN dsm u ON u.row=dsm.row-1 AND u.col=dsm.col LEFT JOIN dsm d ON d.row=dsm.row+1 AND d.col=dsm.col)"
+AROUND = "a AS (SELECT dsm.row, dsm.col, dsm.z, l.z AS l, r.z AS r, u.z AS u, d.z AS d FROM dsm LEFT JOIN dsm l ON l.row=dsm.row AND l.col=dsm.col-1 LEFT JOIN dsm r ON r.row=dsm.row AND r.col=dsm.col+1 LEFT JOIN dsm u ON u.row=dsm.row-1 AND u.col=dsm.col LEFT JOIN dsm d ON d.row=dsm.row+1 AND d.col=dsm.col)"
 
 
 _MAP = "dz AS (SELECT row, col, z-0.5e0*row+CASE WHEN (row*7+col*3)%29=0 THEN 5 ELSE 0 END AS z FROM dsm)"
 _DIAMOND = {k: "(VALUES " + ", ".join(f"({r}, {c})" for r in range(-k, k + 1) for c in range(-k, k + 1) if abs(r) + abs(c) <= k) + ") o(r, c)" for k in (1, 2)}
 
 
-@query("dsm", f""", {_MAP}, {_AROUND.replace("dsm", "dz")}, g AS (SELECT *, (coalesce(r,z)-coalesce(l,z))/((CASE WHEN r IS NULL THEN 0 ELSE 1 END+CASE WHEN l IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gx, (coalesce(d,z)-coalesce(u,z))/((CASE WHEN d IS NULL THEN 0 ELSE 1 END+CASE WHEN u IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gy FROM a WHERE (l IS NOT NULL OR r IS NOT NULL) AND (u IS NOT NULL OR d IS NOT NULL)),
+@query("dsm", f""", {_MAP}, {AROUND.replace("dsm", "dz")}, g AS (SELECT *, (coalesce(r,z)-coalesce(l,z))/((CASE WHEN r IS NULL THEN 0 ELSE 1 END+CASE WHEN l IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gx, (coalesce(d,z)-coalesce(u,z))/((CASE WHEN d IS NULL THEN 0 ELSE 1 END+CASE WHEN u IS NULL THEN 0 ELSE 1 END)*0.5e0) AS gy FROM a WHERE (l IS NOT NULL OR r IS NOT NULL) AND (u IS NOT NULL OR d IS NOT NULL)),
     s AS (SELECT row, col FROM a WHERE coalesce(abs(z-l),0)>2 OR coalesce(abs(z-u),0)>2), w AS (SELECT DISTINCT row+r AS row, col+c AS col FROM s, {_DIAMOND[1]}), m AS (SELECT row, col FROM g WHERE 1/sqrt(gx*gx+gy*gy+1)>0.75 AND (row, col) NOT IN (SELECT (row, col) FROM w)),
     k AS (SELECT DISTINCT row+r AS row, col+c AS col FROM m, {_DIAMOND[2]}), f AS (SELECT row, col FROM k WHERE (row, col) IN (SELECT (row, col) FROM dz)), e AS (SELECT row+r AS row, col+c AS col FROM f, {_DIAMOND[2]}), q AS (SELECT row, col FROM e GROUP BY row, col HAVING count(*)=13)
     SELECT row, col, -gx/sqrt(gx*gx+gy*gy+1) AS nx, gy/sqrt(gx*gx+gy*gy+1) AS ny, 1/sqrt(gx*gx+gy*gy+1) AS nz, (row, col) IN (SELECT (row, col) FROM q) AS horizontal FROM g""")
 def point_map_normals(dsm):
     """Upward normals of a height map on a grid of half a metre, one-sided at its edges, and what is level: next to no step, and gaps closed."""
     z = F.col("z") - 0.5 * F.col("row") + F.when((F.col("row") * 7 + F.col("col") * 3) % 29 == 0, 5.0).otherwise(0.0)
-    a = saved(_around(dsm.select("row", "col", z.alias("z"))), "point-map")
+    a = saved(around(dsm.select("row", "col", z.alias("z"))), "point-map")
     step = (F.coalesce(F.abs(F.col("z") - F.col("l")), F.lit(0.0)) > 2) | (F.coalesce(F.abs(F.col("z") - F.col("u")), F.lit(0.0)) > 2)
     both = lambda p, q: (F.col(p).isNotNull().cast("int") + F.col(q).isNotNull().cast("int")) * 0.5
     edged = a.where("(l is not null or r is not null) and (u is not null or d is not null)")
@@ -288,7 +288,7 @@ def point_map_normals(dsm):
 _P = "struct_pack(x := {d}*xn{k}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1), y := {d}*yn{k}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1), z := {d}/sqrt(xn{k}*xn{k}+yn{k}*yn{k}+1))"
 
 
-_CROSS = f"""dz AS (SELECT row, col, CASE WHEN (row*50+col)%97=0 THEN 0 ELSE z END AS z FROM dsm), {_AROUND.replace("dsm", "dz")}, n AS (SELECT *, (col-1-20)/60e0 AS xnl, (row-15)/60e0 AS ynl, (col+1-20)/60e0 AS xnr, (row-15)/60e0 AS ynr, (col-20)/60e0 AS xnu, (row-1-15)/60e0 AS ynu, (col-20)/60e0 AS xnd, (row+1-15)/60e0 AS ynd FROM a),
+_CROSS = f"""dz AS (SELECT row, col, CASE WHEN (row*50+col)%97=0 THEN 0 ELSE z END AS z FROM dsm), {AROUND.replace("dsm", "dz")}, n AS (SELECT *, (col-1-20)/60e0 AS xnl, (row-15)/60e0 AS ynl, (col+1-20)/60e0 AS xnr, (row-15)/60e0 AS ynr, (col-20)/60e0 AS xnu, (row-1-15)/60e0 AS ynu, (col-20)/60e0 AS xnd, (row+1-15)/60e0 AS ynd FROM a),
     p AS (SELECT row, col, z, l+r+u+d IS NOT NULL AS inner_cell, {', '.join(_P.format(d=c, k=c) + f' AS p{c}' for c in 'lrud')} FROM n), v AS (SELECT row, col, z, inner_cell, pr.x-pl.x AS ax, pr.y-pl.y AS ay, pr.z-pl.z AS az, pd.x-pu.x AS ex, pd.y-pu.y AS ey, pd.z-pu.z AS ez FROM p),
     c AS (SELECT row, col, z, inner_cell, ay*ez-az*ey AS nx, az*ex-ax*ez AS ny, ax*ey-ay*ex AS nz FROM v), s AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS l FROM c)"""
 
@@ -304,7 +304,7 @@ def _crosses(dsm: DataFrame) -> DataFrame:
     b = [q - p for p, q in zip(point("u", -1, 0), point("d", 1, 0), strict=True)]
     cross = {"nx": a[1] * b[2] - a[2] * b[1], "ny": a[2] * b[0] - a[0] * b[2], "nz": a[0] * b[1] - a[1] * b[0]}
     depth = F.when((F.col("row") * 50 + F.col("col")) % 97 == 0, 0.0).otherwise(F.col("z"))
-    found = _around(dsm.withColumn("z", depth)).select("row", "col", "z", *[c.alias(n) for n, c in cross.items()])
+    found = around(dsm.withColumn("z", depth)).select("row", "col", "z", *[c.alias(n) for n, c in cross.items()])
     return found.withColumn("s", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")))
 
 
