@@ -122,3 +122,75 @@ def gusts(df: DataFrame, channel: str, strength: float, frames: int = 120, share
     sign = F.when(F.pmod(F.xxhash64(F.lit(seed + 1), "seq", block), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     envelope = 0.5 - 0.5 * F.cos(2 * np.pi * F.pmod(F.col("ord"), F.lit(frames)) / frames)
     return df.withColumn(channel, F.col(channel) + F.when(blows, sign * strength * envelope).otherwise(0.0))
+
+
+#: Order of the low-pass filter, frames from which on there is noise, and the largest cut-off as a share of half the frame rate.
+ORDER, LEAST_FRAMES, MOST_CUTOFF = 5, 13, 0.95
+#: Parts of the noise of each channel at level 1: amplitude (metres or degrees) and cut-off in Hz.
+NOISE = {"x": ((0.14, 0.3), (0.06, 2.0)), "y": ((0.14, 0.3), (0.06, 2.0)), "z": ((0.07, 0.2), (0.03, 2.0)), "roll": ((0.3, 1.5),), "pitch": ((0.3, 1.5),), "yaw": ((0.2, 0.5),)}
+#: Degrees of latitude and longitude of a metre, about.
+LATITUDE, LONGITUDE = 1 / 111320, 1 / 65000
+
+
+def butterworth(cutoff: float, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of the digital low-pass filter, of what comes in and of what goes out; ``cutoff`` is a share of half the frame rate."""
+    poles = 4 * np.tan(np.pi * cutoff / 2) * np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    out = np.real(np.poly((4 + poles) / (4 - poles)))
+    into = np.poly(-np.ones(order))
+    return into * out.sum() / into.sum(), out
+
+
+def filtered_both_ways(x: np.ndarray, cutoffs: list[float]) -> np.ndarray:
+    """Columns of ``x`` through their low-pass filters forth and back, so that nothing is shifted in time.
+
+    Ends are continued by their mirror image through the last value, over 18 frames or as many as there are; the filters begin
+    in the state that the first value would have left them in for ever. All columns go on together, frame by frame.
+    """
+    reach = min(3 * (ORDER + 1), len(x) - 1)
+    into, out = (np.array(c) for c in zip(*map(butterworth, cutoffs), strict=True))
+    steady = np.stack([np.linalg.solve(np.eye(ORDER) - np.column_stack([-a[1:], np.eye(ORDER)[:, :-1]]), b[1:] - a[1:] * b[0]) for b, a in zip(into, out, strict=True)], axis=1)
+    long = np.concatenate([2 * x[0] - x[reach:0:-1], x, 2 * x[-1] - x[-2 : -reach - 2 : -1]])
+    for _ in range(2):
+        state, now = np.vstack([steady * long[0], np.zeros(long.shape[1])]), np.empty_like(long)
+        for k, value in enumerate(long):
+            now[k] = into[:, 0] * value + state[0]
+            state[:-1] = state[1:] + into[:, 1:].T * value - out[:, 1:].T * now[k]
+        long = now[::-1]
+    return long[reach : reach + len(x)]
+
+
+def correlated_noise(n: int, rate: float, parts: list[tuple[float, float]], rng: np.random.RandomState) -> np.ndarray:
+    """A column for each of ``parts`` (amplitude, cut-off in Hz): normal noise below the cut-off, of that standard deviation; zeros under LEAST_FRAMES."""
+    if n < LEAST_FRAMES:
+        return np.zeros((n, len(parts)))
+    smooth = filtered_both_ways(rng.normal(size=(n, len(parts))), [min(cutoff / (rate / 2), MOST_CUTOFF) for _, cutoff in parts])
+    deviation = smooth.std(axis=0)
+    return np.where(deviation > 1e-10, smooth / np.maximum(deviation, 1e-300), smooth) * np.where(deviation > 1e-10, [a for a, _ in parts], 1.0)
+
+
+def with_noise(df: DataFrame, level: float, rate: float = 30.0, seed: int = 42) -> DataFrame:
+    """``df`` (seq, ord, x, y, z, roll, pitch, yaw, and latitude, longitude, altitude if it has them) as a drone's sensors shake and drift.
+
+    Each channel gets its parts of NOISE times ``level``; places on the globe move by as many metres as x, y and z. Sequences of fewer than
+    LEAST_FRAMES, and all of them at level 0 or less, stay as they are. Noise follows from ``seed`` and the sequence, so a rerun gives the same.
+    """
+    globe = {name: (of, by) for name, of, by in (("latitude", "x", LATITUDE), ("longitude", "y", LONGITUDE), ("altitude", "z", 1.0)) if name in df.columns}
+    names = [*NOISE, *globe]
+    parts = [(level * a, cutoff) for bands in NOISE.values() for a, cutoff in bands]
+
+    def shake(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
+        frames = frames.sort_values("ord").reset_index(drop=True)
+        if level <= 0 or len(frames) < LEAST_FRAMES:
+            return frames
+        noise, at, added = correlated_noise(len(frames), rate, parts, np.random.RandomState((seed * 1_000_003 + int(key[0]) * 101) % (1 << 32))), 0, {}
+        for name, bands in NOISE.items():
+            added[name] = noise[:, at : at + len(bands)].sum(axis=1)
+            at += len(bands)
+            frames[name] = frames[name] + added[name]
+        for name, (of, by) in globe.items():
+            frames[name] = frames[name] + added[of] * by
+        return frames
+
+    kinds = dict(df.dtypes)
+    own = df.select("seq", "ord", *(F.col(c).cast("double").alias(c) for c in names))
+    return own.groupBy("seq").applyInPandas(shake, f"seq {kinds['seq']}, ord {kinds['ord']}, " + ", ".join(f"{c} double" for c in names))
