@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import saved
@@ -84,3 +84,37 @@ def plane_segments(cells: DataFrame, key: str = "frame", block: int = BLOCK, cos
     named = whole.select(key, "row", "col", F.coalesce("segment", "label").alias("segment"))
     large = named.groupBy(F.col(key).alias("k"), F.col("segment").alias("s")).agg(F.count("*").alias("cells")).where(F.col("cells") >= least)
     return named.join(large, F.col(key).eqNullSafe(F.col("k")) & (F.col("segment") == F.col("s")), "left_semi")
+
+
+#: Square metres and metres that a plane has at least, and how many times as long as wide it is at most.
+LEAST_AREA, LEAST_EXTENT, LONGEST_SIDE = 1.0, 0.3, 25.0
+
+
+def eigenvalues(a: list[list[Column]]) -> list[Column]:
+    """The eigenvalues of a symmetric matrix of three rows, from the largest on, in closed form."""
+    mean = (a[0][0] + a[1][1] + a[2][2]) / 3
+    off = a[0][1] * a[0][1] + a[0][2] * a[0][2] + a[1][2] * a[1][2]
+    size = F.sqrt((sum(((a[i][i] - mean) * (a[i][i] - mean) for i in (1, 2)), (a[0][0] - mean) * (a[0][0] - mean)) + 2 * off) / 6)
+    b = [[((a[i][j] - mean) if i == j else a[i][j]) / size for j in range(3)] for i in range(3)]
+    half = (b[0][0] * (b[1][1] * b[2][2] - b[1][2] * b[1][2]) - b[0][1] * (b[0][1] * b[2][2] - b[1][2] * b[0][2]) + b[0][2] * (b[0][1] * b[1][2] - b[1][1] * b[0][2])) / 2
+    angle = F.acos(F.greatest(F.least(half, F.lit(1.0)), F.lit(-1.0))) / 3
+    first, last = mean + 2 * size * F.cos(angle), mean + 2 * size * F.cos(angle + 2 * np.pi / 3)
+    return [F.when(size > 0, x).otherwise(mean) for x in (first, 3 * mean - first - last, last)]
+
+
+def fitted_planes(points: DataFrame, keys: list[str], area: float = LEAST_AREA, extent: float = LEAST_EXTENT, longest: float = LONGEST_SIDE) -> DataFrame:
+    """The planes of segments, from ``points`` (keys, x, y, z, and nx, ny, nz of length one) in world coordinates.
+
+    A row for each segment: keys, cells, nx, ny, nz (the mean normal), cx, cy, cz (the mean point), d (normal times mean point), extent_major and extent_minor (twice the
+    deviation along the two longest axes) and area, their product. Segments of fewer than three points, of less than ``area`` or ``extent``, or over ``longest`` times as
+    long as wide are left out; so are points with a null. All comes from moments that tasks sum up before the shuffle.
+    """
+    own = points.dropna(subset=["x", "y", "z", "nx", "ny", "nz"])
+    moments = [F.covar_pop(p, q).alias(f"{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    found = own.groupBy(*keys).agg(F.count("*").alias("cells"), *(F.avg(c).alias(f"c{c}") for c in "xyz"), *(F.avg(f"n{c}").alias(f"m{c}") for c in "xyz"), *moments)
+    spread = eigenvalues([[F.col(min(p, q) + max(p, q)) for q in "xyz"] for p in "xyz"])
+    found = found.where("cells >= 3").withColumns({f"e{k}": F.sqrt(F.greatest(e, F.lit(0.0))) for k, e in enumerate(spread[:2])})
+    size = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz")) + 1e-12
+    found = found.withColumns({f"n{c}": F.col(f"m{c}") / size for c in "xyz"}).withColumns({"extent_major": 2 * F.col("e0"), "extent_minor": 2 * F.col("e1")})
+    kept = found.withColumn("area", F.col("extent_major") * F.col("extent_minor")).where((F.col("area") >= area) & (F.col("extent_minor") >= extent) & (F.col("extent_major") <= longest * F.col("extent_minor")))
+    return kept.select(*keys, "cells", "nx", "ny", "nz", "cx", "cy", "cz", (F.col("nx") * F.col("cx") + F.col("ny") * F.col("cy") + F.col("nz") * F.col("cz")).alias("d"), "extent_major", "extent_minor", "area")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import camera_fit, scene, two_views
+from ..operators import camera_fit, scene, segments, two_views
 from ..scratch import scratch_path
 from ..sources import tiff
 from .queries import query
@@ -97,5 +97,20 @@ def height_offsets(matches, dsm):
     return scene.height_offset(points, tiles, first.unionByName(second), size=16.0)
 
 
+@query("matches", """, p AS (SELECT frame, gx/10 AS x, gy*(CASE WHEN frame%5=0 THEN 0.001e0 ELSE 0.1e0 END) AS y, 0.2e0*gx/10+ord%7*0.05e0 AS z, -0.2e0+ord%3*0.01e0 AS nx, 0.01e0 AS ny, 1e0 AS nz FROM matches), u AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS n FROM p),
+    m AS (SELECT frame, count(*) AS cells, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(nx/n) AS mx, avg(ny/n) AS my, avg(nz/n) AS mz, var_pop(x) AS xx, covar_pop(x,y) AS xy, covar_pop(x,z) AS xz, var_pop(y) AS yy, covar_pop(y,z) AS yz, var_pop(z) AS zz FROM u GROUP BY frame),
+    t AS (SELECT *, (xx+yy+zz)/3 AS q, xx*yy+xx*zz+yy*zz-xy*xy-xz*xz-yz*yz AS c1, xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz) AS c0 FROM m), w AS (SELECT *, sqrt(greatest(q*q-c1/3,0)) AS p FROM t), a AS (SELECT *, acos(greatest(least((2*q*q*q-q*c1+c0)/(2*p*p*p),1e0),-1e0))/3 AS phi FROM w),
+    e AS (SELECT *, 2*sqrt(q+2*p*cos(phi)) AS major, 2*sqrt(greatest(q+2*p*cos(phi-2*pi()/3),0)) AS minor, sqrt(mx*mx+my*my+mz*mz) AS l FROM a)
+    SELECT frame, cells, round(mx/l,4) AS nx, round(mz/l,4) AS nz, round(cx,3) AS cx, round((mx*cx+my*cy+mz*cz)/l,3) AS d, round(major,3) AS extent_major, round(minor,3) AS extent_minor, round(major*minor,2) AS area FROM e WHERE major*minor>=1 AND minor>=0.3e0 AND major<=25*minor""")
+def segment_planes(df):
+    """Planes of the points of frames, some of which are too narrow."""
+    y = F.col("gy") * F.when(F.col("frame") % 5 == 0, 0.001).otherwise(0.1)
+    normal = [-0.2 + F.col("ord") % 3 * 0.01, F.lit(0.01), F.lit(1.0)]
+    n = F.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2])
+    points = df.select("frame", (F.col("gx") / 10).alias("x"), y.alias("y"), (0.2 * F.col("gx") / 10 + F.col("ord") % 7 * 0.05).alias("z"), *[(c / n).alias(name) for c, name in zip(normal, ("nx", "ny", "nz"), strict=True)])
+    found = segments.fitted_planes(points, ["frame"])
+    return found.select("frame", "cells", *[F.round(c, k).alias(c) for c, k in (("nx", 4), ("nz", 4), ("cx", 3), ("d", 3), ("extent_major", 3), ("extent_minor", 3), ("area", 2))])
+
+
 def df_of(like, rows: list, schema: str):
     return like.sparkSession.createDataFrame(rows, schema)

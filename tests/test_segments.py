@@ -66,3 +66,25 @@ def test_labels():
     assert (got[a] == got[b]).all() and (got <= np.arange(500)).all() and (got[got] == got).all()
     chain = np.arange(9999)
     assert not segments.labels(10000, chain, chain + 1).any()
+
+
+def test_fitted_planes_against_svd(spark):
+    rng = np.random.default_rng(7)
+    rows, wanted = [], {}
+    for k, sides in enumerate([(4.0, 2.0, 0.01), (1.0, 1.0, 1.0), (50.0, 1.5, 0.0), (50.0, 0.5, 0.0), (3.0, 0.05, 0.0), (0.4, 0.4, 0.0), (9.0, 9.0, 0.0), (2.0, 2.0, 2.0)]):
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        n = 2 if k == 7 else 200
+        points = rng.normal(size=(n, 3)) * sides @ turn.T + [4e5, 5.8e6, 40]
+        normal = turn[:, 2] + rng.normal(size=(n, 3)) * 0.01
+        normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+        rows += [(k, *map(float, p), *map(float, m)) for p, m in zip(points, normal, strict=True)]
+        spread = 2 * np.linalg.svd(points - points.mean(0), full_matrices=False)[1] / np.sqrt(n)
+        if n >= 3 and spread[0] * spread[1] >= 1 and spread[1] >= 0.3 and spread[0] / spread[1] <= 25:
+            mean = normal.mean(0) / np.linalg.norm(normal.mean(0))
+            wanted[k] = (*mean, *points.mean(0), mean @ points.mean(0), *spread[:2], spread[0] * spread[1])
+    df = spark.createDataFrame(rows + [(0, None, 1.0, 1.0, 0.0, 0.0, 1.0)], "s long, x double, y double, z double, nx double, ny double, nz double")
+    got = {r.s: tuple(r)[2:] for r in segments.fitted_planes(df, ["s"]).collect()}
+    assert set(got) == set(wanted) == {0, 1, 6}
+    for k, w in wanted.items():
+        assert np.allclose(got[k], w, rtol=1e-6)
+    assert segments.fitted_planes(df.where("false"), ["s"]).count() == 0
