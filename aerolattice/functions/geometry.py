@@ -238,7 +238,7 @@ def ecef_inverse(x: Column, y: Column, z: Column) -> tuple[Column, Column, Colum
 # --- tile names ---------------------------------------------------------------------------------------
 
 #: Forms of tile names, each with east and north in kilometres.
-TILE_FORMS = (r"\d{2}(\d{3})-(\d{4})", r"_33_(\d{3})_(\d{4})", r"_(\d{3})_(\d{4})$", r"^(\d{3})_(\d{4})", r"^32(\d+)_(\d+)(?:_|$)", r"^(\d+)_(\d+)(?:_|$)")
+TILE_FORMS = (r"\d{2}(\d{3})-(\d{4})", r"_33_(\d{3})_(\d{4})", r"_(\d{3})_(\d{4})$", r"^(\d{3})_(\d{4})", r"^32(\d+)_(\d+)(?:_|$)", r"^(?!32_)(\d+)_(\d+)(?:_|$)")
 #: What tile names may end in besides, in the order in which it is taken out.
 TILE_SUFFIXES = ("_20_DOM", "_DOM", "_DSM")
 
