@@ -44,3 +44,11 @@ def test_components_of_hubs_and_paths(spark):
     df = spark.createDataFrame(links, "a long, b long")
     assert dict(map(tuple, mesh.components(df, few=10, heavy=20).collect())) == plain({n for link in links for n in link}, links)
     assert mesh.components(df.where("false")).count() == 0
+
+
+def test_rows_of_a_heavy_key_stay_where_they_are(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("id", "CASE WHEN id % 10 = 0 THEN id ELSE 7 END AS k")
+    table = spark.range(4000).selectExpr("id AS k", "id * 2 AS v")
+    found = joins.looked_up(df, table, ["k"], joins.heavy_keys(df, ["k"], 1000))
+    assert found.where("v = 2 * k").count() == found.count() == 4000
+    assert found.where("k = 7").selectExpr("spark_partition_id() AS p").distinct().count() == 4
