@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cameras as cam
 from ..scratch import saved
-from .joins import BOX, overlapping
+from .joins import BOX, HEAVY, cells_of, heavy_keys, looked_up
 from .quantiles import quantile
 
 #: Metres: around the seen area for errors and for the crops of single frames, and the longest side of a box.
@@ -59,21 +59,23 @@ def scene_box(cameras: DataFrame, depths: DataFrame, width: float, height: float
     return spark.createDataFrame([tuple(map(float, box))], schema)
 
 
-def height_offset(points: DataFrame, tiles: DataFrame, cells: DataFrame, size: float = 1000.0) -> DataFrame:
+def height_offset(points: DataFrame, tiles: DataFrame, cells: DataFrame, size: float = 1000.0, heavy: int = HEAVY) -> DataFrame:
     """One row (offset, points): the median of how high ``points`` (x, y, z) lie above the map; null beyond MOST_OFFSET or without points.
 
     ``tiles``: tile, left, bottom, right, top, res; ``cells``: tile, row, col, z, the first row at the top. Of tiles that hold a point the
-    first with a height over LEAST_HEIGHT at its cell counts. Points are dealt out to grid cells of ``size`` to find their tiles, then to raster cells.
+    first with a height over LEAST_HEIGHT at its cell counts. Points are dealt out to grid cells of ``size`` to find their tiles, then to raster cells; where
+    one cell has ``heavy`` points or more, its tiles or height go to these, so that no task gets them all.
     """
     asked = points.select("x", "y", F.col("z").alias("pz")).where("x is not null and y is not null and pz is not null")
-    asked = saved(asked.withColumn("point", F.monotonically_increasing_id()), "offset-points")
-    at = asked.select("point", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
-    boxes = tiles.select("tile", F.col("left").alias("minx"), F.col("bottom").alias("miny"), F.col("right").alias("maxx"), F.col("top").alias("maxy"))
-    inside = overlapping(at, boxes, "point", "tile", size).join(asked, "point").join(tiles.select("tile", "left", "top", "res"), "tile")
+    asked = saved(asked.select("*", F.monotonically_increasing_id().alias("point"), *(F.floor(F.col(c) / size).alias(f"_c{c}") for c in "xy")), "offset-points")
+    boxes = tiles.select("tile", "left", "top", "res", F.col("left").alias("minx"), F.col("bottom").alias("miny"), F.col("right").alias("maxx"), F.col("top").alias("maxy"))
+    within = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
+    inside = looked_up(asked, cells_of(boxes, size), ["_cx", "_cy"], heavy_keys(asked, ["_cx", "_cy"], heavy)).where(within)
     row, col = (F.floor((F.col("top") - F.col("y")) / F.col("res")), F.floor((F.col("x") - F.col("left")) / F.col("res")))
-    placed = inside.select("point", "tile", "pz", row.cast("long").alias("row"), col.cast("long").alias("col"))
+    placed = saved(inside.select("point", "tile", "pz", row.cast("long").alias("row"), col.cast("long").alias("col")), "offset-places")
     heights = cells.select("tile", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z").where(F.col("z") > LEAST_HEIGHT)
-    first = placed.join(heights, ["tile", "row", "col"]).groupBy("point").agg(F.min_by(F.col("pz") - F.col("z"), "tile").alias("offset"))
+    raster = ["tile", "row", "col"]
+    first = looked_up(placed, heights, raster, heavy_keys(placed, raster, heavy)).groupBy("point").agg(F.min_by(F.col("pz") - F.col("z"), "tile").alias("offset"))
     found = saved(first.select("offset"), "offsets")
     offset = quantile(found, "offset", 0.5)
     told = None if offset is None or abs(offset) > MOST_OFFSET else offset

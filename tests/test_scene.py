@@ -86,3 +86,12 @@ def test_height_offset(spark):
     assert got.points == len(offsets) and np.isclose(got.offset, np.median(offsets))
     assert tuple(scene.height_offset(df.withColumn("z", F.col("z") + 200), tile_df, cell_df).first()) == (None, len(offsets))
     assert tuple(scene.height_offset(df.where("false"), tile_df, cell_df).first()) == (None, 0)
+
+
+def test_height_offset_of_points_in_one_place(spark):
+    """Nearly all points are over one cell of the map: looked up where they are, they give the same."""
+    df = spark.range(0, 3000, 1, 4).selectExpr("CASE WHEN id % 50 = 0 THEN id % 8 + 0.5D ELSE 2.5D END AS x", "2.5D AS y", "id % 17 + 30D AS z")
+    tiles = spark.createDataFrame([("a", 0.0, 0.0, 8.0, 4.0, 1.0), ("b", 2.0, 0.0, 8.0, 4.0, 1.0)], "tile string, left double, bottom double, right double, top double, res double")
+    cells = spark.range(64).selectExpr("CASE WHEN id < 32 THEN 'a' ELSE 'b' END AS tile", "id % 32 DIV 8 AS row", "id % 8 AS col", "CASE WHEN id % 3 = 0 THEN -9999D ELSE id % 5 + 1D END AS z")
+    got = [tuple(scene.height_offset(df, tiles, cells, size=4.0, heavy=n).first()) for n in (20, 100_000)]
+    assert got[0] == got[1] and got[0][1] > 2500
