@@ -24,6 +24,8 @@ SURE = 0.9999
 LEAST, ABOVE_GROUND = 30, (1.0, 2000.0)
 #: Calibration: vertical angles of view in degrees, inliers of an angle and of a refinement at least, and how far the latter may go.
 ANGLES, LEAST_OF_ANGLE, LEAST_TO_REFINE, REFINED_BY = tuple(range(12, 91)), 15, 50, 0.08
+#: Of these angles every one is sampled whose focal length is about this far from the last one's; those between the neighbours of the best one start from its pose.
+COARSE = 1.2
 POSE_COLUMNS = ["x", "y", "z", "rotation", "inliers", "error"]
 
 
@@ -39,6 +41,11 @@ class Pose(NamedTuple):
         return -self.turn.T @ self.shift
 
 
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By rows; numpy's own takes longer on few of them."""
+    return a[:, [1, 2, 0]] * b[:, [2, 0, 1]] - a[:, [2, 0, 1]] * b[:, [1, 2, 0]]
+
+
 def three_point_poses(rays: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All poses (turns, shifts) that put three world points each on their rays: (n, 3, 3) both, rays of length one.
 
@@ -78,10 +85,10 @@ def three_point_poses(rays: np.ndarray, points: np.ndarray) -> tuple[np.ndarray,
 
     def axes(of: np.ndarray) -> np.ndarray:
         along, other = of[:, 1] - of[:, 0], of[:, 2] - of[:, 0]
-        normal = np.cross(along, other)
+        normal = cross(along, other)
         with np.errstate(invalid="ignore", divide="ignore"):
             along, normal = along / np.linalg.norm(along, axis=1, keepdims=True), normal / np.linalg.norm(normal, axis=1, keepdims=True)
-        return np.stack([along, np.cross(normal, along), normal], axis=2)
+        return np.stack([along, cross(normal, along), normal], axis=2)
 
     turns = axes(seen) @ axes(points[sample]).transpose(0, 2, 1)
     fine = np.isfinite(turns).all(axis=(1, 2))
@@ -98,14 +105,19 @@ def projection_errors(turns: np.ndarray, shifts: np.ndarray, pixels: np.ndarray,
     return np.where(ahead, np.sqrt(across * across + down * down), np.inf)
 
 
-def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold: float, rounds: int, rng: np.random.Generator) -> tuple[Pose | None, np.ndarray]:
+def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold: float, rounds: int, rng: np.random.Generator, share: float = 0.0) -> tuple[Pose | None, np.ndarray]:
     """The pose with most points within ``threshold`` pixels, and which these are.
 
-    Rounds end when, at the share of inliers found, some sample was free of wrong points with SURE; or after ``rounds`` samples.
+    Rounds end when, at the share of inliers found, some sample was free of wrong points with SURE; or after ``rounds`` samples. Where only a
+    pose of a ``share`` of inliers or more is of use, they end when that would have been found.
     """
+
+    def enough(part: float) -> float:
+        return min(rounds, np.log(1 - SURE) / np.log1p(-min(part**3, 1 - 1e-12))) if part else rounds
+
     rays = np.column_stack([pixels / focal, np.ones(len(pixels))])
     rays /= np.linalg.norm(rays, axis=1, keepdims=True)
-    best, most, drawn, needed = None, np.zeros(len(pixels), bool), 0, rounds
+    best, most, drawn, needed = None, np.zeros(len(pixels), bool), 0, enough(share)
     preview = rng.permutation(len(pixels))[:PREVIEW]
     while drawn < needed:
         n = int(min(SAMPLES, rounds - drawn)) or 1
@@ -121,8 +133,7 @@ def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold
         k = int(near.sum(1).argmax())
         if near[k].sum() > most.sum():
             best, most = Pose(turns[k], shifts[k], focal), near[k]
-            clean = min((most.sum() / len(pixels)) ** 3, 1 - 1e-12)
-            needed = min(rounds, np.log(1 - SURE) / np.log1p(-clean))
+            needed = enough(max(share, most.sum() / len(pixels)))
     return best, most
 
 
@@ -196,28 +207,55 @@ def fitted_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold:
     return pose, inliers
 
 
+def _focal(height: float, angle: float) -> float:
+    return height / 2 / np.tan(np.radians(angle) / 2)
+
+
+def _coarse_angles(height: float) -> list[int]:
+    found = [ANGLES[0]]
+    for angle, after in zip(ANGLES[1:], (*ANGLES[2:], None), strict=True):
+        if after is None or _focal(height, found[-1]) / _focal(height, after) > COARSE:
+            found.append(angle)
+    return found
+
+
 def calibrated(pixels: np.ndarray, points: np.ndarray, height: float, threshold: float, rounds: int, rng: np.random.Generator) -> tuple[Pose | None, np.ndarray, float]:
     """Pose with the focal length that fits best, its inliers and their error; pixels are from the image's centre.
 
-    Each angle of view is tried with a threshold of the same angle. Its inliers are counted at ``threshold`` pixels; the angle of the
+    Angles of view are tried with a threshold of the same angle: first those a factor of COARSE apart in focal length, each by samples, then all between the
+    neighbours of the best one, from its pose. Inliers are counted at ``threshold`` pixels; the angle of the
     greatest product of inliers, as a share of the most, and of one minus the error, as a share of its range, wins. The winner is refined
     with the focal length free, and keeps that if it is within REFINED_BY of the angle's.
     """
-    at_60, tried = height / 2 / np.tan(np.radians(30)), []
-    for angle in ANGLES:
-        focal = height / 2 / np.tan(np.radians(angle) / 2)
-        pose, inliers = sampled_pose(pixels, points, focal, threshold * focal / at_60, rounds, rng)
+    at_60, tried, share = height / 2 / np.tan(np.radians(30)), {}, 0.0
+
+    def judged(angle: int, pose: Pose | None, inliers: np.ndarray) -> float:
         if pose is None or inliers.sum() < LEAST_OF_ANGLE:
-            continue
+            return 0.0
         pose = refined_pose(pose, pixels[inliers], points[inliers], steps=8)
-        errors = projection_errors(pose.turn[None], pose.shift[None], pixels, points, focal)[0]
+        errors = projection_errors(pose.turn[None], pose.shift[None], pixels, points, pose.focal)[0]
         if (near := errors < threshold).sum() >= LEAST_OF_ANGLE:
-            tried.append((pose, near, float(errors[near].mean())))
+            tried[angle] = pose, near, float(errors[near].mean())
+        return inliers.sum() / len(pixels)
+
+    def best() -> int:
+        counts, errors = np.array([n.sum() for _, n, _ in tried.values()]), np.array([e for _, _, e in tried.values()])
+        spread = errors.max() - errors.min() or 1.0
+        return list(tried)[int((counts / counts.max() * (1 - (errors - errors.min()) / spread)).argmax())]
+
+    coarse = _coarse_angles(height)
+    for angle in coarse[len(coarse) // 2 :] + coarse[: len(coarse) // 2]:  # those of the middle first, as they tell soonest what share fits
+        focal = _focal(height, angle)
+        share = max(share, judged(angle, *sampled_pose(pixels, points, focal, threshold * focal / at_60, rounds, rng, share)))
+    if tried:
+        middle = coarse.index(best())
+        start, inliers, _ = tried[coarse[middle]]
+        for angle in range(coarse[max(middle - 1, 0)], coarse[min(middle + 1, len(coarse) - 1)] + 1):
+            if angle not in tried:
+                judged(angle, start._replace(focal=_focal(height, angle), shift=start.shift + [0, 0, (_focal(height, angle) / start.focal - 1) * float(np.median((points @ start.turn.T + start.shift)[:, 2]))]), inliers)
     if not tried:
         return None, np.zeros(len(pixels), bool), np.inf
-    counts, errors = np.array([n.sum() for _, n, _ in tried]), np.array([e for _, _, e in tried])
-    spread = errors.max() - errors.min() or 1.0
-    pose, near, error = tried[int((counts / counts.max() * (1 - (errors - errors.min()) / spread)).argmax())]
+    pose, near, error = tried[best()]
     if near.sum() >= LEAST_TO_REFINE:
         free = refined_pose(pose, pixels[near], points[near], with_focal=True)
         if abs(free.focal / pose.focal - 1) <= REFINED_BY:

@@ -144,3 +144,22 @@ def test_trajectory_from_views(spark):
     assert np.allclose([[r.x, r.y, r.z] for r in got[:3]], truth[:3], atol=1e-2) and (got[3].x, got[3].y) == (got[2].x, got[2].y)
     assert sorted((r.ord, r.ok, r.points) for r in found.collect())[3] == (3, False, 9)
     assert two_views.relative_poses(df.where("false"), 500.0, (320.0, 240.0), keys=("seq", "ord")).count() == 0
+
+
+def test_calibration_samples_few_angles(monkeypatch):
+    """Angles between the best of the coarse ones start from its pose: narrow, middling and wide views are found with fewer samplings than angles."""
+    from aerolattice.operators import camera_fit
+
+    calls, sampled = [], camera_fit.sampled_pose
+    monkeypatch.setattr(camera_fit, "sampled_pose", lambda *a, **k: (calls.append(1), sampled(*a, **k))[1])
+    for fov in (14.3, 47.6, 83.2):
+        rng = np.random.default_rng(int(fov))
+        points = rng.uniform(-1, 1, (300, 3)) * [40, 40, 15] + [0, 0, 130.0]
+        focal = 240 / np.tan(np.radians(fov) / 2)
+        points[:, :2] *= 500 / focal
+        pixels = focal * points[:, :2] / points[:, 2:]
+        pixels[::3] += rng.uniform(40, 90, (100, 2))
+        calls.clear()
+        pose, near, _ = camera_fit.calibrated(pixels, points - [0, 0, 130.0], 480.0, 8.0, 400, np.random.default_rng(1))
+        assert abs(pose.focal / focal - 1) < 1e-6 and near.sum() == 200
+        assert len(calls) < 20
