@@ -13,10 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .camera_fit import turn_by
+from .camera_fit import cross, turn_by
 
 #: Samples that are solved at once, and the chance that one of those drawn was free of wrong points.
 SAMPLES, SURE = 64, 0.999
+#: Pairs of pixels on which all matrices are judged first, and how many of the best are then judged on all pairs.
+PREVIEW, CALLED = 64, 8
 #: Pairs of pixels at least, points before both cameras at least of an essential matrix and of a homography.
 LEAST, LEAST_AHEAD, LEAST_ON_PLANE = 10, 10, 5
 #: A homography is taken from this share of its inliers among those of both matrices on.
@@ -79,6 +81,23 @@ def homographies(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
 
 
+def four_point_homographies(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The homography of each sample of four points, without those that it isn't told by: (n, 4, 3) rays in both views.
+
+    Three rays and the sum of them, at the lengths that make it the fourth, are a base in each view; it takes one to the other.
+    """
+
+    def inverse(rays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, c = rays[:, 0], rays[:, 1], rays[:, 2]
+        rows = np.stack([cross(b, c), cross(c, a), cross(a, b)], axis=1)
+        return rows, (rows[:, 0] * a).sum(1), np.einsum("nij,nj->ni", rows, rays[:, 3])
+
+    (back, size, weights), (_, other, wanted) = inverse(first), inverse(second)
+    sound = (np.abs(size) > 1e-12) & (np.abs(other) > 1e-12) & (np.abs(weights).min(1) > 1e-12)
+    scale = wanted[sound] / weights[sound]
+    return np.einsum("nki,nk,nkj->nij", second[sound, :3], scale, back[sound])
+
+
 def transfer_errors(matrices: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Squared distances in the second view of where each matrix puts the points of the first."""
     there = first @ matrices.transpose(0, 2, 1)
@@ -90,12 +109,16 @@ def transfer_errors(matrices: np.ndarray, first: np.ndarray, second: np.ndarray)
 def _sampled(first, second, size, solve, errors, threshold, rounds, rng) -> tuple[np.ndarray | None, np.ndarray]:
     """The matrix with the least sum of squared distances, each ``threshold`` at most, and which pairs are nearer than that."""
     best, most, least, drawn, needed = None, np.zeros(len(first), bool), np.inf, 0, rounds
+    preview = rng.permutation(len(first))[:PREVIEW]
     while drawn < needed:
-        some = rng.random((SAMPLES, len(first))).argpartition(size - 1, axis=1)[:, :size]
+        some = rng.random((SAMPLES, len(first))).argpartition(size - 1, axis=1)[:, :size] if len(first) < 200 else rng.integers(0, len(first), (SAMPLES, size))
         drawn += SAMPLES
         found = solve(first[some], second[some])
         if not len(found):
             continue
+        if len(first) > 2 * PREVIEW:
+            seen = np.minimum(errors(found, first[preview], second[preview]), threshold**2).sum(1)
+            found = found[np.argsort(seen, kind="stable")[:CALLED]]
         off = np.minimum(errors(found, first, second), threshold**2)
         costs = off.sum(1)
         k = int(costs.argmin())
@@ -109,7 +132,7 @@ def _sampled(first, second, size, solve, errors, threshold, rounds, rng) -> tupl
 def depths(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far along its rays each point is in both views, by the nearest points of the two; 0 where they are parallel."""
     turned = first @ turn.T
-    aside = np.cross(second, turned)
+    aside = cross(second, turned)
     below = (aside**2).sum(1)
     with np.errstate(divide="ignore", invalid="ignore"):
         along = -(np.cross(second, shift) * aside).sum(1) / below, -(np.cross(turned, shift) * aside).sum(1) / below
@@ -163,10 +186,11 @@ def _least_squares(turn: np.ndarray, shift: np.ndarray, first: np.ndarray, secon
     damping, off = 1e-6, _signed_errors(turn, shift, first, second)
 
     def moved(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        to = shift + step[3:] @ np.linalg.svd(shift[None])[2][1:]
+        to = shift + step[3:] @ aside
         return turn_by(step[:3]) @ turn, to / np.linalg.norm(to)
 
     for _ in range(steps):
+        aside = np.linalg.svd(shift[None])[2][1:]
         slope = np.stack([(_signed_errors(*moved(h), first, second) - _signed_errors(*moved(-h), first, second)) / 2e-6 for h in 1e-6 * np.eye(5)], axis=1)
         square, pull = slope.T @ slope, slope.T @ off
         while damping < 1e9:
@@ -224,7 +248,7 @@ def motion(first: np.ndarray, second: np.ndarray, threshold: float, rounds: int,
     ``first`` and ``second`` are rays (x, y, 1), ``threshold`` is in their unit. None where neither model has enough points ahead.
     """
     essential, fits = _sampled(first, second, 5, essential_matrices, epipolar_errors, threshold, rounds, rng)
-    plane, on = _sampled(first, second, 4, homographies, transfer_errors, threshold, rounds, rng)
+    plane, on = _sampled(first, second, 4, four_point_homographies, transfer_errors, threshold, rounds, rng)
     found = None
     if essential is not None:
         count, turn, shift = motion_of_essential(essential, first[fits], second[fits])

@@ -163,3 +163,16 @@ def test_calibration_samples_few_angles(monkeypatch):
         pose, near, _ = camera_fit.calibrated(pixels, points - [0, 0, 130.0], 480.0, 8.0, 400, np.random.default_rng(1))
         assert abs(pose.focal / focal - 1) < 1e-6 and near.sum() == 200
         assert len(calls) < 20
+
+
+def test_homographies_of_four_points():
+    from aerolattice.operators import two_views
+
+    rng = np.random.default_rng(5)
+    first = np.concatenate([rng.uniform(-1, 1, (50, 4, 2)), np.ones((50, 4, 1))], axis=2)
+    wanted = rng.normal(size=(50, 3, 3)) * 0.1 + np.eye(3)
+    second = first @ wanted.transpose(0, 2, 1)
+    second /= second[..., 2:]
+    found = two_views.four_point_homographies(first, second)
+    assert np.allclose(found / found[:, 2:, 2:], wanted / wanted[:, 2:, 2:], rtol=1e-5, atol=1e-7)
+    assert len(two_views.four_point_homographies(first[:3][:, [0, 0, 1, 2]], second[:3][:, [0, 0, 1, 2]])) == 0
