@@ -20,49 +20,61 @@ def _joined(high: np.ndarray, low: np.ndarray, below: int) -> np.ndarray:
 def _triple_keys(first: np.ndarray, second: np.ndarray, third: np.ndarray, below: int) -> np.ndarray:
     """One number for each triple, in their order. All parts are less than ``below``."""
     pairs = _joined(first, second, below)
-    if below >= KEY_NAMES:
-        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-    return _joined(pairs, third, below)
+    return _joined(_named(pairs)[0] if below >= KEY_NAMES else pairs, third, below)
+
+
+def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each key among the different ones, and how many these are."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    names = np.empty(len(keys), np.int32)
+    names[order] = np.cumsum(np.append(0, keys[1:] != keys[:-1]), dtype=np.int32)
+    return names, int(names[order[-1]]) + 1
 
 
 def suffix_ranks(symbols: np.ndarray, reach: int) -> np.ndarray:
-    """A rank for each suffix of ``symbols`` (int64, at least 1), in the order of their first ``reach`` symbols.
+    """A rank for each suffix of ``symbols`` (integers of 32 bits, at least 1), in the order of their first ``reach`` symbols.
 
     Suffixes that agree so far get neighbouring ranks in any order.
     """
     n = len(symbols)
+    out = np.empty(n, np.int32)
     if reach <= 1 or n < 3:
-        out = np.empty(n, np.int64)
-        out[np.lexsort([np.append(symbols[k:], np.zeros(k, np.int64)) for k in range(min(n, 3) - 1, -1, -1)] if n else [symbols])] = np.arange(n)
+        out[np.argsort(symbols) if reach <= 1 else np.lexsort([np.append(symbols[k:], np.zeros(k, np.int32)) for k in range(n - 1, -1, -1)] if n else [symbols])] = np.arange(n)
         return out
-    s = np.concatenate([symbols, np.zeros(3, np.int64)])
-    top = int(symbols.max()) + 1
-    ones, twos, rest = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
+    s = np.zeros(n + 3, np.int32)
+    s[:n] = symbols
+    del symbols
+    top = int(s.max()) + 1
+    ones, twos, rest = (np.arange(k, n, 3, np.int32) for k in (1, 2, 0))
     sample = np.concatenate([ones, twos])
-    kinds, names = np.unique(_triple_keys(s[sample], s[sample + 1], s[sample + 2], top), return_inverse=True)
-    names = names.astype(np.int64) + 1
-    if len(kinds) < len(sample):
-        between = np.append(np.append(names[: len(ones)], 0) + 1, names[len(ones) :] + 1)
-        deeper = suffix_ranks(between, -(-reach // 3))
-        names = np.delete(deeper, len(ones)) + 1
-    rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names
-    below = max(top, int(names.max()) + 1)
+    names, kinds = _named(_triple_keys(s[sample], s[sample + 1], s[sample + 2], top))
+    if kinds < len(sample):
+        names = np.insert(names + np.int32(2), len(ones), 1)
+        names = np.delete(suffix_ranks(names, -(-reach // 3)), len(ones))
+    rank = np.zeros(n + 3, np.int32)
+    rank[sample] = names + 1
+    sample = sample[np.argsort(names)]
+    below = max(top, int(names.max()) + 2)
+    del names
 
     def by_one(at: np.ndarray) -> np.ndarray:
         return _joined(s[at], rank[at + 1], below)
 
     own = by_one(rest)
-    in_order = np.argsort(own, kind="stable")
+    in_order = np.argsort(own)
     rest, own = rest[in_order], own[in_order]
+    less = np.searchsorted(np.sort(by_one(ones)), own)
+    del own, in_order
     both = np.concatenate([twos, rest])
     by_two = _triple_keys(s[both], s[both + 1], rank[both + 2], below)
-    less = np.searchsorted(np.sort(by_one(ones)), own) + np.searchsorted(np.sort(by_two[: len(twos)]), by_two[len(twos) :])
-    sampled = sample[np.argsort(names, kind="stable")]
-    slots = np.concatenate([np.maximum.accumulate(less) * 2, np.arange(len(sampled)) * 2 + 1])
-    order = np.concatenate([rest, sampled])[np.argsort(slots, kind="stable")]
-    out = np.empty(n, np.int64)
-    out[order] = np.arange(n)
+    less += np.searchsorted(np.sort(by_two[: len(twos)]), by_two[len(twos) :])
+    del both, by_two, s, rank
+    slots = np.maximum.accumulate(less) + np.arange(len(rest))
+    out[rest] = slots
+    free = np.ones(n, bool)
+    free[slots] = False
+    out[sample] = np.flatnonzero(free)
     return out
 
 
@@ -71,8 +83,8 @@ def equal_prefix_blocks(text: np.ndarray, starts: np.ndarray, length: int) -> tu
 
     A block holds the starts whose first ``length`` bytes are equal; neighbours in the order are compared.
     """
-    ranks = suffix_ranks(text.astype(np.int64) + 1, length)
-    ordered = starts[np.argsort(ranks[starts], kind="stable")]
+    ranks = suffix_ranks(text + np.int32(1), length)
+    ordered = starts[np.argsort(ranks[starts])]
     windows = np.lib.stride_tricks.sliding_window_view(text, length)
     differs = np.ones(len(ordered), bool)
     for k in range(1, len(ordered), 100_000):

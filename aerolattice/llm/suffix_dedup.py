@@ -13,8 +13,9 @@ sorted by itself, whatever the size of the corpus:
    triples, names, the rest merged in; neighbours are compared over LENGTH bytes.
 
 A hash whose pieces hold too many bytes to be sorted at once is split: its windows are dealt out one by one,
-by their own bytes, after each task has kept only the smallest document of equal ones. Pieces that a task has
-already settled don't go to the bucket of their hash, so a passage that all documents hold fills no bucket.
+by their own bytes, after each task has kept only the smallest document of equal ones, with all its places in one row.
+Pieces and windows that a task has already settled are spread by document, so a passage that all documents hold
+fills neither a bucket nor a task.
 """
 
 from __future__ import annotations
@@ -36,15 +37,17 @@ GRAM = 24
 STEP = 1 << 19
 #: Pieces a task gathers before it deals them out, at least, and for each bucket.
 HELD_PIECES, HELD_FOR_BUCKET = 400_000, 64
+#: Windows of split hashes, and further places of these, that a task holds before it deals them out.
+HELD_WINDOWS = 100_000
 #: Bytes sorted at once, and bytes of the pieces of one hash beyond which its windows are dealt out one by one.
-SORT_BYTES, HOT_BYTES = 1_000_000, 2_000_000
+SORT_BYTES, HOT_BYTES = 1_000_000, 1_000_000
 #: Buckets of pieces where there are fewer shuffle partitions; else one for each.
 BUCKETS = 400
 #: Rows that a task hands on at once, and bytes of texts.
 ROWS_OUT, BYTES_OUT = 20_000, 2_000_000
 
 _MIX, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_U = np.uint64
+_U, _LONG = np.uint64, (1 << 63) - 1
 RUN_BITS = 24
 #: Of a piece's name so many bytes are dealt out; of its hash, the upper four and the bucket.
 NAME_BYTES = 6
@@ -121,7 +124,9 @@ def _unplanes(b: bytes, kind: str) -> np.ndarray:
 
 DEALT = "bucket int, whole boolean, hashes binary, names binary, docs binary, counts binary, starts binary, runs binary"
 FOUND = "doc_id long, place long, hash long"
-FETCHED = "hash long, doc_id long, place long, piece binary"
+#: ``others``: further places of a window in its document, 8 bytes each.
+FETCHED = "hash long, doc_id long, place long, others binary, piece binary"
+FETCHED_NAMES = ["hash", "doc_id", "place", "others", "piece"]
 
 
 def _deal(buckets: int):
@@ -265,24 +270,38 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     Places that are known to be repeats come without bytes.
     """
     windows: dict[bytes, tuple[int, int]] = {}
-    out: list[tuple[int, int, int, bytes | None]] = []
+    more: dict[bytes, list[int]] = {}
+    held = 0  # places in more
+    out: list[tuple[int, int, int, bytes | None, bytes | None]] = []
 
     def rows() -> pd.DataFrame:
         nonlocal out
-        done, out = pd.DataFrame(out, columns=["hash", "doc_id", "place", "piece"]), []
+        done, out = pd.DataFrame(out, columns=FETCHED_NAMES), []
         return done
 
+    def settle(doc: int, place: int, window: bytes | None = None) -> None:
+        out.append(((doc * _MIX + place) >> 1 & _LONG, doc, place, _packed(more.pop(window, None)), None))
+
+    def deal() -> Iterator[pd.DataFrame]:
+        nonlocal held
+        while windows:
+            window, (doc, place) = windows.popitem()
+            out.append((xxh64_intdigest(window) >> 1, doc, place, _packed(more.pop(window, None)), window))
+            if len(out) > ROWS_OUT:
+                yield rows()
+        held = 0
+
     for batch in batches:
         for doc, base, text, places, hashes in zip(batch["doc_id"], batch["base"], batch["text"], batch["places"], batch["hashes"], strict=True):
             if places is None or text is None:
                 continue
-            raw = text.encode()
+            raw, doc, base = text.encode(), int(doc), int(base)
             places, hashes = np.asarray(places, np.int64), np.asarray(hashes, np.int64)
             starts, runs = (places >> RUN_BITS) - base, places & ((1 << RUN_BITS) - 1)
             own = (starts >= 0) & (starts < len(raw))
             for place, h, s, r in zip(places[own].tolist(), hashes[own].tolist(), starts[own].tolist(), runs[own].tolist(), strict=True):
                 if h:
-                    out.append((h, doc, place, raw[s : s + r + LENGTH - 1]))
+                    out.append((h, doc, place, None, raw[s : s + r + LENGTH - 1]))
                     continue
                 begin = s  # of the windows that have just been met in a smaller document
                 for k in range(s, s + r):
@@ -291,28 +310,35 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if known[0] < doc:
                         continue
                     if k > begin:
-                        out.append((one, doc, ((base + begin) << RUN_BITS) | (k - begin), None))
+                        settle(doc, ((base + begin) << RUN_BITS) | (k - begin))
                     begin = k + 1
                     if known[0] > doc:
                         windows[window] = (doc, one)
-                        out.append((known[1], known[0], known[1], None))
+                        settle(*known, window)
                     elif known[1] != one:  # another place of the same document shares its fate
-                        out.append((xxh64_intdigest(window) >> 1, doc, one, window))
+                        more.setdefault(window, []).append(one)
+                        held += 1
                 if s + r > begin:
-                    out.append((place, doc, ((base + begin) << RUN_BITS) | (s + r - begin), None))
-                if len(windows) > HELD_PIECES:
-                    out += _windows_out(windows)
-                    windows = {}
+                    settle(doc, ((base + begin) << RUN_BITS) | (s + r - begin))
+                if len(windows) + held > HELD_WINDOWS:
+                    yield from deal()
                 if len(out) > ROWS_OUT:
                     yield rows()
             if len(out) > ROWS_OUT:
                 yield rows()
-    out += _windows_out(windows)
+    yield from deal()
     yield rows()
 
 
-def _windows_out(windows: dict[bytes, tuple[int, int]]) -> list[tuple]:
-    return [(xxh64_intdigest(w) >> 1, doc, place, w) for w, (doc, place) in windows.items()]
+def _packed(places: list[int] | None) -> bytes | None:
+    return None if places is None else np.array(places, "<i8").tobytes()
+
+
+def _unfolded(docs: np.ndarray, places: np.ndarray, others: list[bytes | None]) -> pd.DataFrame:
+    """Documents and places, with the further places of each row."""
+    more = [(d, np.frombuffer(o, "<i8")) for d, o in zip(docs.tolist(), others, strict=True) if o is not None]
+    docs = np.concatenate([docs, *[np.full(len(x), d, np.int64) for d, x in more]])
+    return pd.DataFrame({"doc_id": docs, "place": np.concatenate([places, *[x for _, x in more]])})
 
 
 def _sort(sort_bytes: int):
@@ -328,28 +354,36 @@ def _sort(sort_bytes: int):
             for k in range(0, len(batch), ROWS_OUT):
                 part = batch.iloc[k : k + ROWS_OUT]
                 if (known := part["piece"].isna()).any():
-                    yield part.loc[known, ["doc_id", "place"]]
+                    yield _unfolded(*_columns(part[known]))
                     part = part[~known]
                 held.append(part)
-                size += int(part["piece"].str.len().sum())
+                size += _bytes(part)
                 if size > sort_bytes:
                     rows = pd.concat(held, ignore_index=True)
                     last = rows["hash"].searchsorted(rows["hash"].iloc[-1])
                     yield from _sorted(rows.iloc[:last], sort_bytes)
                     held = [rows.iloc[last:]]
-                    size = int(held[0]["piece"].str.len().sum())
+                    size = _bytes(held[0])
         if held:
             yield from _sorted(pd.concat(held, ignore_index=True), sort_bytes)
 
     return sort
 
 
+def _columns(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    return rows["doc_id"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), [o if isinstance(o, bytes) else None for o in rows["others"]]
+
+
+def _bytes(rows: pd.DataFrame) -> int:
+    return int(rows["piece"].str.len().sum()) + sum(len(o) for o in rows["others"] if isinstance(o, bytes))
+
+
 def _sorted(group: pd.DataFrame, sort_bytes: int) -> Iterator[pd.DataFrame]:
     sizes = group["piece"].str.len().to_numpy(np.int64)
     hashes = group["hash"].to_numpy(np.int64)
     edges = np.append(np.flatnonzero(np.diff(hashes, prepend=-1)), len(group))
     filled = np.append(0, np.cumsum(sizes))
-    docs, places, pieces = group["doc_id"].to_numpy(np.int64), group["place"].to_numpy(np.int64), group["piece"].tolist()
+    (docs, places, others), pieces = _columns(group), group["piece"].tolist()
     k = 0
     while k < len(edges) - 1:
         low, e = edges[k], k + 1
@@ -376,7 +410,7 @@ def _sorted(group: pd.DataFrame, sort_bytes: int) -> Iterator[pd.DataFrame]:
             run = np.diff(np.append(at, len(repeats)))
             own = owner[at]
             start = (places[low:high][own] >> RUN_BITS) + repeats[at] - begin[own]
-            yield pd.DataFrame({"doc_id": docs[low:high][own], "place": _places(start, run)})
+            yield _unfolded(docs[low:high][own], _places(start, run), [others[low + i] for i in own.tolist()])
 
 
 def spans_of(places: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:

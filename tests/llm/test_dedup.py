@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -205,6 +206,25 @@ def test_a_passage_that_all_documents_hold(spark, hot):
     assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), hot_bytes=hot) == brute_removal(docs)
 
 
+def test_windows_of_periodic_texts_come_once():
+    """A window that a document repeats is one row with all its places, and settled places of different documents are spread."""
+    text = "Is onhe. " * 300
+    n = len(text) - suffix_dedup.LENGTH + 1
+    batch = pd.DataFrame({"doc_id": [1, 2, 3], "base": [0, 0, 0], "text": [text] * 3, "places": [[n]] * 3, "hashes": [[0]] * 3})
+    got = pd.concat(suffix_dedup._fetch(iter([batch])))
+    known = got[got["piece"].isna()]
+    assert len(got) == 9 + 2 and known["hash"].nunique() == 2
+    assert sum(1 + len(o or b"") // 8 for o in got[got["piece"].notna()]["others"]) == n
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 2000])
+def test_removal_from_periodic_texts(spark, hot):
+    rnd = random.Random(12)
+    docs = [(i, "".join(rnd.choice("abcd") for _ in range(rnd.randrange(9))) + rnd.choice(["Is onhe. ", "Is onhe. ", "ab", "é-"]) * rnd.randrange(60) + "z" * (i % 70)) for i in range(300)]
+    rnd.shuffle(docs)
+    assert removal(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), sort_bytes=3000, hot_bytes=hot) == brute_removal(docs)
+
+
 def test_removal_with_a_null_text_beside_one_to_sort(spark):
     rnd = random.Random(8)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(90))
