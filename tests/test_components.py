@@ -52,3 +52,28 @@ def test_rows_of_a_heavy_key_stay_where_they_are(spark):
     found = joins.looked_up(df, table, ["k"], joins.heavy_keys(df, ["k"], 1000))
     assert found.where("v = 2 * k").count() == found.count() == 4000
     assert found.where("k = 7").selectExpr("spark_partition_id() AS p").distinct().count() == 4
+
+
+@pytest.mark.parametrize("heavy", [100_000, 30])
+def test_faces_of_crowded_edges(spark, heavy):
+    """Edges that many faces share, faces of the same number, of no area and of no number."""
+    rng = np.random.default_rng(8)
+    faces = [(k, int(a), 1000 + int(b), 2000 + int(c)) for k, (a, b, c) in enumerate(rng.integers(0, [400, 3, 3], (500, 3)))]
+    faces += [(600 + k, *map(int, 5000 + rng.integers(0, 60, 3))) for k in range(60)] + [(600, 7000, 7001, 7002), (700, 7001, 7000, 7003), (800, 9, 9, 9), (801, 1, 8000, 8000), (None, 5000, 1, 1001)]
+    of_edge = {}
+    for f, *corners in faces:
+        for p, q in zip(corners, corners[1:] + corners[:1]):
+            if f is not None and p != q:
+                of_edge.setdefault(frozenset((p, q)), []).append(f)
+    wanted = plain({f for f, *_ in faces if f is not None}, [(fs[0], f) for fs in of_edge.values() for f in fs])
+    got = mesh.joined_faces(spark.createDataFrame(faces, "f long, a long, b long, c long"), heavy=heavy).collect()
+    assert len(got) == len({r.f for r in got}) and {f: wanted[f] for f in wanted} == {f: f for f in wanted} | {r.f: r.component for r in got}
+
+
+def test_crowded_edges_leave_few_links(spark, monkeypatch):
+    """Faces about nine common edges: what is left to join up must not grow with the faces."""
+    counted = []
+    real = mesh.components
+    monkeypatch.setattr(mesh, "components", lambda links: counted.append(links.distinct().count()) or real(links))
+    faces = spark.range(3000).selectExpr("id AS f", "10000 + id DIV 2 AS a", "id % 3 AS b", "3 + id DIV 3 % 3 AS c")
+    assert mesh.joined_faces(faces).select("component").distinct().count() == 3 and counted[0] <= 36
