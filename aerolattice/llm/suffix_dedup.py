@@ -127,6 +127,7 @@ FOUND = "doc_id long, place long, hash long"
 #: ``others``: further places of a window in its document, 8 bytes each.
 FETCHED = "hash long, doc_id long, place long, others binary, piece binary"
 FETCHED_NAMES = ["hash", "doc_id", "place", "others", "piece"]
+REPEATS = "doc_id long, places array<bigint>"
 
 
 def _deal(buckets: int):
@@ -334,17 +335,30 @@ def _packed(places: list[int] | None) -> bytes | None:
     return None if places is None else np.array(places, "<i8").tobytes()
 
 
-def _unfolded(docs: np.ndarray, places: np.ndarray, others: list[bytes | None]) -> pd.DataFrame:
-    """Documents and places, with the further places of each row."""
+def _by_document(docs: np.ndarray, places: np.ndarray, others: list[bytes | None]) -> pd.DataFrame:
+    """One row for each document with all places of its rows, the further ones too; windows that overlap are one run."""
     more = [(d, np.frombuffer(o, "<i8")) for d, o in zip(docs.tolist(), others, strict=True) if o is not None]
     docs = np.concatenate([docs, *[np.full(len(x), d, np.int64) for d, x in more]])
-    return pd.DataFrame({"doc_id": docs, "place": np.concatenate([places, *[x for _, x in more]])})
+    places = np.concatenate([places, *[x for _, x in more]])
+    order = np.lexsort((places, docs))
+    docs, starts = docs[order], places[order] >> RUN_BITS
+    ends = starts + (places[order] & ((1 << RUN_BITS) - 1))
+    new_doc = np.append(True, docs[1:] != docs[:-1])
+    number = np.cumsum(new_doc) << (63 - RUN_BITS)  # above any end: the furthest one so far is of the same document
+    reach = np.maximum.accumulate(number + ends) - number
+    new = new_doc.copy()
+    # texts of one doc_id share no window, so runs stay within one; they are cut where their length might not fit
+    new[1:] |= (starts[1:] > reach[:-1] + LENGTH - 2) | (np.diff(starts >> (RUN_BITS - 1)) != 0)
+    heads = np.flatnonzero(new)
+    runs = _places(starts[heads], np.maximum.reduceat(ends, heads) - starts[heads])
+    return pd.DataFrame({"doc_id": docs[new_doc], "places": np.split(runs, np.flatnonzero(new_doc[heads])[1:])})
 
 
 def _sort(sort_bytes: int):
     """Repeats among the pieces of each hash, by their sorted suffixes; rows without a piece pass through.
 
-    Rows come sorted by hash; as many hashes as ``sort_bytes`` hold are sorted at once.
+    Rows come sorted by hash; as many hashes as ``sort_bytes`` hold are sorted at once. No more rows go out than come
+    in: one for each document of those that are sorted or passed on together.
     """
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,7 +368,7 @@ def _sort(sort_bytes: int):
             for k in range(0, len(batch), ROWS_OUT):
                 part = batch.iloc[k : k + ROWS_OUT]
                 if (known := part["piece"].isna()).any():
-                    yield _unfolded(*_columns(part[known]))
+                    yield _by_document(*_columns(part[known]))
                     part = part[~known]
                 held.append(part)
                 size += _bytes(part)
@@ -410,7 +424,7 @@ def _sorted(group: pd.DataFrame, sort_bytes: int) -> Iterator[pd.DataFrame]:
             run = np.diff(np.append(at, len(repeats)))
             own = owner[at]
             start = (places[low:high][own] >> RUN_BITS) + repeats[at] - begin[own]
-            yield _unfolded(docs[low:high][own], _places(start, run), [others[low + i] for i in own.tolist()])
+            yield _by_document(docs[low:high][own], _places(start, run), [others[low + i] for i in own.tolist()])
 
 
 def spans_of(places: np.ndarray, base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -491,8 +505,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("doc_id", "base", "text", "columns", F.col("found.place").alias("places"), F.col("found.hash").alias("hashes"))
         .mapInPandas(_fetch, FETCHED)
     )
-    repeats = fetched.repartition(n, "hash").sortWithinPartitions("hash").mapInPandas(_sort(sort_bytes), "doc_id long, place long")
-    parts = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("parts"))
+    repeats = fetched.repartition(n, "hash").sortWithinPartitions("hash").mapInPandas(_sort(sort_bytes), REPEATS)
+    parts = repeats.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("parts"))
     whole = by_doc.select("doc_id", F.transform(F.filter("found", lambda x: x.hash < 0), lambda x: x.place).alias("whole"))
     joined = placed.join(whole, "doc_id", "left").join(parts, "doc_id", "left")
     out = joined.withColumn("columns", F.to_json("columns")).mapInPandas(

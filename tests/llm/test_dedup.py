@@ -217,6 +217,39 @@ def test_windows_of_periodic_texts_come_once():
     assert sum(1 + len(o or b"") // 8 for o in got[got["piece"].notna()]["others"]) == n
 
 
+def test_repeats_are_a_row_for_each_document():
+    """However often documents repeat their windows, the sort gives no more rows than it gets, and loses no place."""
+    text = "Is onhe. " * 300
+    n = len(text) - suffix_dedup.LENGTH + 1
+    fetched = []
+    for doc in (1, 2, 3):  # each in a task of its own, so that none is settled before the sort
+        batch = pd.DataFrame({"doc_id": [doc], "base": [0], "text": [text], "places": [[n]], "hashes": [[0]]})
+        fetched += suffix_dedup._fetch(iter([batch]))
+    fetched = pd.concat(fetched).sort_values("hash", ignore_index=True)
+    got = pd.concat(suffix_dedup._sort(1_000_000)(iter([fetched])))
+    assert len(fetched) == 27 and sorted(got["doc_id"]) == [2, 3]
+    for places in got["places"]:
+        assert places.tolist() == [n]  # one run of n windows from 0 on
+
+
+def test_runs_of_windows_by_document():
+    def by_document(rows, others=None):
+        docs, starts, runs = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        got = suffix_dedup._by_document(docs, suffix_dedup._places(starts, runs), others or [None] * len(rows))
+        return {d: [(p >> suffix_dedup.RUN_BITS, p & ((1 << suffix_dedup.RUN_BITS) - 1)) for p in x.tolist()] for d, x in zip(got["doc_id"], got["places"], strict=True)}
+
+    # 49 bytes on windows overlap, 50 on they may be those of the next text
+    assert by_document([(5, 49, 1), (4, 0, 1), (5, 0, 1), (5, 99, 2), (4, 50, 1)]) == {4: [(0, 1), (50, 1)], 5: [(0, 50), (99, 2)]}
+    assert by_document([(5, 0, 100), (5, 10, 1), (5, 120, 1)]) == {5: [(0, 121)]}
+    others = suffix_dedup._places(np.array([9, 18]), np.array([1, 1])).tobytes()
+    assert by_document([(5, 0, 1), (6, 0, 1)], [None, others]) == {5: [(0, 1)], 6: [(0, 19)]}
+    far = np.arange(0, 1 << 25, 40)  # longer than a run can say
+    runs = by_document([(7, s, 1) for s in far.tolist()])[7]
+    covered = [x for s, r in runs for x in (s, s + r - 1)]
+    assert covered[0] == 0 and covered[-1] == far[-1] and all(b - a < 50 for a, b in zip(covered[1::2], covered[2::2], strict=False))
+    assert all(0 < r < 1 << suffix_dedup.RUN_BITS for _, r in runs)
+
+
 @pytest.mark.parametrize("hot", [1_000_000, 2000])
 def test_removal_from_periodic_texts(spark, hot):
     rnd = random.Random(12)
