@@ -88,3 +88,10 @@ def test_fitted_planes_against_svd(spark):
     for k, w in wanted.items():
         assert np.allclose(got[k], w, rtol=1e-6)
     assert segments.fitted_planes(df.where("false"), ["s"]).count() == 0
+
+
+def test_segments_over_many_blocks_of_named_frames(spark):
+    """One plane of two frames with names, over 16 blocks each: labels of one frame are also those of the other, and stay apart; a gap parts the second's."""
+    cells = spark.range(2 * 40 * 40).selectExpr("IF(id < 1600, 'one', 'two') AS frame", "id % 1600 DIV 40 AS row", "id % 40 AS col", "IF(id >= 1600 AND id % 40 = 20, 0D, 50D) AS depth", "0D AS nx", "0D AS ny", "1D AS nz")
+    got = segments.plane_segments(cells, block=10, least=20).groupBy("frame", "segment").count().collect()
+    assert sorted(map(tuple, got)) == [("one", 0, 1600), ("two", 0, 800), ("two", 21, 760)]
