@@ -1,23 +1,26 @@
 """Camera poses and focal lengths from correspondences of pixels and world points.
 
-Each frame's correspondences are one group, a few thousand rows from a matcher. Many samples of three points are
-solved at once as arrays; the pose that most points agree with is refined by damped Gauss-Newton steps over
-all of these, with the focal length as one more unknown where it is to be calibrated.
+Each frame's correspondences are one group, a few thousand rows from a matcher. Many samples of three points, and several focal
+lengths, are solved at once as arrays; the pose that most points agree with is refined by damped Gauss-Newton steps over
+all of these, with the focal length as one more unknown where it is to be calibrated. Poses of several focal lengths take their steps together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Samples that are solved at once.
 SAMPLES = 64
 #: Points on which all poses are judged first, and how many of the best are then judged on all points.
 PREVIEW, CALLED = 128, 8
+#: Projections that are reckoned at once.
+TOGETHER = 1 << 14
 #: Chance that a sample without a wrong point was among those drawn.
 SURE = 0.9999
 #: Correspondences at least and inliers at least of a frame; above ground, in metres, the camera may be from and to.
@@ -26,6 +29,10 @@ LEAST, ABOVE_GROUND = 30, (1.0, 2000.0)
 ANGLES, LEAST_OF_ANGLE, LEAST_TO_REFINE, REFINED_BY = tuple(range(12, 91)), 15, 50, 0.08
 #: Of these angles every one is sampled whose focal length is about this far from the last one's; those between the neighbours of the best one start from its pose.
 COARSE = 1.2
+#: Share of the squared distances by which a step has to lower them for an angle to be refined further.
+SETTLED = 1e-6
+#: Arrow's types of the fields that are found.
+ARROW = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 POSE_COLUMNS = ["x", "y", "z", "rotation", "inliers", "error"]
 
 
@@ -46,13 +53,55 @@ def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:, [1, 2, 0]] * b[:, [2, 0, 1]] - a[:, [2, 0, 1]] * b[:, [1, 2, 0]]
 
 
+def quartic_roots(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The real roots of quartics x^4 + c0 x^3 + c1 x^2 + c2 x + c3 by rows: four a row, and which of them are real, to about 1e-3.
+
+    By a root of the cubic resolvent, then two steps of Newton's method on the quartic.
+    """
+    with np.errstate(all="ignore"):
+        k = c[:, 0] / 4
+        p, q = c[:, 1] - 6 * k * k, c[:, 2] - 2 * c[:, 1] * k + 8 * k**3
+        r = c[:, 3] - c[:, 2] * k + c[:, 1] * k * k - 3 * k**4
+        # m^3 + p m^2 + (p^2 / 4 - r) m - q^2 / 8 has a root that isn't negative: the largest
+        lean, fall = -p * p / 12 - r, -(p**3) / 108 + p * r / 3 - q * q / 8
+        inside = fall * fall / 4 + lean**3 / 27
+        side = np.sqrt(np.maximum(inside, 0))
+        far = np.cbrt(-fall / 2 - np.copysign(side, fall))
+        alone = np.where(far == 0, 0.0, far - lean / (3 * np.where(far == 0, 1.0, far)))
+        length = np.sqrt(np.maximum(-lean / 3, 0))
+        three = 2 * length * np.cos(np.arccos(np.clip(np.where(length > 0, 3 * fall / (2 * lean * length), 0.0), -1, 1)) / 3)
+        m = np.maximum(np.where(inside > 0, alone, three) - p / 3, 0)
+        # without a linear term the quartic is one in squares
+        flat = m <= 1e-12 * (1 + np.abs(p))
+        s = np.sqrt(2 * np.where(flat, 1.0, m))
+        under = np.stack([-(2 * p + 2 * m + 2 * q / s), -(2 * p + 2 * m - 2 * q / s)], axis=1)
+        middle = np.stack([s, -s], axis=1) / 2
+        if flat.any():
+            square = np.sqrt(np.maximum(p * p / 4 - r, 0))
+            under[flat], middle[flat] = 4 * np.stack([-p / 2 + square, -p / 2 - square], axis=1)[flat], 0.0
+        real, half = under > -4e-6, np.sqrt(np.maximum(under, 0)) / 2
+        x = np.concatenate([middle + half, middle - half], axis=1) - k[:, None]
+        for _ in range(2):
+            value = (((x + c[:, :1]) * x + c[:, 1:2]) * x + c[:, 2:3]) * x + c[:, 3:]
+            slope = ((4 * x + 3 * c[:, :1]) * x + 2 * c[:, 1:2]) * x + c[:, 2:3]
+            step = value / slope
+            x = np.where(np.abs(step) < 0.1 * (1e-3 + np.abs(x)), x - step, x)
+        return x, np.concatenate([real, real], axis=1) & np.isfinite(x)
+
+
 def three_point_poses(rays: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All poses (turns, shifts) that put three world points each on their rays: (n, 3, 3) both, rays of length one.
+    """All poses (turns, shifts) that put three world points each on their rays: (n, 3, 3) both, rays of length one."""
+    return poses_of_samples(rays, points)[:2]
+
+
+def poses_of_samples(rays: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """three_point_poses(), and the row of the sample that each pose is of.
 
     By the law of cosines the ratio of two distances is a root of a quartic; up to four poses a sample.
     """
-    a2, b2, c2 = (((points[:, i] - points[:, j]) ** 2).sum(1) for i, j in ((1, 2), (0, 2), (0, 1)))
-    ca, cb, cg = ((rays[:, i] * rays[:, j]).sum(1) for i, j in ((1, 2), (0, 2), (0, 1)))
+    rays, points = (np.ascontiguousarray(x.transpose(1, 2, 0)) for x in (rays, points))  # by point and coordinate
+    a2, b2, c2 = (((points[i] - points[j]) ** 2).sum(0) for i, j in ((1, 2), (0, 2), (0, 1)))
+    ca, cb, cg = ((rays[i] * rays[j]).sum(0) for i, j in ((1, 2), (0, 2), (0, 1)))
     usable = (a2 > 1e-12) & (b2 > 1e-12) & (c2 > 1e-12)
     b2 = np.where(usable, b2, 1.0)
     p, q, r = (a2 - c2) / b2, (a2 + c2) / b2, c2 / b2
@@ -69,35 +118,33 @@ def three_point_poses(rays: np.ndarray, points: np.ndarray) -> tuple[np.ndarray,
     )
     usable &= np.abs(quartic[:, 0]) > 1e-12
     quartic[~usable, 0] = 1.0
-    companion = np.zeros((len(rays), 4, 4))
-    companion[:, 0] = -quartic[:, 1:] / quartic[:, :1]
-    companion[:, [1, 2, 3], [0, 1, 2]] = 1
-    roots = np.linalg.eigvals(np.where(np.isfinite(companion), companion, 0.0))
-    sample, which = np.nonzero((np.abs(roots.imag) < 1e-3) & (roots.real > 1e-9) & usable[:, None])
-    v = roots.real[sample, which]
+    roots, real = quartic_roots(quartic[:, 1:] / quartic[:, :1])
+    sample, which = np.nonzero(real & (roots > 1e-9) & usable[:, None])
+    v = roots[sample, which]
     pk, ck, bk, gk = p[sample], ca[sample], cb[sample], cg[sample]
     below = 2 * (gk - v * ck)
     u = ((pk - 1) * v**2 - 2 * pk * bk * v + 1 + pk) / np.where(np.abs(below) > 1e-12, below, np.nan)
     first = np.sqrt(b2[sample] / (1 + v**2 - 2 * v * bk))
     good = np.isfinite(first) & (u > 0)
     sample, first, u, v = sample[good], first[good], u[good], v[good]
-    seen = rays[sample] * np.stack([first, u * first, v * first], axis=1)[:, :, None]
+    seen = rays[:, :, sample] * np.stack([first, u * first, v * first])[:, None]
+    there = points[:, :, sample]
 
     def axes(of: np.ndarray) -> np.ndarray:
-        along, other = of[:, 1] - of[:, 0], of[:, 2] - of[:, 0]
-        normal = cross(along, other)
+        along, other = of[1] - of[0], of[2] - of[0]
+        normal = cross(along.T, other.T).T
         with np.errstate(invalid="ignore", divide="ignore"):
-            along, normal = along / np.linalg.norm(along, axis=1, keepdims=True), normal / np.linalg.norm(normal, axis=1, keepdims=True)
-        return np.stack([along, cross(normal, along), normal], axis=2)
+            along, normal = along / np.sqrt((along * along).sum(0)), normal / np.sqrt((normal * normal).sum(0))
+        return np.stack([along, cross(normal.T, along.T).T, normal])
 
-    turns = axes(seen) @ axes(points[sample]).transpose(0, 2, 1)
+    turns = np.einsum("kin,kjn->nij", axes(seen), axes(there))
+    shifts = seen[0].T - (turns @ there[0].T[:, :, None])[:, :, 0]
     fine = np.isfinite(turns).all(axis=(1, 2))
-    turns = turns[fine]
-    return turns, seen[fine, 0] - np.einsum("nij,nj->ni", turns, points[sample[fine], 0])
+    return turns[fine], shifts[fine], sample[fine]
 
 
-def projection_errors(turns: np.ndarray, shifts: np.ndarray, pixels: np.ndarray, points: np.ndarray, focal: float) -> np.ndarray:
-    """Distances in pixels from the centre for each pose and point; infinite behind the camera."""
+def projection_errors(turns: np.ndarray, shifts: np.ndarray, pixels: np.ndarray, points: np.ndarray, focal: float | np.ndarray) -> np.ndarray:
+    """Distances in pixels from the centre for each pose and point; infinite behind the camera. Focal lengths of the poses are a column."""
     seen = points @ turns.transpose(0, 2, 1) + shifts[:, None]
     ahead = seen[..., 2] > 1e-9
     scale = focal / np.where(ahead, seen[..., 2], 1.0)
@@ -105,91 +152,162 @@ def projection_errors(turns: np.ndarray, shifts: np.ndarray, pixels: np.ndarray,
     return np.where(ahead, np.sqrt(across * across + down * down), np.inf)
 
 
-def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold: float, rounds: int, rng: np.random.Generator, share: float = 0.0) -> tuple[Pose | None, np.ndarray]:
-    """The pose with most points within ``threshold`` pixels, and which these are.
+def _near(turns: np.ndarray, shifts: np.ndarray, pixels: np.ndarray, points: np.ndarray, focals: np.ndarray, thresholds: np.ndarray, kind: type = float) -> np.ndarray:
+    """Whether each point is ahead of each pose and projected within its threshold; reckoned in numbers of ``kind``, for some poses at a time as arrays."""
+    whole, (us, vs) = np.concatenate([points.T, np.ones((1, len(points)))]).astype(kind), pixels.T.astype(kind)
+    placed = np.concatenate([turns, shifts[:, :, None]], axis=2)
+    x, y, z = ((placed[:, k] * (focals[:, None] if k < 2 else 1)).astype(kind) for k in range(3))
+    found, rows = np.empty((len(turns), len(points)), bool), TOGETHER // len(points) + 1
+    for k in range(0, len(turns), rows):
+        some = slice(k, k + rows)
+        away, across, down = z[some] @ whole, x[some] @ whole, y[some] @ whole
+        across -= us * away
+        down -= vs * away
+        across *= across
+        down *= down
+        across += down
+        within = away * thresholds[some, None].astype(kind)
+        within *= within
+        np.logical_and(across < within, away > 1e-9, out=found[some])
+    return found
+
+
+def _triples(n: int, of: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` rows of three different numbers below ``of``."""
+    first, second, third = (rng.integers(0, of - k, n) for k in range(3))
+    second += second >= first
+    third += third >= np.minimum(first, second)
+    third += third >= np.maximum(first, second)
+    return np.column_stack([first, second, third])
 
-    Rounds end when, at the share of inliers found, some sample was free of wrong points with SURE; or after ``rounds`` samples. Where only a
-    pose of a ``share`` of inliers or more is of use, they end when that would have been found.
+
+def sampled_poses(pixels: np.ndarray, points: np.ndarray, focals: np.ndarray, thresholds: np.ndarray, rounds: int, rng: np.random.Generator, share: float = 0.0) -> list[tuple[Pose | None, np.ndarray]]:
+    """For each of ``focals`` the pose with most points within its threshold in pixels, and which these are.
+
+    Rounds end when, at the greatest share of inliers found, some sample of each focal length was free of wrong points with SURE; or after ``rounds`` samples of each. Where only
+    a pose of a ``share`` of inliers or more is of use, they end when that would have been found.
     """
 
     def enough(part: float) -> float:
         return min(rounds, np.log(1 - SURE) / np.log1p(-min(part**3, 1 - 1e-12))) if part else rounds
 
-    rays = np.column_stack([pixels / focal, np.ones(len(pixels))])
-    rays /= np.linalg.norm(rays, axis=1, keepdims=True)
-    best, most, drawn, needed = None, np.zeros(len(pixels), bool), 0, enough(share)
+    rays = np.concatenate([pixels[None] / focals[:, None, None], np.ones((len(focals), len(pixels), 1))], axis=2)
+    rays /= np.sqrt((rays * rays).sum(2, keepdims=True))
+    best: list[Pose | None] = [None] * len(focals)
+    most, drawn, needed = np.zeros((len(focals), len(pixels)), bool), 0, enough(share)
     preview = rng.permutation(len(pixels))[:PREVIEW]
-    while drawn < needed:
+    while drawn < needed and len(pixels) > 2:
         n = int(min(SAMPLES, rounds - drawn)) or 1
-        some = rng.random((n, len(pixels))).argpartition(2, axis=1)[:, :3] if len(pixels) < 200 else rng.integers(0, len(pixels), (n, 3))
+        of, some = np.repeat(np.arange(len(focals)), n), _triples(n * len(focals), len(pixels), rng)
         drawn += n
-        turns, shifts = three_point_poses(rays[some], points[some])
+        turns, shifts, sample = poses_of_samples(rays[of[:, None], some], points[some])
         if not len(turns):
             continue
+        of = of[sample]
         if len(pixels) > 2 * PREVIEW:
-            seen = (projection_errors(turns, shifts, pixels[preview], points[preview], focal) < threshold).sum(1)
-            turns, shifts = (x[np.argsort(-seen, kind="stable")[:CALLED]] for x in (turns, shifts))
-        near = projection_errors(turns, shifts, pixels, points, focal) < threshold
-        k = int(near.sum(1).argmax())
-        if near[k].sum() > most.sum():
-            best, most = Pose(turns[k], shifts[k], focal), near[k]
-            needed = enough(max(share, most.sum() / len(pixels)))
-    return best, most
+            seen = _near(turns, shifts, pixels[preview], points[preview], focals[of], thresholds[of], np.float32).sum(1)
+            order = np.lexsort((-seen, of))
+            called = order[np.arange(len(order)) - np.searchsorted(of[order], of[order]) < CALLED]
+            turns, shifts, of = turns[called], shifts[called], of[called]
+        near = _near(turns, shifts, pixels, points, focals[of], thresholds[of])
+        counts = near.sum(1)
+        order = np.lexsort((-counts, of))
+        for k in order[np.unique(of[order], return_index=True)[1]]:
+            if counts[k] > most[of[k]].sum():
+                best[of[k]], most[of[k]] = Pose(turns[k], shifts[k], float(focals[of[k]])), near[k]
+        needed = enough(max(share, most.sum(1).max() / len(pixels)))
+    return list(zip(best, most, strict=True))
+
+
+def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold: float, rounds: int, rng: np.random.Generator, share: float = 0.0) -> tuple[Pose | None, np.ndarray]:
+    """sampled_poses() of one focal length."""
+    return sampled_poses(pixels, points, np.array([focal], float), np.array([threshold], float), rounds, rng, share)[0]
+
+
+#: Rows of the matrices that make cross products with each axis.
+_CROSS = np.array([[0, 0, 0, 0, 0, -1, 0, 1, 0], [0, 0, 1, 0, 0, 0, -1, 0, 0], [0, -1, 0, 1, 0, 0, 0, 0, 0]], float)
 
 
 def turn_by(w: np.ndarray) -> np.ndarray:
-    """The rotation about ``w`` by its length."""
-    angle = float(np.linalg.norm(w))
-    cross = np.array([[0, -w[2], w[1]], [w[2], 0, -w[0]], [-w[1], w[0], 0]])
-    if angle < 1e-12:
-        return np.eye(3) + cross
-    return np.eye(3) + np.sin(angle) / angle * cross + (1 - np.cos(angle)) / angle**2 * cross @ cross
+    """The rotation about ``w`` by its length, or one for each row."""
+    square = (w * w).sum(-1)[..., None, None]
+    angle = np.sqrt(np.maximum(square, 1e-24))
+    half = np.sin(angle / 2) / angle
+    outer = w[..., :, None] * w[..., None, :]
+    return np.eye(3) + np.sin(angle) / angle * (w @ _CROSS).reshape(*w.shape, 3) + 2 * half * half * (outer - square * np.eye(3))
 
 
-def refined_pose(pose: Pose, pixels: np.ndarray, points: np.ndarray, with_focal: bool = False, steps: int = 50) -> Pose:
-    """The pose of least squared distances in pixels, by Gauss-Newton steps damped until each one helps.
+def refined_poses(poses: list[Pose], pixels: np.ndarray, points: np.ndarray, inliers: np.ndarray, with_focal: bool = False, steps: int = 50, settled: float = 1e-12) -> list[Pose]:
+    """For each of ``poses`` the one of least squared distances in pixels over its ``inliers`` (by rows), by Gauss-Newton steps damped until each one helps.
 
-    Unknown are a shift and a turn after the camera's own, and the logarithm of the focal length if ``with_focal``.
+    Unknown are a shift and a turn after the camera's own, and the logarithm of the focal length if ``with_focal``. Steps end after one that lowers the sum by no more than ``settled`` of it.
     """
+    counts = inliers.sum(1)
+    some = np.argsort(~inliers, axis=1, kind="stable")[:, : counts.max()]
+    weight = (np.arange(some.shape[1]) < counts[:, None]).astype(float)
+    some = np.where(weight > 0, some, some[:, :1])
+    there, wanted = points[some].transpose(0, 2, 1), pixels[some].transpose(0, 2, 1)
+    turns, shifts, focals = np.stack([p.turn for p in poses]), np.stack([p.shift for p in poses]), np.array([p.focal for p in poses], float)
+
+    def residuals(k: np.ndarray, turns: np.ndarray, shifts: np.ndarray, focals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        seen = turns @ there[k] + shifts[:, :, None]
+        gap = (focals[:, None, None] * seen[:, :2] / seen[:, 2:] - wanted[k]) * weight[k, None]
+        return gap, seen, (gap * gap).sum((1, 2))
+
+    gaps, seens, costs = residuals(np.arange(len(poses)), turns, shifts, focals)
+    damping, taken, open_ = np.full(len(poses), 1e-3), np.zeros(len(poses), int), np.full(len(poses), steps > 0)
+    square, pull = np.zeros((len(poses), 6 + with_focal, 6 + with_focal)), np.zeros((len(poses), 6 + with_focal))
+    fresh = np.ones(len(poses), bool)
+    while open_.any():
+        k = np.flatnonzero(open_ & fresh)
+        if len(k):
+            seen, focal = seens[k], focals[k, None] * weight[k]
+            x, y, scale = seen[:, 0] / seen[:, 2], seen[:, 1] / seen[:, 2], focal / seen[:, 2]
+            fx, fy = focal * x, focal * y
+            slope = np.zeros((len(k), 7 + with_focal, 2, seen.shape[2]))
+            slope[:, 0, 0] = slope[:, 1, 1] = scale
+            slope[:, 2, 0], slope[:, 2, 1] = -scale * x, -scale * y
+            slope[:, 3, 0] = -fx * y
+            slope[:, 4, 1] = -slope[:, 3, 0]
+            slope[:, 3, 1], slope[:, 4, 0] = -focal - fy * y, focal + fx * x
+            slope[:, 5, 0], slope[:, 5, 1] = -fy, fx
+            if with_focal:
+                slope[:, 6, 0], slope[:, 6, 1] = fx, fy
+            slope[:, -1] = gaps[k]
+            slope = slope.reshape(len(k), 7 + with_focal, -1)
+            products = slope @ slope.transpose(0, 2, 1)
+            square[k], pull[k] = products[:, :-1, :-1], products[:, :-1, -1]
+            fresh[k] = False
+        k = np.flatnonzero(open_)
+        damped = square[k] + damping[k, None, None] * np.eye(6 + with_focal) * (np.diagonal(square[k], axis1=1, axis2=2) + 1e-12)[:, None]
+        step = np.full((len(k), 6 + with_focal), np.nan)
+        try:
+            step = -np.linalg.solve(damped, pull[k][:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            for i in range(len(k)):
+                try:
+                    step[i] = -np.linalg.solve(damped[i], pull[k[i]])
+                except np.linalg.LinAlgError:
+                    pass
+        turn = turn_by(step[:, 3:6])
+        new = turn @ turns[k], (turn @ shifts[k][:, :, None])[:, :, 0] + step[:, :3], focals[k] * np.exp(np.clip(step[:, 6], -1, 1)) if with_focal else focals[k]
+        with np.errstate(all="ignore"):
+            gap, seen, cost = residuals(k, *new)
+        cost = np.where((seen[:, 2] > 0).all(1), cost, np.inf)
+        better = cost <= costs[k]
+        done = costs[k] - cost <= settled * costs[k] + 1e-20
+        damping[k] = np.where(better, np.maximum(damping[k] / 10, 1e-12), damping[k] * 10)
+        to = k[better]
+        turns[to], shifts[to], focals[to], gaps[to], seens[to], costs[to] = (v[better] for v in (*new, gap, seen, cost))
+        taken[to] += 1
+        fresh[to] = True
+        open_[k] = np.where(better, ~done & (taken[k] < steps), damping[k] < 1e12)
+    return [Pose(*p[:2], float(p[2])) for p in zip(turns, shifts, focals, strict=True)]
 
-    def residuals(p: Pose) -> tuple[np.ndarray, np.ndarray]:
-        seen = points @ p.turn.T + p.shift
-        return p.focal * seen[:, :2] / seen[:, 2:] - pixels, seen
-
-    gap, seen = residuals(pose)
-    cost, damping = float((gap**2).sum()), 1e-3
-    for _ in range(steps):
-        inverse = 1 / seen[:, 2]
-        by_point = np.zeros((len(points), 2, 3))
-        by_point[:, 0, 0] = by_point[:, 1, 1] = pose.focal * inverse
-        by_point[:, :, 2] = -pose.focal * seen[:, :2] * (inverse**2)[:, None]
-        cross = np.zeros((len(points), 3, 3))
-        cross[:, [0, 1, 2], [1, 2, 0]], cross[:, [1, 2, 0], [0, 1, 2]] = seen[:, [2, 0, 1]], -seen[:, [2, 0, 1]]
-        slope = np.concatenate([by_point, by_point @ cross], axis=2)
-        if with_focal:
-            slope = np.concatenate([slope, (gap + pixels)[:, :, None]], axis=2)
-        slope = slope.reshape(-1, slope.shape[2])
-        square, pull = slope.T @ slope, slope.T @ gap.reshape(-1)
-        while damping < 1e12:
-            try:
-                step = -np.linalg.solve(square + damping * np.diag(np.diag(square) + 1e-12), pull)
-            except np.linalg.LinAlgError:
-                damping *= 10
-                continue
-            turn = turn_by(step[3:6])
-            now = Pose(turn @ pose.turn, turn @ pose.shift + step[:3], pose.focal * (float(np.exp(np.clip(step[6], -1, 1))) if with_focal else 1.0))
-            new_gap, new_seen = residuals(now)
-            new_cost = float((new_gap**2).sum()) if (new_seen[:, 2] > 0).all() else np.inf
-            if new_cost <= cost:
-                break
-            damping *= 10
-        else:
-            return pose
-        done = cost - new_cost <= 1e-12 * cost + 1e-20
-        pose, gap, seen, cost, damping = now, new_gap, new_seen, new_cost, max(damping / 10, 1e-12)
-        if done:
-            return pose
-    return pose
+
+def refined_pose(pose: Pose, pixels: np.ndarray, points: np.ndarray, with_focal: bool = False, steps: int = 50) -> Pose:
+    """refined_poses() of one pose and all of ``points``."""
+    return refined_poses([pose], pixels, points, np.ones((1, len(points)), bool), with_focal, steps)[0]
 
 
 def fitted_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold: float, rounds: int, rng: np.random.Generator) -> tuple[Pose | None, np.ndarray]:
@@ -211,6 +329,7 @@ def _focal(height: float, angle: float) -> float:
     return height / 2 / np.tan(np.radians(angle) / 2)
 
 
+@cache
 def _coarse_angles(height: float) -> list[int]:
     found = [ANGLES[0]]
     for angle, after in zip(ANGLES[1:], (*ANGLES[2:], None), strict=True):
@@ -229,14 +348,14 @@ def calibrated(pixels: np.ndarray, points: np.ndarray, height: float, threshold:
     """
     at_60, tried, share = height / 2 / np.tan(np.radians(30)), {}, 0.0
 
-    def judged(angle: int, pose: Pose | None, inliers: np.ndarray) -> float:
-        if pose is None or inliers.sum() < LEAST_OF_ANGLE:
-            return 0.0
-        pose = refined_pose(pose, pixels[inliers], points[inliers], steps=8)
-        errors = projection_errors(pose.turn[None], pose.shift[None], pixels, points, pose.focal)[0]
-        if (near := errors < threshold).sum() >= LEAST_OF_ANGLE:
-            tried[angle] = pose, near, float(errors[near].mean())
-        return inliers.sum() / len(pixels)
+    def judge(angles: list[int], poses: list[Pose], inliers: list[np.ndarray]) -> None:
+        if not angles:
+            return
+        found = refined_poses(poses, pixels, points, np.stack(inliers), steps=8, settled=SETTLED)
+        all_errors = projection_errors(np.stack([p.turn for p in found]), np.stack([p.shift for p in found]), pixels, points, np.array([[p.focal] for p in found]))
+        for angle, pose, errors in zip(angles, found, all_errors, strict=True):
+            if (near := errors < threshold).sum() >= LEAST_OF_ANGLE:
+                tried[angle] = pose, near, float(errors[near].mean())
 
     def best() -> int:
         counts, errors = np.array([n.sum() for _, n, _ in tried.values()]), np.array([e for _, _, e in tried.values()])
@@ -244,15 +363,17 @@ def calibrated(pixels: np.ndarray, points: np.ndarray, height: float, threshold:
         return list(tried)[int((counts / counts.max() * (1 - (errors - errors.min()) / spread)).argmax())]
 
     coarse = _coarse_angles(height)
-    for angle in coarse[len(coarse) // 2 :] + coarse[: len(coarse) // 2]:  # those of the middle first, as they tell soonest what share fits
-        focal = _focal(height, angle)
-        share = max(share, judged(angle, *sampled_pose(pixels, points, focal, threshold * focal / at_60, rounds, rng, share)))
+    for angles in (coarse[len(coarse) // 2 :], coarse[: len(coarse) // 2]):  # those of the middle first, as they tell soonest what share fits
+        focals = np.array([_focal(height, a) for a in angles])
+        found = [(a, *f) for a, f in zip(angles, sampled_poses(pixels, points, focals, threshold * focals / at_60, rounds, rng, share), strict=True) if f[0] is not None and f[1].sum() >= LEAST_OF_ANGLE]
+        judge(*([f[i] for f in found] for i in range(3)))
+        share = max([share, *(near.sum() / len(pixels) for _, _, near in found)])
     if tried:
         middle = coarse.index(best())
         start, inliers, _ = tried[coarse[middle]]
-        for angle in range(coarse[max(middle - 1, 0)], coarse[min(middle + 1, len(coarse) - 1)] + 1):
-            if angle not in tried:
-                judged(angle, start._replace(focal=_focal(height, angle), shift=start.shift + [0, 0, (_focal(height, angle) / start.focal - 1) * float(np.median((points @ start.turn.T + start.shift)[:, 2]))]), inliers)
+        away = float(np.median((points @ start.turn.T + start.shift)[:, 2]))
+        rest = [a for a in range(coarse[max(middle - 1, 0)], coarse[min(middle + 1, len(coarse) - 1)] + 1) if a not in tried]
+        judge(rest, [start._replace(focal=_focal(height, a), shift=start.shift + [0, 0, (_focal(height, a) / start.focal - 1) * away]) for a in rest], [inliers] * len(rest))
     if not tried:
         return None, np.zeros(len(pixels), bool), np.inf
     pose, near, error = tried[best()]
@@ -267,14 +388,17 @@ def calibrated(pixels: np.ndarray, points: np.ndarray, height: float, threshold:
 def _groups(df: DataFrame, key: str, fit: Callable[[np.ndarray, np.ndarray, np.random.Generator], tuple], fields: str, seed: int) -> DataFrame:
     """``fit`` for each ``key``, with its rows without nulls in an order of their values, so that a rerun gives the same."""
     columns = ["u", "v", "X", "Y", "Z"]
+    names, kinds = zip(*(f.split() for f in f"points long, {fields}".split(", ")), strict=True)
 
-    def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows[columns].dropna().sort_values(columns).to_numpy(float)
-        found = fit(values[:, :2], values[:, 2:], np.random.default_rng(seed))
-        return pd.DataFrame([(name[0], len(values), *found)], columns=[key, "points", *(f.split()[0] for f in fields.split(", "))]).astype({key: rows[key].dtype})
+    def run(rows: pa.Table) -> pa.Table:
+        values = np.column_stack([rows[c].to_numpy() for c in columns])
+        values = values[~np.isnan(values).any(axis=1)]
+        values = values[np.lexsort(values.T[::-1])]
+        found = len(values), *fit(values[:, :2], values[:, 2:], np.random.default_rng(seed))
+        return pa.table([rows[key].slice(0, 1), *(pa.array([v], ARROW[k]) for v, k in zip(found, kinds, strict=True))], [key, *names])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *(df[c].cast("double").alias(c) for c in columns)).groupBy(key).applyInPandas(run, f"`{key}` {kind}, points long, {fields}")
+    return df.select(key, *(df[c].cast("double").alias(c) for c in columns)).groupBy(key).applyInArrow(run, f"`{key}` {kind}, points long, {fields}")
 
 
 def locate(df: DataFrame, focal: float, principal: tuple[float, float], key: str = "frame", threshold: float = 4.0, rounds: int = 5000, least: int = LEAST, above_ground: tuple[float, float] | None = ABOVE_GROUND, seed: int = 42) -> DataFrame:

@@ -176,3 +176,52 @@ def test_homographies_of_four_points():
     found = two_views.four_point_homographies(first, second)
     assert np.allclose(found / found[:, 2:, 2:], wanted / wanted[:, 2:, 2:], rtol=1e-5, atol=1e-7)
     assert len(two_views.four_point_homographies(first[:3][:, [0, 0, 1, 2]], second[:3][:, [0, 0, 1, 2]])) == 0
+
+
+def test_angles_are_refined_together(monkeypatch):
+    """Each step of all angles of view is one call of the solver, so that a camera takes few calls."""
+    calls, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: (calls.append(1), solve(*a))[1])
+    pixels, world, _, _ = scene(3, 400, focal=450.0, wrong=0.5, noise=0.5)
+    pose, near, _ = camera_fit.calibrated(pixels - [320, 240], world - world.mean(0), 480.0, 8.0, 400, np.random.default_rng(1))
+    assert abs(pose.focal / 450 - 1) < 0.02 and near.sum() >= 200
+    assert len(calls) < 50
+
+
+def test_quartic_roots():
+    rng = np.random.default_rng(6)
+    wanted = [rng.uniform(-3, 3, 4) for _ in range(200)] + [np.array(r, float) for r in ((1, -1, 2, -2), (2, 2, 5, -1), (0, 0, 1, -1), (1, 1, 1, 1), (3, 3, -3, -3))]
+    found, real = camera_fit.quartic_roots(np.array([np.poly(r)[1:] for r in wanted]))
+    for want, x, ok in zip(wanted, found, real, strict=True):
+        assert ok.all() and np.allclose(np.sort(x), np.sort(want), atol=2e-2 if len(set(want)) < 4 else 1e-5), want
+    pairs = np.array([[0.0, 5.0, 0.0, 4.0], [0.0, 0.0, 0.0, -1.0], [-2.0, 2.0, -2.0, 1.0 - 1.0]])  # no real root; two; two
+    found, real = camera_fit.quartic_roots(pairs)
+    assert real.sum(1).tolist() == [0, 2, 2]
+    for c, x, ok in zip(pairs, found, real, strict=True):
+        assert np.allclose(np.polyval([1, *c], x[ok]), 0, atol=1e-9)
+
+
+def test_poses_refined_together_are_those_refined_alone():
+    """Poses of different inliers, one of which is there at once and one of which starts behind."""
+    pixels, world, turn, centre = scene(11, 120, noise=1.0)
+    pixels, world, centre = pixels - [320, 240], world - world.mean(0), centre - world.mean(0)
+    rng = np.random.default_rng(2)
+    poses = []
+    for k in range(4):
+        moved = camera_fit.turn_by(rng.normal(size=3) * 0.03 * k) @ turn
+        poses.append(camera_fit.Pose(moved, -moved @ centre + rng.normal(size=3) * 2 * k, 500.0 - 10 * k))
+    inliers = rng.random((4, 120)) < np.array([[0.9], [0.5], [0.2], [0.7]])
+    for with_focal in (False, True):
+        together = camera_fit.refined_poses(poses, pixels, world, inliers, with_focal=with_focal)
+        for pose, near, got in zip(poses, inliers, together, strict=True):
+            alone = camera_fit.refined_pose(pose, pixels[near], world[near], with_focal=with_focal)
+            assert np.allclose(got.turn, alone.turn, atol=1e-7) and np.allclose(got.shift, alone.shift, rtol=1e-6) and np.isclose(got.focal, alone.focal, rtol=1e-7)
+            assert np.allclose(got.turn @ got.turn.T, np.eye(3), atol=1e-12)
+
+
+def test_cameras_with_names(spark):
+    """Keys of any type, a null among them."""
+    pixels, world, *_ = scene(1, 200, focal=500.0)
+    rows = [(name, *map(float, p), *map(float, w)) for name in ("one", None) for p, w in zip(pixels, world, strict=True)] + [("one", None, 1.0, 1.0, 1.0, 1.0), ("one", float("nan"), 1.0, 1.0, 1.0, 1.0)]
+    got = {r.camera: r for r in camera_fit.calibrate(spark.createDataFrame(rows, "camera string, u double, v double, X double, Y double, Z double"), 640.0, 480.0).collect()}
+    assert set(got) == {"one", None} and all(r.points == 200 and abs(r.focal - 500) < 1e-4 and len(r.rotation) == 9 for r in got.values())
