@@ -224,6 +224,7 @@ def sampled_pose(pixels: np.ndarray, points: np.ndarray, focal: float, threshold
     return sampled_poses(pixels, points, np.array([focal], float), np.array([threshold], float), rounds, rng, share)[0]
 
 
+_EYE = np.eye(3)
 #: Rows of the matrices that make cross products with each axis.
 _CROSS = np.array([[0, 0, 0, 0, 0, -1, 0, 1, 0], [0, 0, 1, 0, 0, 0, -1, 0, 0], [0, -1, 0, 1, 0, 0, 0, 0, 0]], float)
 
@@ -234,7 +235,7 @@ def turn_by(w: np.ndarray) -> np.ndarray:
     angle = np.sqrt(np.maximum(square, 1e-24))
     half = np.sin(angle / 2) / angle
     outer = w[..., :, None] * w[..., None, :]
-    return np.eye(3) + np.sin(angle) / angle * (w @ _CROSS).reshape(*w.shape, 3) + 2 * half * half * (outer - square * np.eye(3))
+    return _EYE + np.sin(angle) / angle * (w @ _CROSS).reshape(*w.shape, 3) + 2 * half * half * (outer - square * _EYE)
 
 
 def refined_poses(poses: list[Pose], pixels: np.ndarray, points: np.ndarray, inliers: np.ndarray, with_focal: bool = False, steps: int = 50, settled: float = 1e-12) -> list[Pose]:
@@ -249,41 +250,45 @@ def refined_poses(poses: list[Pose], pixels: np.ndarray, points: np.ndarray, inl
     there, wanted = points[some].transpose(0, 2, 1), pixels[some].transpose(0, 2, 1)
     turns, shifts, focals = np.stack([p.turn for p in poses]), np.stack([p.shift for p in poses]), np.array([p.focal for p in poses], float)
 
-    def residuals(k: np.ndarray, turns: np.ndarray, shifts: np.ndarray, focals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen = turns @ there[k] + shifts[:, :, None]
-        gap = (focals[:, None, None] * seen[:, :2] / seen[:, 2:] - wanted[k]) * weight[k, None]
-        return gap, seen, (gap * gap).sum((1, 2))
+    unknown = np.arange(6 + with_focal)
 
-    gaps, seens, costs = residuals(np.arange(len(poses)), turns, shifts, focals)
-    damping, taken, open_ = np.full(len(poses), 1e-3), np.zeros(len(poses), int), np.full(len(poses), steps > 0)
-    square, pull = np.zeros((len(poses), 6 + with_focal, 6 + with_focal)), np.zeros((len(poses), 6 + with_focal))
+    def residuals(k: np.ndarray, turns: np.ndarray, shifts: np.ndarray, focals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Gaps in pixels, coordinates in units of depth, one over depth, and the sum of squared gaps; infinite if a point is behind."""
+        seen = turns @ there[k] + shifts[:, :, None]
+        inverse = 1 / seen[:, 2]
+        flat = seen[:, :2] * inverse[:, None]
+        gap = (flat * focals[:, None, None] - wanted[k]) * weight[k, None]
+        return gap, flat, inverse, np.where((inverse > 0).all(1), (gap * gap).sum((1, 2)), np.inf)
+
+    gaps, flats, inverses, costs = residuals(np.arange(len(poses)), turns, shifts, focals)
+    damping, taken, going = np.full(len(poses), 1e-3), np.zeros(len(poses), int), np.full(len(poses), steps > 0)
+    square, pull = np.zeros((len(poses), len(unknown), len(unknown))), np.zeros((len(poses), len(unknown)))
     fresh = np.ones(len(poses), bool)
-    while open_.any():
-        k = np.flatnonzero(open_ & fresh)
+    while going.any():
+        k = np.flatnonzero(going & fresh)
         if len(k):
-            seen, focal = seens[k], focals[k, None] * weight[k]
-            x, y, scale = seen[:, 0] / seen[:, 2], seen[:, 1] / seen[:, 2], focal / seen[:, 2]
-            fx, fy = focal * x, focal * y
-            slope = np.zeros((len(k), 7 + with_focal, 2, seen.shape[2]))
+            x, y, focal = flats[k, 0], flats[k, 1], focals[k, None] * weight[k]
+            fx, fy, scale = focal * x, focal * y, focal * inverses[k]
+            slope = np.zeros((len(k), len(unknown) + 1, 2, x.shape[1]))  # by shift, turn and focal length, and the gaps
             slope[:, 0, 0] = slope[:, 1, 1] = scale
             slope[:, 2, 0], slope[:, 2, 1] = -scale * x, -scale * y
-            slope[:, 3, 0] = -fx * y
-            slope[:, 4, 1] = -slope[:, 3, 0]
+            slope[:, 4, 1] = fx * y
+            slope[:, 3, 0] = -slope[:, 4, 1]
             slope[:, 3, 1], slope[:, 4, 0] = -focal - fy * y, focal + fx * x
             slope[:, 5, 0], slope[:, 5, 1] = -fy, fx
             if with_focal:
                 slope[:, 6, 0], slope[:, 6, 1] = fx, fy
             slope[:, -1] = gaps[k]
-            slope = slope.reshape(len(k), 7 + with_focal, -1)
+            slope = slope.reshape(len(k), len(unknown) + 1, -1)
             products = slope @ slope.transpose(0, 2, 1)
-            square[k], pull[k] = products[:, :-1, :-1], products[:, :-1, -1]
-            fresh[k] = False
-        k = np.flatnonzero(open_)
-        damped = square[k] + damping[k, None, None] * np.eye(6 + with_focal) * (np.diagonal(square[k], axis1=1, axis2=2) + 1e-12)[:, None]
-        step = np.full((len(k), 6 + with_focal), np.nan)
+            square[k], pull[k], fresh[k] = products[:, :-1, :-1], products[:, :-1, -1], False
+        k = np.flatnonzero(going)
+        damped = square[k]
+        damped[:, unknown, unknown] += damping[k, None] * (damped[:, unknown, unknown] + 1e-12)
         try:
             step = -np.linalg.solve(damped, pull[k][:, :, None])[:, :, 0]
         except np.linalg.LinAlgError:
+            step = np.full((len(k), len(unknown)), np.nan)
             for i in range(len(k)):
                 try:
                     step[i] = -np.linalg.solve(damped[i], pull[k[i]])
@@ -292,16 +297,17 @@ def refined_poses(poses: list[Pose], pixels: np.ndarray, points: np.ndarray, inl
         turn = turn_by(step[:, 3:6])
         new = turn @ turns[k], (turn @ shifts[k][:, :, None])[:, :, 0] + step[:, :3], focals[k] * np.exp(np.clip(step[:, 6], -1, 1)) if with_focal else focals[k]
         with np.errstate(all="ignore"):
-            gap, seen, cost = residuals(k, *new)
-        cost = np.where((seen[:, 2] > 0).all(1), cost, np.inf)
-        better = cost <= costs[k]
-        done = costs[k] - cost <= settled * costs[k] + 1e-20
+            now = (*new, *residuals(k, *new))
+            old, cost = costs[k], now[-1]
+            better = (cost <= old) & (cost < np.inf)
+            done = (old - cost <= settled * old + 1e-20) & (old < np.inf)
         damping[k] = np.where(better, np.maximum(damping[k] / 10, 1e-12), damping[k] * 10)
         to = k[better]
-        turns[to], shifts[to], focals[to], gaps[to], seens[to], costs[to] = (v[better] for v in (*new, gap, seen, cost))
+        for kept, found in zip((turns, shifts, focals, gaps, flats, inverses, costs), now, strict=True):
+            kept[to] = found if len(to) == len(k) else found[better]
         taken[to] += 1
         fresh[to] = True
-        open_[k] = np.where(better, ~done & (taken[k] < steps), damping[k] < 1e12)
+        going[k] = np.where(better, ~done & (taken[k] < steps), damping[k] < 1e12)
     return [Pose(*p[:2], float(p[2])) for p in zip(turns, shifts, focals, strict=True)]
 
 
@@ -362,12 +368,13 @@ def calibrated(pixels: np.ndarray, points: np.ndarray, height: float, threshold:
         spread = errors.max() - errors.min() or 1.0
         return list(tried)[int((counts / counts.max() * (1 - (errors - errors.min()) / spread)).argmax())]
 
-    coarse = _coarse_angles(height)
+    coarse, found = _coarse_angles(height), []
     for angles in (coarse[len(coarse) // 2 :], coarse[: len(coarse) // 2]):  # those of the middle first, as they tell soonest what share fits
         focals = np.array([_focal(height, a) for a in angles])
-        found = [(a, *f) for a, f in zip(angles, sampled_poses(pixels, points, focals, threshold * focals / at_60, rounds, rng, share), strict=True) if f[0] is not None and f[1].sum() >= LEAST_OF_ANGLE]
-        judge(*([f[i] for f in found] for i in range(3)))
+        sampled = sampled_poses(pixels, points, focals, threshold * focals / at_60, rounds, rng, share)
+        found += [(angle, pose, near) for angle, (pose, near) in zip(angles, sampled, strict=True) if pose is not None and near.sum() >= LEAST_OF_ANGLE]
         share = max([share, *(near.sum() / len(pixels) for _, _, near in found)])
+    judge(*([f[i] for f in found] for i in range(3)))
     if tried:
         middle = coarse.index(best())
         start, inliers, _ = tried[coarse[middle]]
